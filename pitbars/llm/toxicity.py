@@ -2,8 +2,8 @@
 
 Labels are per document, so tokens are labelled from them: a token that stands in toxic documents of the training sample far more often
 than in clean ones is labelled toxic there, every other token clean. The field has two states, transition weights, and token features
-hashed into 3 * 2^16 weights (the word, its first and its last four bytes), so the model has a fixed size. It is fitted on windows of
-`per_class` documents of each class at most, chosen by the hash of their ids (a documented bound).
+in sorted hash arrays (the word, its first and its last four bytes). It is fitted on windows of `per_class` documents of each class
+at most, chosen by the hash of their ids (a documented bound, which bounds the model too).
 
 A document's score joins the marginals of all its tokens (one minus the product of their complements, small ones left out), calibrated
 on the sample. Texts are scored whole: the forward and backward passes run over all documents of a chunk at once, longest first.
@@ -18,30 +18,36 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .quality import calibrate, labelled_sample
-from .words import Words, lowered, span_hashes, split_words, text_bytes
+from .words import Words, lowered, mixed, span_hashes, split_words, text_bytes
 
-SLOTS = 1 << 16
 HALF = 6  # tokens on each side of a labelled one that a training window holds
 FLOOR = 0.05
 
 
-def token_features(words: Words, h: np.ndarray) -> np.ndarray:
-    """Three weight slots for each token."""
+def token_features(words: Words, h: np.ndarray) -> list[np.ndarray]:
+    """Three hashes for each token: the word, its first and its last four bytes."""
     head = span_hashes(words.data, words.starts, np.minimum(words.starts + 4, words.ends))
     tail = span_hashes(words.data, np.maximum(words.ends - 4, words.starts), words.ends)
-    low = np.uint64(SLOTS - 1)
-    return np.stack([(h & low).astype(np.int64), SLOTS + (head & low).astype(np.int64), 2 * SLOTS + (tail & low).astype(np.int64)])
+    return [h, head, tail]
+
+
+def places_of(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Where each hash stands in the sorted array; its length for hashes that don't."""
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.where(known[at] == h, at, len(known))
 
 
 @dataclass
 class Field:
-    weights: np.ndarray  # of token features, for the toxic state against the clean one
+    known: list[np.ndarray]  # for each kind of feature the sorted hashes that training saw
+    weights: list[np.ndarray]  # theirs, for the toxic state against the clean one; a last 0 for unknown ones
     bias: float
     moves: np.ndarray  # 2 x 2, from state to state, as factors
     slope: float = 1.0
@@ -49,8 +55,10 @@ class Field:
 
     def marginals(self, words: Words, h: np.ndarray) -> np.ndarray:
         """Probability of the toxic state for each token."""
-        slots = token_features(words, h)
-        odds = np.exp(np.clip(self.bias + self.weights[slots[0]] + self.weights[slots[1]] + self.weights[slots[2]], -12, 12))
+        score = np.full(len(h), self.bias)
+        for known, weights, own in zip(self.known, self.weights, token_features(words, h), strict=True):
+            score += weights[places_of(known, own)]
+        odds = np.exp(np.clip(score, -12, 12))
         counts = words.counts
         order = np.argsort(-counts, kind="stable")
         size = counts[order]
@@ -89,15 +97,20 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(p, bounds) + self.shift, -30, 30)))
 
 
-def token_labels(h: np.ndarray, doc: np.ndarray, label: np.ndarray, least: int = 3, ratio: float = 20.0) -> np.ndarray:
-    """1 for tokens of toxic documents whose share of toxic documents is `ratio` times that of clean ones at least."""
+def token_labels(h: np.ndarray, doc: np.ndarray, label: np.ndarray, least: int = 5, ratio: float = 20.0) -> np.ndarray:
+    """1 for tokens of toxic documents that stand in `least` different places (by the tokens beside them, so copies of one document
+    count once) and whose share of toxic documents is `ratio` times that of clean ones at least."""
     kinds, inverse = np.unique(h, return_inverse=True)
     pairs = np.unique(inverse * len(label) + doc)
     kind, of = pairs // len(label), label[pairs % len(label)]
     toxic, clean = np.bincount(kind[of == 1], minlength=len(kinds)), np.bincount(kind[of == 0], minlength=len(kinds))
+    bad = label[doc] == 1
+    beside = mixed(np.roll(h, 1) ^ mixed(np.roll(h, -1) + h))
+    places = pd.Series(inverse[bad]).groupby(beside[bad]).first()
+    n_places = np.bincount(places.to_numpy(), minlength=len(kinds))
     n_toxic, n_clean = max(int(label.sum()), 1), max(int((1 - label).sum()), 1)
-    marked = (toxic >= least) & (toxic / n_toxic >= ratio * (clean + 0.5) / n_clean)
-    return (marked[inverse] & (label[doc] == 1)).astype(np.int64)
+    marked = (n_places >= least) & (toxic >= least) & (toxic / n_toxic >= ratio * (clean + 0.5) / n_clean)
+    return (marked[inverse] & bad).astype(np.int64)
 
 
 def fit(texts: pa.Array, label: np.ndarray, rounds: int = 80, rate: float = 0.2, decay: float = 1e-4) -> Field | None:
@@ -118,9 +131,14 @@ def fit(texts: pa.Array, label: np.ndarray, rounds: int = 80, rate: float = 0.2,
     inside = (grid >= words.bounds[doc[centre]][:, None]) & (grid < words.bounds[doc[centre] + 1][:, None])
     grid = np.where(inside, grid, centre[:, None])
     y = np.where(inside, tags[grid], 0).astype(float)
-    slots = token_features(words, h)[:, grid]  # 3 x windows x places
-    w, bias, moves = np.zeros(3 * SLOTS), -3.0, np.zeros((2, 2))
+    features = [x[grid] for x in token_features(words, h)]
+    known = [np.unique(x) for x in features]
+    sizes = [len(x) for x in known]
+    slots = np.stack([np.searchsorted(k, x) + sum(sizes[:i]) for i, (k, x) in enumerate(zip(known, features, strict=True))])
+    total = sum(sizes)
+    w, bias, moves = np.zeros(total), -3.0, np.zeros((2, 2))
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in (("w", w), ("bias", np.zeros(())), ("moves", moves))}
+    decays = np.repeat([decay, 50 * decay, 50 * decay], sizes)  # parts of words weigh little beside the words themselves
     pairs = inside[:, 1:] & inside[:, :-1]
     n, width = len(centre), grid.shape[1]
 
@@ -147,11 +165,12 @@ def fit(texts: pa.Array, label: np.ndarray, rounds: int = 80, rate: float = 0.2,
         joint /= joint.sum(axis=0)
         y0, y1 = y[:, :-1], y[:, 1:]
         seen = np.stack([(1 - y0) * (1 - y1), (1 - y0) * y1, y0 * (1 - y1), y0 * y1])
-        by_slot = np.bincount(slots.ravel(), np.broadcast_to(error, slots.shape).ravel(), minlength=3 * SLOTS) + decay * w
+        by_slot = np.bincount(slots.ravel(), np.broadcast_to(error, slots.shape).ravel(), minlength=total) + decays * w
         w = adam("w", w, by_slot, t)
         bias = float(adam("bias", np.array(bias), np.array(error.sum()), t))
         moves = adam("moves", moves, ((joint - seen) * pairs).sum(axis=(1, 2)).reshape(2, 2) / n + decay * moves, t)
-    field = Field(w.astype(np.float32), bias, np.exp(moves))
+    split = np.split(w.astype(np.float32), np.cumsum(sizes)[:-1])
+    field = Field(known, [np.append(x, np.float32(0)) for x in split], bias, np.exp(moves))
     field.slope, field.shift = calibrate(field.raw(field.marginals(words, h), words.bounds), label)
     return field
 
@@ -182,11 +201,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1000, ke
                 points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 for token, d in zip(marked.tolist(), (np.searchsorted(words.bounds, marked, side="right") - 1).tolist(), strict=True):
                     start, end = (int(points[x] - points[offsets[d]]) for x in (words.starts[token], words.ends[token]))
-                    if spans[d] and marked_before == token - 1:
+                    if spans[d] and before == token - 1:
                         spans[d][-1]["end"] = end
                     else:
                         spans[d].append({"start": start, "end": end})
-                    marked_before = token
+                    before = token
             yield pa.RecordBatch.from_arrays([*(batch.column(at[c]) for c in keep), pa.array(score), pa.array(spans, span_type)], names=[*keep, "score", "spans"])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
