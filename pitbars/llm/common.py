@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes that one Python step holds at a time (a longer document is a chunk by itself).
 CHUNK_BYTES = 4 << 20
@@ -64,3 +65,8 @@ def may_learn(column: str = "doc_id"):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def schema_of(docs: DataFrame, keep: Iterable[str], more: str) -> T.StructType:
+    """Fields of the kept columns, then those of the DDL text."""
+    return T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in keep), *T.StructType.fromDDL(more).fields])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .fm_index import FMIndex
-from .words import lowered, span_hashes, split_words, text_bytes
+from .words import Words, lowered, span_hashes, split_words, text_bytes
 
 
 @dataclass
@@ -66,15 +66,13 @@ def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(total) if total else np.empty(0, dtype=np.int64)
 
 
-def find_spans(batch: pa.RecordBatch, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Over the words of all documents of the batch: word counts, hit mask with document bounds, and distinct (document, phrase) pairs."""
-    data, offsets = text_bytes(batch.column("text"))
-    words = split_words(lowered(data), offsets, "alnum")
+def find_spans(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Over the words of all documents of a chunk: the hit mask, and distinct (document, phrase) pairs."""
     n = len(words.starts)
     hit = np.zeros(n, dtype=bool)
     none = np.empty(0, dtype=np.int64)
     if not n or not len(phrases.lengths):
-        return words.counts, hit, words.bounds, none, none
+        return hit, none, none
     h = span_hashes(words.data, words.starts, words.ends)
     sieve = np.zeros(1 << 20, dtype=bool)
     sieve[(phrases.vocabulary >> np.uint64(44)).astype(np.int64)] = True
@@ -91,7 +89,7 @@ def find_spans(batch: pa.RecordBatch, phrases: Phrases) -> tuple[np.ndarray, np.
     long = length >= phrases.lengths.min()
     begin, length = begin[long], length[long]
     if not len(begin):
-        return words.counts, hit, words.bounds, none, none
+        return hit, none, none
     taken = _spread(begin, length)
     index = FMIndex(place[taken], length, len(phrases.vocabulary))
     index.forget_order()
@@ -110,11 +108,12 @@ def find_spans(batch: pa.RecordBatch, phrases: Phrases) -> tuple[np.ndarray, np.
     hit = np.cumsum(edges[:-1]) > 0
     doc = np.searchsorted(words.bounds, word, side="right") - 1
     pairs = np.unique(doc * len(phrases.lengths) + which)
-    return words.counts, hit, words.bounds, pairs // len(phrases.lengths), pairs % len(phrases.lengths)
+    return hit, pairs // len(phrases.lengths), pairs % len(phrases.lengths)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[str, ...] = ("doc_id",), max_words: int = 5_000_000) -> DataFrame:
-    """For each document: columns `keep`, n_words, n_hit, n_items, items (sorted ids), contaminated, spans (word intervals to remove).
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[str, ...] = ("doc_id",), cut: bool = False, max_words: int = 5_000_000) -> DataFrame:
+    """For each document: columns `keep`, n_words, n_hit, n_items, items (sorted ids), contaminated, spans (word intervals to remove) and
+    clean_text (the text without them; null if cut is not set).
 
     The benchmark goes to every task, so its size is checked first: beyond max_words words a ValueError asks to split it into parts
     (the operator is run on each part; the spans of the parts unite).
@@ -124,13 +123,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep:
     if size > max_words:
         raise ValueError(f"the benchmark has about {size} words; {max_words} is the bound of one call, pass it in parts")
     shared = spark.sparkContext.broadcast(Phrases.of(benchmark.select("item_id", "text").toArrow(), window))
-    extra = [docs.schema[c] for c in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in extra) + ", n_words long, n_hit long, n_items long, items array<string>, contaminated boolean, spans array<struct<first: long, length: long>>"
+    schema = common.schema_of(docs, keep, "n_words long, n_hit long, n_items long, items array<string>, contaminated boolean, spans array<struct<first: long, length: long>>, clean_text string")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shared.value
         for batch in common.in_chunks(batches):
-            n_words, hit, bounds, doc, phrase = find_spans(batch, phrases)
+            data, offsets = text_bytes(batch.column("text"))
+            words = split_words(lowered(data), offsets, "alnum")
+            hit, doc, phrase = find_spans(words, phrases)
+            bounds = words.bounds
             of_doc: dict[int, set] = {}
             for d, p in zip(doc.tolist(), phrase.tolist(), strict=True):
                 of_doc.setdefault(d, set()).update(phrases.item_of[phrases.item_from[p] : phrases.item_from[p + 1]].tolist())
@@ -142,9 +143,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep:
                 own = np.diff(np.concatenate([[0], hit[bounds[d] : bounds[d + 1]].astype(np.int8), [0]]))
                 spans[d] = [{"first": a, "length": b - a} for a, b in zip(np.flatnonzero(own == 1).tolist(), np.flatnonzero(own == -1).tolist(), strict=True)]
             own = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            clean = batch.column("text").to_pylist() if cut else [None] * batch.num_rows
+            for d in np.flatnonzero(n_hit).tolist() if cut else ():
+                at, parts = int(offsets[d]), []
+                for span in spans[d]:
+                    a = int(bounds[d]) + span["first"]
+                    parts.append(data[at : words.starts[a]].tobytes())
+                    at = int(words.ends[a + span["length"] - 1])
+                clean[d] = b"".join([*parts, data[at : offsets[d + 1]].tobytes()]).decode()
             yield pa.RecordBatch.from_arrays(
-                [*own, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(n_hit > 0), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("length", pa.int64())])))],
-                names=[*keep, "n_words", "n_hit", "n_items", "items", "contaminated", "spans"],
+                [*own, pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(n_hit > 0), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("length", pa.int64())]))), pa.array(clean, pa.string())],
+                names=[*keep, "n_words", "n_hit", "n_items", "items", "contaminated", "spans", "clean_text"],
             )
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(search, schema)

@@ -15,11 +15,15 @@ rows are interchangeable; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections.abc import Iterator
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -105,6 +109,49 @@ def taken_before(place: str, block_tokens: int):
     return F.expr(f"{block_tokens} * {copies_before(block)} + (({place}) % {block_tokens}) * ({copies_before(f'({block} + 1)')} - {copies_before(block)})")
 
 
+def mixed_texts(mixed: DataFrame, columns: list[str], block_tokens: int = 128) -> DataFrame:
+    """The mix itself: for each row of mix_sources (which kept `columns`, text among them) one row for each time any of its words are
+    taken, with the words of the blocks taken that often or more. A text taken whole stays as it is."""
+    schema = T.StructType([mixed.schema[c] for c in columns])
+    text_at = columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.in_chunks(batches):
+            rows, texts = [], []
+            at = {name: k for k, name in enumerate(batch.schema.names)}
+            numbers = zip(*(batch.column(at[c]).to_pylist() for c in ("size", "first", "blocks", "seats", "start_fraction")), strict=True)
+            for row, (text, (size, first, blocks, seats_, shift)) in enumerate(zip(batch.column(at["text"]).to_pylist(), numbers, strict=True)):
+                if not size:
+                    continue
+                before = lambda j: (j * seats_ + shift) // blocks  # noqa: E731, B023
+                span = range(first // block_tokens, (first + size - 1) // block_tokens + 1)
+                times = [before(j + 1) - before(j) for j in span]
+                words = None
+                for nth in range(1, max(times) + 1):
+                    if min(times) >= nth:
+                        rows.append(row)
+                        texts.append(text)
+                        continue
+                    words = words or [m.span() for m in re.finditer(WORD, text)]
+                    parts, k = [], 0
+                    while k < len(times):
+                        if times[k] < nth:
+                            k += 1
+                            continue
+                        begin = k
+                        while k < len(times) and times[k] >= nth:
+                            k += 1
+                        a, b = max(span[begin] * block_tokens - first, 0), min((span[k - 1] + 1) * block_tokens - first, size)
+                        parts.append(text[words[a][0] : words[b - 1][1]])
+                    rows.append(row)
+                    texts.append(" ".join(parts))
+            out = [batch.column(at[c]).take(pa.array(rows, pa.int64())) for c in columns]
+            out[text_at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(out, names=columns)
+
+    return mixed.select(*columns, "size", "first", "blocks", "seats", "start_fraction").mapInArrow(run, schema)
+
+
 def hash_fraction(seed: int, source, blocks: int) -> int:
     return zlib.crc32(f"{seed}:{source!r}".encode()) * blocks >> 32
 

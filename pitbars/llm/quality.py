@@ -152,7 +152,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1000, thr
     """For each row: columns `keep`, the base counts, base_failed, probability (of good quality) and kept."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{n} long" for n in names), "base_failed boolean, probability double, kept boolean"])
+    schema = common.schema_of(docs, keep, ", ".join([*(f"{n} long" for n in names), "base_failed boolean, probability double, kept boolean"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -71,7 +71,7 @@ def fingerprints_of(column: pa.Array, shingle: int) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep` and fp (long: the 64 bits) for each row of docs."""
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", fp long"
+    schema = common.schema_of(docs, keep, "fp long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.in_chunks(batches):
@@ -247,12 +247,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, keep: tuple[str, ...] = ("doc_id",), group_limit: int = 1024) -> DataFrame:
-    """Columns `keep`, fp (long) and component_id (the smallest doc_id of the component) for each row; keep must hold doc_id."""
+    """Columns `keep`, fp (long), root (a fingerprint that names the component) and component_id (the smallest doc_id of the component) for each row; keep must hold doc_id."""
     marked = common.written(fingerprints(docs, shingle, keep), "fingerprints")
     distinct = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct, radius, group_limit))
     rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("fp").alias("of"), "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("fp").alias("of"), "root", "component_id")
     return marked.join(named, F.col("fp") == F.col("of"), "left").drop("of")
 
 

@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> Field |
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1000, keep: tuple[str, ...] = ("doc_id",), span_threshold: float = 0.5) -> DataFrame:
     """For each row: columns `keep`, score and spans (code point offsets of tokens whose marginal reaches span_threshold, neighbours merged)."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double, spans array<struct<start: long, end: long>>"
+    schema = common.schema_of(docs, keep, "score double, spans array<struct<start: long, end: long>>")
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
