@@ -33,6 +33,7 @@ from .words import gram_hashes, joined, split_words, text_bytes
 
 _PASSAGES = "shard int, n long, ids binary, keys binary, firsts binary, tags binary, passages binary, repeats binary"
 _FOUND = "doc_id long, text_key long, intervals binary"
+KEY_BITS = 32  # of the hash that tells rows with one doc_id and different texts apart
 
 
 def _packed(values, dtype) -> bytes:
@@ -43,6 +44,25 @@ def _unpacked(data: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=dtype)
 
 
+def _packed_ascending(values: np.ndarray) -> bytes:
+    """Ascending integers as differences, a byte plane each, which leaves little of them."""
+    return _packed(np.diff(values, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T, np.uint8)
+
+
+def _unpacked_ascending(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(_unpacked(data, np.uint8).reshape(8, -1).T).view("<i8").ravel())
+
+
+def _tags(anchor: np.ndarray) -> bytes:
+    """24 bits of each anchor: few passages of a shard share them by chance, and such passages are told apart by the index."""
+    return np.ascontiguousarray((anchor >> np.uint64(40)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+
+
+def _read_tags(data: bytes) -> np.ndarray:
+    parts = np.frombuffer(data, dtype=np.uint8).reshape(-1, 3).astype(np.uint32)
+    return parts[:, 0] | parts[:, 1] << 8 | parts[:, 2] << 16
+
+
 def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     out, have = h, 1
     while have * 2 <= width:
@@ -67,7 +87,7 @@ def passages_of(batch: pa.RecordBatch, window: int, anchor_words: int, n_shards:
     if n < window:
         return
     raw = memoryview(data)
-    keys = np.array([xxhash.xxh64_intdigest(raw[a:b], 42) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], dtype=np.uint64).view(np.int64)
+    keys = np.array([xxhash.xxh64_intdigest(raw[a:b], 42) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], dtype=np.uint64).view(np.int64) & ((1 << KEY_BITS) - 1)
     anchor = _sliding_min(gram_hashes(words.hashes(), anchor_words), window - anchor_words + 1)
     doc = words.docs
     m = n - window + 1
@@ -85,7 +105,7 @@ def passages_of(batch: pa.RecordBatch, window: int, anchor_words: int, n_shards:
     low, high = starts[begin].tolist(), ends[stop + window - 2].tolist()
     first = (begin - words.bounds[doc[begin]]).tolist()
     owner, n_windows = doc[begin].tolist(), (stop - begin).tolist()
-    tags = (anchor[begin] >> np.uint64(32)).astype(np.uint32)
+    anchors = anchor[begin]
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(begin)], strict=True):
         seen: dict[bytes, int] = {}
         kept, repeats = [], []
@@ -100,17 +120,17 @@ def passages_of(batch: pa.RecordBatch, window: int, anchor_words: int, n_shards:
         rep = np.array(repeats, dtype=np.int64).reshape(-1, 3)
         rep = np.column_stack([ids[rep[:, 0]], keys[rep[:, 0]], rep[:, 1:]])
         body = b"\n".join([text[low[k] : high[k]] for k in kept])
-        yield (int(shard[a]), len(kept), _packed(ids[own], np.int64), _packed(keys[own], np.int64), _packed([first[k] for k in kept], np.int64), tags[kept].tobytes(), zstandard.ZstdCompressor(level=3).compress(body), _packed(rep, np.int64))
+        yield (int(shard[a]), len(kept), _packed_ascending(ids[own]), _packed(keys[own], np.uint32), _packed([first[k] for k in kept], np.uint32), _tags(anchors[kept]), zstandard.ZstdCompressor(level=3).compress(body), _packed(rep, np.int64))
 
 
 def repeats_of(rows: pa.Table, window: int) -> pa.Table:
     """Removal intervals of a shard, a row for each document: (first word, number of words) pairs as 64-bit integers."""
     ids, keys, firsts, tags, texts, found = [], [], [], [], [], []
     for row in rows.to_pylist():
-        ids.append(_unpacked(row["ids"], np.int64))
-        keys.append(_unpacked(row["keys"], np.int64))
-        firsts.append(_unpacked(row["firsts"], np.int64))
-        tags.append(np.frombuffer(row["tags"], dtype=np.uint32))
+        ids.append(_unpacked_ascending(row["ids"]))
+        keys.append(_unpacked(row["keys"], np.uint32).astype(np.int64))
+        firsts.append(_unpacked(row["firsts"], np.uint32).astype(np.int64))
+        tags.append(_read_tags(row["tags"]))
         texts.append(row["passages"])
         found.append(_unpacked(row["repeats"], np.int64).reshape(-1, 4))
     doc, key, first, tag = (np.concatenate(x) for x in (ids, keys, firsts, tags))
@@ -180,7 +200,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, anchor_words: int = 5, n
     found = repeated_words(docs, window, anchor_words, n_shards).groupBy("doc_id", "text_key").agg(F.collect_list("intervals").alias("intervals"))
     found = found.withColumnsRenamed({"doc_id": "found_id", "text_key": "found_key"})
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    both = keyed.withColumn("text_key", F.xxhash64("text")).join(found, (F.col("doc_id") == F.col("found_id")) & (F.col("text_key") == F.col("found_key")), "left")
+    both = keyed.withColumn("text_key", F.xxhash64("text").bitwiseAND(F.lit((1 << KEY_BITS) - 1))).join(found, (F.col("doc_id") == F.col("found_id")) & (F.col("text_key") == F.col("found_key")), "left")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.in_chunks(batches):
