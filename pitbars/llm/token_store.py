@@ -5,7 +5,7 @@ less (or one document): part, seq, dictionary hash, first token within the part,
 Parts are ranges of ascending doc_id, cut at quantiles of the ids, so the rows of a store by (part, seq) are in order of doc_id. Spark
 reads and writes both, so a store can lie wherever Spark's files can.
 
-Texts are encoded word by word through a cache: the tokenizer's words never span ASCII blanks, so a word's ids are the same alone.
+Texts are encoded word by word through a cache: the tokenizer's words never span white space, so a word's ids are the same alone.
 
 Defined results: null and empty texts give the end id alone; null ids come first; repeated rows each have a frame (equal ids lie by
 checksum); an empty table gives a store without shards.
@@ -14,6 +14,7 @@ checksum); an empty table gives a store without shards.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 CACHED_LENGTH = 64
 _ENCODED = "part int, doc_id long, n_tokens long, ids_crc32 long, frame binary"
 _SHARD = "part int, seq int, dictionary string, first_token long, n_tokens long, index array<struct<doc_id: long, offset: long, bytes: long, tokens: long>>, frames binary"
@@ -39,29 +40,73 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class Encoder:
-    """Texts to little-endian 32-bit ids, the end id appended."""
+def _byte_characters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself where it is printable, else one from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_BYTES = _byte_characters()
+#: Letters and then ASCII punctuation other than an apostrophe: two pieces of the tokenizer, whatever stands around them.
+_SIMPLE = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+
+
+class Encoder(dict):
+    """Texts to little-endian 32-bit ids, the end id appended. As a dictionary it holds the ids of words met so far.
+
+    Plain words (letters, then punctuation) take the tokenizer's normalizer and its model alone; all others, and all words of a
+    tokenizer that isn't built of a lower-casing normalizer, a split into letters and a byte-level model, its full encode."""
 
     def __init__(self, path: str, end_id: int):
+        super().__init__()
         self.tokenizer, self.end = _tokenizer(path), np.array([end_id], dtype="<u4").tobytes()
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def _fill(self, words: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(words, found, strict=True)}
+        self.pieces: dict[str, bytes] = {}
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.direct = [self._full(w) == self._plain(w) for w in ("Thing,", "Größe.", "ÉAUX!!", "a", "über|")] == [True] * 5
+
+    def _full(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            if len(self.pieces) > CACHE_WORDS:
+                self.pieces.clear()
+            found = self.pieces[piece] = b"".join([self.four[t.id] for t in self.model.tokenize(piece)])
+        return found
+
+    def _plain(self, word: str) -> bytes | None:
+        parts = _SIMPLE.fullmatch(word)
+        if not parts or self.normalizer is None:
+            return None
+        letters = parts[1]
+        if letters.isascii():
+            letters = letters.lower()
+        else:
+            letters = self.normalizer.normalize_str(letters)
+            if not letters.isalpha():
+                return None
+            letters = letters.encode().decode("latin-1").translate(_BYTES)
+        return self._piece(letters) + self._piece(parts[2]) if parts[2] else self._piece(letters)
+
+    def __missing__(self, word: str) -> bytes:
+        found = (self._plain(word) if self.direct and len(word) <= CACHED_LENGTH else None) or self._full(word)
+        if len(word) <= CACHED_LENGTH:
+            self[word] = found
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {"": b""}
-        cache = self.cache
-        missing = list({w for words in split for w in words if w not in cache})
-        rare = self._fill([w for w in missing if len(w) > CACHED_LENGTH])
-        for at in range(0, len(missing), 50_000):
-            cache.update(self._fill([w for w in missing[at : at + 50_000] if len(w) <= CACHED_LENGTH]))
-        if rare:
-            return [b"".join([cache[w] if w in cache else rare[w] for w in words]) + self.end for words in split]
-        return [b"".join([cache[w] for w in words]) + self.end for words in split]
+        out = []
+        for text in texts:
+            text = text or ""
+            words = text.replace("\n", " ").split(" ") if any(x in text for x in _SEPARATORS) else text.split()
+            out.append(b"".join([self[w] for w in words]) + self.end)
+            if len(self) > CACHE_WORDS:
+                self.clear()
+        return out
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int, sample_rows: int = 1000, sample_bytes: int = 8192, size: int = 1 << 16) -> bytes:
