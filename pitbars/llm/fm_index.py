@@ -19,7 +19,7 @@ def suffix_order(text: np.ndarray, n_low: int, width: int) -> np.ndarray:
     key = text.astype(np.int64)
     for k in range(1, pack):
         nxt = np.zeros(n, dtype=np.int64)
-        nxt[: n - k] = text[k:]
+        nxt[: max(n - k, 0)] = text[k:]
         key = (key << width) | nxt
     # what follows a separator must not count, but separators differ: no tie reaches beyond one
     sa = np.argsort(key, kind="stable")
