@@ -33,6 +33,7 @@ from .words import gram_hashes, joined, split_words, text_bytes
 
 _PASSAGES = "shard int, n long, ids binary, keys binary, firsts binary, tags binary, passages binary, repeats binary"
 _FOUND = "doc_id long, text_key long, intervals binary"
+PASSAGE_BYTES = 4 << 20  # of a chunk: larger ones know more repeats at once and pack better
 KEY_BITS = 32  # of the hash that tells rows with one doc_id and different texts apart
 
 
@@ -187,7 +188,7 @@ def repeated_words(docs: DataFrame, window: int = 13, anchor_words: int = 5, n_s
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _PASSAGES.split(", ")]
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
-        for batch in common.in_chunks(batches):
+        for batch in common.in_chunks(batches, PASSAGE_BYTES):
             if rows := list(passages_of(batch, window, anchor_words, n_shards)):
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
