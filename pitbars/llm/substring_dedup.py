@@ -54,6 +54,15 @@ def _unpacked_ascending(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(_unpacked(data, np.uint8).reshape(8, -1).T).view("<i8").ravel())
 
 
+def _packed_places(values) -> bytes:
+    """Small integers, a byte plane each."""
+    return _packed(np.asarray(values, dtype="<u4").view(np.uint8).reshape(-1, 4).T, np.uint8)
+
+
+def _unpacked_places(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(_unpacked(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def _tags(anchor: np.ndarray) -> bytes:
     """24 bits of each anchor: few passages of a shard share them by chance, and such passages are told apart by the index."""
     return np.ascontiguousarray((anchor >> np.uint64(40)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
@@ -121,16 +130,16 @@ def passages_of(batch: pa.RecordBatch, window: int, anchor_words: int, n_shards:
         rep = np.array(repeats, dtype=np.int64).reshape(-1, 3)
         rep = np.column_stack([ids[rep[:, 0]], keys[rep[:, 0]], rep[:, 1:]])
         body = b"\n".join([text[low[k] : high[k]] for k in kept])
-        yield (int(shard[a]), len(kept), _packed_ascending(ids[own]), _packed(keys[own], np.uint32), _packed([first[k] for k in kept], np.uint32), _tags(anchors[kept]), zstandard.ZstdCompressor(level=3).compress(body), _packed(rep, np.int64))
+        yield (int(shard[a]), len(kept), _packed_ascending(ids[own]), _packed(keys[own], np.uint32), _packed_places([first[k] for k in kept]), _tags(anchors[kept]), zstandard.ZstdCompressor(level=3).compress(body), _packed(rep, np.int64))
 
 
 def repeats_of(rows: pa.Table, window: int) -> pa.Table:
-    """Removal intervals of a shard, a row for each document: (first word, number of words) pairs as 64-bit integers."""
+    """Removal intervals of a shard, a row for each document: (first word, number of words) pairs as 32-bit integers."""
     ids, keys, firsts, tags, texts, found = [], [], [], [], [], []
     for row in rows.to_pylist():
         ids.append(_unpacked_ascending(row["ids"]))
         keys.append(_unpacked(row["keys"], np.uint32).astype(np.int64))
-        firsts.append(_unpacked(row["firsts"], np.uint32).astype(np.int64))
+        firsts.append(_unpacked_places(row["firsts"]))
         tags.append(_read_tags(row["tags"]))
         texts.append(row["passages"])
         found.append(_unpacked(row["repeats"], np.int64).reshape(-1, 4))
@@ -175,7 +184,7 @@ def repeats_of(rows: pa.Table, window: int) -> pa.Table:
     rows = rows[order]
     cuts = np.flatnonzero(np.any(np.diff(rows[:, :2], axis=0) != 0, axis=1)) + 1
     parts = np.split(rows, cuts) if len(rows) else []
-    return pa.table({"doc_id": pa.array([int(p[0, 0]) for p in parts], pa.int64()), "text_key": pa.array([int(p[0, 1]) for p in parts], pa.int64()), "intervals": pa.array([p[:, 2:].tobytes() for p in parts], pa.binary())})
+    return pa.table({"doc_id": pa.array([int(p[0, 0]) for p in parts], pa.int64()), "text_key": pa.array([int(p[0, 1]) for p in parts], pa.int64()), "intervals": pa.array([p[:, 2:].astype("<u4").tobytes() for p in parts], pa.binary())})
 
 
 def repeated_words(docs: DataFrame, window: int = 13, anchor_words: int = 5, n_shards: int | None = None) -> DataFrame:
@@ -210,7 +219,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, anchor_words: int = 5, n
             gone = np.zeros(len(words.starts) + 1, dtype=np.int64)
             for d, parts in enumerate(batch.column(2).to_pylist()):
                 if parts:
-                    rows = np.frombuffer(b"".join(parts), dtype=np.int64).reshape(-1, 2) + [words.bounds[d], 0]
+                    rows = np.frombuffer(b"".join(parts), dtype="<u4").reshape(-1, 2).astype(np.int64) + [words.bounds[d], 0]
                     np.add.at(gone, rows[:, 0], 1)
                     np.add.at(gone, rows[:, 0] + rows[:, 1], -1)
             gone = np.cumsum(gone)[:-1] > 0
