@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pitbars.functions import checks, clock, digest, symbols
 from pitbars.operators import evidence, quality, store
-from pitbars.plans import more
+from pitbars.plans import ledger, more
 from pitbars.plans.oracle import ORACLE_SQL
 from pitbars.sources import views as v
 
@@ -330,7 +330,7 @@ def get_history(s, d):
     return store.overlay_today(_click(s, d), _quote_bars(s, d)).where(F.col("date").between(F.lit("2024-01-10").cast("date"), F.lit("2024-02-10").cast("date"))).join(v.panel(s, d).select("code").distinct(), "code", "left_semi").select("code", "date", "close", "is_final").orderBy("code", "date")
 
 
-QUERIES |= more.QUERIES
-ORACLE_SQL = ORACLE_SQL | more.ORACLE_SQL
+QUERIES |= more.QUERIES | ledger.QUERIES
+ORACLE_SQL = ORACLE_SQL | more.ORACLE_SQL | ledger.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
