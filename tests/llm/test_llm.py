@@ -35,13 +35,13 @@ def tables(spark):
 def operators(spark):
     bench, labels = tables(spark)
     return {
-        "op1": lambda d: decontaminate.decontaminate(d, bench, cut=True), "op2": secrets.scan_secrets, "op3": token_store.stored, "op4": simhash.near_duplicates,
+        "op1": lambda d: decontaminate.decontaminate(d, bench, cut=True), "op2": secrets.scan_secrets, "op3": token_store.stored, "op4": simhash.near_duplicates, "op4_wide": simhash.similar_documents,
         "op5": lambda d: quality.judge_quality(d, labels), "op6": lambda d: toxicity.score_toxicity(d, labels), "op7": lambda d: language.identify(d, language.train(d)),
         "op8": sharding.shard_rows, "op9": mixing.mix_sources, "op10": substring_dedup.dedup_substrings,
     }
 
 
-@pytest.mark.parametrize("name", [f"op{k}" for k in range(1, 11)])
+@pytest.mark.parametrize("name", [*(f"op{k}" for k in range(1, 11)), "op4_wide"])
 def test_odd_rows_and_empty_tables(spark, name):
     op = operators(spark)[name]
     docs = odd(spark)
@@ -109,6 +109,55 @@ def test_components_against_all_pairs(spark, limit):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, ours.values()))
 
 
+def near_base(n=300):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, simhash.WIDE_BYTES, dtype=np.uint8)
+    rows = {base.tobytes()} | {rng.integers(0, 256, simhash.WIDE_BYTES, dtype=np.uint8).tobytes() for _ in range(20)}
+    while len(rows) < n:
+        bits = np.unpackbits(base)
+        bits[rng.choice(len(bits), rng.integers(0, 40), replace=False)] ^= 1
+        rows.add(np.packbits(bits).tobytes())
+    return sorted(rows)
+
+
+@pytest.mark.parametrize("group_rows,top_bits", [(1 << 20, 8), (64, 8), (1 << 20, 5), (1 << 20, 12)])
+def test_wide_links_against_all_pairs(spark, group_rows, top_bits):
+    rows, reach = near_base(), 12
+    wide = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(-1, simhash.WIDE_BYTES)
+    words = np.pad(wide, ((0, 0), (0, 2))).copy().view(np.uint64)
+    names = simhash._name_of(words).view(np.int64).tolist()
+    segments = simhash._segments(wide)
+    found = spark.createDataFrame([(bytearray(x),) for x in rows], "wide binary")
+    links = [(r["fp"], r["to"]) for r in simhash.wide_links(found, reach, group_rows, top_bits).collect()]
+
+    def pieces(pairs):
+        root = {x: x for x in names}
+        changed = True
+        while changed:
+            changed = False
+            for a, b in pairs:
+                low = min(root[a], root[b])
+                changed |= root[a] != low or root[b] != low
+                root[a] = root[b] = low
+        return root
+
+    want = []
+    for i in range(len(rows)):
+        near = np.bitwise_count(words[i + 1 :] ^ words[i]).sum(axis=1, dtype=np.int64) <= reach
+        meets = (np.bitwise_count(segments[i + 1 :] ^ segments[i]) <= 2).any(axis=1)
+        assert meets[near].all()  # ten segments: up to 29 bits one of them differs in two at most
+        want += [(names[i], names[i + 1 + int(j)]) for j in np.flatnonzero(near)]
+    assert want and pieces(links) == pieces(want)
+
+
+def test_similar_documents(spark):
+    words = [f"w{k}" for k in range(400)]
+    near = [*words[:200], "other", *words[201:]]
+    rows = [(3, " ".join(words)), (5, " ".join(near)), (9, "  ".join(words).upper()), (2, " ".join(words[::-1])), (7, None), (8, " "), (1, "w1 w2"), (4, "w1 w3")]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {3: 3, 5: 3, 9: 3, 2: 2, 7: 7, 8: 7, 1: 1, 4: 4}
+
+
 def test_token_store_round_trip(spark):
     from tokenizers import Tokenizer
 
