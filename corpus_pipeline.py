@@ -4,7 +4,7 @@ Every stage works on all rows the one before it kept. Stages one to four return
 one struct, so their names can't clash); the last returns the index of the token files it has written and read back.
 
 1. toxicity: rows whose score reaches 0.5 go.
-2. near_dedup: of each group of near copies one row stays, the one with the smallest doc_id (of rows equal in id and text, one).
+2. near_dedup: of each group of near copies (five-word shingles, similarity of 0.8 or more) one row stays, the one with the smallest doc_id (of rows equal in id and text, one).
 3. decontaminate: passages of the benchmark are cut out of the texts; a text of which nothing else was left goes.
 4. mix: sources by target weights; a row is there as often as its words are taken, with the words taken that often.
 5. tokens: doc_id, start, n_tokens, ids_crc32 of each row.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pitbars.llm import common
 from pitbars.llm.decontaminate import decontaminate
 from pitbars.llm.mixing import mix_sources, mixed_texts
-from pitbars.llm.simhash import near_duplicates
+from pitbars.llm.simhash import similar_documents
 from pitbars.llm.token_store import stored
 from pitbars.llm.toxicity import score_toxicity
 
@@ -52,7 +52,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, columns = _packed(docs)
     keyed = rows.withColumn("text_key", F.xxhash64("text"))
-    found = near_duplicates(keyed, keep=("doc_id", "text_key"))
+    found = similar_documents(keyed, keep=("doc_id", "text_key"))
     stay = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))).alias("x")).select("x.id", "x.key")
     kept = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left_semi").dropDuplicates(["doc_id", "text_key"])
     return _unpacked(kept.select(*columns), docs)
