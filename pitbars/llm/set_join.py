@@ -1,0 +1,218 @@
+"""All pairs of texts whose sets of word shingles have a Jaccard similarity of `similarity` (p / q) or more: an exact join by prefixes.
+
+All shingles stand in one order over the corpus. Two sets of similarity p / q share one of the first n - ceil(p n / q) + 1 shingles of each, so
+each set is dealt by these alone, and sets that meet there are held against each other by size and by place (what can still agree after the
+first common shingle), then by a parity sketch: the bits that differ are never more than the shingles not shared, so it only strikes
+pairs that are certainly too far apart. What is left is joined to the whole sets, and the similarity counted. No link is lost and none is added.
+
+The order only says how much work there is, never what is found: shingles that are frequent in a sixteenth of the texts come last, so a line of
+a third of all texts is dealt by only in texts that hold little else. Sets that meet in a shingle with more than `group_limit` others are first
+held against their neighbour by size and the middle one; then those not yet in one component are held against each other, in blocks of
+bounded size, each two of which meet in one task. So a large group of near copies costs a few rows for each member; work grows with
+the square of a group only where its members stay apart.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from fractions import Fraction
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common
+from .words import gram_hashes, lowered, mixed, split_words, text_bytes
+
+SAMPLED = 16  # one text of so many is counted for the order of shingles
+BLOCK = 4096
+PARITY_WORDS = 32  # 64-bit words of a parity sketch
+
+
+def shingle_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text, ascending, and where each text's begin; a text of fewer words is one shingle."""
+    data, offsets = text_bytes(column)
+    words = split_words(lowered(data), offsets, "solid")
+    hashes, counts = words.hashes(), words.counts
+    per_doc = np.where(counts >= shingle, counts - shingle + 1, np.minimum(counts, 1))
+    bounds = np.concatenate([[0], np.cumsum(per_doc)])
+    grams = np.zeros(bounds[-1], dtype=np.uint64)
+    for n in range(1, shingle + 1):  # fewer words than a shingle: all of them
+        rows = np.flatnonzero(counts >= shingle if n == shingle else counts == n)
+        if len(rows):
+            at = np.repeat(bounds[rows], per_doc[rows]) + np.arange(per_doc[rows].sum()) - np.repeat(np.cumsum(per_doc[rows]) - per_doc[rows], per_doc[rows])
+            doc = np.repeat(rows, per_doc[rows])
+            grams[at] = gram_hashes(hashes, n)[at - bounds[doc] + words.bounds[doc]]
+    doc = np.repeat(np.arange(len(counts)), per_doc)
+    order = np.lexsort((grams, doc))  # a shingle counts once for each text, as in the similarity of sets
+    grams, doc = grams[order], doc[order]
+    once = np.ones(len(grams), dtype=bool)
+    once[1:] = (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])
+    return grams[once], np.searchsorted(doc[once], np.arange(len(counts) + 1))
+
+
+def names_of(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each set; zero for an empty one."""
+    n = np.diff(bounds)
+    out, full = np.zeros(len(n), dtype=np.uint64), np.flatnonzero(n)
+    if len(full):
+        out[full] = mixed(np.add.reduceat(mixed(grams ^ np.uint64(0x9E3779B97F4A7C15)), bounds[:-1][full]) ^ mixed(n[full].astype(np.uint64)))
+    return out
+
+
+def parities_of(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each set, whether the number of its shingles in each of 64 * PARITY_WORDS cells is odd: PARITY_WORDS words a set."""
+    h = mixed(grams)
+    out = np.zeros((len(bounds) - 1) * PARITY_WORDS, dtype=np.uint64)
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    np.bitwise_xor.at(out, doc * PARITY_WORDS + ((h >> np.uint64(6)) % np.uint64(PARITY_WORDS)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+    return out
+
+
+def frequent_shingles(docs: DataFrame, shingle: int, least: int = 5, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of `least` different sets of the sample or more, ascending, and in how many they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.in_chunks(batches):
+            grams, bounds = shingle_sets(batch.column(0), shingle)
+            name = np.repeat(names_of(grams, bounds), np.diff(bounds))
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(name.view(np.int64))], names=["gram", "fp"])
+
+    sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).mapInArrow(run, "gram long, fp long")
+    found = sample.distinct().groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "gram").limit(most).toArrow()
+    grams, n = found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(grams)
+    return grams[order], n[order]
+
+
+def with_sets(docs: DataFrame, shingle: int, keep: tuple[str, ...]) -> DataFrame:
+    """Columns `keep`, fp (name of the set), parity (its sketch) and grams (the set, in the order of the corpus)."""
+    schema = common.schema_of(docs, keep, "fp long, parity array<long>, grams array<long>")
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, times = shared.value
+        for batch in common.in_chunks(batches):
+            at = {name: k for k, name in enumerate(batch.schema.names)}
+            grams, bounds = shingle_sets(batch.column(at["text"]), shingle)
+            names, parity = names_of(grams, bounds), parities_of(grams, bounds)
+            if len(frequent):
+                near = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
+                grams = grams[np.lexsort((grams, np.where(frequent[near] == grams, times[near], 0), np.repeat(np.arange(len(names)), np.diff(bounds))))]
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(grams.view(np.int64)))
+            sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1, dtype=np.int32) * PARITY_WORDS), pa.array(parity.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(at[c]) for c in keep), pa.array(names.view(np.int64)), sketches, lists], names=[*keep, "fp", "parity", "grams"])
+
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted batches, cut only where one of the first n_keys columns changes."""
+    held = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            here = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held = here if held is None else [np.concatenate(x) for x in zip(held, here, strict=True)]
+            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in held[:n_keys]], axis=0))
+            if not len(change):
+                continue
+            end = change[-1] + 1
+            yield [c[:end] for c in held]
+            held = [c[end:] for c in held]
+        elif held is not None:
+            yield held
+
+
+def _may_link(n: np.ndarray, pos: np.ndarray, a: np.ndarray, b: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Whether sets that meet in a shingle at pos can have the similarity p / q if that is their first common one."""
+    most = np.minimum(n[a] - pos[a], n[b] - pos[b])
+    return (q * np.minimum(n[a], n[b]) >= p * np.maximum(n[a], n[b])) & ((p + q) * most >= p * (n[a] + n[b]))
+
+
+def _meet(batches: Iterator[pa.RecordBatch], p: int, q: int, group_limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows by (gram, n, fp) -> (gram, fp, n, pos, to): pairs with gram null; and members of groups of more than group_limit with `to` null."""
+    for gram, fp, n, pos in _whole_groups(batches, 1):
+        head = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        size = np.diff(np.concatenate([head, [len(gram)]]))
+        many = np.repeat(size, size)
+        rows = np.flatnonzero(many > 1)
+        if not len(rows):
+            continue
+        middle = np.repeat(head + size // 2, size)[rows]
+        gram, fp, n, pos, many, middle = gram[rows], fp[rows], n[rows].astype(np.int64), pos[rows].astype(np.int64), many[rows], np.searchsorted(rows, middle)
+        large = many > group_limit
+        own = np.flatnonzero(large)
+        pairs = [np.column_stack([own, middle[own]])]
+        for step in range(1, group_limit):
+            a = np.flatnonzero((gram[step:] == gram[:-step]) & ((step == 1) | ~large[step:]))
+            if not len(a):
+                break
+            pairs.append(np.column_stack([a, a + step]))
+        a, b = np.concatenate(pairs).T
+        good = (fp[a] != fp[b]) & _may_link(n, pos, a, b, p, q)
+        a, b = fp[a[good]], fp[b[good]]
+        pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+        none = lambda kind: pa.nulls(len(pairs), kind)  # noqa: E731, B023
+        yield pa.RecordBatch.from_arrays([none(pa.int64()), pa.array(pairs[:, 0].copy()), none(pa.int32()), none(pa.int32()), pa.array(pairs[:, 1].copy())], names=["gram", "fp", "n", "pos", "to"])
+        if len(own):
+            yield pa.RecordBatch.from_arrays([pa.array(gram[own]), pa.array(fp[own]), pa.array(n[own].astype(np.int32)), pa.array(pos[own].astype(np.int32)), pa.nulls(len(own), pa.int64())], names=["gram", "fp", "n", "pos", "to"])
+
+
+def _meet_apart(batches: Iterator[pa.RecordBatch], p: int, q: int) -> Iterator[pa.RecordBatch]:
+    """Rows by (gram, low, high): block, root, fp, n, pos -> (fp, to): all pairs of two blocks (low and high) that are in two components."""
+    for columns in _whole_groups(batches, 3):
+        gram, low, high = columns[:3]
+        cuts = np.flatnonzero((gram[1:] != gram[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+        for rows in np.split(np.arange(len(gram)), cuts):
+            block, root, fp, n, pos = (c[rows] for c in columns[3:])
+            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            first = np.flatnonzero(block == low[rows[0]])
+            second = first if low[rows[0]] == high[rows[0]] else np.flatnonzero(block == high[rows[0]])
+            for k in range(0, len(first), 128):
+                a, b = np.repeat(first[k : k + 128], len(second)), np.tile(second, len(first[k : k + 128]))
+                good = (root[a] != root[b]) & ((second is not first) | (a < b)) & _may_link(n, pos, a, b, p, q)
+                a, b = fp[a[good]], fp[b[good]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["fp", "to"])
+
+
+def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """Pairs (fp, to) with `column` and the size of the set of either side: x, nx, y, ny."""
+    wanted = common.written(pairs.select("fp").unionByName(pairs.select(F.col("to").alias("fp"))).distinct(), "wanted")
+    some = common.written(sets.select("fp", F.col(column).alias("x"), F.size("grams").alias("nx")).join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "some")
+    return pairs.join(some, "fp").join(some.toDF("to", "y", "ny"), "to")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs (fp, to) whose sets have the similarity p / q or more."""
+    differ = F.aggregate(F.zip_with("x", "y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    near = common.written(_with_both(pairs, sets, "parity").where((p + q) * differ <= (q - p) * (F.col("nx") + F.col("ny"))).select("fp", "to"), "near")
+    agree = F.size(F.array_intersect("x", "y"))
+    return common.written(_with_both(near, sets, "grams").where((p + q) * agree >= p * (F.col("nx") + F.col("ny"))).select("fp", "to"), "verified")
+
+
+def set_links(sets: DataFrame, similarity: float, components: Callable[[DataFrame], DataFrame], group_limit: int = 64) -> DataFrame:
+    """(fp, to): links of similarity or more that join all such pairs; sets: fp, parity and grams as of with_sets, repeats allowed. components(edges) gives (fp, root)."""
+    share = Fraction(str(similarity))
+    p, q = share.numerator, share.denominator
+    n = F.size("grams")
+    heads = sets.select("fp", n.alias("n"), F.slice("grams", F.lit(1), n - F.expr(f"cast((size(grams) * {p}L + {q - 1}) div {q} as int)") + 1).alias("head")).where("n > 0").dropDuplicates(["fp"])
+    rows = heads.select("fp", "n", F.posexplode("head").alias("pos", "gram")).select("gram", "fp", "n", "pos")
+    met = rows.repartition("gram").sortWithinPartitions("gram", "n", "fp").mapInArrow(lambda it: _meet(it, p, q, group_limit), "gram long, fp long, n int, pos int, to long")
+    found = common.written(met, "met")
+    pairs = common.written(found.where("to is not null").select("fp", "to").distinct(), "pairs")
+    links = verified(pairs, sets, p, q)
+    large = found.where("to is null").select("gram", "fp", "n", "pos")
+    if large.isEmpty():
+        return links
+    named = large.join(components(links), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    open_ = named.groupBy("gram").agg(F.count("*").alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("gram", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    dealt = named.join(open_, "gram").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("gram", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "root", "fp", "n", "pos")
+    apart = dealt.repartition("gram", "low", "high").sortWithinPartitions("gram", "low", "high").mapInArrow(lambda it: _meet_apart(it, p, q), "fp long, to long")
+    more = common.written(apart.distinct().join(pairs, ["fp", "to"], "left_anti"), "pairs")
+    return links if more.isEmpty() else links.unionByName(verified(more, sets, p, q))

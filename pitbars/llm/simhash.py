@@ -8,9 +8,10 @@ more than `group_limit` fingerprints of exactly that half is dealt anew by the s
 quarter, variant of that quarter), where at most 2^16 fingerprints can be exact in both parts; every other member is held against
 those while it streams by. Nothing is left out at any size.
 
-`similar_documents` finds near copies by the similarity of their word shingles. Texts of which 0.8 of the five-word shingles agree differ
-in 15 of 100 bits, far beyond a radius of 3, so it takes fingerprints of 240 bits, cut into ten segments of 24. For each segment every
-fingerprint emits its ball of one bit, half the radius of two, and pairs that meet are verified over all 240 bits. Variants that differ
+`similar_documents` finds near copies by the exact similarity of their sets of word shingles; `set_join` has the pairs.
+
+`wide_links` joins fingerprints of 240 bits by a reach in bits: ten segments of 24, for each of which every fingerprint emits its ball of one
+bit. All pairs to 29 bits meet. Bits only estimate the similarity of texts, so no query decides by them. Variants that differ
 in the low bits of a segment only stay in one group and are made there, so that a fingerprint travels in 90 rows instead of 250. A group
 of more than `group_rows` rows is cut into blocks, each two of which meet in one task: nothing is left out and no task grows.
 
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .set_join import set_links, with_sets
 from .words import gram_hashes, joined, lowered, mixed, split_words, text_bytes
 
 _LANES = np.uint64(0x0101010101010101)
@@ -269,32 +271,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, keep: tu
     return _named(marked, distinct, components(links(distinct, radius, group_limit)))
 
 
-def wide_fingerprints_of(column: pa.Array, shingle: int) -> np.ndarray:
-    """Rows of four 64-bit words, of which the first WIDE_BYTES bytes are in use; zero for a text without words."""
-    data, offsets = text_bytes(column)
-    words = split_words(lowered(data), offsets, "solid")
-    hashes, counts = words.hashes(), words.counts
-    per_doc = np.where(counts >= shingle, counts - shingle + 1, np.minimum(counts, 1))
-    bounds = np.concatenate([[0], np.cumsum(per_doc)])
-    grams = np.zeros(bounds[-1], dtype=np.uint64)
-    for n in range(1, shingle + 1):  # fewer words than a shingle: all of them
-        rows = np.flatnonzero(counts >= shingle if n == shingle else counts == n)
-        if len(rows):
-            at = np.repeat(bounds[rows], per_doc[rows]) + np.arange(per_doc[rows].sum()) - np.repeat(np.cumsum(per_doc[rows]) - per_doc[rows], per_doc[rows])
-            doc = np.repeat(rows, per_doc[rows])
-            grams[at] = gram_hashes(hashes, n)[at - bounds[doc] + words.bounds[doc]]
-    doc = np.repeat(np.arange(len(counts)), per_doc)
-    order = np.lexsort((grams, doc))  # a shingle counts once for each text, as in the similarity of sets
-    grams, doc = grams[order], doc[order]
-    once = np.ones(len(grams), dtype=bool)
-    once[1:] = (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])
-    grams, bounds = grams[once], np.searchsorted(doc[once], np.arange(len(counts) + 1))
-    lanes = [majority_bits(mixed(grams ^ mixed(np.full(1, k + 1, dtype=np.uint64))), bounds) for k in range(4)]
-    out = np.column_stack(lanes).view(np.uint8)
-    out[:, WIDE_BYTES:] = 0
-    return out.view(np.uint64)
-
-
 def _wide(column: pa.Array) -> np.ndarray:
     """Bytes of wide fingerprints, a row each."""
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, WIDE_BYTES)
@@ -421,13 +397,6 @@ def _name_of(words: np.ndarray) -> np.ndarray:
     return gram_hashes(mixed(words.ravel()), 4)[::4] if len(words) else np.empty(0, dtype=np.uint64)
 
 
-def reach_of(similarity: float) -> int:
-    """Bits by which texts of that shingle similarity differ, and one standard deviation."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = SEGMENTS * SEGMENT_BITS
-    return round(bits * p + math.sqrt(bits * p * (1 - p)))
-
-
 def wide_links(distinct: DataFrame, reach: int, group_rows: int = 1 << 20, top_bits: int | None = None) -> DataFrame:
     """(fp, to): star links of distinct (column wide, no repeats). top_bits only says how finely rows are dealt, never what is found."""
     if top_bits is None:
@@ -445,20 +414,11 @@ def wide_links(distinct: DataFrame, reach: int, group_rows: int = 1 << 20, top_b
     return dealt.groupBy("key", "meeting").applyInArrow(lambda rows: _wide_links(rows, top_bits, reach), "fp long, to long")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, keep: tuple[str, ...] = ("doc_id",), group_rows: int = 1 << 20) -> DataFrame:
-    """Columns `keep`, wide (the 240 bits), fp (their name), root and component_id for each row, by similarity of word shingles; keep must hold doc_id."""
-    schema = common.schema_of(docs, keep, "wide binary, fp long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.in_chunks(batches):
-            at = {name: k for k, name in enumerate(batch.schema.names)}
-            words = wide_fingerprints_of(batch.column(at["text"]), shingle)
-            wide = [bytes(x) for x in words.view(np.uint8)[:, :WIDE_BYTES]]
-            yield pa.RecordBatch.from_arrays([*(batch.column(at[c]) for c in keep), pa.array(wide, pa.binary()), pa.array(_name_of(words).view(np.int64))], names=[*keep, "wide", "fp"])
-
-    marked = common.written(docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema), "fingerprints")
-    distinct = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide")), "distinct")
-    return _named(marked.drop("wide"), distinct.select("fp", "least"), components(wide_links(distinct, reach_of(similarity), group_rows)))
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, keep: tuple[str, ...] = ("doc_id",), group_limit: int = 64) -> DataFrame:
+    """Columns `keep`, fp (a name of the set of shingles), root and component_id for each row; texts of that Jaccard similarity or more are linked. keep must hold doc_id."""
+    marked = common.written(with_sets(docs, shingle, keep), "sets")
+    distinct = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    return _named(marked.drop("parity", "grams"), distinct, components(set_links(marked, similarity, components, group_limit)))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pitbars.llm import decontaminate, language, mixing, quality, queries, secrets, sharding, simhash, substring_dedup, token_store, toxicity
+from pitbars.llm import decontaminate, language, mixing, quality, queries, secrets, set_join, sharding, simhash, substring_dedup, token_store, toxicity
 from pitbars.llm.fm_index import FMIndex
 from tests.oracle import same
 
@@ -264,3 +264,39 @@ def test_pipeline_with_extra_columns_and_nulls(spark):
         docs = corpus_pipeline.common.written(stage(spark, docs, SF), name)
     assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert hashlib.sha256(b"").hexdigest() == odd(spark).limit(1).select(F.sha2(F.lit(""), 256).alias("x")).first()["x"]
+
+
+def shingle_set(text, n=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if len(words) >= n else ({tuple(words)} if words else set())
+
+
+@pytest.mark.parametrize("limit", [64, 3])
+def test_similar_documents_against_all_pairs(spark, limit, monkeypatch):
+    monkeypatch.setattr(set_join, "BLOCK", 5)
+    rng = np.random.default_rng(11)
+    texts = []
+    for b in range(40):  # copies of one text with some words changed: similarities from 0.6 to 1
+        base = [f"b{b}x{k}" for k in range(int(rng.integers(30, 200)))]
+        texts.append(" ".join(base))
+        for _ in range(7):
+            out = list(base)
+            for k in rng.choice(len(out), int(rng.integers(0, max(2, len(out) // 20))), replace=False):
+                out[k] = f"n{rng.integers(10**9)}"
+            texts.append(" ".join(out))
+    hot = [f"h{k}" for k in range(100)]
+    texts += [" ".join([*hot[:50], f"y{k % 60}", *hot[50:], *(f"z{k}q{j}" for j in range(k % 40))]) for k in range(150)]
+    sets = [shingle_set(t) for t in texts]
+    root, near, far = list(range(len(texts))), 0, 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 9 * both >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+                near += both / len(sets[i] | sets[j]) < 0.85
+            far += 0.75 <= both / len(sets[i] | sets[j]) < 0.8
+    assert near > 50 and far > 50  # both sides of the bound are there
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs, group_limit=limit).collect()}
+    assert [got[k] for k in range(len(texts))] == root
