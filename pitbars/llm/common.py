@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Text bytes that one Python step holds at a time (a longer document is a chunk by itself).
 CHUNK_BYTES = 2 << 20
+#: Bytes of an Arrow batch between the JVM and Python.
+ARROW_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +40,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _give_back() -> None:
+    """Memory that a worker has freed goes back to the system, so that a reused worker stays small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow in batches of ARROW_BYTES at most (one row if that is larger); a worker gives its memory back after each task."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 def in_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each holds `limit` text bytes at most, or one row."""
     for batch in batches:

@@ -1,9 +1,11 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
-Each source's documents, in seeded hash order, are one stream of words, cut into blocks of `block_tokens`. The blocks of the mix are
-seats, awarded to sources by the highest quotients target / (2 k + 1); as that rule never takes a seat back when seats are added, the
-seats of shard j are what the first j + 1 parts hold more than the first j. A source with q seats and B blocks takes block i as often
-as floor((i q + f) / B) grows there, f seeded: exactly q blocks spread evenly over a randomly ordered stream, none more than twice.
+Each source's documents, in seeded hash order, are one stream of words, cut into blocks of `block_tokens`; the stream is cut into
+`shards` equal runs of blocks. The blocks of the mix are seats, awarded to sources by the highest quotients target / (2 k + 1); as that
+rule never takes a seat back when seats are added, the quota of shard j is what the first j + 1 parts of all seats hold more than the
+first j (what a shard could only give by taking a block three times is left to the next one that has room). A source with a quota of q
+in a shard of B blocks takes the shard's block i as often as floor((i q + f) / B) grows there, f seeded: exactly q blocks, spread evenly
+over a randomly ordered run, none more than twice. A source whose target is under half a block has no seat and is not taken.
 
 No table of blocks is made: what a document gives follows from where it begins in its stream. That place is a sum over hash cells
 (one row for each source and cell) plus a running sum within a cell, so a source with a third of all rows is dealt to many tasks.
@@ -72,41 +74,74 @@ def shard_quotas(targets: dict, total: int, shards: int) -> list[dict]:
     return [{s: b[s] - a[s] for s in targets} for a, b in zip(steps, steps[1:], strict=False)]
 
 
-def mix_sources(docs: DataFrame, block_tokens: int = 128, seed: int = 17, max_sources: int = 100_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """For each row: columns `keep`, size, source_size, target, taken, and first (its place in the stream), blocks, seats, start_fraction."""
+def fitted(quotas: list[int], blocks: int) -> list[int]:
+    """Quotas of the shards of a source with so many blocks, none above twice the shard's blocks: the rest goes to the next shards with room."""
+    shards, out, over = len(quotas), [], 0
+    room = [2 * (-(-(j + 1) * blocks // shards) - -(-j * blocks // shards)) for j in range(shards)]
+    for q, r in zip(quotas, room, strict=True):
+        out.append(min(q + over, r))
+        over += q - out[-1]
+    for j in range(shards):  # round the end
+        more = min(over, room[j] - out[j])
+        out[j], over = out[j] + more, over - more
+    return out
+
+
+def mix_sources(docs: DataFrame, block_tokens: int = 128, seed: int = 17, max_sources: int = 100_000, keep: tuple[str, ...] = ("doc_id",), shards: int = 8) -> DataFrame:
+    """For each row: columns `keep`, size, source_size, target, taken, shard (of its first block), and first (its place in the stream),
+    blocks, quotas, before and starts (arrays with an entry for each shard, and one for the end).
+
+    More than max_sources sources are a ValueError: their sizes, one row each, are apportioned on the driver."""
     spark = docs.sparkSession
     narrow = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("of"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("text_hash"))
     hashed = narrow.withColumn("h", F.xxhash64(F.lit(seed), "id", "text_hash")).withColumn("cell", F.pmod("h", F.lit(CELLS)).cast("int"))
     sized = common.written(hashed, "mix")
     cells = sized.groupBy("of", "cell").agg(F.sum("size").alias("n"))
-    before = cells.select("of", "cell", (F.sum("n").over(Window.partitionBy("of").orderBy("cell")) - F.col("n")).alias("before"))
+    ahead = cells.select("of", "cell", (F.sum("n").over(Window.partitionBy("of").orderBy("cell")) - F.col("n")).alias("ahead"))
     found = cells.groupBy("of").agg(F.sum("n").alias("n")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     sizes = {r["of"]: r["n"] for r in found}
     targets = targets_of(sizes)
-    won = seats(targets, int(sum(targets.values()) / block_tokens))
+    won = shard_quotas(targets, int(sum(targets.values()) / block_tokens), shards)
     rows = []
     for s, n in sizes.items():
         blocks = max(1, -(-n // block_tokens))
-        rows.append((s, n, float(targets[s]), blocks, min(won[s], 2 * blocks), hash_fraction(seed, s, blocks)))
-    plan = spark.createDataFrame(rows, "of string, source_size long, target double, blocks long, seats long, start_fraction long")
+        quotas = fitted([q[s] for q in won], blocks)
+        before = [sum(quotas[:j]) for j in range(shards + 1)]
+        starts = [hash_fraction(seed + j, s, max(1, -(-(j + 1) * blocks // shards) - -(-j * blocks // shards))) for j in range(shards)]
+        rows.append((s, n, float(targets[s]), blocks, [*quotas, 0], before, [*starts, 0]))
+    plan = spark.createDataFrame(rows, "of string, source_size long, target double, blocks long, quotas array<long>, before array<long>, starts array<long>")
     here = Window.partitionBy("of", "cell").orderBy("h", "id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, 0)
     running = sized.withColumn("inside", F.sum("size").over(here) - F.col("size"))
-    both = running.alias("d").join(before.alias("b"), F.col("d.of").eqNullSafe(F.col("b.of")) & (F.col("d.cell") == F.col("b.cell"))).join(F.broadcast(plan).alias("p"), F.col("d.of").eqNullSafe(F.col("p.of")))
-    out = both.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "d.size", (F.col("before") + F.col("inside")).alias("first"), "source_size", "target", "blocks", "seats", "start_fraction")
-    return out.withColumn("taken", (taken_before("first + size", block_tokens) - taken_before("first", block_tokens)).cast("long"))
+    both = running.alias("d").join(ahead.alias("b"), F.col("d.of").eqNullSafe(F.col("b.of")) & (F.col("d.cell") == F.col("b.cell"))).join(F.broadcast(plan).alias("p"), F.col("d.of").eqNullSafe(F.col("p.of")))
+    out = both.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "d.size", (F.col("ahead") + F.col("inside")).alias("first"), "source_size", "target", "blocks", "quotas", "p.before", "starts")
+    shard = F.expr(f"cast(least((first div {block_tokens}) * {shards} div blocks, {shards - 1}) as int)")
+    return out.withColumns({"taken": (taken_before("first + size", block_tokens, shards) - taken_before("first", block_tokens, shards)).cast("long"), "shard": shard})
 
 
-def copies_before(block: str):
+def copies_before(block: str, shards: int) -> str:
     """SQL: how many blocks are taken, repeats counted, before the given block of the stream."""
-    return f"((cast({block} as decimal(19,0)) * cast(seats as decimal(18,0)) + start_fraction) div blocks)"
+    shard = f"cast({block} * {shards} div blocks as int)"
+    begin = lambda j: f"(({j} * blocks + {shards - 1}) div {shards})"
+    at = lambda name: f"element_at({name}, {shard} + 1)"
+    width = f"greatest({begin(f'({shard} + 1)')} - {begin(shard)}, 1)"
+    return f"({at('before')} + (cast({block} - {begin(shard)} as decimal(19,0)) * cast({at('quotas')} as decimal(18,0)) + {at('starts')}) div {width})"
 
 
-def taken_before(place: str, block_tokens: int):
+def taken_before(place: str, block_tokens: int, shards: int):
     """How many words are taken, repeats counted, before a place of the stream."""
     block = f"(({place}) div {block_tokens})"
-    return F.expr(f"{block_tokens} * {copies_before(block)} + (({place}) % {block_tokens}) * ({copies_before(f'({block} + 1)')} - {copies_before(block)})")
+    after = f"least({block} + 1, blocks)"
+    return F.expr(f"{block_tokens} * {copies_before(block, shards)} + (({place}) % {block_tokens}) * ({copies_before(after, shards)} - {copies_before(block, shards)})")
+
+
+def block_copies(block: int, blocks: int, quotas: list[int], before: list[int], starts: list[int]) -> int:
+    """copies_before for one block."""
+    shards = len(quotas) - 1
+    j = block * shards // blocks
+    begin, end = -(-j * blocks // shards), -(-(j + 1) * blocks // shards)
+    return before[j] + ((block - begin) * quotas[j] + starts[j]) // max(end - begin, 1)
 
 
 def mixed_texts(mixed: DataFrame, columns: list[str], block_tokens: int = 128) -> DataFrame:
@@ -119,13 +154,13 @@ def mixed_texts(mixed: DataFrame, columns: list[str], block_tokens: int = 128) -
         for batch in common.in_chunks(batches):
             rows, texts = [], []
             at = {name: k for k, name in enumerate(batch.schema.names)}
-            numbers = zip(*(batch.column(at[c]).to_pylist() for c in ("size", "first", "blocks", "seats", "start_fraction")), strict=True)
-            for row, (text, (size, first, blocks, seats_, shift)) in enumerate(zip(batch.column(at["text"]).to_pylist(), numbers, strict=True)):
+            numbers = zip(*(batch.column(at[c]).to_pylist() for c in ("size", "first", "blocks", "quotas", "before", "starts")), strict=True)
+            for row, (text, (size, first, *plan)) in enumerate(zip(batch.column(at["text"]).to_pylist(), numbers, strict=True)):
                 if not size:
                     continue
-                before = lambda j: (j * seats_ + shift) // blocks  # noqa: E731, B023
                 span = range(first // block_tokens, (first + size - 1) // block_tokens + 1)
-                times = [before(j + 1) - before(j) for j in span]
+                passed = [block_copies(j, *plan) for j in range(span.start, span.stop + 1)]
+                times = [b - a for a, b in zip(passed, passed[1:], strict=False)]
                 words = None
                 for nth in range(1, max(times) + 1):
                     if min(times) >= nth:
@@ -149,7 +184,7 @@ def mixed_texts(mixed: DataFrame, columns: list[str], block_tokens: int = 128) -
             out[text_at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(out, names=columns)
 
-    return mixed.select(*columns, "size", "first", "blocks", "seats", "start_fraction").mapInArrow(run, schema)
+    return common.map_arrow(mixed.select(*columns, "size", "first", "blocks", "quotas", "before", "starts"), run, schema)
 
 
 def hash_fraction(seed: int, source, blocks: int) -> int:
@@ -157,4 +192,4 @@ def hash_fraction(seed: int, source, blocks: int) -> int:
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix_sources(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shard")

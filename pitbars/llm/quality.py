@@ -1,8 +1,9 @@
 """Quality rules: base counts of a text, and a logistic regression on hashed word and character n-grams with calibrated probability.
 
-The model is fitted on `per_class` labelled rows of each class at most, chosen by the hash of their ids (a documented bound); it is a
-vector of 2^17 weights, so what goes to the tasks has a fixed size. Scoring runs over Arrow batches: a document's score is the mean
-weight of its words plus the mean weight of its 4-byte grams, calibrated on a fifth of the sample that the fit has not seen.
+The model is fitted on `per_class` labelled rows of each class at most, chosen by the hash of their ids, and as many of these as have
+`sample_bytes` together (documented bounds); it is a vector of 3 * 2^16 weights, so what goes to the tasks has a fixed size. Scoring runs
+over Arrow batches: a document's score is the mean weight of its words, plus that of its pairs of words, plus that of its grams of four
+characters, calibrated on a fifth of the sample that the fit has not seen.
 
 Defined results: null texts have no words and fail the base rule; without rows of both classes the model keeps whatever the base rule
 keeps; other columns are ignored; repeated rows each give a row.
@@ -16,13 +17,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .words import Words, gram_hashes, mixed, split_words, text_bytes
 
 BUCKETS = 1 << 16
+KINDS = 3
 GRAM = 4
 #: Fixed values of the base rule.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -59,13 +61,17 @@ def base_counts(data: np.ndarray, offsets: np.ndarray, words: Words, h: np.ndarr
     return out
 
 
-def feature_slots(data: np.ndarray, offsets: np.ndarray, words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of words and of byte grams, with the document bounds of each. Grams that span two documents are left out."""
-    n = max(len(data) - 8 - GRAM + 1, 0)
-    four = np.ndarray((n,), dtype="<u4", buffer=data, strides=(1,))
-    grams = ((four * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int64)
-    ends = np.clip(offsets[1:] - GRAM + 1, offsets[:-1], n)
-    return (h & np.uint64(BUCKETS - 1)).astype(np.int64), words.bounds, grams, np.column_stack([np.minimum(offsets[:-1], n), ends])
+def feature_slots(data: np.ndarray, offsets: np.ndarray, words: Words, h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For words, pairs of words and character grams: the bucket of each, and where those of each document begin and end. What spans two
+    documents lies between the end of one and the beginning of the next."""
+    mask = np.uint64(BUCKETS - 1)
+    pairs = (gram_hashes(h, 2) & mask).astype(np.int64)
+    body = data[: offsets[-1]]
+    points = np.frombuffer(body.tobytes().decode().encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    at = np.concatenate([[0], np.cumsum((body & 0xC0) != 0x80)])[offsets]
+    grams = (gram_hashes(mixed(points), GRAM) & mask).astype(np.int64)
+    inner = lambda bounds, n, size: (np.minimum(bounds[:-1], n), np.clip(bounds[1:] - size + 1, np.minimum(bounds[:-1], n), n))
+    return [((h & mask).astype(np.int64), words.bounds[:-1], words.bounds[1:]), (pairs, *inner(words.bounds, len(pairs), 2)), (grams, *inner(at, len(grams), GRAM))]
 
 
 def _means(weights: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -75,28 +81,27 @@ def _means(weights: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarra
 
 @dataclass
 class Model:
-    words: np.ndarray
-    grams: np.ndarray
+    weights: list[np.ndarray]  # of words, pairs of words and character grams
     bias: float
     slope: float
     shift: float
 
     def probability(self, data, offsets, words, h) -> np.ndarray:
-        slots, bounds, grams, spans = feature_slots(data, offsets, words, h)
-        raw = self.bias + _means(self.words[slots], bounds[:-1], bounds[1:]) + _means(self.grams[grams], spans[:, 0], spans[:, 1])
+        raw = self.bias + sum(_means(w[slots], begin, end) for w, (slots, begin, end) in zip(self.weights, feature_slots(data, offsets, words, h), strict=True))
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -30, 30)))
 
 
-def calibrate(raw: np.ndarray, label: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Platt's slope and shift, with smoothed targets; Newton steps."""
+def calibrate(raw: np.ndarray, label: np.ndarray, weight: np.ndarray | float = 1.0, steps: int = 50) -> tuple[float, float]:
+    """Platt's slope and shift, with smoothed targets; Newton steps. weight: how many rows each stands for."""
+    weight = np.broadcast_to(np.asarray(weight, dtype=float), raw.shape)
     pos, neg = max(label.sum(), 0), max((1 - label).sum(), 0)
     target = np.where(label > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     x, w = np.column_stack([raw, np.ones_like(raw)]), np.zeros(2)
     w[0] = 1.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hess, x.T @ (p - target) + 1e-3 * (w - [1, 0]))
+        hess = (x * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ x + 1e-3 * np.eye(2)
+        step = np.linalg.solve(hess, x.T @ (weight * (p - target)) + 1e-3 * (w - [1, 0]))
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
@@ -109,38 +114,42 @@ def fit(texts: pa.Array, label: np.ndarray, rounds: int = 120, rate: float = 0.3
         return None
     data, offsets = text_bytes(texts)
     words = split_words(data, offsets, "solid")
-    slots, bounds, grams, spans = feature_slots(data, offsets, words, words.hashes())
-    doc = np.repeat(np.arange(len(label)), np.diff(bounds))
-    gram_doc = np.repeat(np.arange(len(label)), spans[:, 1] - spans[:, 0])
-    gram_at = np.concatenate([np.arange(a, b) for a, b in spans]) if len(spans) else np.empty(0, dtype=np.int64)
-    keys = np.concatenate([doc * 2 * BUCKETS + slots, gram_doc * 2 * BUCKETS + BUCKETS + grams[gram_at]])
-    keys, counts = np.unique(keys, return_counts=True)
-    row, column = keys // (2 * BUCKETS), keys % (2 * BUCKETS)
-    size = np.where(column < BUCKETS, np.maximum(np.diff(bounds), 1)[row], np.maximum(spans[:, 1] - spans[:, 0], 1)[row])
-    value = scale * counts / size
+    keys, sizes = [], []
+    for kind, (slots, begin, end) in enumerate(feature_slots(data, offsets, words, words.hashes())):
+        n = end - begin
+        doc = np.repeat(np.arange(len(label)), n)
+        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        keys.append(np.unique(doc * KINDS * BUCKETS + kind * BUCKETS + slots[at], return_counts=True))
+        sizes.append(np.maximum(n, 1))
+    keys, counts = (np.concatenate(x) for x in zip(*keys, strict=True))
+    row, column = keys // (KINDS * BUCKETS), keys % (KINDS * BUCKETS)
+    value = scale * counts / np.stack(sizes)[column // BUCKETS, row]
     train = np.arange(len(label)) % 5 != 0
     used = train[row]
     r, c, v = row[used], column[used], value[used]
     weight = np.where(label > 0, 0.5 / max(label[train].sum(), 1), 0.5 / max((1 - label)[train].sum(), 1)) * train
-    w, m, s = np.zeros(2 * BUCKETS + 1), np.zeros(2 * BUCKETS + 1), np.zeros(2 * BUCKETS + 1)
+    w, m, s = (np.zeros(KINDS * BUCKETS + 1) for _ in range(3))
     for t in range(1, rounds + 1):
         raw = np.bincount(r, w[c] * v, minlength=len(label)) + w[-1]
         error = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - label) * weight
-        g = np.append(np.bincount(c, error[r] * v, minlength=2 * BUCKETS), error.sum()) + decay * w
+        g = np.append(np.bincount(c, error[r] * v, minlength=KINDS * BUCKETS), error.sum()) + decay * w
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
         w -= rate * 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-6)
     raw = np.bincount(row, w[column] * value, minlength=len(label)) + w[-1]
     slope, shift = calibrate(raw[~train], label[~train])
-    return Model((w[:BUCKETS] * scale).astype(np.float32), (w[BUCKETS:-1] * scale).astype(np.float32), float(w[-1]), slope, shift)
+    return Model([x.astype(np.float32) for x in np.split(w[:-1] * scale, KINDS)], float(w[-1]), slope, shift)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int, only=None) -> pa.Table:
-    """text and label of at most per_class rows of each class, those whose ids hash lowest; by that hash."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int, only=None, sample_bytes: int = 64 << 20) -> pa.Table:
+    """text and label of at most per_class rows of each class, those whose ids hash lowest, by that hash; of each class as many as have
+    half of sample_bytes together, and one in any case."""
     known = labels.where(F.col(column).isin(0, 1)).where(only if only is not None else F.lit(True)).select(F.col("doc_id").alias("chosen"), F.col(column).cast("int").alias("label"), F.xxhash64("doc_id").alias("order"))
     parts = [known.where(F.col("label") == k).orderBy("order", "chosen").limit(per_class) for k in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # 2 * per_class rows at most
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).select("order", "doc_id", "label", "text")
-    return rows.toArrow().sort_by([("order", "ascending"), ("label", "ascending")])
+    own = Window.partitionBy("label").orderBy("order", "doc_id", F.xxhash64("text"))
+    sized = rows.withColumn("so_far", F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(own.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(own))
+    return sized.where((F.col("so_far") <= sample_bytes // 2) | (F.col("nth") == 1)).drop("so_far", "nth").toArrow().sort_by([("order", "ascending"), ("label", "ascending")])
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> Model | None:
@@ -166,7 +175,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1000, thr
             p = model.probability(data, offsets, words, h) if model else np.ones(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(at[c]) for c in keep), *(pa.array(counts[n], pa.int64()) for n in names), pa.array(failed), pa.array(p, pa.float64()), pa.array(~failed & (p >= threshold))], names=[*keep, *names, "base_failed", "probability", "kept"])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return common.map_arrow(docs.select(*dict.fromkeys([*keep, "text"])), run, schema)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame functions alone.
 
-Candidates are found by pattern in each text; their hashes are counted over the corpus by distinct repositories and owners. A value
-that more than `max_owners` owners hold is a widely copied example, any other is owner-specific and looks live. Base kinds (assign,
+Candidates are found by pattern in each text; their hashes are counted over the corpus by distinct repositories and owners, copies of
+one text counting as one repository. A value that more than `max_owners` owners hold, or that stands in more than `max_repositories`
+different texts (of one owner, too), is a widely copied example; any other is owner-specific and looks live. So a key in a document and
+a copy of it stays live, and an example repeated all through one owner's documents does not. Base kinds (assign,
 access, hex) are always reported; values of vendor-prefixed tokens (kind "key") are added as spans where they look live.
 
 Positions come from the lengths of matches and of the pieces between them, summed within a document; the pattern engine runs in full only
@@ -45,10 +47,11 @@ def _written(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))))
 
 
-def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_owners: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """For each row: columns `keep`, base, added, all_spans (arrays of start, kind, end), their texts base_text and all_text, n_live, n_examples."""
+def scan_secrets(docs: DataFrame, owner: str = "source", repository: str | None = None, max_owners: int = 2, max_repositories: int = 9, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """For each row: columns `keep`, base, added, all_spans (arrays of start, kind, end), their texts base_text and all_text, n_live, n_examples.
+    repository: a column that names it; by default the text itself."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    narrow = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), text.alias("text"))
+    narrow = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(owner).cast("string").alias("owner"), (F.col(repository).cast("string") if repository else F.xxhash64(text).cast("string")).alias("repository"), text.alias("text"))
     found = F.concat(*(matches_of(F.col("text"), i, *x) for i, x in enumerate((*BASE, *ADDED))))
     # written once: the pattern engine runs once, and row numbers stay what they are
     found = common.written(narrow.select(F.monotonically_increasing_id().alias("row"), *(f"k{i}" for i in range(len(keep))), "owner", "repository", found.alias("matches")), "secrets")
@@ -56,7 +59,7 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
     so_far = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     one = one.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(so_far)).where("ok").select("row", "owner", "repository", "kind", (F.col("end") - F.col("n")).alias("start"), "end", "hash")
     owners = one.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("_")).groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
-    judged = one.join(owners, "hash").withColumn("live", F.col("n_owners") <= max_owners)
+    judged = one.join(owners, "hash").withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories))
     n_base = len(BASE)
     span = F.struct("start", "kind", "end")
     by_row = judged.groupBy("row").agg(
@@ -81,15 +84,15 @@ def _oracle() -> str:
     parts = []
     for i, (kind, pattern, group, least) in enumerate((*BASE, *ADDED)):
         p = pattern.replace("'", "''")
-        parts.append(f"""SELECT r, owner, {i} AS k, '{kind}' AS kind, len(g) AS a, len(m) AS n, v, i FROM (
-            SELECT r, owner, i, ms[i] AS m, vs[i] AS v, array_to_string(ps[1:i], '') || array_to_string(ms[1:i - 1], '') AS g FROM (
-            SELECT r, owner, ms, vs, ps, unnest(range(1, len(ms) + 1)) AS i FROM (
-            SELECT r, owner, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {group}) AS vs, string_split_regex(t, '{p}') AS ps FROM d WHERE regexp_matches(t, '{p}')))) WHERE len(v) >= {least}""")
+        parts.append(f"""SELECT r, owner, t, {i} AS k, '{kind}' AS kind, len(g) AS a, len(m) AS n, v, i FROM (
+            SELECT r, owner, t, i, ms[i] AS m, vs[i] AS v, array_to_string(ps[1:i], '') || array_to_string(ms[1:i - 1], '') AS g FROM (
+            SELECT r, owner, t, ms, vs, ps, unnest(range(1, len(ms) + 1)) AS i FROM (
+            SELECT r, owner, t, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {group}) AS vs, string_split_regex(t, '{p}') AS ps FROM d WHERE regexp_matches(t, '{p}')))) WHERE len(v) >= {least}""")
     n = len(BASE)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS owner, coalesce(text, '') AS t FROM documents),
 s AS ({' UNION ALL '.join(parts)}),
-o AS (SELECT v, count(DISTINCT coalesce('s' || owner, 'n')) <= 1 AS live FROM s GROUP BY v),
+o AS (SELECT v, count(DISTINCT coalesce('s' || owner, 'n')) <= 2 AND count(DISTINCT (coalesce('s' || owner, 'n'), t)) <= 9 AS live FROM s GROUP BY v),
 x AS (SELECT s.*, o.live, kind || ':' || a || ':' || (a + n) AS w FROM s JOIN o USING (v)),
 y AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
       string_agg(w, ',' ORDER BY a, k) FILTER (k < {n}) AS base, string_agg(w, ',' ORDER BY a, k) FILTER (k < {n} OR live) AS spans,

@@ -8,12 +8,7 @@ more than `group_limit` fingerprints of exactly that half is dealt anew by the s
 quarter, variant of that quarter), where at most 2^16 fingerprints can be exact in both parts; every other member is held against
 those while it streams by. Nothing is left out at any size.
 
-`similar_documents` finds near copies by the exact similarity of their sets of word shingles; `set_join` has the pairs.
-
-`wide_links` joins fingerprints of 240 bits by a reach in bits: ten segments of 24, for each of which every fingerprint emits its ball of one
-bit. All pairs to 29 bits meet. Bits only estimate the similarity of texts, so no query decides by them. Variants that differ
-in the low bits of a segment only stay in one group and are made there, so that a fingerprint travels in 90 rows instead of 250. A group
-of more than `group_rows` rows is cut into blocks, each two of which meet in one task: nothing is left out and no task grows.
+`near_copies` has the wide fingerprints that find texts by the similarity of their shingles.
 
 Components: alternating large-star and small-star steps on fingerprints, each written to the shared folder, until nothing changes.
 
@@ -23,7 +18,6 @@ names one unless all are null; repeated rows each give a row.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -34,12 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .set_join import set_links, with_sets
-from .words import gram_hashes, joined, lowered, mixed, split_words, text_bytes
+from .words import joined, lowered, split_words, text_bytes
 
 _LANES = np.uint64(0x0101010101010101)
-SEGMENTS, SEGMENT_BITS = 10, 24  # of a wide fingerprint
-WIDE_BYTES = SEGMENTS * SEGMENT_BITS // 8
 
 
 def majority_bits(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -90,7 +81,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ("do
             fp = fingerprints_of(batch.column(at["text"]), shingle)
             yield pa.RecordBatch.from_arrays([*(batch.column(at[c]) for c in keep), pa.array(fp.view(np.int64))], names=[*keep, "fp"])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return common.map_arrow(docs.select(*dict.fromkeys([*keep, "text"])), run, schema)
 
 
 def _ball(bits: int, radius: int) -> np.ndarray:
@@ -223,14 +214,14 @@ def links(distinct: DataFrame, radius: int = 3, group_limit: int = 1024) -> Data
 
     def verified(rows: DataFrame, limit: int | None) -> DataFrame:
         dealt = rows.repartition("key", "sub").sortWithinPartitions("key", "sub", "own", "fp")
-        return common.written(dealt.mapInArrow(lambda it: _verify(it, radius, limit), "key long, fp long, to long"), "links")
+        return common.written(common.map_arrow(dealt, lambda it: _verify(it, radius, limit), "key long, fp long, to long"), "links")
 
-    found = verified(distinct.select("fp").mapInArrow(_variant_rows, kind), group_limit)
+    found = verified(common.map_arrow(distinct.select("fp"), _variant_rows, kind), group_limit)
     large = found.where(F.col("to").isNull()).select("key", "fp")
     out = found.where(F.col("to").isNotNull()).select("fp", "to")
     if large.isEmpty():
         return out
-    below = verified(large.distinct().mapInArrow(_variant_rows_below, kind), None)
+    below = verified(common.map_arrow(large.distinct(), _variant_rows_below, kind), None)
     return out.unionByName(below.select("fp", "to"))
 
 
@@ -271,156 +262,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, keep: tu
     return _named(marked, distinct, components(links(distinct, radius, group_limit)))
 
 
-def _wide(column: pa.Array) -> np.ndarray:
-    """Bytes of wide fingerprints, a row each."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, WIDE_BYTES)
-
-
-def _segments(wide: np.ndarray) -> np.ndarray:
-    parts = wide.reshape(len(wide), SEGMENTS, 3).astype(np.int64)
-    return parts[:, :, 0] << 16 | parts[:, :, 1] << 8 | parts[:, :, 2]
-
-
-def _groups(wide: np.ndarray, top_bits: int) -> np.ndarray:
-    """The groups each fingerprint is dealt to: for each segment its top bits, and these with one of them flipped."""
-    top = _segments(wide) >> (SEGMENT_BITS - top_bits)
-    masks = np.concatenate([[0], 1 << np.arange(top_bits)])
-    return ((top | np.arange(SEGMENTS) << top_bits)[:, :, None] ^ masks).reshape(len(wide), -1)
-
-
-def _deal(batches: Iterator[pa.RecordBatch], top_bits: int, blocks: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """wide -> (key, meeting, wides): the members of a group in one piece; of a group in blocks, a piece for each two blocks."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, 16_000):
-            wide = _wide(batch.column(0).slice(start, 16_000))
-            wide = wide[wide.any(axis=1)]  # texts without words link to nothing else
-            if not len(wide):
-                continue
-            groups = _groups(wide, top_bits)
-            order = np.argsort(groups, axis=None, kind="stable")
-            keys, row = groups.ravel()[order], order // groups.shape[1]
-            salt = np.bitwise_xor.reduce(_segments(wide), axis=1)
-            out = []
-            for part in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(keys)) + 1):
-                key, members = int(keys[part[0]]), row[part]
-                n = blocks.get(key, 1)
-                if n == 1:
-                    out.append((key, 0, wide[members].tobytes()))
-                    continue
-                block = mixed(salt[members].astype(np.uint64)) % np.uint64(n)
-                for b in np.unique(block).tolist():
-                    body = wide[members[block == b]].tobytes()
-                    out += [(key, min(b, other) * n + max(b, other), body) for other in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["key", "meeting", "wides"])
-
-
-def _join_pieces(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Joins the pieces of rows a and b; the label of a row is the first row of its piece."""
-    while len(a):
-        high, low = np.maximum(label[a], label[b]), np.minimum(label[a], label[b])
-        apart = high != low
-        a, b = a[apart], b[apart]
-        np.minimum.at(label, high[apart], low[apart])
-        while (label[label] != label).any():
-            label[:] = label[label]
-
-
-def _meetings(segment: np.ndarray, own: np.ndarray, low_bits: int) -> np.ndarray:
-    """Pairs of distinct segment values (by their numbers) whose balls meet in this group; own: the bits a value is off by at the top."""
-    low = segment & ((1 << low_bits) - 1)
-    selves = np.flatnonzero(own == 0)
-    ball = _ball(low_bits, 1).astype(np.int64)
-    variant = np.concatenate([(low[selves][:, None] ^ ball).ravel(), low[own != 0]])
-    number = np.concatenate([np.repeat(selves, len(ball)), np.flatnonzero(own != 0)])
-    order = np.argsort(variant, kind="stable")
-    variant, number = variant[order], number[order]
-    pairs = []
-    for step in range(1, SEGMENT_BITS + 1):  # a ball has one more value than the segment has bits
-        same = np.flatnonzero(variant[step:] == variant[:-step])
-        if not len(same):
-            break
-        pairs.append(np.sort(np.column_stack([number[same], number[same + step]]), axis=1))
-    if not pairs:
-        return np.empty((0, 2), dtype=np.int64)
-    found = np.unique(np.concatenate(pairs), axis=0)
-    return found[(own[found[:, 0]] == 0) | (own[found[:, 0]] != own[found[:, 1]])]  # both off by the same bit: their own group has them
-
-
-def _wide_links(rows: pa.Table, top_bits: int, reach: int, block: int = 1 << 19) -> pa.Table:
-    """Star links (fp, to) of a group: pairs of pieces already joined are passed over, all others are verified."""
-    key, low_bits = rows.column("key")[0].as_py(), SEGMENT_BITS - top_bits
-    wide = np.frombuffer(b"".join(rows.column("wides").to_pylist()), dtype=np.uint8).reshape(-1, WIDE_BYTES)
-    segment = _segments(wide)[:, key >> top_bits]
-    order = np.argsort(segment, kind="stable")
-    wide, segment = wide[order], segment[order]
-    words = np.zeros((len(wide), 32), dtype=np.uint8)
-    words[:, :WIDE_BYTES] = wide
-    words = words.view(np.uint64)
-    head = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-    size = np.diff(np.concatenate([head, [len(segment)]]))
-    own = (segment[head] >> low_bits) ^ (key & ((1 << top_bits) - 1))
-    label = np.arange(len(wide))
-
-    def verify(a: np.ndarray, b: np.ndarray) -> None:
-        apart = label[a] != label[b]
-        a, b = a[apart], b[apart]
-        near = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) <= reach
-        _join_pieces(label, a[near], b[near])
-
-    pairs = _meetings(segment[head], own, low_bits)
-    alone = np.flatnonzero((own == 0) & (size > 1))
-    pairs = np.concatenate([pairs, np.column_stack([alone, alone])])
-    verify(head[pairs[:, 0]], head[pairs[:, 1]])  # heads first: most members of a crowd join theirs
-    crowd = np.repeat(own == 0, size)
-    verify(np.flatnonzero(crowd), np.repeat(head, size)[crowd])
-    least, most = np.minimum.reduceat(label, head), np.maximum.reduceat(label, head)
-    left, right = pairs.T
-    open_ = np.minimum(least[left], least[right]) != np.maximum(most[left], most[right])
-    left, right = left[open_], right[open_]
-    first = np.repeat(head[left], size[left]) + np.arange(size[left].sum()) - np.repeat(np.cumsum(size[left]) - size[left], size[left])
-    begin = np.where(np.repeat(left == right, size[left]), first + 1, np.repeat(head[right], size[left]))
-    count = np.repeat(head[right] + size[right], size[left]) - begin
-    total = np.concatenate([[0], np.cumsum(count)])
-    at = 0
-    while at < len(first):
-        stop = max(at + 1, int(np.searchsorted(total, total[at] + block, side="right")) - 1)
-        n = count[at:stop]
-        verify(np.repeat(first[at:stop], n), np.repeat(begin[at:stop], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        at = stop
-    names = _name_of(words).view(np.int64)
-    linked = np.flatnonzero(label != np.arange(len(label)))
-    return pa.table({"fp": pa.array(names[linked]), "to": pa.array(names[label[linked]])})
-
-
-def _name_of(words: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each wide fingerprint."""
-    return gram_hashes(mixed(words.ravel()), 4)[::4] if len(words) else np.empty(0, dtype=np.uint64)
-
-
-def wide_links(distinct: DataFrame, reach: int, group_rows: int = 1 << 20, top_bits: int | None = None) -> DataFrame:
-    """(fp, to): star links of distinct (column wide, no repeats). top_bits only says how finely rows are dealt, never what is found."""
-    if top_bits is None:
-        top_bits = min(16, max(8, math.ceil(math.log2(max(1, 9 * distinct.count() * 2 / group_rows)))))
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, n = np.unique(_groups(_wide(batch.column(0)), top_bits), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(n.astype(np.int64))], names=["key", "n"])
-
-    # one entry for group_rows rows at least
-    large = distinct.select("wide").mapInArrow(sizes, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > group_rows).collect()
-    blocks = {r["key"]: -(-r["n"] * 2 // group_rows) for r in large}
-    dealt = distinct.select("wide").mapInArrow(lambda it: _deal(it, top_bits, blocks), "key int, meeting long, wides binary")
-    return dealt.groupBy("key", "meeting").applyInArrow(lambda rows: _wide_links(rows, top_bits, reach), "fp long, to long")
-
-
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, keep: tuple[str, ...] = ("doc_id",), group_limit: int = 64) -> DataFrame:
-    """Columns `keep`, fp (a name of the set of shingles), root and component_id for each row; texts of that Jaccard similarity or more are linked. keep must hold doc_id."""
-    marked = common.written(with_sets(docs, shingle, keep), "sets")
-    distinct = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    return _named(marked.drop("parity", "grams"), distinct, components(set_links(marked, similarity, components, group_limit)))
-
-
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,7 +1,7 @@
 """Token-ID files: one zstandard dictionary, each document compressed by itself, an offset index for single-document reads.
 
 A store is a folder with two tables: `dictionary` (one row: its hash and bytes) and `shards`, one row for each shard of `shard_bytes` or
-less (or one document): part, seq, dictionary hash, first token within the part, index (doc_id, offset, bytes, tokens) and the frames.
+less (or one document): part, seq, dictionary hash, first token within the part, first and last id, index (doc_id, offset, bytes, tokens) and the frames.
 Parts are ranges of ascending doc_id, cut at quantiles of the ids, so the rows of a store by (part, seq) are in order of doc_id. Spark
 reads and writes both, so a store can lie wherever Spark's files can.
 
@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000  # words of CACHED_LENGTH bytes at most in each of the two caches of a worker
 CACHED_LENGTH = 64
+SLICE = 1 << 20  # characters of a text that are cut into words at a time
 _ENCODED = "part int, doc_id long, n_tokens long, ids_crc32 long, frame binary"
-_SHARD = "part int, seq int, dictionary string, first_token long, n_tokens long, index array<struct<doc_id: long, offset: long, bytes: long, tokens: long>>, frames binary"
+_SHARD = "part int, seq int, dictionary string, first_token long, n_tokens long, first_id long, last_id long, index array<struct<doc_id: long, offset: long, bytes: long, tokens: long>>, frames binary"
 
 
 @lru_cache(maxsize=4)
@@ -54,7 +55,8 @@ _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 class Encoder(dict):
-    """Texts to little-endian 32-bit ids, the end id appended. As a dictionary it holds the ids of words met so far.
+    """Texts to little-endian 32-bit ids, the end id appended. As a dictionary it holds the ids of words met of late: when it is full it
+    becomes the older of two generations, from which words that come again are taken over.
 
     Plain words (letters, then punctuation) take the tokenizer's normalizer and its model alone; all others, and all words of a
     tokenizer that isn't built of a lower-casing normalizer, a split into letters and a byte-level model, its full encode."""
@@ -62,7 +64,7 @@ class Encoder(dict):
     def __init__(self, path: str, end_id: int):
         super().__init__()
         self.tokenizer, self.end = _tokenizer(path), np.array([end_id], dtype="<u4").tobytes()
-        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.direct = [self._full(w) == self._plain(w) for w in ("Thing,", "Größe.", "ÉAUX!!", "a", "über|")] == [True] * 5
@@ -71,16 +73,15 @@ class Encoder(dict):
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) > CACHE_WORDS:
-                self.pieces.clear()
-            found = self.pieces[piece] = b"".join([self.four[t.id] for t in self.model.tokenize(piece)])
-        return found
+        return b"".join([self.four[t.id] for t in self.model.tokenize(piece)])
 
     def _plain(self, word: str) -> bytes | None:
+        if self.normalizer is None:
+            return None
+        if word.isascii() and word.isalpha():
+            return self._piece(word.lower())
         parts = _SIMPLE.fullmatch(word)
-        if not parts or self.normalizer is None:
+        if not parts:
             return None
         letters = parts[1]
         if letters.isascii():
@@ -93,44 +94,64 @@ class Encoder(dict):
         return self._piece(letters) + self._piece(parts[2]) if parts[2] else self._piece(letters)
 
     def __missing__(self, word: str) -> bytes:
-        found = (self._plain(word) if self.direct and len(word) <= CACHED_LENGTH else None) or self._full(word)
-        if len(word) <= CACHED_LENGTH:
-            self[word] = found
+        if len(word) > CACHED_LENGTH:
+            return self._full(word)
+        found = self.older.get(word)
+        if found is None:
+            found = (self._plain(word) if self.direct else None) or self._full(word)
+        self[word] = found
         return found
 
+    def _words(self, text: str) -> list[str]:
+        return text.replace("\n", " ").split(" ") if any(x in text for x in _SEPARATORS) else text.split()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for text in texts:
+            parts, at = [], 0
             text = text or ""
-            words = text.replace("\n", " ").split(" ") if any(x in text for x in _SEPARATORS) else text.split()
-            out.append(b"".join([self[w] for w in words]) + self.end)
+            while len(text) - at > SLICE and (space := text.find(" ", at + SLICE)) >= 0:
+                parts.append(b"".join([self[w] for w in self._words(text[at:space])]))
+                at = space + 1
+            parts.append(b"".join([self[w] for w in self._words(text[at:] if at else text)]))
+            out.append(b"".join([*parts, self.end]))
             if len(self) > CACHE_WORDS:
+                self.older = dict(self)
                 self.clear()
         return out
 
 
-def train_dictionary(docs: DataFrame, path: str, end_id: int, sample_rows: int = 1000, sample_bytes: int = 8192, size: int = 1 << 16) -> bytes:
-    """A dictionary trained on the ids of about `sample_rows` documents chosen by hash, `sample_bytes` of each; empty if there are too few."""
+@lru_cache(maxsize=1)
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """One encoder for all tasks of a worker."""
+    return Encoder(path, end_id)
+
+
+def train_dictionary(docs: DataFrame, path: str, end_id: int, sample_rows: int = 1000, sample_pieces: int = 1000, piece_ids: int = 2048, size: int = 1 << 16) -> bytes:
+    """A dictionary trained on whole texts chosen by hash (about `sample_rows`): their ids are cut into pieces of piece_ids, and
+    sample_pieces of all pieces, wherever in a text, are taken by hash (which bounds what the driver holds). If these are too few to
+    train on, the pieces themselves are the dictionary; of an empty table it is empty."""
     total = docs.count()
     if not total:
         return b""
     million = 1_000_000
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < max(1, million * sample_rows // total)).limit(2 * sample_rows)
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < max(1, million * sample_rows // total))
 
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, end_id)
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(path, end_id)
         for batch in common.in_chunks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([x[:sample_bytes] for x in encoder.encode(batch.column(0).to_pylist())], pa.binary())], names=["ids"])
+            found = [x[k : k + 4 * piece_ids] for x in encoder.encode(batch.column(0).to_pylist()) for k in range(0, len(x), 4 * piece_ids)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["ids"])
 
-    samples = sorted(r[0] for r in chosen.select("text").mapInArrow(ids, "ids binary").collect())
+    samples = sorted(bytes(r[0]) for r in common.map_arrow(chosen.select("text"), pieces, "ids binary").orderBy(F.xxhash64("ids"), "ids").limit(sample_pieces).collect())
     try:
-        return zstandard.train_dictionary(size, [bytes(x) for x in samples]).as_bytes()
+        return zstandard.train_dictionary(size, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b""
+        return b"".join(samples)[:size]
 
 
 def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
-    return zstandard.ZstdCompressionDict(data) if data else None
+    return zstandard.ZstdCompressionDict(data) if len(data) >= 8 else None
 
 
 def write_store(docs: DataFrame, store: str, tokenizer_path: str, end_id: int = 2, shard_bytes: int = 4 << 20, level: int = 3) -> None:
@@ -144,7 +165,7 @@ def write_store(docs: DataFrame, store: str, tokenizer_path: str, end_id: int =
     edges = np.unique(np.array(cuts, dtype=np.int64))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path, end_id)
+        encoder = encoder_of(tokenizer_path, end_id)
         squeeze = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary))
         for batch in common.in_chunks(batches):
             ids = encoder.encode(batch.column(1).to_pylist())
@@ -164,8 +185,9 @@ def write_store(docs: DataFrame, store: str, tokenizer_path: str, end_id: int =
             for doc_id, n, frame in held:
                 index.append({"doc_id": doc_id, "offset": offset, "bytes": len(frame), "tokens": n})
                 offset += len(frame)
-            row = {"part": part, "seq": seq, "dictionary": digest, "first_token": before, "n_tokens": sum(x[1] for x in held), "index": index, "frames": b"".join(x[2] for x in held)}
-            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("dictionary", pa.string()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("index", pa.list_(pa.struct([(k, pa.int64()) for k in ("doc_id", "offset", "bytes", "tokens")]))), ("frames", pa.binary())]))
+            ids = [x[0] for x in held if x[0] is not None]
+            row = {"part": part, "seq": seq, "dictionary": digest, "first_token": before, "n_tokens": sum(x[1] for x in held), "first_id": ids[0] if ids else None, "last_id": ids[-1] if ids else None, "index": index, "frames": b"".join(x[2] for x in held)}
+            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("dictionary", pa.string()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("index", pa.list_(pa.struct([(k, pa.int64()) for k in ("doc_id", "offset", "bytes", "tokens")]))), ("frames", pa.binary())]))
 
         for batch in batches:
             for p, doc_id, n, frame in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
@@ -180,9 +202,9 @@ def write_store(docs: DataFrame, store: str, tokenizer_path: str, end_id: int =
         if held:
             yield shard()
 
-    encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, _ENCODED)
+    encoded = common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encode, _ENCODED)
     ordered = encoded.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "n_tokens", "ids_crc32")
-    ordered.select("part", "doc_id", "n_tokens", "frame").mapInArrow(gather, _SHARD).write.parquet(f"{store}/shards")
+    common.map_arrow(ordered.select("part", "doc_id", "n_tokens", "frame"), gather, _SHARD).write.parquet(f"{store}/shards")
 
 
 def read_store(spark, store: str) -> DataFrame:
@@ -210,14 +232,15 @@ def read_store(spark, store: str) -> DataFrame:
                     at += len(ids) // 4
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (*[pa.int64()] * 4, pa.binary()), strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    return based.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return common.map_arrow(based, decode, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def read_document(spark, store: str, doc_id: int) -> list[np.ndarray]:
-    """Ids of one document (each, where the id is repeated): only the shards whose index holds it are opened."""
+    """Ids of one document (each, where the id is repeated). The range of ids of a shard is pushed down to the files, so only row groups
+    that may hold the document are read."""
     known = spark.read.parquet(f"{store}/dictionary").first()
     opened = zstandard.ZstdDecompressor(dict_data=_dictionary(bytes(known["data"])))
-    shards = spark.read.schema(_SHARD).parquet(f"{store}/shards")
+    shards = spark.read.schema(_SHARD).parquet(f"{store}/shards").where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
     hits = shards.select(F.explode(F.filter("index", lambda x: x["doc_id"] == doc_id)).alias("x"), "frames").select(F.expr("substring(frames, cast(x.offset as int) + 1, cast(x.bytes as int))").alias("frame"))
     return [np.frombuffer(opened.decompress(bytes(r[0])), dtype="<u4") for r in hits.collect()]
 
