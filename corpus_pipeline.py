@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pitbars.llm import common
 from pitbars.llm.decontaminate import decontaminate
 from pitbars.llm.mixing import mix_sources, mixed_texts
-from pitbars.llm.simhash import similar_documents
+from pitbars.llm.near_copies import similar_documents
 from pitbars.llm.token_store import stored
 from pitbars.llm.toxicity import score_toxicity
 
