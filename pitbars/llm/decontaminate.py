@@ -2,11 +2,13 @@
 
 A shard is a chunk of a partition. Words outside the benchmark's vocabulary lie in no phrase, so they cut a document into runs; runs
 shorter than the shortest phrase can hold none and are left out, all others are indexed. Phrases (windows of an item's words) are
-searched together, their occurrences located through sampled suffix positions, and the spans merged for each document.
+searched together, their occurrences located through sampled suffix positions, held against the words themselves, and the spans merged
+for each document. A benchmark of more than `part_words` words is searched in parts, one after another in the same pass over the texts;
+only one part (or one item, if it is larger) is ever on the driver or in one broadcast.
 
 Defined results: null or empty texts have no words; an item without words has no phrase; phrases of an item whose item_id is null
 count as hits but not as items; items with equal phrases are all reported; repeated rows each give a row; other columns are ignored
-unless named in `keep`; an empty benchmark leaves every document clean. Words are compared by 64-bit hashes.
+unless named in `keep`; an empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ from .fm_index import FMIndex
 from .words import Words, lowered, span_hashes, split_words, text_bytes
 
 
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before lower-casing
+
+
 @dataclass
 class Phrases:
     """Distinct phrases of a benchmark: symbol sequences over its vocabulary, and the items of each."""
@@ -35,14 +40,17 @@ class Phrases:
     item_of: np.ndarray  # pairs (phrase, item), by phrase
     item_from: np.ndarray
     items: list
+    texts: list[bytes]  # the words of each phrase, by one space
 
     @classmethod
     def of(cls, items: pa.Table, window: int) -> Phrases:
         data, offsets = text_bytes(items.column("text").combine_chunks() if items.num_rows else pa.array([], pa.string()))
-        words = split_words(lowered(data), offsets, "alnum")
+        data = lowered(data)
+        words = split_words(data, offsets, "alnum")
         vocabulary, symbols = np.unique(words.hashes(), return_inverse=True)
         seen: dict[bytes, int] = {}
         rows: list[np.ndarray] = []
+        texts: list[bytes] = []
         links: set[tuple[int, int]] = set()
         ids: list = []
         for item, item_id in enumerate(items.column("item_id").to_pylist()):
@@ -53,11 +61,17 @@ class Phrases:
                 at = seen.setdefault(part.tobytes(), len(rows))
                 if at == len(rows):
                     rows.append(part)
+                    texts.append(words_at(data, words, int(words.bounds[item]) + k, len(part)))
                 links.add((at, item))
         pairs = np.array(sorted(links), dtype=np.int64).reshape(-1, 2)
         lengths = np.array([len(x) for x in rows], dtype=np.int64)
         joined = np.concatenate(rows) if rows else np.empty(0, dtype=np.int64)
-        return cls(vocabulary, joined, np.cumsum(lengths), lengths, pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(rows) + 1)), ids)
+        return cls(vocabulary, joined, np.cumsum(lengths), lengths, pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(rows) + 1)), ids, texts)
+
+
+def words_at(data: np.ndarray, words: Words, first: int, n: int) -> bytes:
+    """n words from the first one on, by one space."""
+    return b" ".join(data[a:b].tobytes() for a, b in zip(words.starts[first : first + n].tolist(), words.ends[first : first + n].tolist(), strict=True))
 
 
 def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -102,6 +116,8 @@ def find_spans(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray,
     run_at = np.cumsum(length + 1) - (length + 1)
     run = np.searchsorted(run_at, where, side="right") - 1
     word = maybe[begin[run]] + (where - run_at[run])
+    same = np.array([words_at(words.data, words, w, int(phrases.lengths[p])) == phrases.texts[p] for w, p in zip(word.tolist(), which.tolist(), strict=True)], dtype=bool)
+    word, which = word[same], which[same]
     edges = np.zeros(n + 1, dtype=np.int64)
     np.add.at(edges, word, 1)
     np.add.at(edges, word + phrases.lengths[which], -1)
@@ -111,52 +127,74 @@ def find_spans(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray,
     return hit, pairs // len(phrases.lengths), pairs % len(phrases.lengths)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[str, ...] = ("doc_id",), cut: bool = False, max_words: int = 5_000_000) -> DataFrame:
-    """For each document: columns `keep`, n_words, n_hit, n_items, items (sorted ids), contaminated, spans (word intervals to remove) and
-    clean_text (the text without them; null if cut is not set).
+def _parts(benchmark: DataFrame, part_words: int) -> Iterator[DataFrame]:
+    """The benchmark in parts of about part_words words at most; an item is never cut."""
+    rows = benchmark.select("item_id", "text")
+    total = rows.select(F.coalesce(F.sum(F.regexp_count("text", F.lit(WORD))), F.lit(0))).first()[0]
+    n = -(-total // part_words)
+    if n <= 1:
+        yield rows
+        return
+    for k in range(2 * n):
+        yield rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * n)) == k)
+
 
-    The benchmark goes to every task, so its size is checked first: beyond max_words words a ValueError asks to split it into parts
-    (the operator is run on each part; the spans of the parts unite).
-    """
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[str, ...] = ("doc_id",), cut: bool = False, part_words: int = 2_000_000) -> DataFrame:
+    """For each document: columns `keep`, n_words, n_hit, n_items, items (sorted ids), contaminated, spans (word intervals to remove) and
+    clean_text (the text without them; null if cut is not set)."""
     spark = docs.sparkSession
-    size = benchmark.select(F.coalesce(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), " "))), F.lit(0))).first()[0]
-    if size > max_words:
-        raise ValueError(f"the benchmark has about {size} words; {max_words} is the bound of one call, pass it in parts")
-    shared = spark.sparkContext.broadcast(Phrases.of(benchmark.select("item_id", "text").toArrow(), window))
-    schema = common.schema_of(docs, keep, "n_words long, n_hit long, n_items long, items array<string>, contaminated boolean, spans array<struct<first: long, length: long>>, clean_text string")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = shared.value
+    kept = [f"k{i}" for i in range(len(keep))]
+    span_type = pa.list_(pa.struct([("first", pa.int64()), ("length", pa.int64())]))
+    state = "_items array<string>, _spans array<struct<first: long, length: long>>"
+    out = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)), "text", F.array().cast("array<string>").alias("_items"), F.array().cast("array<struct<first: bigint, length: bigint>>").alias("_spans"))
+    schema = common.schema_of(out, [*kept, "text"], state)
+    for part in _parts(benchmark, part_words):
+        shared = spark.sparkContext.broadcast(Phrases.of(part.toArrow(), window))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            phrases = shared.value
+            for batch in common.in_chunks(batches):
+                at = {name: k for k, name in enumerate(batch.schema.names)}
+                data, offsets = text_bytes(batch.column(at["text"]))
+                words = split_words(lowered(data), offsets, "alnum")
+                hit, doc, phrase = find_spans(words, phrases)
+                bounds = words.bounds
+                of_doc: dict[int, set] = {}
+                for d, p in zip(doc.tolist(), phrase.tolist(), strict=True):
+                    of_doc.setdefault(d, set()).update(phrases.item_of[phrases.item_from[p] : phrases.item_from[p + 1]].tolist())
+                items, spans = batch.column(at["_items"]).to_pylist(), batch.column(at["_spans"]).to_pylist()
+                for d, found in of_doc.items():
+                    items[d] = sorted({*items[d], *(phrases.items[i] for i in found if phrases.items[i] is not None)})
+                    own = hit[bounds[d] : bounds[d + 1]].astype(np.int8)
+                    for x in spans[d]:
+                        own[x["first"] : x["first"] + x["length"]] = 1
+                    own = np.diff(np.concatenate([[0], own, [0]]))
+                    spans[d] = [{"first": a, "length": b - a} for a, b in zip(np.flatnonzero(own == 1).tolist(), np.flatnonzero(own == -1).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(at[c]) for c in [*kept, "text"]), pa.array(items, pa.list_(pa.string())), pa.array(spans, span_type)], names=schema.names)
+
+        out = common.map_arrow(out, search, schema)
+    schema2 = common.schema_of(out, kept, "n_words long, _items array<string>, _spans array<struct<first: long, length: long>>, clean_text string")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.in_chunks(batches):
-            data, offsets = text_bytes(batch.column("text"))
+            at = {name: k for k, name in enumerate(batch.schema.names)}
+            data, offsets = text_bytes(batch.column(at["text"]))
             words = split_words(lowered(data), offsets, "alnum")
-            hit, doc, phrase = find_spans(words, phrases)
-            bounds = words.bounds
-            of_doc: dict[int, set] = {}
-            for d, p in zip(doc.tolist(), phrase.tolist(), strict=True):
-                of_doc.setdefault(d, set()).update(phrases.item_of[phrases.item_from[p] : phrases.item_from[p + 1]].tolist())
-            items = [sorted({phrases.items[i] for i in of_doc.get(d, ()) if phrases.items[i] is not None}) for d in range(batch.num_rows)]
-            total = np.concatenate([[0], np.cumsum(hit)])
-            n_hit = total[bounds[1:]] - total[bounds[:-1]]
-            spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for d in np.flatnonzero(n_hit).tolist():
-                own = np.diff(np.concatenate([[0], hit[bounds[d] : bounds[d + 1]].astype(np.int8), [0]]))
-                spans[d] = [{"first": a, "length": b - a} for a, b in zip(np.flatnonzero(own == 1).tolist(), np.flatnonzero(own == -1).tolist(), strict=True)]
-            own = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            clean = batch.column("text").to_pylist() if cut else [None] * batch.num_rows
-            for d in np.flatnonzero(n_hit).tolist() if cut else ():
-                at, parts = int(offsets[d]), []
-                for span in spans[d]:
-                    a = int(bounds[d]) + span["first"]
-                    parts.append(data[at : words.starts[a]].tobytes())
-                    at = int(words.ends[a + span["length"] - 1])
-                clean[d] = b"".join([*parts, data[at : offsets[d + 1]].tobytes()]).decode()
-            yield pa.RecordBatch.from_arrays(
-                [*own, pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(n_hit > 0), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("length", pa.int64())]))), pa.array(clean, pa.string())],
-                names=[*keep, "n_words", "n_hit", "n_items", "items", "contaminated", "spans", "clean_text"],
-            )
-
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(search, schema)
+            clean = batch.column(at["text"]).to_pylist() if cut else [None] * batch.num_rows
+            for d, spans in enumerate(batch.column(at["_spans"]).to_pylist()) if cut else ():
+                if not spans:
+                    continue
+                here, parts = int(offsets[d]), []
+                for span in spans:
+                    a = int(words.bounds[d]) + span["first"]
+                    parts.append(data[here : words.starts[a]].tobytes())
+                    here = int(words.ends[a + span["length"] - 1])
+                clean[d] = b"".join([*parts, data[here : offsets[d + 1]].tobytes()]).decode()
+            yield pa.RecordBatch.from_arrays([*(batch.column(at[k]) for k in kept), pa.array(words.counts, pa.int64()), batch.column(at["_items"]), batch.column(at["_spans"]), pa.array(clean, pa.string())], names=schema2.names)
+
+    done = common.map_arrow(out, finish, schema2)
+    n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, x: n + x["length"])
+    return done.select(*(F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)), "n_words", n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.col("_items").alias("items"), (F.size("_spans") > 0).alias("contaminated"), F.col("_spans").alias("spans"), "clean_text")
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -3,14 +3,15 @@
 A text's set of shingles has a wide fingerprint: twelve segments of 21 bits and 128 bits to check by. Each fingerprint emits, for every
 segment, the ball of its variants within one bit, and two fingerprints meet where a variant of one is a variant of the other: where a
 segment differs in two bits at most. Of pairs of similarity 0.8 (a bit differs with probability 0.15 there) 99.5 of 100 meet, of more
-similar ones nearly all (of the shortest texts, with four and five shingles, 95 of 100); the check bits only strike pairs that are at 39 or more of 128 (19 are expected at 0.8; 24 for the shortest texts). Whatever meets is then
+similar ones nearly all (of the shortest texts, with four and five shingles, 95 of 100); the check bits only strike pairs that are at 37 or more of 128 (19 are expected at 0.8; 24 for the shortest texts). Whatever meets is then
 decided by the Jaccard similarity of the whole sets, so no pair below the bound is ever joined.
 
-Variants that differ in the low bits of a segment stay in one group and are made there, so a fingerprint travels in six rows for a
-segment instead of 22; `top_bits`, which says how finely groups are dealt, grows with the input and never changes what meets.
+Variants that differ in the low bits of a segment stay in one group and are made there, so a fingerprint travels in four rows for a
+segment instead of 22 (more where there are more texts); `top_bits`, which says how finely groups are dealt, grows with the input and never changes what meets.
 
-Pairs are real ones, never stars of a component. Cells with more than `all_pairs` pairs first give each member's neighbour by size and
-the middle one; when those are decided, members that are not yet in one component are held against each other, in blocks of bounded
+Pairs are real ones, never stars of a component. Crowds (values of a segment that meet in more than `all_pairs` pairs) first give, in
+four segments, each member's neighbour by size, the middle one and that of the largest value met; when those are decided, all members of
+a crowd that are not yet in one component are held against each other by size, check bits and a parity sketch, in blocks of bounded
 size, each two of which meet in one task. So a large group of near copies costs a few rows for each member, and nothing is left out.
 
 Null and wordless texts are one empty set, which is linked to nothing else. Work on unlike texts grows with the square of their number
@@ -34,8 +35,9 @@ from .words import gram_hashes, lowered, mixed, split_words, text_bytes
 
 SEGMENTS, SEGMENT_BITS = 12, 21  # three segments in each of the first four words of a wide fingerprint
 WORDS = 6  # the last two are the check bits
-CHECK_LIMIT = 38
+CHECK_LIMIT = 36
 PARITY_WORDS = 32  # 64-bit words of a parity sketch
+STARS = 4  # segments whose crowds give a few pairs for each member before the others are held against each other
 BLOCK = 4096
 _SALTS = np.arange(1, 2 * WORDS, 2, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
 _WIDE = [f"w{k}" for k in range(WORDS)]
@@ -89,8 +91,8 @@ def wide_of(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int, keep: tuple[str, ...]) -> DataFrame:
-    """Columns `keep`, fp (name of the set of shingles), n (its size) and the words of the wide fingerprint."""
-    schema = common.schema_of(docs, keep, ", ".join(["fp long", "n int", *(f"{w} long" for w in _WIDE)]))
+    """Columns `keep`, fp (name of the set of shingles), n (its size), the words of the wide fingerprint and the parity sketch."""
+    schema = common.schema_of(docs, keep, ", ".join(["fp long", "n int", *(f"{w} long" for w in _WIDE), "parity array<long>"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.in_chunks(batches):
@@ -98,7 +100,8 @@ def sketches(docs: DataFrame, shingle: int, keep: tuple[str, ...]) -> DataFrame:
             grams, bounds = shingle_sets(batch.column(at["text"]), shingle)
             wide = wide_of(grams, bounds).view(np.int64)
             own = [pa.array(names_of(grams, bounds).view(np.int64)), pa.array(np.diff(bounds).astype(np.int32)), *(pa.array(np.ascontiguousarray(wide[:, k])) for k in range(WORDS))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(at[c]) for c in keep), *own], names=[*keep, "fp", "n", *_WIDE])
+            parity = pa.ListArray.from_arrays(pa.array(np.arange(len(bounds), dtype=np.int32) * PARITY_WORDS), pa.array(parities_of(grams, bounds).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(at[c]) for c in keep), *own, parity], names=[*keep, "fp", "n", *_WIDE, "parity"])
 
     return common.map_arrow(docs.select(*dict.fromkeys([*keep, "text"])), run, schema)
 
@@ -171,15 +174,21 @@ def _may_link(e: np.ndarray, a: np.ndarray, b: np.ndarray, p: int, q: int) -> np
     return near & (e["fp"][a] != e["fp"][b]) & (q * np.minimum(n[a], n[b]) >= p * np.maximum(n[a], n[b]))
 
 
-def _found(e: np.ndarray, key: int, pairs: list[np.ndarray], marked: np.ndarray) -> pa.Table:
-    """Pairs (fp, to), and members that have more to meet in this group: `to` null."""
-    both = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), dtype=np.int64)
-    more = np.unique(e["fp"][marked])
-    return pa.table({"key": pa.array([key] * (len(both) + len(more)), pa.int32()), "fp": pa.array(np.concatenate([both[:, 0], more])), "to": pa.concat_arrays([pa.array(both[:, 1].copy()), pa.nulls(len(more), pa.int64())])})
+def _pieces(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first number of the piece of each of 0..n-1, where a and b are joined."""
+    label = np.arange(n)
+    while len(a):
+        high, low = np.maximum(label[a], label[b]), np.minimum(label[a], label[b])
+        apart = high != low
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, high[apart], low[apart])
+        while (label[label] != label).any():
+            label = label[label]
+    return label
 
 
-def _meet(rows: pa.Table, top_bits: int, blocks: dict[int, int], p: int, q: int, all_pairs: int, block: int = 1 << 20) -> pa.Table:
-    """Candidate pairs of one group (or of one block of it)."""
+def _meet(rows: pa.Table, top_bits: int, blocks: dict[int, int], p: int, q: int, all_pairs: int, most: int = 4096, block: int = 1 << 20) -> pa.Table:
+    """Of one group (or of one block of it) candidate pairs (fp, to), and members of crowds: `to` null, crowd: a number."""
     key, low_bits = rows.column("key")[0].as_py(), SEGMENT_BITS - top_bits
     e = np.frombuffer(b"".join(rows.column("entries").to_pylist()), dtype=_ENTRY)
     e = e[np.lexsort((e["fp"], e["n"], e["segment"]))]
@@ -189,14 +198,13 @@ def _meet(rows: pa.Table, top_bits: int, blocks: dict[int, int], p: int, q: int,
     own = (segment[head] >> low_bits) ^ (key & ((1 << top_bits) - 1))
     alone = np.flatnonzero((own == 0) & (size > 1))
     left, right = np.concatenate([_meetings(segment[head], own, low_bits), np.column_stack([alone, alone])]).T
-    found: list[np.ndarray] = []
+    held: list[np.ndarray] = []  # (row, row, meeting)
 
-    def hold(a: np.ndarray, b: np.ndarray) -> None:
+    def hold(a: np.ndarray, b: np.ndarray, meeting: np.ndarray) -> None:
         good = _may_link(e, a, b, p, q)
-        a, b = e["fp"][a[good]], e["fp"][b[good]]
-        found.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]))
+        held.append(np.column_stack([a[good], b[good], meeting[good]]))
 
-    many = size[left] * size[right] > all_pairs
+    many = size[left] * size[right] > most
     few = np.flatnonzero(~many)
     total = np.concatenate([[0], np.cumsum(size[left[few]] * size[right[few]])])
     at = 0
@@ -206,33 +214,54 @@ def _meet(rows: pa.Table, top_bits: int, blocks: dict[int, int], p: int, q: int,
         n = size[u] * size[v]
         nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         a, b = np.repeat(head[u], n) + nth // np.repeat(size[v], n), np.repeat(head[v], n) + nth % np.repeat(size[v], n)
-        hold(a[a < b], b[a < b])
+        hold(a[a < b], b[a < b], np.repeat(few[at:stop], n)[a < b])
         at = stop
-    marked = np.zeros(len(e), dtype=bool)
+    pairs = np.concatenate(held) if held else np.empty((0, 3), dtype=np.int64)
+    met = np.bincount(pairs[:, 2], minlength=len(left))
+    many |= met > all_pairs
+    if key in blocks:  # what is in another block may be near any of them
+        many[:] = True
+        left, right, many = (np.concatenate([x, y]) for x, y in ((left, np.arange(len(head))), (right, np.zeros(len(head), dtype=np.int64)), (many, np.ones(len(head), dtype=bool))))
+    else:
+        crowded = np.zeros(len(head), dtype=bool)
+        crowded[left[many]] = crowded[right[many]] = True
+        many |= (met > 0) & (crowded[left] | crowded[right])
+    pairs = pairs[~many[pairs[:, 2]]][:, :2]
+    crowd = np.full(len(head), -1, dtype=np.int64)
     if many.any():
         cells = np.unique(np.concatenate([left[many], right[many]]))
-        marked[np.repeat(np.isin(np.arange(len(head)), cells), size)] = True
-        rows_ = np.flatnonzero(marked)
-        middle = np.repeat(head + size // 2, size)
-        hold(rows_, middle[rows_])
-        following = rows_[(rows_ + 1 < len(e))]
+        crowd[cells] = _pieces(len(head), left[many], right[many])[cells]
+    marked = np.flatnonzero(np.repeat(crowd >= 0, size))
+    if len(marked) and key >> top_bits < STARS:
+        middle = head + size // 2
+        following = marked[marked + 1 < len(e)]
         following = following[segment[following] == segment[following + 1]]
-        hold(following, following + 1)
-        u, v = left[many], right[many]
-        hold((head + size // 2)[u], (head + size // 2)[v])
-    if key in blocks:
-        marked[:] = True
-    return _found(e, key, found, marked)
+        u, v = np.concatenate([left[many], right[many]]), np.concatenate([right[many], left[many]])
+        order = np.lexsort((-size[v], u))
+        first = order[np.concatenate([[True], np.diff(u[order]) != 0])]
+        a = np.concatenate([marked, following, middle[u[first]]])
+        b = np.concatenate([np.repeat(middle, size)[marked], following + 1, middle[v[first]]])
+        good = _may_link(e, a, b, p, q)
+        pairs = np.concatenate([pairs, np.column_stack([a[good], b[good]])])
+    both = np.unique(np.sort(e["fp"][pairs], axis=1), axis=0)
+    number = segment[head][np.repeat(crowd, size)[marked]] if key not in blocks else np.zeros(len(marked), dtype=np.int64)
+    none = lambda n, kind: pa.nulls(n, kind)
+    return pa.table({
+        "key": pa.array([key] * (len(both) + len(marked)), pa.int32()), "crowd": pa.concat_arrays([none(len(both), pa.int32()), pa.array(number.astype(np.int32))]),
+        "fp": pa.array(np.concatenate([both[:, 0], e["fp"][marked]])), "to": pa.concat_arrays([pa.array(both[:, 1].copy()), none(len(marked), pa.int64())]),
+    })
 
 
 def _meet_apart(rows: pa.Table, p: int, q: int) -> pa.Table:
-    """All pairs of two blocks of a group's members (columns key, low, high, block, root, fp, n, segment, c0, c1) that are in two components."""
+    """All pairs of two blocks of a group's members (columns low, high, block, root, fp, n, segment, c0, c1, parity) that are in two components."""
     e = np.empty(rows.num_rows, dtype=_ENTRY)
     for name in ("fp", "n", "segment"):
         e[name] = rows.column(name).to_numpy()
     e["check"] = np.column_stack([rows.column(c).to_numpy().view(np.uint64) for c in ("c0", "c1")])
     block, root, segment = (rows.column(c).to_numpy() for c in ("block", "root", "segment"))
     low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
+    parity = rows.column("parity").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, PARITY_WORDS)
+    n = e["n"].astype(np.int64)
     first = np.flatnonzero(block == low)
     second = first if low == high else np.flatnonzero(block == high)
     found = []
@@ -241,6 +270,8 @@ def _meet_apart(rows: pa.Table, p: int, q: int) -> pa.Table:
         good = (root[a] != root[b]) & ((second is not first) | (a < b)) & (np.bitwise_count(segment[a] ^ segment[b]) <= 2)
         a, b = a[good], b[good]
         good = _may_link(e, a, b, p, q)
+        a, b = a[good], b[good]
+        good = (p + q) * np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64) <= (q - p) * (n[a] + n[b])
         a, b = e["fp"][a[good]], e["fp"][b[good]]
         found.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]))
     both = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), dtype=np.int64)
@@ -248,42 +279,42 @@ def _meet_apart(rows: pa.Table, p: int, q: int) -> pa.Table:
 
 
 def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
-    """fp, nx (size), parity and grams (the whole set) of each text, each set once."""
+    """fp and grams (the whole set) of each text, each set once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.in_chunks(batches):
             grams, bounds = shingle_sets(batch.column(0), shingle)
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(grams.view(np.int64)))
-            parity = pa.ListArray.from_arrays(pa.array(np.arange(len(bounds), dtype=np.int32) * PARITY_WORDS), pa.array(parities_of(grams, bounds).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(names_of(grams, bounds).view(np.int64)), pa.array(np.diff(bounds).astype(np.int32)), parity, lists], names=["fp", "nx", "parity", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(names_of(grams, bounds).view(np.int64)), lists], names=["fp", "grams"])
 
-    return common.map_arrow(docs.select("text"), run, "fp long, nx int, parity array<long>, grams array<long>").dropDuplicates(["fp"])
+    return common.map_arrow(docs.select("text"), run, "fp long, grams array<long>").dropDuplicates(["fp"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
-    """The pairs (fp, to) whose sets have the similarity p / q or more. Sets are made of one text each of the names that are in a pair."""
-    wanted = pairs.select("fp").unionByName(pairs.select(F.col("to").alias("fp"))).distinct()
+    """The pairs (fp, to) whose sets have the similarity p / q or more: by parity sketches, which only strike what is certainly too far
+    apart, then by the whole sets, made of one text each of the names that are still in a pair."""
+
+    def with_both(some: DataFrame, sides: DataFrame) -> DataFrame:
+        return some.join(sides.toDF("fp", "x"), "fp").join(sides.toDF("to", "y"), "to")
+
+    differ = F.aggregate(F.zip_with("x.parity", "y.parity", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    near = with_both(pairs, distinct.select("fp", F.struct("n", "parity"))).where((p + q) * differ <= (q - p) * (F.col("x.n") + F.col("y.n")))
+    near = common.written(near.select("fp", "to"), "near")
+    wanted = near.select("fp").unionByName(near.select(F.col("to").alias("fp"))).distinct()
     one = common.written(distinct.join(wanted, "fp", "left_semi").select(F.col("least").alias("of_id"), F.col("text_key").alias("of_key")), "wanted")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("key")).join(one, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")), "left_semi")
     sets = common.written(sets_of(texts, shingle), "sets")
-
-    def with_both(some: DataFrame, column: str) -> DataFrame:
-        one = sets.select("fp", F.col(column).alias("x"), "nx")
-        return some.join(one, "fp").join(one.toDF("to", "y", "ny"), "to")
-
-    differ = F.aggregate(F.zip_with("x", "y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    near = common.written(with_both(pairs, "parity").where((p + q) * differ <= (q - p) * (F.col("nx") + F.col("ny"))).select("fp", "to"), "near")
     agree = F.size(F.array_intersect("x", "y"))
-    return common.written(with_both(near, "grams").where((p + q) * agree >= p * (F.col("nx") + F.col("ny"))).select("fp", "to"), "verified")
+    return common.written(with_both(near, sets).where((p + q) * agree >= p * (F.size("x") + F.size("y"))).select("fp", "to"), "verified")
 
 
-def near_links(distinct: DataFrame, verify: Callable[[DataFrame], DataFrame], similarity: float, group_rows: int = 1 << 20, top_bits: int | None = None, all_pairs: int = 64) -> DataFrame:
-    """(fp, to): links that join all pairs which meet and which `verify` keeps; distinct: fp, n, w0, ... without repeats."""
+def near_links(distinct: DataFrame, verify: Callable[[DataFrame], DataFrame], similarity: float, group_rows: int = 1 << 20, top_bits: int | None = None, all_pairs: int = 16) -> DataFrame:
+    """(fp, to): links that join all pairs which meet and which `verify` keeps; distinct: fp, n, w0, ..., parity without repeats."""
     share = Fraction(str(similarity))
     p, q = share.numerator, share.denominator
     rows = distinct.where("n > 0").select("fp", "n", *_WIDE)
     if top_bits is None:
-        top_bits = min(SEGMENT_BITS, max(5, math.ceil(math.log2(max(1, 12 * rows.count() / group_rows)))))
+        top_bits = min(SEGMENT_BITS, max(3, math.ceil(math.log2(max(1, 12 * rows.count() / group_rows)))))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,33 +325,33 @@ def near_links(distinct: DataFrame, verify: Callable[[DataFrame], DataFrame], si
     large = common.map_arrow(rows, sizes, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > group_rows).collect()
     blocks = {r["key"]: -(-r["n"] // group_rows) for r in large}
     dealt = common.map_arrow(rows, lambda it: _deal(it, top_bits, blocks), "key int, block int, entries binary")
-    found = common.written(dealt.groupBy("key", "block").applyInArrow(lambda x: _meet(x, top_bits, blocks, p, q, all_pairs), "key int, fp long, to long"), "met")
+    found = common.written(dealt.groupBy("key", "block").applyInArrow(lambda x: _meet(x, top_bits, blocks, p, q, all_pairs), "key int, crowd int, fp long, to long"), "met")
     pairs = common.written(found.where("to is not null").select("fp", "to").distinct(), "pairs")
     links = verify(pairs)
-    marked = found.where("to is null").select("key", "fp")
+    marked = found.where("to is null").select("key", "crowd", "fp")
     if marked.isEmpty():
         return links
     named = marked.join(components(links), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    open_ = named.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    dealt = named.join(open_, "key").join(rows, "fp").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    open_ = named.groupBy("key", "crowd").agg(F.count("*").alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key", "crowd", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    dealt = named.join(open_, ["key", "crowd"]).join(distinct.select("fp", "n", *_WIDE, "parity"), "fp").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     part = F.shiftright("key", top_bits)
     word = F.element_at(F.array(*_WIDE[:4]), F.floor(part / 3).cast("int") + 1)
     shifted = F.expr(f"shiftrightunsigned(_word, {SEGMENT_BITS} * (shiftright(key, {top_bits}) % 3))")
     dealt = dealt.withColumn("_word", word).withColumn("segment", shifted.bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "root", "fp", "n", "segment", F.col("w4").alias("c0"), F.col("w5").alias("c1"))
-    apart = dealt.groupBy("key", "low", "high").applyInArrow(lambda x: _meet_apart(x, p, q), "fp long, to long")
+    dealt = dealt.select("key", "crowd", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "root", "fp", "n", "segment", F.col("w4").alias("c0"), F.col("w5").alias("c1"), "parity")
+    apart = dealt.groupBy("key", "crowd", "low", "high").applyInArrow(lambda x: _meet_apart(x, p, q), "fp long, to long")
     more = common.written(apart.distinct().join(pairs, ["fp", "to"], "left_anti"), "pairs")
     return links if more.isEmpty() else links.unionByName(verify(more))
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, keep: tuple[str, ...] = ("doc_id",), all_pairs: int = 64) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, keep: tuple[str, ...] = ("doc_id",), all_pairs: int = 16) -> DataFrame:
     """Columns `keep`, fp (a name of the set of shingles), root and component_id for each row; texts of that Jaccard similarity or more are
     linked. keep must hold doc_id."""
     share = Fraction(str(similarity))
     keyed = docs.select(*dict.fromkeys([*keep, "text"])).withColumn("_key", F.xxhash64("text"))
     marked = common.written(sketches(keyed, shingle, (*keep, "_key")), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_key").alias("key")))
-    distinct = marked.groupBy("fp").agg(first.alias("one"), F.max("n").alias("n"), *(F.max(w).alias(w) for w in _WIDE))
-    distinct = common.written(distinct.select("fp", F.col("one.id").alias("least"), F.col("one.key").alias("text_key"), "n", *_WIDE), "distinct")
+    once = marked.dropDuplicates(["fp"]).select("fp", "n", *_WIDE, "parity")
+    distinct = common.written(marked.groupBy("fp").agg(first.alias("one")).join(once, "fp").select("fp", F.col("one.id").alias("least"), F.col("one.key").alias("text_key"), "n", *_WIDE, "parity"), "distinct")
     links = near_links(distinct, lambda pairs: verified(pairs, docs, distinct, shingle, share.numerator, share.denominator), similarity, all_pairs=all_pairs)
     return _named(marked.select(*keep, "fp"), distinct.select("fp", "least"), components(links))
