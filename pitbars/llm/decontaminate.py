@@ -146,55 +146,48 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep:
     kept = [f"k{i}" for i in range(len(keep))]
     span_type = pa.list_(pa.struct([("first", pa.int64()), ("length", pa.int64())]))
     state = "_items array<string>, _spans array<struct<first: long, length: long>>"
-    out = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)), "text", F.array().cast("array<string>").alias("_items"), F.array().cast("array<struct<first: bigint, length: bigint>>").alias("_spans"))
-    schema = common.schema_of(out, [*kept, "text"], state)
-    for part in _parts(benchmark, part_words):
-        shared = spark.sparkContext.broadcast(Phrases.of(part.toArrow(), window))
+    out = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)), "text")
+    parts = list(_parts(benchmark, part_words))
+    for nth, part in enumerate(parts):
+        shared, last = spark.sparkContext.broadcast(Phrases.of(part.toArrow(), window)), nth == len(parts) - 1
+        schema = common.schema_of(out, kept if last else [*kept, "text"], f"n_words long, {state}, clean_text string" if last else state)
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], shared=shared, last=last, names=tuple(schema.names)) -> Iterator[pa.RecordBatch]:
             phrases = shared.value
             for batch in common.in_chunks(batches):
                 at = {name: k for k, name in enumerate(batch.schema.names)}
                 data, offsets = text_bytes(batch.column(at["text"]))
                 words = split_words(lowered(data), offsets, "alnum")
                 hit, doc, phrase = find_spans(words, phrases)
-                bounds = words.bounds
                 of_doc: dict[int, set] = {}
                 for d, p in zip(doc.tolist(), phrase.tolist(), strict=True):
                     of_doc.setdefault(d, set()).update(phrases.item_of[phrases.item_from[p] : phrases.item_from[p + 1]].tolist())
-                items, spans = batch.column(at["_items"]).to_pylist(), batch.column(at["_spans"]).to_pylist()
+                items, spans = (batch.column(at[c]).to_pylist() if c in at else [[]] * batch.num_rows for c in ("_items", "_spans"))
                 for d, found in of_doc.items():
                     items[d] = sorted({*items[d], *(phrases.items[i] for i in found if phrases.items[i] is not None)})
-                    own = hit[bounds[d] : bounds[d + 1]].astype(np.int8)
-                    for x in spans[d]:
+                    own = hit[words.bounds[d] : words.bounds[d + 1]].astype(np.int8)
+                    for x in spans[d]:  # of earlier parts
                         own[x["first"] : x["first"] + x["length"]] = 1
                     own = np.diff(np.concatenate([[0], own, [0]]))
                     spans[d] = [{"first": a, "length": b - a} for a, b in zip(np.flatnonzero(own == 1).tolist(), np.flatnonzero(own == -1).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(at[c]) for c in [*kept, "text"]), pa.array(items, pa.list_(pa.string())), pa.array(spans, span_type)], names=schema.names)
+                found = [pa.array(items, pa.list_(pa.string())), pa.array(spans, span_type)]
+                if not last:
+                    yield pa.RecordBatch.from_arrays([*(batch.column(at[c]) for c in [*kept, "text"]), *found], names=names)
+                    continue
+                clean = batch.column(at["text"]).to_pylist() if cut else [None] * batch.num_rows
+                for d, cuts in enumerate(spans) if cut else ():
+                    here, rest = int(offsets[d]), []
+                    for span in cuts:
+                        a = int(words.bounds[d]) + span["first"]
+                        rest.append(data[here : words.starts[a]].tobytes())
+                        here = int(words.ends[a + span["length"] - 1])
+                    if cuts:
+                        clean[d] = b"".join([*rest, data[here : offsets[d + 1]].tobytes()]).decode()
+                yield pa.RecordBatch.from_arrays([*(batch.column(at[k]) for k in kept), pa.array(words.counts, pa.int64()), *found, pa.array(clean, pa.string())], names=names)
 
         out = common.map_arrow(out, search, schema)
-    schema2 = common.schema_of(out, kept, "n_words long, _items array<string>, _spans array<struct<first: long, length: long>>, clean_text string")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.in_chunks(batches):
-            at = {name: k for k, name in enumerate(batch.schema.names)}
-            data, offsets = text_bytes(batch.column(at["text"]))
-            words = split_words(lowered(data), offsets, "alnum")
-            clean = batch.column(at["text"]).to_pylist() if cut else [None] * batch.num_rows
-            for d, spans in enumerate(batch.column(at["_spans"]).to_pylist()) if cut else ():
-                if not spans:
-                    continue
-                here, parts = int(offsets[d]), []
-                for span in spans:
-                    a = int(words.bounds[d]) + span["first"]
-                    parts.append(data[here : words.starts[a]].tobytes())
-                    here = int(words.ends[a + span["length"] - 1])
-                clean[d] = b"".join([*parts, data[here : offsets[d + 1]].tobytes()]).decode()
-            yield pa.RecordBatch.from_arrays([*(batch.column(at[k]) for k in kept), pa.array(words.counts, pa.int64()), batch.column(at["_items"]), batch.column(at["_spans"]), pa.array(clean, pa.string())], names=schema2.names)
-
-    done = common.map_arrow(out, finish, schema2)
     n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, x: n + x["length"])
-    return done.select(*(F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)), "n_words", n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.col("_items").alias("items"), (F.size("_spans") > 0).alias("contaminated"), F.col("_spans").alias("spans"), "clean_text")
+    return out.select(*(F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)), "n_words", n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.col("_items").alias("items"), (F.size("_spans") > 0).alias("contaminated"), F.col("_spans").alias("spans"), "clean_text")
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
