@@ -49,6 +49,6 @@ def capture_admissible(capture_day: Column, local_now: Column) -> Column:
 
 
 def execution_cutoff_ok(kind: Column, effective: Column, available: Column) -> Column:
-    """Prices are due by 15:05 of their day, other artifacts by 09:25."""
+    """Both kinds of prices are due by 15:05 of their day, other artifacts by 09:25."""
     day = available.cast("date")
-    return (day < effective) | ((day == effective) & (clock(available) <= F.when(kind == "prices", PRICE_CUTOFF + ".000000").otherwise(OPEN + ".000000")))
+    return (day < effective) | ((day == effective) & (clock(available) <= F.when(kind.isin("execution_prices", "signal_prices"), PRICE_CUTOFF + ".000000").otherwise(OPEN + ".000000")))

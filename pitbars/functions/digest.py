@@ -10,18 +10,24 @@ def money(value: Column) -> Column:
     return value.cast("decimal(18,2)").cast("string")
 
 
-def record_sha256(*parts: Column) -> Column:
-    return F.sha2(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("null")) for p in parts)), 256)
+def canonical_record(**parts: Column) -> Column:
+    """Compact JSON with sorted keys, every value as text or null: different records never read alike."""
+    return F.to_json(F.struct(*(parts[k].cast("string").alias(k) for k in sorted(parts))), {"ignoreNullFields": "false"})
 
 
-def content_digest(rows: DataFrame, parts: list[Column], group: list[Column]) -> DataFrame:
+def record_sha256(**parts: Column) -> Column:
+    return F.sha2(canonical_record(**parts), 256)
+
+
+def content_digest(rows: DataFrame, parts: dict[str, Column], group: list[Column]) -> DataFrame:
     """One row (digest, row_count): row digests, then sorted digests of each group, then the sorted group digests. A group (a code and
     a year of bars) is small; only one line for each group meets at the end."""
-    hashed = rows.select(*(g.alias(f"g{i}") for i, g in enumerate(group)), record_sha256(*parts).alias("d"))
+    hashed = rows.select(*(g.alias(f"g{i}") for i, g in enumerate(group)), record_sha256(**parts).alias("d"))
     groups = hashed.groupBy(*(f"g{i}" for i in range(len(group)))).agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("d"))), 256).alias("d"), F.count("*").alias("n"))
     return groups.agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("d"))), 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"))
 
 
-def set_digest(values: DataFrame, column: str) -> DataFrame:
-    """SHA-256 of the sorted distinct values."""
-    return values.agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_set(column))), 256).alias("digest"), F.countDistinct(column).alias("entries"))
+def set_digest(values: DataFrame, column: str, group: str) -> DataFrame:
+    """SHA-256 of the sorted digests of each group's sorted distinct values: one line for each group meets at the end."""
+    groups = values.groupBy(group).agg(F.array_sort(F.collect_set(column)).alias("v")).select(F.sha2(F.concat_ws(",", "v"), 256).alias("d"), F.size("v").alias("n"))
+    return groups.agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("d"))), 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("entries"))

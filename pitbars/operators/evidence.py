@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitbars.functions import clock
-from pitbars.functions.digest import money
 from pitbars.operators import quality
 
 
@@ -38,29 +37,40 @@ def failures(rows: DataFrame, checks: dict[str, Column], sample: Column) -> Data
 def blockers(found: DataFrame, examples: int = 5) -> DataFrame:
     """(blocker, count, examples): distinct samples and the first of them in order. Distinct samples are counted before they are
     ranked, and only the first few of each task's samples go on, so a blocker that every row has stays small."""
-    counted = found.groupBy("blocker").agg(F.countDistinct("sample").alias("count"))
     distinct = found.distinct()
-    first = distinct.groupBy("blocker", F.pmod(F.hash("sample"), F.lit(64)).alias("part")).agg(F.slice(F.array_sort(F.collect_list("sample")), 1, examples).alias("s"))
-    merged = first.groupBy("blocker").agg(F.slice(F.array_sort(F.flatten(F.collect_list("s"))), 1, examples).alias("s"))
-    return counted.join(merged, "blocker").select("blocker", "count", F.concat_ws(",", "s").alias("examples"))
+    counted = distinct.groupBy("blocker").agg(F.count("*").alias("count"))
+    rank = F.row_number().over(Window.partitionBy("blocker").orderBy("sample"))
+    first = distinct.withColumn("rank", rank).where(F.col("rank") <= examples).groupBy("blocker").agg(F.array_sort(F.collect_list("sample")).alias("s"))
+    return counted.join(first, "blocker").select("blocker", "count", F.concat_ws(",", "s").alias("examples"))
+
+
+def receipt_covers_bar(payload: Column) -> Column:
+    """Whether a row of the response {"fields": "date,open,...", "rows": [[...]]} has the bar's date and, as numbers, its prices and volume."""
+    p = F.from_json(payload, "fields string, rows array<array<string>>")
+    at = lambda name: F.array_position(F.split(p["fields"], ","), name).cast("int") - 1
+    value = lambda r, name: F.get(r, F.when(at(name) >= 0, at(name)))
+    same = lambda r: reduce(lambda a, b: a & b, (value(r, n).try_cast("double").eqNullSafe(F.col(n).cast("double")) for n in ("open", "high", "low", "close", "volume")))
+    return F.coalesce(F.exists(p["rows"], lambda r: F.coalesce((value(r, "date") == F.col("date").cast("string")) & same(r), F.lit(False))), F.lit(False))
 
 
 def price_failures(bars: DataFrame, receipts: DataFrame, panel: DataFrame) -> DataFrame:
     """Everything that keeps an exact panel of one price identity from being ready."""
     chosen = panel_select(bars, panel)
-    joined = bars_with_receipts(chosen, receipts).join(F.broadcast(quality.next_session(chosen)), "date")  # one row for each session
+    joined = bars_with_receipts(chosen, receipts).join(quality.next_session(chosen), "date")
     late = clock.price_availability_error(F.col("date"), F.col("observed_at"), F.col("next_date"))
     joined = joined.withColumn("late", late)
-    held, hash_ok = F.col("has_receipt").isNotNull(), F.col("response_sha256") == F.sha2("payload", 256)
+    sure = lambda c: F.coalesce(c, F.lit(False))  # noqa: E731  what is unknown is a failure
+    held, hash_ok = F.col("has_receipt").isNotNull() & F.col("payload").isNotNull(), sure(F.col("response_sha256") == F.sha2("payload", 256))
+    timed = F.col("observed_at").isNotNull() & F.col("retrieved_at").isNotNull()
     checks = {
-        "non_final_rows": ~F.col("is_final"),
+        "non_final_rows": ~sure(F.col("is_final")),
         "missing_receipts": ~held,
-        "receipt_source_mismatch": held & (F.col("receipt_source") != F.col("source")),
+        "receipt_source_mismatch": held & ~sure(F.col("receipt_source") == F.col("source")),
         "receipt_hash_mismatch": held & ~hash_ok,
-        "receipt_response_mismatch": held & hash_ok & (F.col("payload") != F.concat_ws("|", "code", F.col("date").cast("string"), money(F.col("close")))),
-        "receipt_timestamp_mismatch": held & (F.col("observed_at") != F.col("retrieved_at")),
-        "invalid_availability_timestamp": held & F.col("observed_at").isNull(),
-    } | {x: held & (F.col("late") == x) for x in ("availability_precedes_finalization", "unknown_next_session", "post_hoc_availability")}
+        "receipt_response_mismatch": held & hash_ok & ~receipt_covers_bar(F.col("payload")),
+        "receipt_timestamp_mismatch": held & timed & (F.col("observed_at") != F.col("retrieved_at")),
+        "invalid_availability_timestamp": held & ~timed,
+    } | {x: held & timed & (F.col("late") == x) for x in ("availability_precedes_finalization", "unknown_next_session", "post_hoc_availability")}
     parts = [failures(joined, checks, cell()), panel_missing(panel, chosen).select(F.lit("missing_panel_rows").alias("blocker"), cell().alias("sample"))]
     empty = chosen.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("no_selected_rows").alias("blocker"), F.lit("panel").alias("sample"))
     return reduce(DataFrame.unionByName, [*parts, empty])
@@ -73,11 +83,10 @@ def price_readiness(bars: DataFrame, receipts: DataFrame, panel: DataFrame) -> D
 
 def priced_panel(bars: DataFrame, receipts: DataFrame, panel: DataFrame) -> DataFrame:
     """Cells whose bar is final and whose receipt agrees in source, digest, content and times, in time."""
-    good = receipts.where((F.col("response_sha256") == F.sha2("payload", 256)) & F.col("observed_at").eqNullSafe(F.col("retrieved_at")))
+    good = receipts.where((F.col("response_sha256") == F.sha2("payload", 256)) & (F.col("observed_at") == F.col("retrieved_at")))
     chosen = panel_select(bars.where("is_final"), panel)
-    joined = chosen.join(good, ["receipt_id", "source"]).join(F.broadcast(quality.next_session(chosen)), "date")
-    fits = F.col("payload") == F.concat_ws("|", "code", F.col("date").cast("string"), money(F.col("close")))
-    return joined.where(fits & clock.price_availability_error(F.col("date"), F.col("observed_at"), F.col("next_date")).isNull())
+    joined = chosen.join(good, ["receipt_id", "source"]).join(quality.next_session(chosen), "date")
+    return joined.where(receipt_covers_bar(F.col("payload")) & clock.price_availability_error(F.col("date"), F.col("observed_at"), F.col("next_date")).isNull())
 
 
 def same_set(left: DataFrame, right: DataFrame) -> DataFrame:

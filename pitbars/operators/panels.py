@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The components every panel cell needs evidence for.
-COMPONENTS = ["calendar", "execution_prices", "signal_prices", "universe", "status", "corporate_actions", "execution_rules", "records"]
+COMPONENTS = ["corporate_actions", "decision_context", "execution_prices", "instrument_status", "market_rules", "signal_prices", "trading_calendar", "universe"]
 
 
 def panel_product_missing(panel: DataFrame) -> DataFrame:
     """Cells of symbols x dates that the panel lacks. The product is the definition of a full panel."""
-    return panel.select("code").distinct().crossJoin(F.broadcast(panel.select("date").distinct())).join(panel, ["code", "date"], "left_anti")
+    return panel.select("code").distinct().crossJoin(panel.select("date").distinct()).join(panel, ["code", "date"], "left_anti")
 
 
 def warmup_panel(codes: DataFrame, train_dates: DataFrame, first_search: str, n: int) -> DataFrame:
-    """Codes crossed with the last n training dates before the first search date (n rows)."""
+    """Codes crossed with the last n training dates before the first search date; fewer dates are an error."""
     before = train_dates.where(F.col("date") < F.lit(first_search).cast("date")).select("date").distinct().orderBy(F.col("date").desc()).limit(n)
-    return codes.select("code").distinct().crossJoin(F.broadcast(before))
+    enough = before.agg(F.count("*").alias("found")).select(F.when(F.col("found") == n, True).otherwise(F.raise_error(F.lit(f"fewer than {n} dates before {first_search}"))).alias("enough"))
+    return codes.select("code").distinct().crossJoin(before).crossJoin(enough).where("enough").drop("enough")
 
 
 def component_grid(panel: DataFrame, records: DataFrame) -> DataFrame:

@@ -20,12 +20,6 @@ def with_realtime(found: DataFrame, quotes: DataFrame, tolerance: float = 0.01)
     return joined.withColumn("realtime_match", F.when(F.col("price").isNotNull() & (F.col("_median") != 0), near)).drop("price", "_median")
 
 
-def recent_common(bars: DataFrame, n_sources: int, k: int) -> DataFrame:
-    """(code, date) of the last k dates that n_sources different sources have."""
-    common = bars.groupBy("code", "date").agg(F.countDistinct("source").alias("n")).where(F.col("n") == n_sources)
-    return common.withColumn("r", F.row_number().over(Window.partitionBy("code").orderBy(F.col("date").desc()))).where(F.col("r") <= k).select("code", "date")
-
-
 def ohlc_cross_check(bars: DataFrame, k: int = 8, tolerance: float = 0.005) -> DataFrame:
     """For each code over its last k dates common to all its sources: mismatching (date, field) cells and a verdict."""
     sources = bars.groupBy("code").agg(F.countDistinct("source").alias("n_sources"))
@@ -34,17 +28,18 @@ def ohlc_cross_check(bars: DataFrame, k: int = 8, tolerance: float = 0.005) -> D
     cells = bars.join(days, ["code", "date"]).unpivot(["code", "date", "source"], ["open", "high", "low", "close"], "field", "value")
     spread = cells.groupBy("code", "date", "field").agg(F.sort_array(F.collect_list("value")).alias("v"))
     upper = F.get("v", F.floor(F.size("v") / 2).cast("int"))
-    bad = spread.where((F.array_max("v") - F.array_min("v")) / F.abs(upper) > tolerance).groupBy("code").agg(F.count("*").alias("mismatches"))
+    wide = F.when(upper != 0, (F.array_max("v") - F.array_min("v")) / F.abs(upper) > tolerance)  # a median of zero is passed over
+    bad = spread.where(wide).groupBy("code").agg(F.count("*").alias("mismatches"))
     compared = days.groupBy("code").agg(F.count("*").alias("days"))
     out = sources.join(compared, "code", "left").join(bad, "code", "left").na.fill(0, ["days", "mismatches"])
     return out.withColumn("verdict", F.when(F.col("n_sources") < 2, "SKIP").when(F.col("mismatches") == 0, "PASS").otherwise(F.concat(F.lit("FAIL("), F.col("mismatches").cast("string"), F.lit(")"))))
 
 
 def deviation_profile(left: DataFrame, right: DataFrame, limit: float = 0.02) -> DataFrame:
-    """Relative deviation of right closes from left closes over common dates: mean, largest, population deviation."""
+    """Relative deviation, without its sign, of right closes from left closes over common dates: mean, largest, population deviation."""
     both = left.select("code", "date", F.col("close").alias("a")).join(right.select("code", "date", F.col("close").alias("b")), ["code", "date"]).where("a <> 0")
-    d = both.withColumn("d", (F.col("b") - F.col("a")) / F.col("a"))
-    return d.groupBy("code").agg(F.count("*").alias("days"), F.round(F.avg("d"), 4).alias("mean_dev"), F.round(F.max(F.abs("d")), 4).alias("max_dev"), F.round(F.stddev_pop("d"), 4).alias("std_dev")).withColumn("ok", F.col("std_dev") < limit)
+    d = both.withColumn("d", F.abs(F.col("b") - F.col("a")) / F.abs("a"))
+    return d.groupBy("code").agg(F.count("*").alias("days"), F.round(F.avg("d"), 4).alias("mean_dev"), F.round(F.max("d"), 4).alias("max_dev"), F.round(F.stddev_pop("d"), 4).alias("std_dev"), (F.stddev_pop("d") < limit).alias("ok"))
 
 
 def reconcile(left: DataFrame, right: DataFrame, price: float = 1e-8, volume: float = 100) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitbars.functions.symbols import ADJUSTMENT_VERSIONS, normalize_symbol
+
 IDENTITY = ["source", "adjustment_mode", "adjustment_version"]
 KEY = ["code", "date", *IDENTITY]
 
@@ -17,13 +19,15 @@ def bars_from_ticks(ticks: DataFrame) -> DataFrame:
 
 
 def scan_bars(bars: DataFrame, start: str, end: str, identity: tuple[str, str, str] | None = None, code: str | None = None, finalized_only: bool = False) -> DataFrame:
-    """Inclusive range by date; an identity filters all three parts."""
+    """Inclusive range by date; an identity filters all three parts. Without one, rows of several identities are an error."""
     out = bars.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     if identity:
         for column, value in zip(IDENTITY, identity, strict=True):
             out = out.where(F.col(column) == value)
     if code:
         out = out.where(F.col("code") == code)
+    if not identity:
+        require_one_identity(out)
     return (out.where("is_final") if finalized_only else out).orderBy("code", "date")
 
 
@@ -51,6 +55,31 @@ def write_bars(bars: DataFrame, path: str) -> None:
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*IDENTITY, "year").parquet(path)
 
 
+def stamp_batch(batch: DataFrame, source: str, mode: str, version: str | None = None, retrieved_at: str = "") -> DataFrame:
+    """The batch under one price identity (by default the mode's own version): what it says of itself must agree, or it is an error;
+    a blank retrieved_at is filled."""
+    version = version or ADJUSTMENT_VERSIONS.get(mode)
+    if not version:
+        raise ValueError(f"no default version of mode {mode}")
+    for column, value in zip(IDENTITY, (source, mode, version), strict=True):
+        own = F.col(column) if column in batch.columns else F.lit(None).cast("string")
+        batch = batch.withColumn(column, F.when(F.coalesce(own, F.lit(value)) == value, value).otherwise(F.raise_error(F.concat(F.lit(f"{column} conflicts with {value}: "), own))))
+    own = F.nullif(F.col("retrieved_at").cast("string"), F.lit("")) if "retrieved_at" in batch.columns else F.lit(None).cast("string")
+    return batch.withColumn("retrieved_at", F.coalesce(own, F.lit(retrieved_at)))
+
+
+#: The keys of a receipt.
+RECEIPT_KEYS = ["observed_at", "request", "response", "source"]
+
+
+def land_receipts(raw: DataFrame, source: str) -> DataFrame:
+    """(receipt_id, json) to receipts: exactly the four keys and the batch's source, or it is an error."""
+    r = raw.withColumn("r", F.from_json("json", "observed_at string, request string, response string, source string"))
+    keys = F.coalesce(F.array_sort(F.json_object_keys("json")) == F.array(*map(F.lit, RECEIPT_KEYS)), F.lit(False))
+    ok = F.when(keys & F.coalesce(F.col("r.source") == source, F.lit(False)), True).otherwise(F.raise_error(F.concat(F.lit("not a receipt of the batch: "), F.col("receipt_id").cast("string"))))
+    return r.where(ok).select("receipt_id", "r.source", F.col("r.request").alias("request"), F.col("r.response").alias("payload"), "r.observed_at", F.sha2("r.response", 256).alias("response_sha256"))
+
+
 def append_receipts(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """Receipts of the batch that are new by digest and id, stamped with the digest of their payload; old ones are never changed."""
     new = batch.withColumn("response_sha256", F.sha2("payload", 256))
@@ -62,11 +91,10 @@ def merge_sync_coverage(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def to_columnar(bars: DataFrame) -> DataFrame:
-    """One row of seven equally long arrays, by code and date, for a bounded selection of bars."""
-    rows = F.array_sort(F.collect_list(F.struct("code", "date", "open", "high", "low", "close", "volume")))
-    packed = bars.agg(rows.alias("r"))
+    """Parallel arrays by date, one row for each code; no bars, no row."""
+    rows = F.array_sort(F.collect_list(F.struct("date", "open", "high", "low", "close", "volume")))
     pick = lambda name: F.transform("r", lambda x: x[name])
-    return packed.select(pick("date").alias("time"), *(pick(c).alias(c) for c in ("code", "open", "high", "low", "close", "volume")))
+    return bars.groupBy("code").agg(rows.alias("r")).select("code", pick("date").alias("time"), *(pick(c).alias(c) for c in ("open", "high", "low", "close", "volume")))
 
 
 def finalized_view(bars: DataFrame, latest: Column) -> DataFrame:
@@ -107,11 +135,22 @@ def missing_gaps(covered: DataFrame, start: str, end: str) -> DataFrame:
     return covered.select("code", F.explode(F.filter(gaps, lambda g: g["gap_start"] <= g["gap_end"])).alias("g")).select("code", "g.*")
 
 
-def overlay_today(bars: DataFrame, quote_bars: DataFrame) -> DataFrame:
-    """Quote bars replace bars of the same code and date, or are added; they are never final."""
+def overlay_today(bars: DataFrame, quote_bars: DataFrame, start: str | None = None, end: str | None = None, today: str | None = None) -> DataFrame:
+    """Quote bars replace bars of the same code and date, or are added; they are never final. With a range, only quotes within it count,
+    and none where the range ends before today."""
+    if start and end:
+        quote_bars = quote_bars.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")) & F.lit(not today or end >= today))
     return bars.join(quote_bars, ["code", "date"], "left_anti").unionByName(quote_bars.withColumn("is_final", F.lit(False)))
 
 
+def get_history(bars: DataFrame, quote_bars: DataFrame, codes: DataFrame, start: str, end: str, today: str, latest: Column, finalized_only: bool = False) -> DataFrame:
+    """Bars of one identity for the codes (raw spellings, column raw) within the range, today's quotes laid over them."""
+    wanted = codes.select(normalize_symbol(F.col("raw")).alias("code")).where("code is not null").distinct()
+    rows = bars.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    rows = finalized_view(rows, latest) if finalized_only else overlay_today(rows, quote_bars, start, end, today)
+    return rows.join(wanted, "code", "left_semi")
+
+
 def plan_sync(requested: DataFrame, recorded: DataFrame, covered: DataFrame, start: str, end: str) -> DataFrame:
     """Gaps of each requested code by its recorded coverage, else by its final rows; a code without gaps is up to date."""
     known = requested.join(recorded.select("code", F.col("start_date").alias("s1"), F.col("end_date").alias("e1")), "code", "left").join(covered.select("code", F.col("start_date").alias("s2"), F.col("end_date").alias("e2")), "code", "left")

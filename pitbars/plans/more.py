@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pitbars.functions import symbols
 from pitbars.functions.digest import content_digest, money, record_sha256
 from pitbars.operators import evidence, panels
-from pitbars.plans.oracle import CLICK, sql
+from pitbars.plans.oracle import CLICK, COVERS, sql
 from pitbars.sources import landing
 from pitbars.sources import views as v
 
@@ -55,8 +55,8 @@ def warmup_panel(s, d):
 
 def component_grid(s, d):
     p = v.panel(s, d)
-    records = p.select(F.explode(F.array(*map(F.lit, panels.COMPONENTS[:7]))).alias("component"), "code", "date", F.day("date").alias("n"))
-    twice = records.unionByName(records.where("component = 'status' and n % 5 = 0")).where("not (component = 'universe' and n % 7 = 0)")
+    records = p.select(F.explode(F.array(*(F.lit(c) for c in panels.COMPONENTS if c != "decision_context"))).alias("component"), "code", "date", F.day("date").alias("n"))
+    twice = records.unionByName(records.where("component = 'instrument_status' and n % 5 = 0")).where("not (component = 'universe' and n % 7 = 0)")
     return panels.component_grid(p, twice)
 
 
@@ -86,12 +86,12 @@ def daily_record_counts(s, d):
 
 
 def duplicate_records(s, d):
-    return panels.duplicate_records(v.bars(s, d), record_sha256(F.col("code"), F.col("date")))
+    return panels.duplicate_records(v.bars(s, d), record_sha256(code=F.col("code"), date=F.col("date")))
 
 
 def snapshot_manifest(s, d):
     rows = _click(s, d).where("is_final and date <= date '2024-01-20'")
-    found = content_digest(rows, [F.col("code"), F.col("date"), money(F.col("close"))], [F.col("code"), F.year("date")])
+    found = content_digest(rows, {"code": F.col("code"), "date": F.col("date"), "close": money(F.col("close"))}, [F.col("code"), F.year("date")])
     return found.select(F.concat(F.lit("2024-01-20-"), F.substring("digest", 1, 16)).alias("snapshot_id"), "digest", "row_count")
 
 
@@ -103,7 +103,9 @@ QUERIES = {f.__name__: f for f in (land_fields_rows, land_kline_pages, land_quot
 
 M = "CAST(CAST({} AS DECIMAL(18,2)) AS DOUBLE) AS {}"
 BOARD = "CASE WHEN substr(code, 1, 3) IN ('300', '301') THEN 'CHINEXT' WHEN substr(code, 1, 3) IN ('688', '689') THEN 'STAR' ELSE 'MAIN' END"
-COMP = ", ".join(f"'{c}'" for c in panels.COMPONENTS)
+RECORD3 = "CAST(to_json({'close': CAST(CAST(close AS DECIMAL(18,2)) AS VARCHAR), 'code': code, 'date': CAST(date AS VARCHAR)}) AS VARCHAR)"
+RECORD2 = "CAST(to_json({'code': code, 'date': CAST(date AS VARCHAR)}) AS VARCHAR)"
+COMP = "'corporate_actions', 'decision_context', 'execution_prices', 'instrument_status', 'market_rules', 'signal_prices', 'trading_calendar', 'universe'"
 LATE = "CASE WHEN CAST(o AS DATE) < date OR (CAST(o AS DATE) = date AND CAST(o AS TIME) < TIME '15:00:00') THEN 'a' WHEN CAST(o AS DATE) = date THEN NULL WHEN nd IS NULL THEN 'b' WHEN CAST(o AS DATE) <> nd OR CAST(o AS TIME) >= TIME '09:25:00' THEN 'c' END"
 
 ORACLE_SQL = {
@@ -113,13 +115,13 @@ ORACLE_SQL = {
     "plan_year_pages": "WITH c AS (SELECT c_custkey AS key, DATE '2020-01-01' + CAST(c_custkey % 700 AS INTEGER) AS a, DATE '2020-01-01' + CAST(c_custkey % 700 + c_custkey % 1500 AS INTEGER) AS b FROM customer), y AS (SELECT *, unnest(range(year(a), year(b) + 1)) AS y FROM c) SELECT key, greatest(a, make_date(y, 1, 1)) AS page_start, least(b, make_date(y, 12, 31)) AS page_end FROM y",
     "panel_product_missing": sql("SELECT code, date FROM (SELECT DISTINCT code FROM k), (SELECT DISTINCT date FROM k) EXCEPT SELECT code, date FROM k", f"k AS (SELECT code, date FROM bars JOIN panel USING (code, date) WHERE {CLICK})"),
     "warmup_panel": sql("SELECT code, date FROM (SELECT DISTINCT code FROM panel), (SELECT date FROM sessions WHERE date < DATE '2024-01-15' ORDER BY date DESC LIMIT 3)"),
-    "component_grid": sql(f"SELECT component, code, date, CAST(CASE WHEN component = 'records' OR (component = 'universe' AND day(date) % 7 = 0) THEN 0 ELSE 2 END AS BIGINT) AS times FROM (SELECT unnest([{COMP}]) AS component, code, date FROM panel) WHERE component = 'records' OR (component = 'universe' AND day(date) % 7 = 0) OR (component = 'status' AND day(date) % 5 = 0)"),
+    "component_grid": sql(f"SELECT component, code, date, CAST(CASE WHEN component = 'decision_context' OR (component = 'universe' AND day(date) % 7 = 0) THEN 0 ELSE 2 END AS BIGINT) AS times FROM (SELECT unnest([{COMP}]) AS component, code, date FROM panel) WHERE component = 'decision_context' OR (component = 'universe' AND day(date) % 7 = 0) OR (component = 'instrument_status' AND day(date) % 5 = 0)"),
     "cohort_missing": sql(f"SELECT DISTINCT code FROM panel WHERE code NOT IN (SELECT code FROM bars WHERE {CLICK} AND date = DATE '2024-01-10')"),
     "universe_covers_panel": sql("SELECT code, date FROM panel EXCEPT SELECT code, date FROM bars"),
     "listing_interval": sql("SELECT c_custkey, count(*) AS days FROM (SELECT c_custkey, DATE '2023-12-20' + CAST(c_custkey % 40 AS INTEGER) AS ipo, CASE WHEN c_custkey % 3 = 0 THEN DATE '2024-01-10' + CAST(c_custkey % 17 AS INTEGER) END AS o FROM customer) JOIN sessions ON date >= ipo AND (o IS NULL OR date < o) GROUP BY c_custkey"),
     "rules_asof": sql(f"SELECT code, date, 'limit' AS rule, CASE WHEN b = 'CHINEXT' AND date >= DATE '2024-01-15' THEN 0.2 ELSE 0.1 END::DOUBLE AS value FROM k WHERE b IN ('MAIN', 'CHINEXT') UNION ALL SELECT code, date, 'stamp', CASE WHEN date >= DATE '2024-01-20' THEN 0.001 ELSE 0.0005 END::DOUBLE FROM k WHERE b = 'MAIN'", f"k AS (SELECT code, date, {BOARD} AS b FROM bars WHERE {CLICK})"),
     "daily_record_counts": sql(f"SELECT coalesce(a.date, b.date) AS date, coalesce(found, 0) AS found, coalesce(declared, 0) AS declared FROM (SELECT date, count(*) AS found FROM bars WHERE {CLICK} GROUP BY date) a FULL JOIN (SELECT date, count(*) AS declared FROM bars WHERE source = 'view' GROUP BY date) b ON a.date = b.date WHERE coalesce(found, 0) <> coalesce(declared, 0)"),
-    "duplicate_records": sql("SELECT sha256(code || '|' || CAST(date AS VARCHAR)) AS record_sha256, count(*) AS times FROM bars GROUP BY code, date HAVING count(*) > 1"),
-    "snapshot_manifest": sql("SELECT '2024-01-20-' || substr(x, 1, 16) AS snapshot_id, x AS digest, CAST(n AS BIGINT) AS row_count FROM (SELECT sha256(string_agg(d, ',' ORDER BY d)) AS x, sum(n) AS n FROM g)", f"g AS (SELECT sha256(string_agg(d, ',' ORDER BY d)) AS d, count(*) AS n FROM (SELECT code, year(date) AS y, sha256(code || '|' || CAST(date AS VARCHAR) || '|' || CAST(CAST(close AS DECIMAL(18,2)) AS VARCHAR)) AS d FROM bars WHERE {CLICK} AND is_final AND date <= DATE '2024-01-20') GROUP BY code, y)"),
-    "priced_panel": sql(f"SELECT code, date, close, receipt_id FROM (SELECT sel.*, {LATE} AS late FROM sel JOIN nx USING (date)) WHERE late IS NULL", f"chosen AS (SELECT b.* FROM bars b JOIN panel USING (code, date) WHERE {CLICK} AND is_final), nx AS (SELECT date, lead(date) OVER (ORDER BY date) AS nd FROM (SELECT DISTINCT date FROM chosen)), sel AS (SELECT c.*, r.observed_at AS o FROM chosen c JOIN receipts r ON r.receipt_id = c.receipt_id AND r.source = c.source WHERE r.response_sha256 = sha256(r.payload) AND r.observed_at = r.retrieved_at AND r.payload = c.code || '|' || CAST(c.date AS VARCHAR) || '|' || CAST(CAST(c.close AS DECIMAL(18,2)) AS VARCHAR))"),
+    "duplicate_records": sql(f"SELECT sha256({RECORD2}) AS record_sha256, count(*) AS times FROM bars GROUP BY code, date HAVING count(*) > 1"),
+    "snapshot_manifest": sql("SELECT '2024-01-20-' || substr(x, 1, 16) AS snapshot_id, x AS digest, CAST(n AS BIGINT) AS row_count FROM (SELECT sha256(string_agg(d, ',' ORDER BY d)) AS x, sum(n) AS n FROM g)", f"g AS (SELECT sha256(string_agg(d, ',' ORDER BY d)) AS d, count(*) AS n FROM (SELECT code, year(date) AS y, sha256({RECORD3}) AS d FROM bars WHERE {CLICK} AND is_final AND date <= DATE '2024-01-20') GROUP BY code, y)"),
+    "priced_panel": sql(f"SELECT code, date, close, receipt_id FROM (SELECT sel.*, {LATE} AS late FROM sel JOIN nx USING (date)) WHERE late IS NULL", f"chosen AS (SELECT b.* FROM bars b JOIN panel USING (code, date) WHERE {CLICK} AND is_final), nx AS (SELECT date, lead(date) OVER (ORDER BY date) AS nd FROM (SELECT DISTINCT date FROM chosen)), sel AS (SELECT c.*, r.observed_at AS o, payload FROM chosen c JOIN receipts r ON r.receipt_id = c.receipt_id AND r.source = c.source WHERE r.response_sha256 = sha256(r.payload) AND r.observed_at = r.retrieved_at AND {COVERS})"),
 }

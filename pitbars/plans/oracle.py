@@ -7,15 +7,16 @@ bars AS (SELECT code, date, source, 'raw' AS adjustment_mode, source || '-v1' AS
   arg_min(value, (local_ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (local_ts, event_id)) AS close,
   CAST(count(*) * 100 AS BIGINT) AS volume, min(event_id) AS receipt_id, date < (SELECT max(date) FROM ticks) AS is_final
   FROM ticks GROUP BY code, date, source),
-receipts0 AS (SELECT receipt_id, CASE WHEN receipt_id % 13 = 0 THEN 'other' ELSE source END AS source,
+receipts0 AS (SELECT receipt_id, CASE WHEN receipt_id % 43 = 0 THEN NULL WHEN receipt_id % 13 = 0 THEN 'other' ELSE source END AS source,
   CAST(date AS TIMESTAMP) + INTERVAL 14 HOUR + to_minutes(CAST((receipt_id % 48) * 30 AS INTEGER)) AS observed_at,
-  code || '|' || CAST(date AS VARCHAR) || '|' || CAST(CAST(close + CASE WHEN receipt_id % 19 = 0 THEN 1 ELSE 0 END AS DECIMAL(18,2)) AS VARCHAR) AS payload
+  CASE WHEN receipt_id % 29 <> 0 THEN '{"fields":"date,open,high,low,close,volume","rows":[["' || date || '","' || CAST(open + CASE WHEN receipt_id % 23 = 0 THEN 1 ELSE 0 END AS DECIMAL(18,2)) || '","' || CAST(high AS DECIMAL(18,2))
+  || '","' || CAST(low AS DECIMAL(18,2)) || '","' || CAST(close + CASE WHEN receipt_id % 19 = 0 THEN 1 ELSE 0 END AS DECIMAL(18,2)) || '","' || volume || '"]]}' END AS payload
   FROM bars WHERE receipt_id % 7 <> 0),
-receipts AS (SELECT *, CASE WHEN receipt_id % 11 = 0 THEN 'bad' ELSE sha256(payload) END AS response_sha256,
-  observed_at - to_minutes(CASE WHEN receipt_id % 17 = 0 THEN 10 ELSE 0 END) AS retrieved_at FROM receipts0),
+receipts AS (SELECT receipt_id, source, payload, CASE WHEN receipt_id % 37 = 0 THEN NULL WHEN receipt_id % 11 = 0 THEN 'bad' ELSE sha256(payload) END AS response_sha256,
+  CASE WHEN receipt_id % 31 <> 0 THEN observed_at - to_minutes(CASE WHEN receipt_id % 17 = 0 THEN 10 ELSE 0 END) END AS retrieved_at, CASE WHEN receipt_id % 41 <> 0 THEN observed_at END AS observed_at FROM receipts0),
 sessions AS (SELECT DISTINCT date FROM bars WHERE isodow(date) < 6),
 nexts AS (SELECT date, lead(date) OVER (ORDER BY date) AS next_date FROM sessions),
-panel AS (SELECT c.code, s.date FROM (SELECT DISTINCT code FROM bars WHERE CAST(substr(code, 2, 5) AS INTEGER) % 5 = 0) c CROSS JOIN sessions s),
+panel AS (SELECT c.code, s.date FROM (SELECT DISTINCT code FROM bars) c CROSS JOIN sessions s),
 calendar AS (SELECT CAST(d AS DATE) AS date, isodow(d) < 6 AS is_trading_day FROM (SELECT unnest(generate_series(CAST(min(date) AS TIMESTAMP), CAST(max(date) AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM ticks)),
 quotes AS (SELECT code, arg_max(value, (local_ts, event_id)) * CASE WHEN CAST(substr(code, 2, 5) AS INTEGER) % 4 = 0 THEN 1.02 ELSE 1.0 END AS price, max(date) AS date FROM ticks GROUP BY code),
 batch0 AS (SELECT code, date, source, adjustment_mode, adjustment_version, open, high, low, close + 0.5 AS close, volume, receipt_id, is_final FROM bars WHERE date > (SELECT max(date) FROM bars) - 10),
@@ -28,6 +29,11 @@ normal AS (SELECT p_partkey, raw, CASE WHEN regexp_matches(u, '^[0-9]{6}[.](SH|S
 """
 
 
+#: Whether the response of a receipt holds the bar beside it.
+COVERS = "coalesce(payload->>'$.rows[0][0]' = CAST(date AS VARCHAR) AND " + " AND ".join(f"CAST(payload->>'$.rows[0][{k}]' AS DOUBLE) = {c}" for k, c in enumerate(("open", "high", "low", "close", "volume"), 1)) + ", false)"
+RECORD = "CAST(to_json({'close': CAST(CAST(close AS DECIMAL(18,2)) AS VARCHAR), 'code': code, 'date': CAST(date AS VARCHAR), 'source': source}) AS VARCHAR)"
+
+
 def sql(body: str, more: str = "") -> str:
     return f"WITH {VIEWS}{', ' + more if more else ''} {body}"
 
@@ -54,7 +60,7 @@ ORACLE_SQL: dict[str, str] = {
     "dedup_last_wins": sql("SELECT code, date, source, close FROM (SELECT *, row_number() OVER (PARTITION BY code, date ORDER BY receipt_id DESC) AS rn FROM batch WHERE adjustment_version <> 'click-v2') WHERE rn = 1"),
     "append_receipts": sql("SELECT receipt_id, source, response_sha256 FROM receipts UNION ALL SELECT receipt_id, source, sha256(code || '|' || CAST(date AS VARCHAR)) FROM batch WHERE adjustment_version <> 'click-v2' AND receipt_id NOT IN (SELECT receipt_id FROM receipts)"),
     "merge_sync_coverage": sql("SELECT code, source, adjustment_mode, adjustment_version, min(s) AS start_date, max(e) AS end_date FROM (SELECT code, source, adjustment_mode, adjustment_version, start_date AS s, end_date AS e FROM coverage UNION ALL SELECT code, source, adjustment_mode, adjustment_version, min(date), max(date) FROM batch GROUP BY ALL) GROUP BY code, source, adjustment_mode, adjustment_version"),
-    "to_columnar": sql("SELECT " + ", ".join(f"string_agg(CAST({e} AS VARCHAR), ',' ORDER BY code, date) AS {n}" for n, e in (("time", "date"), ("code", "code"), *((c, f"CAST({c} AS DECIMAL(18,2))") for c in ("open", "high", "low", "close")), ("volume", "volume"))) + f" FROM bars WHERE {CLICK} AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-08'"),
+    "to_columnar": sql("SELECT code, " + ", ".join(f"string_agg(CAST({e} AS VARCHAR), ',' ORDER BY date) AS {n}" for n, e in (("time", "date"), *((c, f"CAST({c} AS DECIMAL(18,2))") for c in ("open", "high", "low", "close")), ("volume", "volume"))) + f" FROM bars WHERE {CLICK} GROUP BY code"),
     "covered_range": sql("SELECT code, source, adjustment_mode, adjustment_version, min(date) AS start_date, max(date) AS end_date FROM bars WHERE is_final GROUP BY ALL"),
     "identity_coverage": sql("SELECT source, adjustment_mode, adjustment_version, count(*) AS n_rows, count(*) FILTER (is_final) AS n_final, count(receipt_id) AS n_linked, min(date) AS start_date, max(date) AS end_date FROM bars GROUP BY ALL"),
     "table_counts": sql("SELECT count(*) AS total, count(*) FILTER (is_final) AS finalized, count(r.receipt_id) AS linked, count(*) - count(r.receipt_id) AS missing_receipt FROM bars b LEFT JOIN receipts r USING (receipt_id)"),
@@ -72,12 +78,12 @@ ORACLE_SQL: dict[str, str] = {
     "consensus": sql("SELECT code, date, round(m, 4) AS consensus, n AS n_sources, coalesce(o, '') AS outliers, o IS NULL AS agreement FROM cons", MEDIANS),
     "consensus_realtime": sql("SELECT c.code, c.date, round(m, 4) AS consensus, n AS n_sources, coalesce(o, '') AS outliers, o IS NULL AS agreement, CASE WHEN q.price IS NOT NULL AND m <> 0 THEN abs(q.price - m) / abs(m) <= 0.01 END AS realtime_match FROM cons c LEFT JOIN quotes q ON q.code = c.code AND q.date = c.date", MEDIANS),
     "ohlc_cross_check": sql("""SELECT code, ns AS n_sources, coalesce(days, 0) AS days, coalesce(bad, 0) AS mismatches, CASE WHEN ns < 2 THEN 'SKIP' WHEN coalesce(bad, 0) = 0 THEN 'PASS' ELSE 'FAIL(' || bad || ')' END AS verdict
-        FROM ns LEFT JOIN (SELECT code, count(*) AS days FROM dd GROUP BY code) USING (code) LEFT JOIN (SELECT code, count(*) AS bad FROM sp WHERE (list_max(v) - list_min(v)) / abs(v[len(v) // 2 + 1]) > 0.005 GROUP BY code) USING (code)""",
+        FROM ns LEFT JOIN (SELECT code, count(*) AS days FROM dd GROUP BY code) USING (code) LEFT JOIN (SELECT code, count(*) AS bad FROM sp WHERE v[len(v) // 2 + 1] <> 0 AND (list_max(v) - list_min(v)) / abs(v[len(v) // 2 + 1]) > 0.005 GROUP BY code) USING (code)""",
         """ns AS (SELECT code, count(DISTINCT source) AS ns FROM bars GROUP BY code),
         dd AS (SELECT code, date FROM (SELECT code, date, row_number() OVER (PARTITION BY code ORDER BY date DESC) AS rn FROM (SELECT code, date FROM bars JOIN ns USING (code) GROUP BY code, date, ns HAVING count(DISTINCT source) = ns)) WHERE rn <= 8),
         cells AS (SELECT code, date, 'open' AS f, open AS x FROM bars UNION ALL SELECT code, date, 'high', high FROM bars UNION ALL SELECT code, date, 'low', low FROM bars UNION ALL SELECT code, date, 'close', close FROM bars),
         sp AS (SELECT code, date, f, list(x ORDER BY x) AS v FROM cells JOIN dd USING (code, date) GROUP BY code, date, f)"""),
-    "deviation_profile": sql("SELECT code, count(*) AS days, round(avg(d), 4) AS mean_dev, round(max(abs(d)), 4) AS max_dev, round(stddev_pop(d), 4) AS std_dev, round(stddev_pop(d), 4) < 0.02 AS ok FROM (SELECT a.code, (b.close - a.close) / a.close AS d FROM bars a JOIN bars b ON a.code = b.code AND a.date = b.date WHERE a.source = 'click' AND b.source = 'view' AND a.close <> 0) GROUP BY code"),
+    "deviation_profile": sql("SELECT code, count(*) AS days, round(avg(d), 4) AS mean_dev, round(max(d), 4) AS max_dev, round(stddev_pop(d), 4) AS std_dev, stddev_pop(d) < 0.02 AS ok FROM (SELECT a.code, abs(b.close - a.close) / abs(a.close) AS d FROM bars a JOIN bars b ON a.code = b.code AND a.date = b.date WHERE a.source = 'click' AND b.source = 'view' AND a.close <> 0) GROUP BY code"),
     "reconcile_sources": sql("SELECT code, count(*) FILTER (l AND r) AS matched, count(*) FILTER (l AND NOT r) AS left_only, count(*) FILTER (r AND NOT l) AS right_only, count(*) FILTER (d1 OR d2 OR d3 OR d4 OR d5) AS mismatched FROM rec GROUP BY code", RECON),
     "reconcile_fields": sql("SELECT code, f AS field, count(*) AS mismatches FROM (SELECT code, unnest(['open', 'high', 'low', 'close', 'volume']) AS f, unnest([d1, d2, d3, d4, d5]) AS d FROM rec) WHERE d GROUP BY code, f", RECON),
     "calendar_gaps": sql("""SELECT s.code, coalesce(holes, 0) AS holes, coalesce(lag, 0) AS lag, coalesce(holes, 0) = 0 AND coalesce(lag, 0) = 0 AS complete FROM s LEFT JOIN
@@ -100,15 +106,15 @@ ORACLE_SQL: dict[str, str] = {
     "price_availability": sql("""SELECT receipt_id, CASE WHEN CAST(o AS DATE) < date OR (CAST(o AS DATE) = date AND CAST(o AS TIME) < TIME '15:00:00') THEN 'availability_precedes_finalization' WHEN CAST(o AS DATE) = date THEN NULL
         WHEN next_date IS NULL THEN 'unknown_next_session' WHEN CAST(o AS DATE) <> next_date OR CAST(o AS TIME) >= TIME '09:25:00' THEN 'post_hoc_availability' END AS error
         FROM (SELECT b.receipt_id, b.date, r.observed_at AS o, n.next_date FROM bars b JOIN receipts r USING (receipt_id) LEFT JOIN nexts n ON n.date = b.date)"""),
-    "execution_cutoff": sql("SELECT receipt_id, kind, CAST(observed_at AS DATE) < date OR (CAST(observed_at AS DATE) = date AND CAST(observed_at AS TIME) <= CASE kind WHEN 'prices' THEN TIME '15:05:00' ELSE TIME '09:25:00' END) AS ok FROM bars JOIN receipts USING (receipt_id), (SELECT unnest(['prices', 'rules']) AS kind)"),
-    "record_sha256": sql("SELECT receipt_id, sha256(code || '|' || CAST(date AS VARCHAR) || '|' || source || '|' || CAST(CAST(close AS DECIMAL(18,2)) AS VARCHAR)) AS record_sha256 FROM bars"),
-    "field_validity": sql("SELECT receipt_id, regexp_matches(response_sha256, '^[0-9a-f]{64}$') AS sha_ok, true AS entry_ok, receipt_id % 2 = 0 AS stamp_ok FROM receipts"),
-    "legacy_identity": sql("SELECT receipt_id, CASE WHEN receipt_id % 3 = 0 THEN 'legacy_unknown' ELSE source END AS source, CASE WHEN receipt_id % 5 = 0 THEN 'unknown' ELSE adjustment_mode END AS adjustment_mode, adjustment_version FROM bars"),
+    "execution_cutoff": sql("SELECT receipt_id, kind, CAST(observed_at AS DATE) < date OR (CAST(observed_at AS DATE) = date AND CAST(observed_at AS TIME) <= CASE WHEN kind LIKE '%_prices' THEN TIME '15:05:00' ELSE TIME '09:25:00' END) AS ok FROM bars JOIN receipts USING (receipt_id), (SELECT unnest(['execution_prices', 'signal_prices', 'market_rules']) AS kind)"),
+    "record_sha256": sql("SELECT receipt_id, sha256(" + RECORD + ") AS record_sha256 FROM bars"),
+    "field_validity": sql("SELECT receipt_id, coalesce(len(response_sha256) = 64, false) AS sha_ok, receipt_id % 6 = 0 AS entry_ok, receipt_id % 6 IN (0, 4) AS stamp_ok FROM receipts"),
+    "legacy_identity": sql("SELECT receipt_id, CASE WHEN receipt_id % 3 = 0 THEN 'legacy_unknown' ELSE source END AS source, CASE WHEN receipt_id % 5 = 0 THEN 'unknown' ELSE adjustment_mode END AS adjustment_mode, adjustment_version, CASE WHEN receipt_id % 4 = 1 THEN '2024-01-01' ELSE '2024-03-01' END AS retrieved_at, receipt_id % 2 = 1 OR is_final AS is_final FROM bars"),
     "bars_with_receipts": sql("SELECT b.code, b.date, b.source, b.receipt_id, r.source AS receipt_source, r.response_sha256, r.observed_at FROM bars b LEFT JOIN receipts r USING (receipt_id)"),
     "panel_select": sql(f"SELECT {BAR} FROM bars b WHERE {CLICK} AND EXISTS (SELECT 1 FROM panel p WHERE p.code = b.code AND p.date = b.date)"),
     "panel_missing": sql(f"SELECT code, date FROM panel p WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE {CLICK} AND b.code = p.code AND b.date = p.date)"),
-    "panel_digest": sql("SELECT sha256(string_agg(code || '@' || CAST(date AS VARCHAR), ',' ORDER BY code || '@' || CAST(date AS VARCHAR))) AS digest, count(*) AS entries FROM panel"),
-    "content_digest": sql("SELECT sha256(string_agg(d, ',' ORDER BY d)) AS digest, CAST(sum(n) AS BIGINT) AS row_count FROM g", "g AS (SELECT sha256(string_agg(d, ',' ORDER BY d)) AS d, count(*) AS n FROM (SELECT code, year(date) AS y, sha256(code || '|' || CAST(date AS VARCHAR) || '|' || source || '|' || CAST(CAST(close AS DECIMAL(18,2)) AS VARCHAR)) AS d FROM bars WHERE is_final) GROUP BY code, y)"),
+    "panel_digest": sql("SELECT sha256(string_agg(d, ',' ORDER BY d)) AS digest, CAST(sum(n) AS BIGINT) AS entries FROM (SELECT sha256(string_agg(code || '@' || CAST(date AS VARCHAR), ',' ORDER BY date)) AS d, count(*) AS n FROM panel GROUP BY code)"),
+    "content_digest": sql("SELECT sha256(string_agg(d, ',' ORDER BY d)) AS digest, CAST(sum(n) AS BIGINT) AS row_count FROM g", "g AS (SELECT sha256(string_agg(d, ',' ORDER BY d)) AS d, count(*) AS n FROM (SELECT code, year(date) AS y, sha256(" + RECORD + ") AS d FROM bars WHERE is_final) GROUP BY code, y)"),
     "calendar_spine": sql("SELECT s.date, coalesce(n, 0) AS times FROM calendar s LEFT JOIN (SELECT date, count(*) AS n FROM (SELECT DISTINCT date FROM bars WHERE source = 'click' UNION ALL SELECT DISTINCT date FROM bars WHERE source = 'view' AND day(date) % 7 = 0) GROUP BY date) USING (date) WHERE coalesce(n, 0) <> 1"),
     "date_set_ops": sql("SELECT 'common' AS side, code, date FROM (SELECT code, date FROM bars WHERE source = 'click' INTERSECT SELECT code, date FROM bars WHERE source = 'view') UNION ALL SELECT 'only_left', code, date FROM (SELECT code, date FROM bars WHERE source = 'click' EXCEPT SELECT code, date FROM bars WHERE source = 'view') UNION ALL SELECT 'only_right', code, date FROM (SELECT code, date FROM bars WHERE source = 'view' EXCEPT SELECT code, date FROM bars WHERE source = 'click')"),
     "same_set": sql("SELECT 'left' AS side, code FROM (SELECT DISTINCT code FROM coverage EXCEPT SELECT DISTINCT code FROM panel) UNION ALL SELECT 'right', code FROM (SELECT DISTINCT code FROM panel EXCEPT SELECT DISTINCT code FROM coverage)"),
@@ -118,12 +124,13 @@ ORACLE_SQL: dict[str, str] = {
         av AS (SELECT sel.*, CASE WHEN CAST(o AS DATE) < sel.date OR (CAST(o AS DATE) = sel.date AND CAST(o AS TIME) < TIME '15:00:00') THEN 'availability_precedes_finalization' WHEN CAST(o AS DATE) = sel.date THEN NULL WHEN nd IS NULL THEN 'unknown_next_session' WHEN CAST(o AS DATE) <> nd OR CAST(o AS TIME) >= TIME '09:25:00' THEN 'post_hoc_availability' END AS late FROM sel JOIN nx ON nx.date = sel.date),
         f AS (SELECT 'missing_panel_rows' AS blocker, code || '@' || CAST(date AS VARCHAR) AS sample FROM panel p WHERE NOT EXISTS (SELECT 1 FROM sel WHERE sel.code = p.code AND sel.date = p.date)
           UNION ALL SELECT 'no_selected_rows', 'panel' WHERE NOT EXISTS (SELECT 1 FROM sel)
-          UNION ALL SELECT 'non_final_rows', sample FROM av WHERE NOT is_final UNION ALL SELECT 'missing_receipts', sample FROM av WHERE rid IS NULL
-          UNION ALL SELECT 'receipt_source_mismatch', sample FROM av WHERE rid IS NOT NULL AND rsource <> source UNION ALL SELECT 'receipt_hash_mismatch', sample FROM av WHERE rid IS NOT NULL AND sha <> sha256(payload)
-          UNION ALL SELECT 'receipt_response_mismatch', sample FROM av WHERE rid IS NOT NULL AND sha = sha256(payload) AND payload <> code || '|' || CAST(date AS VARCHAR) || '|' || CAST(CAST(close AS DECIMAL(18,2)) AS VARCHAR)
-          UNION ALL SELECT 'receipt_timestamp_mismatch', sample FROM av WHERE rid IS NOT NULL AND o <> t UNION ALL SELECT 'invalid_availability_timestamp', sample FROM av WHERE rid IS NOT NULL AND o IS NULL
-          UNION ALL SELECT late, sample FROM av WHERE rid IS NOT NULL AND late IS NOT NULL)"""),
-    "get_history": sql(f"SELECT code, date, close, is_final FROM (SELECT code, date, close, is_final FROM bars b WHERE {CLICK} AND NOT EXISTS (SELECT 1 FROM quotes q WHERE q.code = b.code AND q.date = b.date) UNION ALL SELECT code, date, price, false FROM quotes) WHERE date BETWEEN DATE '2024-01-10' AND DATE '2024-02-10' AND code IN (SELECT code FROM panel)"),
+          UNION ALL SELECT 'non_final_rows', sample FROM av WHERE NOT is_final UNION ALL SELECT 'missing_receipts', sample FROM av WHERE payload IS NULL
+          UNION ALL SELECT 'receipt_source_mismatch', sample FROM av WHERE payload IS NOT NULL AND rsource IS DISTINCT FROM source UNION ALL SELECT 'receipt_hash_mismatch', sample FROM av WHERE payload IS NOT NULL AND sha IS DISTINCT FROM sha256(payload)
+          UNION ALL SELECT 'receipt_response_mismatch', sample FROM av WHERE sha = sha256(payload) AND NOT {COVERS}
+          UNION ALL SELECT 'receipt_timestamp_mismatch', sample FROM av WHERE payload IS NOT NULL AND o <> t UNION ALL SELECT 'invalid_availability_timestamp', sample FROM av WHERE payload IS NOT NULL AND (o IS NULL OR t IS NULL)
+          UNION ALL SELECT late, sample FROM av WHERE payload IS NOT NULL AND t IS NOT NULL AND late IS NOT NULL)"""),
+    "receipt_covers_bar": sql(f"SELECT receipt_id, {COVERS} AS covers FROM bars LEFT JOIN (SELECT receipt_id, payload FROM receipts) USING (receipt_id)"),
+    "get_history": sql(f"SELECT code, date, close, is_final FROM (SELECT code, date, close, is_final FROM bars b WHERE {CLICK} AND NOT EXISTS (SELECT 1 FROM quotes q WHERE q.code = b.code AND q.date = b.date) UNION ALL SELECT code, date, price, false FROM quotes WHERE date <= DATE '2024-02-10') WHERE date BETWEEN DATE '2024-01-10' AND DATE '2024-02-10'"),
     "cross_check": sql("SELECT c.code, c.date, round(m, 4) AS consensus, n AS n_sources, coalesce(o, '') AS outliers, o IS NULL AS agreement, CASE WHEN q.price IS NOT NULL AND m <> 0 THEN abs(q.price - m) / abs(m) <= 0.01 END AS realtime_match FROM cons c LEFT JOIN quotes q ON q.code = c.code AND q.date = c.date",
         "two AS (SELECT * FROM bars WHERE source IN ('click', 'view') AND date BETWEEN DATE '2024-01-10' AND DATE '2024-01-31'), " + MEDIANS.replace("FROM bars", "FROM two")),
 }

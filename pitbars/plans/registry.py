@@ -64,10 +64,10 @@ def merge_sync_coverage(s, d):
 
 @query
 def to_columnar(s, d):
-    out = store.to_columnar(store.scan_bars(v.bars(s, d), "2024-01-05", "2024-01-08", CLICK))
+    out = store.to_columnar(store.scan_bars(v.bars(s, d), "2000-01-01", "2100-01-01", CLICK))
     prices = ("open", "high", "low", "close")
     text = {c: digest.money if c in prices else (lambda x: x.cast("string")) for c in out.columns}
-    return out.select(*(F.array_join(F.transform(c, text[c]), ",").alias(c) for c in out.columns))
+    return out.select(*(F.array_join(F.transform(c, text[c]), ",").alias(c) for c in out.columns if c != "code"), "code")
 
 
 @query
@@ -243,30 +243,32 @@ def capture_admissible(s, d):
 
 @query
 def price_availability(s, d):
-    joined = v.bars(s, d).join(v.receipts(s, d).select("receipt_id", "observed_at"), "receipt_id").join(F.broadcast(quality.next_session(v.sessions(s, d))), "date", "left")
+    joined = v.bars(s, d).join(v.receipts(s, d).select("receipt_id", "observed_at"), "receipt_id").join(quality.next_session(v.sessions(s, d)), "date", "left")
     return joined.select("receipt_id", clock.price_availability_error(F.col("date"), F.col("observed_at"), F.col("next_date")).alias("error"))
 
 
 @query
 def execution_cutoff(s, d):
-    joined = v.bars(s, d).join(v.receipts(s, d).select("receipt_id", "observed_at"), "receipt_id").withColumn("kind", F.explode(F.array(F.lit("prices"), F.lit("rules"))))
+    joined = v.bars(s, d).join(v.receipts(s, d).select("receipt_id", "observed_at"), "receipt_id").withColumn("kind", F.explode(F.array(F.lit("execution_prices"), F.lit("signal_prices"), F.lit("market_rules"))))
     return joined.select("receipt_id", "kind", clock.execution_cutoff_ok(F.col("kind"), F.col("date"), F.col("observed_at")).alias("ok"))
 
 
 def _record():
-    return [F.col("code"), F.col("date"), F.col("source"), digest.money(F.col("close"))]
+    return {"code": F.col("code"), "date": F.col("date"), "source": F.col("source"), "close": digest.money(F.col("close"))}
 
 
 @query
 def record_sha256(s, d):
-    return v.bars(s, d).select("receipt_id", digest.record_sha256(*_record()).alias("record_sha256"))
+    return v.bars(s, d).select("receipt_id", digest.record_sha256(**_record()).alias("record_sha256"))
 
 
 @query
 def field_validity(s, d):
-    r = v.receipts(s, d)
-    entry = F.concat(F.split("payload", r"\|")[0], F.lit("@"), F.split("payload", r"\|")[1])
-    stamp = F.concat(F.date_format("observed_at", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("receipt_id") % 2 == 0, "+08:00").otherwise(""))
+    r = v.receipts(s, d).join(v.bars(s, d).select("receipt_id", "code", "date"), "receipt_id")
+    n = F.col("receipt_id") % 6
+    day = F.col("date").cast("string")
+    entry = F.when(n == 0, F.concat("code", F.lit("@"), day)).when(n == 1, F.concat(F.lit("@"), day)).when(n == 2, F.concat("code", F.lit("@2024-02-30"))).when(n == 3, F.concat("code", F.lit("@"), day, F.lit("@x"))).when(n == 4, F.col("code"))
+    stamp = F.concat(day, F.element_at(F.array(*map(F.lit, ("T10:00:00+08:00", "T10:00:00", "T25:00:00+08:00", "T10:00:00.000000+08:00", "T10:00:00.000001-05:30", "T10:00:00+99:99"))), n.cast("int") + 1))
     return r.select("receipt_id", checks.valid_sha256(F.col("response_sha256")).alias("sha_ok"), checks.valid_panel_entry(entry).alias("entry_ok"), checks.valid_tz_timestamp(stamp).alias("stamp_ok"))
 
 
@@ -274,7 +276,8 @@ def field_validity(s, d):
 def legacy_identity(s, d):
     r = F.col("receipt_id")
     parts = checks.filled_identity(F.when(r % 3 == 0, "").otherwise(F.col("source")), F.when(r % 5 != 0, F.col("adjustment_mode")), F.col("adjustment_version"))
-    return v.bars(s, d).select("receipt_id", *(p.alias(n) for p, n in zip(parts, store.IDENTITY, strict=True)))
+    state = checks.filled_state(F.when(r % 4 == 0, "").when(r % 4 == 1, "2024-01-01"), F.when(r % 2 == 0, F.col("is_final")), F.lit("2024-03-01"))
+    return v.bars(s, d).select("receipt_id", *(p.alias(n) for p, n in zip([*parts, *state], [*store.IDENTITY, "retrieved_at", "is_final"], strict=True)))
 
 
 @query
@@ -294,7 +297,7 @@ def panel_missing(s, d):
 
 @query
 def panel_digest(s, d):
-    return digest.set_digest(v.panel(s, d).select(evidence.cell().alias("entry")), "entry")
+    return digest.set_digest(v.panel(s, d).select("code", evidence.cell().alias("entry")), "entry", "code")
 
 
 @query
@@ -327,7 +330,15 @@ def price_readiness(s, d):
 
 @query
 def get_history(s, d):
-    return store.overlay_today(_click(s, d), _quote_bars(s, d)).where(F.col("date").between(F.lit("2024-01-10").cast("date"), F.lit("2024-02-10").cast("date"))).join(v.panel(s, d).select("code").distinct(), "code", "left_semi").select("code", "date", "close", "is_final").orderBy("code", "date")
+    latest = clock.latest_finalized_date(F.lit("2024-02-09 10:00:00").cast("timestamp_ntz"))
+    rows = store.get_history(_click(s, d), _quote_bars(s, d), v.panel(s, d).select(F.lower(F.concat(F.substring("code", 8, 2), F.substring("code", 1, 6))).alias("raw")), "2024-01-10", "2024-02-10", "2024-02-09", latest)
+    return rows.select("code", "date", "close", "is_final").orderBy("code", "date")
+
+
+@query
+def receipt_covers_bar(s, d):
+    joined = evidence.bars_with_receipts(v.bars(s, d), v.receipts(s, d))
+    return joined.select("receipt_id", evidence.receipt_covers_bar(F.col("payload")).alias("covers"))
 
 
 QUERIES |= more.QUERIES | ledger.QUERIES

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitbars.functions.checks import bar_valid
+
 
 def number(text):
     """A blank or missing number counts as 0."""
@@ -19,8 +23,9 @@ def land_fields_rows(payloads: DataFrame) -> DataFrame:
     return rows.select("code", pick("date").cast("date").alias("date"), *(number(pick(c)).alias(c) for c in ("open", "high", "low", "close", "volume")))
 
 
-def land_kline_pages(pages: DataFrame, key: str) -> DataFrame:
-    """(code, page_no, payload) of `name={"code":0,"data":{symbol:{key:[[date,open,close,high,low,lots],...]}}}`; a later page wins a date."""
+def land_kline_pages(pages: DataFrame, key: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """(code, page_no, payload) of `name={"code":0,"data":{symbol:{key:[[date,open,close,high,low,lots],...]}}}`; a later page wins a date.
+    A bar that is not valid is an error; start and end bound the dates, both included."""
     text = F.regexp_replace("payload", r"^[^=]*=", "")
     p = pages.select("code", "page_no", F.from_json(text, f"code int, data map<string, struct<`{key}`: array<array<string>>>>").alias("p"))
     checked = p.withColumn("p", F.when(F.col("p.code") == 0, F.col("p")).otherwise(F.raise_error(F.concat(F.lit("page failed for "), "code"))))
@@ -28,7 +33,9 @@ def land_kline_pages(pages: DataFrame, key: str) -> DataFrame:
     price = lambda k: F.get("r", F.lit(k)).cast("double")
     bars = rows.select("code", F.get("r", F.lit(0)).cast("date").alias("date"), F.struct("page_no", "at", price(1).alias("open"), price(3).alias("high"), price(4).alias("low"), price(2).alias("close"), (price(5) * 100).alias("volume")).alias("b"))
     last = bars.groupBy("code", "date").agg(F.max_by("b", F.struct("b.page_no", "b.at")).alias("b"))
-    valid = (F.least("b.open", "b.high", "b.low", "b.close") > 0) & (F.col("b.volume") >= 0)
+    valid = bar_valid(*(F.col(f"b.{c}") for c in ("open", "high", "low", "close", "volume")))
+    for bound, inside in ((start, F.col("date") >= F.lit(start)), (end, F.col("date") <= F.lit(end))):
+        last = last.where(inside) if bound else last
     return last.where(F.when(valid, True).otherwise(F.raise_error(F.concat(F.lit("bad bar for "), "code")))).select("code", "date", *(F.col(f"b.{c}").alias(c) for c in ("open", "high", "low", "close", "volume")))
 
 
@@ -38,6 +45,8 @@ def land_quote_lines(lines: DataFrame) -> DataFrame:
     at = lambda k: F.get("f", F.lit(k)).try_cast("double")
     rows = lines.select("code", f.alias("f")).where((F.size("f") >= 35) & (F.get("f", F.lit(3)) != ""))
     rows = rows.where((at(3) > 0) & (at(6) > 0))
+    raw = lambda k: F.coalesce(F.trim(F.get("f", F.lit(k))), F.lit(""))
+    rows = rows.where(reduce(lambda a, b: a & b, ((raw(k) == "") | at(k).isNotNull() for k in (5, 33, 34))))  # a price that is no number: no row
     or_price = lambda k: F.when(at(k) > 0, at(k)).otherwise(at(3))
     return rows.select("code", F.to_date(F.substring(F.get("f", F.lit(30)), 1, 8), "yyyyMMdd").alias("date"), at(3).alias("price"), or_price(5).alias("open"), or_price(33).alias("high"), or_price(34).alias("low"), at(6).alias("lots"))
 

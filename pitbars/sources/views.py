@@ -25,28 +25,32 @@ def ticks(spark, sf_dir) -> DataFrame:
 def bars(spark, sf_dir) -> DataFrame:
     t = ticks(spark, sf_dir)
     last = t.agg(F.max("date").alias("last_date"))
-    return store.bars_from_ticks(t).crossJoin(F.broadcast(last)).withColumn("is_final", F.col("date") < F.col("last_date")).drop("last_date")
+    return store.bars_from_ticks(t).crossJoin(last).withColumn("is_final", F.col("date") < F.col("last_date")).drop("last_date")
 
 
 def receipts(spark, sf_dir) -> DataFrame:
     r = F.col("receipt_id")
-    shifted = F.col("close") + F.when(r % 19 == 0, 1).otherwise(0)
+    money = lambda c: c.cast("decimal(18,2)").cast("string")
+    off = lambda n: F.when(r % n == 0, 1).otherwise(0)
+    row = F.concat_ws('","', F.col("date").cast("string"), money(F.col("open") + off(23)), money(F.col("high")), money(F.col("low")), money(F.col("close") + off(19)), F.col("volume").cast("string"))
     base = bars(spark, sf_dir).where(r % 7 != 0).select(
         "receipt_id",
-        F.when(r % 13 == 0, "other").otherwise(F.col("source")).alias("source"),
+        F.when(r % 43 == 0, F.lit(None)).when(r % 13 == 0, "other").otherwise(F.col("source")).alias("source"),
         (F.col("date").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(14), mins=((r % 48) * 30).cast("int"))).alias("observed_at"),
-        F.concat_ws("|", "code", F.col("date").cast("string"), shifted.cast("decimal(18,2)").cast("string")).alias("payload"),
+        F.when(r % 29 != 0, F.concat(F.lit('{"fields":"date,open,high,low,close,volume","rows":[["'), row, F.lit('"]]}'))).alias("payload"),
     )
-    return base.withColumn("response_sha256", F.when(r % 11 == 0, "bad").otherwise(F.sha2("payload", 256))).withColumn("retrieved_at", F.col("observed_at") - F.make_dt_interval(mins=F.when(r % 17 == 0, 10).otherwise(0)))
+    shifted = F.col("observed_at") - F.make_dt_interval(mins=F.when(r % 17 == 0, 10).otherwise(0))
+    digest = F.when(r % 37 == 0, F.lit(None)).when(r % 11 == 0, "bad").otherwise(F.sha2("payload", 256))
+    return base.withColumns({"response_sha256": digest, "retrieved_at": F.when(r % 31 != 0, shifted)}).withColumn("observed_at", F.when(r % 41 != 0, F.col("observed_at")))
 
 
 def sessions(spark, sf_dir) -> DataFrame:
-    return bars(spark, sf_dir).where(F.weekday("date") < 5).select("date").distinct()
+    return ticks(spark, sf_dir).where(F.weekday("date") < 5).select("date").distinct()
 
 
 def panel(spark, sf_dir) -> DataFrame:
-    codes = bars(spark, sf_dir).select("code").distinct().where(F.substring("code", 2, 5).cast("int") % 5 == 0)
-    return codes.crossJoin(F.broadcast(sessions(spark, sf_dir)))  # a panel is this product by definition
+    codes = ticks(spark, sf_dir).select("code").distinct()
+    return codes.crossJoin(sessions(spark, sf_dir))  # a panel is this product by definition
 
 
 def calendar(spark, sf_dir) -> DataFrame:
@@ -62,7 +66,7 @@ def quotes(spark, sf_dir) -> DataFrame:
 def batch(spark, sf_dir) -> DataFrame:
     """The last ten days again with a shifted close, and the same days under a new identity."""
     b = bars(spark, sf_dir)
-    recent = b.crossJoin(F.broadcast(b.agg(F.max("date").alias("m")))).where(F.col("date") > F.date_sub("m", 10)).drop("m")
+    recent = b.crossJoin(b.agg(F.max("date").alias("m"))).where(F.col("date") > F.date_sub("m", 10)).drop("m")
     shifted = recent.withColumn("close", F.col("close") + 0.5)
     return shifted.unionByName(shifted.where("source = 'click'").withColumn("adjustment_version", F.lit("click-v2")))
 

@@ -9,12 +9,13 @@ from pitbars.operators import store
 
 
 def stream_bars(ticks: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Daily bars of a tick stream (event_id, ts, value, source, code). In append mode a day comes once it is final, in update mode as
-    a provisional bar after each batch."""
+    """Daily bars of a tick stream (event_id, ts in UTC, value, source, code), by market day. In append mode a day comes once it is final,
+    in update mode as a provisional bar after each batch."""
     at = F.struct("ts", "event_id")
-    grouped = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(F.window("ts", "1 day").alias("day"), "code", "source")
+    grouped = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(F.window("ts", "1 day", "1 day", "16 hours").alias("day"), "code", "source")
     out = grouped.agg(F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), (F.count("*") * 100).alias("volume"))
-    return out.select("code", F.col("day.start").cast("date").alias("date"), "source", "open", "high", "low", "close", "volume")
+    day = (F.col("day.start") + F.make_dt_interval(hours=F.lit(8))).cast("date")
+    return out.select("code", day.alias("date"), "source", F.lit("raw").alias("adjustment_mode"), F.concat("source", F.lit("-v1")).alias("adjustment_version"), "open", "high", "low", "close", "volume")
 
 
 def stream_receipts(receipts: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -22,17 +23,20 @@ def stream_receipts(receipts: DataFrame, delay: str = "1 day") -> DataFrame:
     return receipts.withColumn("response_sha256", F.sha2("payload", 256)).withWatermark("observed_at", delay).dropDuplicatesWithinWatermark(["response_sha256"])
 
 
+def _exists(spark, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def upsert_into(path: str):
     """A foreachBatch function: the batch replaces bars of equal key; running a batch again leaves the table as it is."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         touched = batch.select(*store.IDENTITY, F.year("date").alias("year")).distinct()
-        try:
+        if _exists(spark, path):
             existing = spark.read.parquet(path).join(touched, [*store.IDENTITY, "year"], "left_semi").drop("year").select(batch.columns)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        else:
             existing = batch.limit(0)
         staged = f"{path}__staged"  # a path is never overwritten by a plan that reads it
         store.upsert_bars(existing, batch).write.mode("overwrite").parquet(staged)

@@ -56,13 +56,19 @@ def test_write_bars_replaces_touched_partitions(spark, tmp_path):
 RECEIPT = "receipt_id long, source string, payload string, response_sha256 string, observed_at timestamp_ntz, retrieved_at timestamp_ntz"
 
 
-@pytest.mark.parametrize(("change", "blocker"), [({}, None), ({"source": "other"}, "receipt_source_mismatch"), ({"response_sha256": "bad"}, "receipt_hash_mismatch"), ({"retrieved_at": dt.datetime(2024, 1, 2, 15, 9)}, "receipt_timestamp_mismatch"), ({"observed_at": dt.datetime(2024, 1, 2, 14, 0), "retrieved_at": dt.datetime(2024, 1, 2, 14, 0)}, "availability_precedes_finalization"), ({"receipt_id": 9}, "missing_receipts")])
+PRICES = '{"fields":"date,open,high,low,close,volume","rows":[["2024-01-02",%s]]}'
+
+
+@pytest.mark.parametrize(("change", "blocker"), [({}, None), ({"payload": None}, "missing_receipts"), ({"source": None}, "receipt_source_mismatch"), ({"response_sha256": None}, "receipt_hash_mismatch"), ({"observed_at": None}, "invalid_availability_timestamp"), ({"retrieved_at": None}, "invalid_availability_timestamp"),
+    *(({"payload": PRICES % ",".join(f'"{7 if k == at else 100 if k == 4 else 1}"' for k in range(5))}, "receipt_response_mismatch") for at in range(5)), ({"payload": "junk"}, "receipt_response_mismatch"),  ({"source": "other"}, "receipt_source_mismatch"), ({"response_sha256": "bad"}, "receipt_hash_mismatch"), ({"retrieved_at": dt.datetime(2024, 1, 2, 15, 9)}, "receipt_timestamp_mismatch"), ({"observed_at": dt.datetime(2024, 1, 2, 14, 0), "retrieved_at": dt.datetime(2024, 1, 2, 14, 0)}, "availability_precedes_finalization"), ({"receipt_id": 9}, "missing_receipts")])
 def test_one_mutation_one_blocker(spark, change, blocker):
     import hashlib
 
-    payload = "A|2024-01-02|1.00"
+    payload = '{"fields":"date,close,open,high,low,volume","rows":[["2024-01-01","1","1","1","1","100"],["2024-01-02","1.00","1","1","1","100"]]}'
     at = dt.datetime(2024, 1, 2, 15, 10)
     row = {"receipt_id": 1, "source": "s", "payload": payload, "response_sha256": hashlib.sha256(payload.encode()).hexdigest(), "observed_at": at, "retrieved_at": at} | change
+    if "payload" in change and "response_sha256" not in change:
+        row["response_sha256"] = hashlib.sha256((row["payload"] or "").encode()).hexdigest()
     panel = spark.createDataFrame([("A", dt.date(2024, 1, 2))], "code string, date date")
     got = [r["blocker"] for r in evidence.price_readiness(spark.createDataFrame([bar("A", 2, 1.0)], BAR), spark.createDataFrame([tuple(row.values())], RECEIPT), panel).collect()]
     assert got == ([blocker] if blocker else [])

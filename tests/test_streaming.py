@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitbars.operators import store
+from pitbars.sources import views
 from pitbars.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
-COLUMNS = ["code", "date", "source", "open", "high", "low", "close", "volume"]
+COLUMNS = ["code", "date", "source", "adjustment_mode", "adjustment_version", "open", "high", "low", "close", "volume"]
 
 
 def test_stream_equals_batch_but_for_the_last_day(spark, tmp_path):
@@ -18,9 +19,8 @@ def test_stream_equals_batch_but_for_the_last_day(spark, tmp_path):
     q = jobs.stream_bars(ticks).writeStream.format("memory").queryName("bars").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     got = {tuple(r) for r in spark.table("bars").select(*COLUMNS).collect()}
-    day = F.col("ts").cast("date")
-    batch = store.bars_from_ticks(events.select("event_id", "value", F.col("event_type").alias("source"), F.col("ts").alias("local_ts"), day.alias("date"), F.col("user_id").cast("string").alias("code")))
-    last = events.agg(F.max("ts")).first()[0].date()
+    batch = store.bars_from_ticks(views.ticks(spark, SF).drop("code").join(events.select("event_id", F.col("user_id").cast("string").alias("code")), "event_id"))
+    last = views.ticks(spark, SF).agg(F.max("date")).first()[0]
     assert got == {tuple(r) for r in batch.where(F.col("date") < F.lit(last)).select(*COLUMNS).collect()}
 
 
