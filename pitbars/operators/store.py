@@ -157,3 +157,28 @@ def plan_sync(requested: DataFrame, recorded: DataFrame, covered: DataFrame, sta
     known = known.select("code", F.coalesce("s1", "s2").alias("start_date"), F.coalesce("e1", "e2").alias("end_date"))
     gaps = missing_gaps(known, start, end)
     return known.select("code").join(gaps, "code", "left").withColumn("status", F.when(F.col("gap_start").isNull(), "up_to_date").otherwise("gap"))
+
+
+def apply_sync(gaps: DataFrame, fetched: DataFrame, start: str, end: str, latest: str, identity: tuple[str, str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a fetch makes of planned gaps (code, gap_start, gap_end): results (code, status, written), bars to upsert, coverage to merge.
+
+    fetched: bars with seq (order of arrival), source, adjustment_mode, adjustment_version (null: not said), is_final (null: final). Bars
+    outside a gap are left out; of one date the last stays. An unfinished bar, another identity, or a row of column `failed` makes its code
+    an error; the others go on. Coverage ends a day early where the range ends on the latest final date and that bar is absent."""
+    inside = fetched.join(gaps, "code").where(F.col("date").between(F.col("gap_start"), F.col("gap_end"))).drop("gap_start", "gap_end")
+    named = [~F.coalesce(F.col(c) == x, F.lit(True)) for c, x in zip(IDENTITY, identity, strict=True)]
+    wrong = (F.col("is_final") == F.lit(False)) | named[0] | named[1] | named[2]
+    failed = inside.where(F.coalesce(wrong, F.lit(False))).select("code")
+    if "failed" in fetched.columns:
+        failed = failed.unionByName(fetched.where("failed").select("code"))
+    failed = failed.distinct().withColumn("failed", F.lit(True))
+    good = last_by(inside.join(failed, "code", "left_anti"), ["code", "date"], [F.col("seq")])
+    bars = good.drop("seq", "failed").withColumns(dict(zip(IDENTITY, map(F.lit, identity), strict=True))).withColumn("is_final", F.lit(True))
+    counted = bars.groupBy("code").agg(F.count("*").alias("written"), F.max("date").alias("last"))
+    asked = gaps.select("code").distinct().join(failed, "code", "left").join(counted, "code", "left").na.fill(0, ["written"])
+    status = F.when(F.col("failed").isNotNull(), "error").when(F.col("written") > 0, "synced").otherwise("no_data")
+    results = asked.select("code", status.alias("status"), "written")
+    until = F.lit(end).cast("date")
+    absent = F.lit(end == latest) & ~F.coalesce(F.col("last") == until, F.lit(False))
+    coverage = asked.where("failed is null").select("code", *(F.lit(x).alias(c) for c, x in zip(IDENTITY, identity, strict=True)), F.lit(start).cast("date").alias("start_date"), F.when(absent, F.date_sub(until, 1)).otherwise(until).alias("end_date"))
+    return results, bars, coverage.where("start_date <= end_date")

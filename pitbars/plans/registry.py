@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pitbars.functions import checks, clock, digest, symbols
 from pitbars.operators import evidence, quality, store
-from pitbars.plans import ledger, more
+from pitbars.plans import ledger, more, proofs
 from pitbars.plans.oracle import ORACLE_SQL
 from pitbars.sources import views as v
 
@@ -341,7 +341,7 @@ def receipt_covers_bar(s, d):
     return joined.select("receipt_id", evidence.receipt_covers_bar(F.col("payload")).alias("covers"))
 
 
-QUERIES |= more.QUERIES | ledger.QUERIES
-ORACLE_SQL = ORACLE_SQL | more.ORACLE_SQL | ledger.ORACLE_SQL
+QUERIES |= more.QUERIES | ledger.QUERIES | proofs.QUERIES
+ORACLE_SQL = ORACLE_SQL | more.ORACLE_SQL | ledger.ORACLE_SQL | proofs.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pitbars.functions.checks import bar_valid
+from pitbars.functions.checks import bar_valid, event_dates
+from pitbars.functions.symbols import market_symbol, normalize_symbol
 
 
 def number(text):
@@ -55,3 +57,85 @@ def plan_year_pages(ranges: DataFrame) -> DataFrame:
     """One page for each calendar year of (key, start, end)."""
     years = ranges.withColumn("y", F.explode(F.sequence(F.year("start"), F.year("end"))))
     return years.select("key", F.greatest("start", F.make_date("y", F.lit(1), F.lit(1))).alias("page_start"), F.least("end", F.make_date("y", F.lit(12), F.lit(31))).alias("page_end"))
+
+
+def land_tick_frame(frame: DataFrame) -> DataFrame:
+    """Terminal bars (code, datetime, open, high, low, close, volume, vol) by date: its first ten characters; volume, else vol, else 0."""
+    volume = F.coalesce(*(F.col(c).cast("double") for c in ("volume", "vol") if c in frame.columns), F.lit(0.0))
+    rows = frame.select("code", F.substring(F.col("datetime").cast("string"), 1, 10).cast("date").alias("date"), *(F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")), volume.alias("volume"))
+    return rows.orderBy("code", "date")
+
+
+def land_code_list(lines: DataFrame) -> DataFrame:
+    """Codes of a text file (value): trimmed, without blank lines and comments."""
+    return lines.select(F.trim("value").alias("code")).where((F.col("code") != "") & ~F.col("code").startswith("#"))
+
+
+def _must(ok: Column, what: Column) -> Column:
+    return F.when(F.coalesce(ok, F.lit(False)), True).otherwise(F.raise_error(what))
+
+
+def land_jsonl_strict(lines: DataFrame, schema: str) -> DataFrame:
+    """Rows of JSON lines (value) with exactly the schema's keys and types, in canonical form, each once; anything else is an error."""
+    kind = T.StructType.fromDDL(schema)
+    r = F.from_json("value", kind, {"mode": "FAILFAST"})
+    keys = F.array_sort(F.json_object_keys("value")) == F.array(*map(F.lit, sorted(kind.names)))
+    canonical = F.to_json(F.struct(*(F.col(f"r.{c}").alias(c) for c in sorted(kind.names))), {"ignoreNullFields": "false"}) == F.col("value")
+    rows = lines.where(_must(keys, F.concat(F.lit("wrong keys: "), "value"))).withColumn("r", r).withColumn("times", F.count("*").over(Window.partitionBy("value")))
+    return rows.where(_must(canonical & (F.col("times") == 1), F.concat(F.lit("not canonical or not unique: "), "value"))).select("r.*")
+
+
+def land_panel(payloads: DataFrame) -> DataFrame:
+    """(code, date) of a list of symbol@date, of {"panel": [...]} or of {"splits": {"search-validation": [...]}} in column payload. An
+    empty list, an entry without date, an unknown symbol and a repeated cell are errors."""
+    listed = F.coalesce(F.from_json("payload", "array<string>"), F.from_json("payload", "struct<panel: array<string>>")["panel"], F.from_json("payload", "struct<splits: struct<`search-validation`: array<string>>>")["splits"]["search-validation"])
+    rows = payloads.withColumn("entries", listed).where(_must(F.size("entries") > 0, F.lit("a panel without samples"))).select(F.explode("entries").alias("entry"))
+    parts = F.split("entry", "@")
+    cells = rows.where(_must(F.size(parts) == 2, F.concat(F.lit("not a panel sample: "), "entry"))).select(normalize_symbol(parts[0], strict=True).alias("code"), parts[1].cast("date").alias("date"))
+    return cells.withColumn("times", F.count("*").over(Window.partitionBy("code", "date"))).where(_must(F.col("times") == 1, F.concat(F.lit("repeated panel sample: "), "code"))).drop("times")
+
+
+MARKET_ROWS = "advertised_count long, pages array<array<struct<symbol: string, name: string, trade: string, volume: string>>>"
+
+
+def _market(receipts: DataFrame) -> DataFrame:
+    """(receipt_id, advertised_count, m): the rows of each response as one array; a symbol of another market has code null."""
+    r = receipts.select("receipt_id", F.from_json("response", MARKET_ROWS).alias("r"))
+    number = lambda c: c.try_cast("double")
+    row = lambda x: F.struct(market_symbol(F.lower(F.trim(x["symbol"]))).alias("code"), x["name"].alias("name"), number(x["trade"]).alias("trade"), number(x["volume"]).alias("volume"))
+    return r.select("receipt_id", "r.advertised_count", F.transform(F.flatten("r.pages"), row).alias("m"))
+
+
+def market_rows(receipts: DataFrame) -> DataFrame:
+    """(receipt_id, advertised_count, code, name, trade, volume) of responses {"advertised_count", "pages": [[...], ...]}: what they hold,
+    unchecked."""
+    return _market(receipts).select("receipt_id", "advertised_count", F.explode("m").alias("m")).select("receipt_id", "advertised_count", "m.*")
+
+
+def land_market_pages(receipts: DataFrame) -> DataFrame:
+    """market_rows, where each response must hold as many rows as it advertises, of known markets, each symbol once."""
+    codes, n = F.transform("m", lambda x: x["code"]), F.size("m")
+    whole = (n > 0) & (n == F.coalesce("advertised_count", n)) & (F.size(F.array_distinct(codes)) == n) & F.forall(codes, lambda c: c.isNotNull())
+    good = _market(receipts).where(_must(whole, F.concat(F.lit("incomplete market pages in receipt "), F.col("receipt_id").cast("string"))))
+    return good.select("receipt_id", F.explode("m").alias("m")).select("receipt_id", "m.*")
+
+
+def canonical_map(m: Column) -> Column:
+    """A map as compact JSON with sorted keys."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))), {"ignoreNullFields": "false"})
+
+
+def land_action_batches(receipts: DataFrame) -> DataFrame:
+    """A row for each event of {"symbols": {symbol: [{"year", "fields": [...], "rows": [[...]]}]}}: receipt_id, code, event_id, effective_date,
+    announcement_date, payload_json. A symbol without events keeps one row, all null, as its coverage. A row of another width than its
+    fields is an error."""
+    r = receipts.select("receipt_id", F.from_json("response", "symbols map<string, array<struct<year: int, fields: array<string>, rows: array<array<string>>>>>").alias("r"))
+    batches = r.select("receipt_id", F.explode("r.symbols").alias("symbol", "batches")).select("receipt_id", normalize_symbol(F.col("symbol"), strict=True).alias("code"), F.explode_outer("batches").alias("b"))
+    rows = batches.select("receipt_id", "code", "b.fields", F.explode_outer("b.rows").alias("row"))
+    rows = rows.where(_must(F.col("row").isNull() | (F.size("row") == F.size("fields")), F.concat(F.lit("row width mismatch for "), "code")))
+    event = rows.select("receipt_id", "code", F.when(F.col("row").isNotNull(), F.map_from_arrays("fields", "row")).alias("m"))
+    pick = lambda name: F.nullif(F.trim(F.try_element_at("m", F.lit(name))), F.lit(""))
+    effective, announced = event_dates(pick("dividOperateDate"), pick("dividPreNoticeDate"), pick("dividAgmPumDate"), pick("dividPlanAnnounceDate"))
+    found = event.select("receipt_id", "code", effective.alias("effective_date"), announced.alias("announcement_date"), canonical_map(F.col("m")).alias("payload_json"))
+    found = found.withColumn("event_id", F.sha2("payload_json", 256)).withColumn("events", F.count("event_id").over(Window.partitionBy("receipt_id", "code"))).where("event_id is not null or events = 0")
+    return found.select("receipt_id", "code", "event_id", "effective_date", "announcement_date", "payload_json").distinct()

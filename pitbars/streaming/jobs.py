@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitbars.operators import store
+from pitbars.functions import clock
+from pitbars.operators import evidence, quality, store
 
 
 def stream_bars(ticks: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -54,3 +55,43 @@ def cohort_guard(cohort: DataFrame):
             raise ValueError(f"codes outside the cohort: {outside}")
 
     return check
+
+
+def capture_phases(path: str, rejects: str):
+    """A foreachBatch function over captures (date, source, observed_at, receipt_id): one record for each date, phase and source, the first;
+    later ones are no-ops. Captures outside both windows, or not on their own day, go to the table of rejects."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        own = batch.withColumn("phase", F.when(F.col("observed_at").cast("date") == F.col("date"), clock.observation_phase(F.col("observed_at"))))
+        # a batch that runs again replaces its own folder
+        own.where("phase is null").drop("phase").write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        first = own.where("phase is not null").groupBy("date", "phase", "source").agg(F.min_by(F.struct("observed_at", "receipt_id"), F.struct("observed_at", "receipt_id")).alias("x")).select("date", "phase", "source", "x.*")
+        if _exists(spark, path):
+            first = first.join(spark.read.parquet(path).where(F.col("batch") != batch_id), ["date", "phase", "source"], "left_anti")
+        staged = f"{path}__staged/batch={batch_id}"
+        first.write.mode("overwrite").parquet(staged)
+        spark.read.schema(first.schema).parquet(staged).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return apply
+
+
+def classify_late(receipts: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Receipts (date, observed_at, ...) of a stream with `error`: null where the evidence was there in time. sessions: a static calendar."""
+    following = quality.next_session(sessions)
+    return receipts.join(following, "date", "left").withColumn("error", clock.price_availability_error(F.col("date"), F.col("observed_at"), F.col("next_date"))).drop("next_date")
+
+
+def forward_capture(bars: DataFrame, path: str, checkpoint: str, cohort: DataFrame, receipts: DataFrame) -> DataFrame:
+    """Takes all available bars of a stream into the table at path (codes outside the cohort fail it), then says what keeps the cohort's
+    captured days from being ready."""
+    guard, upsert = cohort_guard(cohort), upsert_into(path)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        guard(batch, batch_id)
+        upsert(batch, batch_id)
+
+    bars.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    held = bars.sparkSession.read.parquet(path)
+    panel = cohort.select("code").distinct().crossJoin(held.select("date").distinct())
+    return evidence.price_readiness(held, receipts, panel)
