@@ -51,6 +51,8 @@ def _byte_characters() -> dict[int, str]:
 _BYTES = _byte_characters()
 #: Letters and then ASCII punctuation other than an apostrophe: two pieces of the tokenizer, whatever stands around them.
 _SIMPLE = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+#: Characters whose lower case is one character that depends on no other (Latin but for a dotted capital I; punctuation; Han).
+_FOLDS = re.compile("[\x00-\u012f\u0131-\u024f\u2000-\u206f\u3000-\u9fff]*")
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
@@ -68,6 +70,8 @@ class Encoder(dict):
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.direct = [self._full(w) == self._plain(w) for w in ("Thing,", "Größe.", "ÉAUX!!", "a", "über|")] == [True] * 5
+        self.folds = self.direct and self._full("ÀBÇ ŽŸ! It'S") == self._full("àbç žÿ! it's")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _full(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -103,6 +107,10 @@ class Encoder(dict):
         return found
 
     def _words(self, text: str) -> list[str]:
+        if self.folds and _FOLDS.fullmatch(text):  # a tokenizer without case: fewer different words
+            low = text.lower()
+            if not any(x in low for x in self.added):
+                text = low
         return text.replace("\n", " ").split(" ") if any(x in text for x in _SEPARATORS) else text.split()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

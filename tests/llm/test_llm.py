@@ -121,7 +121,7 @@ def test_token_store_round_trip(spark):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(token_store.tokenizer_path())
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).unionByName(spark.createDataFrame([(-5, "don't <|endoftext|>foo a\x1cb \xa0 ÉÀ,, ½ x1", None, None, 0), (10**6, None, None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).unionByName(spark.createDataFrame([(-5, "don't <|endoftext|>foo a\x1cb \xa0 ÉÀ,, ½ x1", None, None, 0), (-4, "<|ENDOFTEXT|> <|endOfText|>X İSTANBUL ΣΑΣ ÀÉÎ É'S It'S DON'T ǅ Ǉ \u212a \u0130", None, None, 0), (10**6, None, None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long"))
     at = 0
     got = {r["doc_id"]: r for r in token_store.stored(docs).collect()}
     for r in docs.orderBy("doc_id").collect():
