@@ -77,7 +77,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontaminate", decontamination), ("mix", mix), ("tokens", tokens)]
 
-#: Hashes, models and tokenizers are beyond SQL; tests hold run() against a brute-force version.
+#: Hashes, models and tokenizers are beyond SQL; tests hold the operators against brute force and the stages against what each promises.
 ORACLE_SQL = None
 
 
