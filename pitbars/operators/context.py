@@ -119,9 +119,11 @@ def full_readiness(execution: DataFrame, signal: DataFrame, context: DataFrame,
     """Blockers (blocker, count, examples) of each part under their components: ready only without any. Universe and status stand on the
     context. Execution prices must be raw."""
     spark = execution.sparkSession
-    parts = {"execution_prices": execution, "signal_prices": signal, "decision_context": context, "universe": context, "instrument_status": context, "corporate_actions": corporate_actions}
+    parts = {"execution_prices": execution, "signal_prices": signal, "corporate_actions": corporate_actions}
     if adjustment_mode != "raw":
         parts["execution_prices"] = execution.unionByName(fixed_blockers(spark, ["execution_prices_require_raw_adjustment"]))
     tagged = [x.select(F.lit(name).alias("component"), "blocker", "count", "examples") for name, x in parts.items()]
+    shared = F.explode(F.array(*map(F.lit, ("decision_context", "universe", "instrument_status"))))  # evaluated once
+    tagged.append(context.select(shared.alias("component"), "blocker", "count", "examples"))
     tagged += [fixed_blockers(spark, [x]).select(F.lit(name).alias("component"), "blocker", "count", "examples") for name, x in UNENROLLED.items()]
     return reduce(DataFrame.unionByName, tagged)
