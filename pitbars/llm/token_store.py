@@ -49,9 +49,10 @@ def _byte_characters() -> dict[int, str]:
 
 
 _BYTES = _byte_characters()
-#: Letters and then ASCII punctuation other than an apostrophe: two pieces of the tokenizer, whatever stands around them.
-_SIMPLE = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
-#: Characters whose lower case is one character that depends on no other (Latin but for a dotted capital I; punctuation; Han).
+#: ASCII punctuation other than an apostrophe, right after a letter: there the tokenizer begins a new piece, whatever stands around it.
+_TURN = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[^\W\d_].)")
+#: Characters whose lower case is one character that depends on no other (Latin but for a dotted capital I; punctuation; Han). Letters
+#: of these alone are in composed form already.
 _FOLDS = re.compile("[\x00-\u012f\u0131-\u024f\u2000-\u206f\u3000-\u9fff]*")
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -60,57 +61,51 @@ class Encoder(dict):
     """Texts to little-endian 32-bit ids, the end id appended. As a dictionary it holds the ids of words met of late: when it is full it
     becomes the older of two generations, from which words that come again are taken over.
 
-    Plain words (letters, then punctuation) take the tokenizer's normalizer and its model alone; all others, and all words of a
-    tokenizer that isn't built of a lower-casing normalizer, a split into letters and a byte-level model, its full encode."""
+    Punctuation is held apart from the letters before it. Words of letters take the tokenizer's model alone; all others, and all words of
+    a tokenizer that isn't built of a lower-casing normalizer, a split into letters and a byte-level model, take its full encode."""
 
     def __init__(self, path: str, end_id: int):
         super().__init__()
         self.tokenizer, self.end = _tokenizer(path), np.array([end_id], dtype="<u4").tobytes()
         self.older: dict[str, bytes] = {}
-        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        self.cut, self.normalizer = self.tokenizer.model.tokenize, self.tokenizer.normalizer
         self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.direct = [self._full(w) == self._plain(w) for w in ("Thing,", "Größe.", "ÉAUX!!", "a", "über|")] == [True] * 5
+        probes = (("Thing", ","), ("Größe", "."), ("ÉAUX", "!!"), ("a", ""), ("über", "|"))
+        self.direct = self.normalizer is not None and all(self._letters(a) == self._full(a) and self._full(a) + self._full(b) == self._full(a + b) for a, b in probes)
         self.folds = self.direct and self._full("ÀBÇ ŽŸ! It'S") == self._full("àbç žÿ! it's")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _full(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        return b"".join([self.four[t.id] for t in self.model.tokenize(piece)])
-
-    def _plain(self, word: str) -> bytes | None:
-        if self.normalizer is None:
-            return None
-        if word.isascii() and word.isalpha():
-            return self._piece(word.lower())
-        parts = _SIMPLE.fullmatch(word)
-        if not parts:
-            return None
-        letters = parts[1]
-        if letters.isascii():
-            letters = letters.lower()
+    def _letters(self, word: str) -> bytes | None:
+        """Ids of a word of letters; none where the normalizer makes anything else of it."""
+        if word.isascii():
+            word = word.lower()
         else:
-            letters = self.normalizer.normalize_str(letters)
-            if not letters.isalpha():
+            word = word.lower() if _FOLDS.fullmatch(word) else self.normalizer.normalize_str(word)
+            if not word.isalpha():
                 return None
-            letters = letters.encode().decode("latin-1").translate(_BYTES)
-        return self._piece(letters) + self._piece(parts[2]) if parts[2] else self._piece(letters)
+            word = word.encode().decode("latin-1").translate(_BYTES)
+        four = self.four
+        return b"".join([four[t.id] for t in self.cut(word)])
 
     def __missing__(self, word: str) -> bytes:
         if len(word) > CACHED_LENGTH:
             return self._full(word)
         found = self.older.get(word)
         if found is None:
-            found = (self._plain(word) if self.direct else None) or self._full(word)
+            found = (self._letters(word) if self.direct and word.isalpha() else None) or self._full(word)
         self[word] = found
         return found
 
     def _words(self, text: str) -> list[str]:
-        if self.folds and _FOLDS.fullmatch(text):  # a tokenizer without case: fewer different words
-            low = text.lower()
-            if not any(x in low for x in self.added):
-                text = low
+        if self.direct and not any(x in text for x in self.added):
+            if self.folds and _FOLDS.fullmatch(text):  # a tokenizer without case: fewer different words
+                low = text.lower()
+                if not any(x in low for x in self.added):
+                    text = low
+            text = _TURN.sub(r" \g<0>", text)
         return text.replace("\n", " ").split(" ") if any(x in text for x in _SEPARATORS) else text.split()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -119,9 +114,9 @@ class Encoder(dict):
             parts, at = [], 0
             text = text or ""
             while len(text) - at > SLICE and (space := text.find(" ", at + SLICE)) >= 0:
-                parts.append(b"".join([self[w] for w in self._words(text[at:space])]))
+                parts.append(b"".join(map(self.__getitem__, self._words(text[at:space]))))
                 at = space + 1
-            parts.append(b"".join([self[w] for w in self._words(text[at:] if at else text)]))
+            parts.append(b"".join(map(self.__getitem__, self._words(text[at:] if at else text))))
             out.append(b"".join([*parts, self.end]))
             if len(self) > CACHE_WORDS:
                 self.older = dict(self)

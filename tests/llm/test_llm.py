@@ -131,6 +131,21 @@ def test_token_store_round_trip(spark):
         at += len(ids) // 4
 
 
+def test_words_apart_encode_as_whole_texts():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = token_store.tokenizer_path()
+    whole, encoder = Tokenizer.from_file(path), token_store.Encoder(path, 2)
+    assert encoder.direct and encoder.folds
+    pieces = ["word", "Größe", "ÉAUX", "naïve", "it's", "'s", "a'", "''", "'", ",", "...", "&&&", "_", "-", "1,000.50", "²", "½", "x_y", "<|endoftext|>", "<|ENDOFTEXT|>", "ΣΑΣ", "İstanbul", "ǅ", "e\u0301", "\u0301", "か\u3099", "漢字", "—", "\u00a0", "\x1c", "\x85", "\u2028", "\n", " ", " ", "\t", "🙂", "K", "ﬁ", "\x00", "ll", "'LL", "w" * 80]
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))) for _ in range(6000)] + ["a, " * 900_000]
+    wrong = [t for t, ids in zip(texts, encoder.encode(texts), strict=True) if np.frombuffer(ids, dtype="<u4").tolist() != [*whole.encode(t, add_special_tokens=False).ids, 2]]
+    assert not wrong, wrong[:3]
+
+
 def test_read_one_document(spark):
     store = token_store.common.fresh_path(spark, "tokens")
     token_store.write_store(odd(spark).where("doc_id is not null"), store, token_store.tokenizer_path())
