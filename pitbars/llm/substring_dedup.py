@@ -5,7 +5,9 @@ every shard. Steps:
 
 1. Chunks of documents are cut into windows of `window` words; neighbouring windows with the same anchor (the smallest hash of
    `anchor_words` consecutive words in the window) make a passage. Equal passages of a chunk are sent once, under the smallest id
-   (the others are known to be repeats); so a passage that a third of all documents hold is sent once for each chunk.
+   (the others are known to be repeats and go to any shard); so a passage that a third of all documents hold is sent once for each chunk.
+   Anchors of very many different passages (a common phrase with other words around it) are counted first; windows of such an anchor
+   are placed by the hash of all their words instead, which splits the group and still keeps equal windows together.
 2. A shard keeps passages whose anchor more than one document holds, builds an FM-index over a wavelet matrix of them, and streams
    them through it: matching statistics, capped at the window length, and the smallest document id among the rows of each full match.
    Places where that id is smaller than the own are removal intervals.
@@ -35,6 +37,8 @@ _PASSAGES = "shard int, n long, ids binary, keys binary, firsts binary, tags bin
 _FOUND = "doc_id long, text_key long, intervals binary"
 PASSAGE_BYTES = 4 << 20  # of a chunk: larger ones know more repeats at once and pack better
 KEY_BITS = 32  # of the hash that tells rows with one doc_id and different texts apart
+HOT_ANCHORS = 1 << 18  # at most so many anchors are split (8 bytes each to every task)
+HOT_PASSAGES = 20_000  # an anchor of fewer passages fits a task anyway
 
 
 def _packed(values, dtype) -> bytes:
@@ -82,8 +86,62 @@ def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def passages_of(batch: pa.RecordBatch, window: int, anchor_words: int, n_shards: int) -> Iterator[tuple]:
-    """Rows of _PASSAGES for a chunk with columns doc_id and text."""
+def _runs(anchor: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First windows of the passages, and the windows after their last: neighbours of one document with one anchor."""
+    m = len(anchor)
+    inside = doc[:m] == doc[window - 1 :]
+    new = np.ones(m, dtype=bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:m] != doc[: m - 1]) | ~inside[:-1]
+    return np.flatnonzero(new & inside), np.flatnonzero(inside & np.concatenate([new[1:] | ~inside[1:], [True]])) + 1
+
+
+def _frequent(anchors: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts summed by anchor, `most` of them at most: a mergeable summary, so that a count falls short by total / (most + 1) at most."""
+    anchors, inverse = np.unique(anchors, return_inverse=True)
+    counts = np.bincount(inverse, weights=counts, minlength=len(anchors)).astype(np.int64)
+    if len(anchors) > most:
+        counts = counts - np.partition(counts, -most - 1)[-most - 1]
+    return anchors[counts > 0], counts[counts > 0]
+
+
+def hot_anchors(docs: DataFrame, window: int, anchor_words: int, most: int = HOT_ANCHORS, floor: int = HOT_PASSAGES) -> np.ndarray:
+    """Sorted hashes of anchors that very many different passages have, from all documents: every one of more than
+    2 * floor + 2 * passages / most passages, and none of fewer than floor or passages / (most + 1). So there are `most` + 1 at most."""
+    n_parts = max(1, docs.rdd.getNumPartitions())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors, counts, held, total = [], [], 0, 0
+        for batch in common.in_chunks(batches, PASSAGE_BYTES):
+            words = split_words(*text_bytes(batch.column(0)), "solid")
+            if len(words.starts) < window:
+                continue
+            hashes = words.hashes()
+            anchor = _sliding_min(gram_hashes(hashes, anchor_words), window - anchor_words + 1)
+            whole = gram_hashes(hashes, window)
+            begin, stop = _runs(anchor, words.docs, window)
+            # passages of a chunk that begin and end alike are sent once
+            own = np.unique(np.rec.fromarrays([anchor[begin], whole[begin] ^ (whole[stop - 1] << np.uint64(1))]))["f0"]
+            found, n = np.unique(own, return_counts=True)
+            anchors.append(found)
+            counts.append(n)
+            held, total = held + len(found), total + len(own)
+            if held > 4 * most:
+                a, n = _frequent(np.concatenate(anchors), np.concatenate(counts), most)
+                anchors, counts, held = [a], [n], len(a)
+        if total:
+            a, n = _frequent(np.concatenate(anchors), np.concatenate(counts), most)
+            many = n >= max(total / (most + 1), floor / n_parts)
+            yield pa.RecordBatch.from_arrays([pa.array([None, *a[many].view(np.int64).tolist()], pa.int64()), pa.array([total, *n[many].tolist()], pa.int64())], names=["anchor", "n"])
+
+    counted = common.map_arrow(docs.where("doc_id is not null").select("text"), count, "anchor long, n long")
+    sums = common.written(counted.groupBy("anchor").agg(F.sum("n").alias("n")), "anchors")
+    total = sums.where("anchor is null").agg(F.sum("n")).first()[0] or 0
+    hot = sums.where(F.col("anchor").isNotNull() & (F.col("n") >= max(floor, total / (most + 1)))).select("anchor").collect()
+    return np.sort(np.array([x[0] for x in hot], dtype=np.int64).view(np.uint64))
+
+
+def passages_of(batch: pa.RecordBatch, window: int, anchor_words: int, n_shards: int, hot: np.ndarray) -> Iterator[tuple]:
+    """Rows of _PASSAGES for a chunk with columns doc_id and text; windows whose anchor is in `hot` have all their words for an anchor."""
     ids = batch.column(batch.schema.get_field_index("doc_id"))
     batch = batch.filter(ids.is_valid())
     if not batch.num_rows:
@@ -93,19 +151,18 @@ def passages_of(batch: pa.RecordBatch, window: int, anchor_words: int, n_shards:
     ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False).astype(np.int64)
     data, offsets = text_bytes(batch.column(batch.schema.get_field_index("text")))
     words = split_words(data, offsets, "solid")
-    n = len(words.starts)
-    if n < window:
+    if len(words.starts) < window:
         return
     raw = memoryview(data)
     keys = np.array([xxhash.xxh64_intdigest(raw[a:b], 42) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], dtype=np.uint64).view(np.int64) & ((1 << KEY_BITS) - 1)
-    anchor = _sliding_min(gram_hashes(words.hashes(), anchor_words), window - anchor_words + 1)
-    doc = words.docs
-    m = n - window + 1
-    inside = doc[:m] == doc[window - 1 :]
-    new = np.ones(m, dtype=bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:m] != doc[: m - 1]) | ~inside[:-1]
-    begin = np.flatnonzero(new & inside)
-    stop = np.flatnonzero(inside & np.concatenate([new[1:] | ~inside[1:], [True]])) + 1
+    hashes, doc = words.hashes(), words.docs
+    anchor = _sliding_min(gram_hashes(hashes, anchor_words), window - anchor_words + 1)
+    if len(hot):
+        split = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
+        anchor = np.where(split, gram_hashes(hashes, window), anchor)
+    begin, stop = _runs(anchor, doc, window)
+    if not len(begin):
+        return
     text, starts, ends = joined(words)
     text = text.tobytes()
     shard = (anchor[begin] % np.uint64(n_shards)).astype(np.int64)
@@ -116,9 +173,10 @@ def passages_of(batch: pa.RecordBatch, window: int, anchor_words: int, n_shards:
     first = (begin - words.bounds[doc[begin]]).tolist()
     owner, n_windows = doc[begin].tolist(), (stop - begin).tolist()
     anchors = anchor[begin]
+    repeats = []
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(begin)], strict=True):
         seen: dict[bytes, int] = {}
-        kept, repeats = [], []
+        kept = []
         for k in range(a, b):
             passage = text[low[k] : high[k]]
             held = seen.setdefault(passage, owner[k])  # documents come by id: the first holder has the smallest
@@ -127,10 +185,13 @@ def passages_of(batch: pa.RecordBatch, window: int, anchor_words: int, n_shards:
             else:
                 kept.append(k)
         own = np.array([owner[k] for k in kept])
+        body = b"\n".join([text[low[k] : high[k]] for k in kept])
+        yield (int(shard[a]), len(kept), _packed_ascending(ids[own]), _packed(keys[own], np.uint32), _packed_places([first[k] for k in kept]), _tags(anchors[kept]), zstandard.ZstdCompressor(level=3).compress(body), _packed([], np.int64))
+    if repeats:  # any shard will do: one by the chunk, so that a passage of very many documents fills none
         rep = np.array(repeats, dtype=np.int64).reshape(-1, 3)
         rep = np.column_stack([ids[rep[:, 0]], keys[rep[:, 0]], rep[:, 1:]])
-        body = b"\n".join([text[low[k] : high[k]] for k in kept])
-        yield (int(shard[a]), len(kept), _packed_ascending(ids[own]), _packed(keys[own], np.uint32), _packed_places([first[k] for k in kept]), _tags(anchors[kept]), zstandard.ZstdCompressor(level=3).compress(body), _packed(rep, np.int64))
+        rep = rep[np.lexsort((rep[:, 2], rep[:, 0]))]
+        yield (int(keys[0]) % n_shards, 0, _packed_ascending(np.array([], dtype=np.int64)), _packed([], np.uint32), _packed_places([]), b"", b"", _packed(rep, np.int64))
 
 
 def repeats_of(rows: pa.Table, window: int) -> pa.Table:
@@ -140,13 +201,13 @@ def repeats_of(rows: pa.Table, window: int) -> pa.Table:
         ids.append(_unpacked_ascending(row["ids"]))
         keys.append(_unpacked(row["keys"], np.uint32).astype(np.int64))
         firsts.append(_unpacked_places(row["firsts"]))
-        tags.append(_read_tags(row["tags"]))
+        tags.append(_read_tags(row["tags"]).astype(np.int64))
         texts.append(row["passages"])
         found.append(_unpacked(row["repeats"], np.int64).reshape(-1, 4))
     doc, key, first, tag = (np.concatenate(x) for x in (ids, keys, firsts, tags))
     order = np.lexsort((doc, tag))
-    head = np.flatnonzero(np.concatenate([[True], np.diff(tag[order]) != 0]))
-    last = np.concatenate([head[1:], [len(order)]]) - 1
+    head = np.flatnonzero(np.diff(tag[order], prepend=-1) != 0)
+    last = np.append(head[1:], len(order))[: len(head)] - 1
     several = doc[order[head]] != doc[order[last]]
     keep = np.zeros(len(order), dtype=bool)
     keep[order] = np.repeat(several, last - head + 1)
@@ -187,27 +248,29 @@ def repeats_of(rows: pa.Table, window: int) -> pa.Table:
     return pa.table({"doc_id": pa.array([int(p[0, 0]) for p in parts], pa.int64()), "text_key": pa.array([int(p[0, 1]) for p in parts], pa.int64()), "intervals": pa.array([p[:, 2:].astype("<u4").tobytes() for p in parts], pa.binary())})
 
 
-def repeated_words(docs: DataFrame, window: int = 13, anchor_words: int = 5, n_shards: int | None = None) -> DataFrame:
+def repeated_words(docs: DataFrame, window: int = 13, anchor_words: int = 5, n_shards: int | None = None, hot_passages: int = HOT_PASSAGES) -> DataFrame:
     """Removal intervals: (doc_id long, text_key long, intervals binary), a row for each document and shard that found any.
 
-    n_shards: by default four for each input partition, so that a shard stays as large as the input grows.
+    n_shards: by default four for each input partition, so that a shard stays as large as the input grows. hot_passages: from how many
+    passages on an anchor is split. docs is read once to count anchors and once to place passages.
     """
     n_shards = n_shards or 4 * max(2, docs.rdd.getNumPartitions())
+    hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(docs, window, anchor_words, floor=hot_passages))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _PASSAGES.split(", ")]
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
         for batch in common.in_chunks(batches, PASSAGE_BYTES):
-            if rows := list(passages_of(batch, window, anchor_words, n_shards)):
+            if rows := list(passages_of(batch, window, anchor_words, n_shards, hot.value)):
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     passages = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, _PASSAGES)
     return passages.groupBy("shard").applyInArrow(lambda rows: repeats_of(rows, window), _FOUND)
 
 
-def dedup_substrings(docs: DataFrame, window: int = 13, anchor_words: int = 5, n_shards: int | None = None) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 13, anchor_words: int = 5, n_shards: int | None = None, hot_passages: int = HOT_PASSAGES) -> DataFrame:
     """For each row of docs: doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
-    found = repeated_words(docs, window, anchor_words, n_shards).groupBy("doc_id", "text_key").agg(F.collect_list("intervals").alias("intervals"))
+    found = repeated_words(docs, window, anchor_words, n_shards, hot_passages).groupBy("doc_id", "text_key").agg(F.collect_list("intervals").alias("intervals"))
     found = found.withColumnsRenamed({"doc_id": "found_id", "text_key": "found_key"})
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     both = keyed.withColumn("text_key", F.xxhash64("text").bitwiseAND(F.lit((1 << KEY_BITS) - 1))).join(found, (F.col("doc_id") == F.col("found_id")) & (F.col("text_key") == F.col("found_key")), "left")

@@ -1,6 +1,7 @@
 """Every operator on nulls, empty and repeated rows, clashing extra columns, empty tables; and against brute force on small tables."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -223,6 +224,59 @@ def test_substring_dedup_across_and_within(spark):
     assert got == [(-1, 0, p), (1, 0, "short"), (2, 0, p), (5, 20, "x y z"), (7, 40, ""), (7, 40, "")]
 
 
+def _cut_by_hand(docs, window=13):
+    least = {}
+    for doc, text in docs:
+        w = text.split()
+        for i in range(len(w) - window + 1):
+            s = tuple(w[i : i + window])
+            least[s] = min(least.get(s, doc), doc)
+    out = []
+    for doc, text in docs:
+        w = text.split()
+        gone = {i + k for i in range(len(w) - window + 1) if least[tuple(w[i : i + window])] < doc for k in range(window)}
+        out.append((doc, len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return sorted(out)
+
+
+def _common_phrase(n=300):
+    """A phrase that all documents hold among words of their own, and some longer passages in common."""
+    rng = random.Random(4)
+    phrase, passages = "all rights are reserved by the authors of this text", [" ".join(rng.choices("abcdefgh", k=18)) for _ in range(5)]
+    own = lambda k: " ".join(f"v{rng.randrange(10**6)}" for _ in range(k))
+    return [(i, f"{own(9)} {phrase} {own(9)} {rng.choice(passages)} {phrase} {own(3)}") for i in range(n)]
+
+
+@pytest.mark.parametrize("hot_passages", [0, 50, substring_dedup.HOT_PASSAGES])
+def test_substring_dedup_with_split_anchors(spark, hot_passages):
+    docs = _common_phrase()
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in substring_dedup.dedup_substrings(rows, hot_passages=hot_passages).select("doc_id", "n_removed", "kept").collect())
+    assert got == _cut_by_hand(docs)
+    assert sum(n for _, n, _ in got) > 1000
+
+
+def test_hot_anchors(spark):
+    docs = _common_phrase()
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = substring_dedup.hot_anchors(rows, 13, 5, floor=150)
+    assert 0 < len(found) <= 8  # the phrase's own, not those of the words around it
+    assert len(substring_dedup.hot_anchors(rows, 13, 5)) == 0
+    assert len(substring_dedup.hot_anchors(rows, 13, 5, most=20, floor=0)) <= 21
+    assert set(found) <= set(substring_dedup.hot_anchors(rows, 13, 5, most=2000, floor=0))
+
+
+def test_frequent_keeps_what_is_frequent():
+    rng = np.random.default_rng(1)
+    rows = np.concatenate([np.full(4000, 7), rng.integers(100, 10**6, 20000)]).astype(np.uint64)
+    rng.shuffle(rows)
+    held, counts = np.array([], dtype=np.uint64), np.array([], dtype=np.int64)
+    for part in np.split(rows, 12):
+        held, counts = substring_dedup._frequent(np.concatenate([held, part]), np.concatenate([counts, np.ones(len(part), dtype=np.int64)]), 30)
+    assert len(held) <= 30
+    assert 4000 - len(rows) / 31 <= counts[held == 7][0] <= 4000
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = [docs]
