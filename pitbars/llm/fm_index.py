@@ -121,10 +121,11 @@ class FMIndex:
         shift = self.first[symbols] - self.base[symbols]
         return shift + self.wavelet.down(symbols, low), shift + self.wavelet.down(symbols, high)
 
-    def matches(self, text: np.ndarray, ends: np.ndarray, most: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def matches(self, text: np.ndarray, ends: np.ndarray, most: np.ndarray | int, rows: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics by backward search: how many symbols of text before each of `ends` (exclusive) occur together, at
         most `most`; and the rows [low, high) of that match. The caller sees to it that `most` stays inside text. Symbols from 0;
-        one of -1 matches nothing."""
+        one of -1 matches nothing. A match counts as long as it has `rows` rows at least: 2 for text that is itself in the index, so
+        that the search ends where only the text's own place is left."""
         n = len(ends)
         most = np.broadcast_to(np.asarray(most, dtype=np.int64), (n,))
         low, high = np.zeros(n, dtype=np.int64), np.full(n, self.n, dtype=np.int64)
@@ -135,11 +136,14 @@ class FMIndex:
             symbols = text[ends[active] - 1 - k] + 1
             known = symbols > 0
             active, symbols = active[known], symbols[known]
-            if k:
-                lo, hi = self.step(symbols, low[active], high[active])
+            if k:  # equal matches with an equal symbol before them take one step together
+                keys, each = np.unique(low[active] * (self.sigma + 2) + symbols, return_inverse=True)
+                upper = np.empty(len(keys), dtype=np.int64)
+                upper[each] = high[active]
+                lo, hi = (x[each] for x in self.step(keys % (self.sigma + 2), keys // (self.sigma + 2), upper))
             else:
                 lo, hi = self.first[symbols], self.first[symbols + 1]
-            good = hi > lo
+            good = hi - lo >= rows
             active, lo, hi = active[good], lo[good], hi[good]
             low[active], high[active] = lo, hi
             length[active] += 1

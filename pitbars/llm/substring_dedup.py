@@ -227,13 +227,14 @@ def repeats_of(rows: pa.Table, window: int) -> pa.Table:
         owner = np.repeat(np.arange(len(lengths)), n_windows)
         offset = np.arange(len(owner)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
         # the statistics of a passage never leave it: each end has `window` symbols of its own passage before it
-        got, low, high = index.matches(symbols, starts[owner] + offset + window, window)
+        got, low, high = index.matches(symbols, starts[owner] + offset + window, window, rows=2)
         holder = np.searchsorted(np.cumsum(lengths + 1), index.sa, side="right")
         holder_doc = np.append(doc[np.minimum(holder, len(doc) - 1)], np.iinfo(np.int64).max)
-        ranges, inverse = np.unique(low * (index.n + 1) + high, return_inverse=True)
+        full = np.flatnonzero(got >= window)
+        ranges, inverse = np.unique(low[full] * (index.n + 1) + high[full], return_inverse=True)
         edges = np.column_stack([ranges // (index.n + 1), ranges % (index.n + 1)]).ravel()
-        least = np.minimum.reduceat(holder_doc, edges)[::2][inverse]
-        bad = np.flatnonzero((got >= window) & (least < doc[owner]))
+        least = np.minimum.reduceat(holder_doc, edges)[::2][inverse] if len(full) else np.array([], dtype=np.int64)
+        bad = full[least < doc[owner[full]]]
         if len(bad):
             cut = np.concatenate([[True], (np.diff(bad) != 1) | (np.diff(owner[bad]) != 0)])
             head = np.flatnonzero(cut)
