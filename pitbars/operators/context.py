@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pitbars.functions import clock
 from pitbars.operators import actions, evidence
+from pitbars.shared import written
 from pitbars.sources import landing
 
 
@@ -26,13 +27,15 @@ def context_rows(status: DataFrame, universe: DataFrame, context: DataFrame, rec
 def context_failures(status: DataFrame, universe: DataFrame, context: DataFrame, receipts: DataFrame, panel: DataFrame, source: str) -> DataFrame:
     """(blocker, sample). Status must be what the response of its receipt says, taken on its day and in its phase; the stored universe must
     be the response's; a decision must come before its outcome. Times are local market time."""
-    chosen = evidence.panel_select(context_rows(status, universe, context, receipts, source), panel)
+    digests = receipts.select("receipt_id", (F.sha2("response", 256) == F.col("response_sha256")).alias("digest_holds"))  # once for each response
+    chosen = context_rows(status, universe, context, receipts, source).drop("response", "response_sha256").join(digests, "receipt_id")
+    chosen = written(evidence.panel_select(chosen, panel), "context")
     missing = [panel.join(chosen.where(F.col("phase") == phase), ["code", "date"], "left_anti").select(F.lit(blocker).alias("blocker"), evidence.cell().alias("sample")) for phase, blocker in (("pre_open", "missing_decision_context_rows"), ("post_close", "missing_finalized_context_rows"))]
-    market = landing.market_rows(receipts)
+    market = written(landing.market_rows(receipts), "market")
     counted = market.groupBy("receipt_id").agg((F.count("*") == F.coalesce(F.max("advertised_count"), F.count("*"))).alias("whole"))
     derived = actions.status_values(market.where("code is not null")).select("receipt_id", "code", F.struct("name", "board", "is_st", "is_suspended").alias("derived"), "valid")
     timely = _sure((F.col("observed_at").cast("date") == F.col("date")) & (clock.observation_phase(F.col("observed_at")) == F.col("phase")))
-    intact = _sure((F.col("receipt_source") == source) & (F.sha2("response", 256) == F.col("response_sha256")))
+    intact = _sure((F.col("receipt_source") == source) & F.col("digest_holds"))
     early = F.col("phase") == "pre_open"
     times = F.col("decision_available_at").eqNullSafe(F.when(early, F.col("observed_at"))) & F.col("outcome_observed_at").eqNullSafe(F.when(~early, F.col("observed_at"))) & F.col("finalized_at").eqNullSafe(F.when(~early, F.col("observed_at")))
     stated = (F.struct("name", "board", "is_st", "is_suspended") == F.col("derived")) & F.col("valid") & (F.col("listing_status") == "listed")
@@ -68,7 +71,7 @@ EVENT = ["receipt_id", "code", "event_id", "effective_date", "announcement_date"
 def events_match_receipts(cells: DataFrame, stored: DataFrame, receipts: DataFrame) -> DataFrame:
     """Cells (code, date, receipt_id, event_count, available_at) with `same`: whether the stored events are those of the receipt, and as
     many as counted."""
-    derived = landing.land_action_batches(receipts)
+    derived = written(landing.land_action_batches(receipts), "actions")
     key = ["receipt_id", "code"]
     covered = derived.select(*key).distinct().withColumn("covered", F.lit(True))
     n = derived.groupBy(*key).agg(F.count("event_id").alias("due"))
@@ -81,16 +84,24 @@ def events_match_receipts(cells: DataFrame, stored: DataFrame, receipts: DataFra
 
 def action_failures(coverage: DataFrame, stored: DataFrame, receipts: DataFrame, panel: DataFrame, source: str) -> DataFrame:
     """(blocker, sample): coverage of every cell, from intact receipts of the right request, with the receipt's own events, before the open."""
-    chosen = evidence.panel_select(coverage_with_receipts(coverage, receipts, source), panel)
+    q = F.from_json("request", "observation_date string, symbols array<string>, years array<int>")
+    symbols_of = F.array_sort(F.map_keys(F.from_json("response", "symbols map<string, string>")["symbols"]))
+    facts = receipts.select(  # once for each response
+        "receipt_id",
+        (F.sha2("response", 256) == F.col("response_sha256")).alias("digest_holds"),
+        q["observation_date"].alias("asked_date"),
+        (F.array_sort(F.array_distinct(q["symbols"])) == symbols_of).alias("asked_symbols"),
+        F.array_sort(F.array_distinct(q["years"])).alias("asked_years"),
+    )
+    chosen = coverage_with_receipts(coverage, receipts, source).drop("request", "response", "response_sha256").join(facts, "receipt_id")
+    chosen = written(evidence.panel_select(chosen, panel), "coverage")
     missing = evidence.panel_missing(panel, chosen).select(F.lit("missing_corporate_action_coverage").alias("blocker"), evidence.cell().alias("sample"))
-    intact = _sure((F.col("receipt_source") == source) & (F.sha2("response", 256) == F.col("response_sha256")) & (F.col("observed_at") == F.col("available_at")))
+    intact = _sure((F.col("receipt_source") == source) & F.col("digest_holds") & (F.col("observed_at") == F.col("available_at")))
     sound = chosen.withColumn("intact", intact)
     broken = sound.where(~F.col("intact")).select(evidence.cell().alias("sample"))
     good = sound.where("intact")
-    q = F.from_json("request", "observation_date string, symbols array<string>, years array<int>")
-    symbols_of = F.array_sort(F.map_keys(F.from_json("response", "symbols map<string, string>")["symbols"]))
     year = F.year("date")
-    asked = _sure((q["observation_date"] == F.col("date").cast("string")) & (F.array_sort(F.array_distinct(q["symbols"])) == symbols_of) & (F.array_sort(F.array_distinct(q["years"])) == F.array(year - 1, year)))
+    asked = _sure((F.col("asked_date") == F.col("date").cast("string")) & F.col("asked_symbols") & (F.col("asked_years") == F.array(year - 1, year)))
     wrong = good.where(~asked).select(F.concat_ws("@", F.lit("request"), F.col("date").cast("string")).alias("sample"))
     matched = events_match_receipts(good.select("code", "date", "receipt_id", "event_count", "available_at"), stored, receipts.join(good.select("receipt_id").distinct(), "receipt_id", "left_semi"))
     differ = matched.where(~F.col("same")).select(evidence.cell().alias("sample"))

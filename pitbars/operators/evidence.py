@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pitbars.functions import clock
 from pitbars.operators import quality
+from pitbars.shared import written
 
 
 def bars_with_receipts(bars: DataFrame, receipts: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def failures(rows: DataFrame, checks: dict[str, Column], sample: Column) -> Data
 def blockers(found: DataFrame, examples: int = 5) -> DataFrame:
     """(blocker, count, examples): distinct samples and the first of them in order. Distinct samples are counted before they are
     ranked, and only the first few of each task's samples go on, so a blocker that every row has stays small."""
-    distinct = found.distinct()
+    distinct = written(found.distinct(), "blockers")
     counted = distinct.groupBy("blocker").agg(F.count("*").alias("count"))
     rank = F.row_number().over(Window.partitionBy("blocker").orderBy("sample"))
     first = distinct.withColumn("rank", rank).where(F.col("rank") <= examples).groupBy("blocker").agg(F.array_sort(F.collect_list("sample")).alias("s"))
@@ -55,7 +56,7 @@ def receipt_covers_bar(payload: Column) -> Column:
 
 def price_failures(bars: DataFrame, receipts: DataFrame, panel: DataFrame) -> DataFrame:
     """Everything that keeps an exact panel of one price identity from being ready."""
-    chosen = panel_select(bars, panel)
+    chosen = written(panel_select(bars, panel), "chosen")
     joined = bars_with_receipts(chosen, receipts).join(quality.next_session(chosen), "date")
     late = clock.price_availability_error(F.col("date"), F.col("observed_at"), F.col("next_date"))
     joined = joined.withColumn("late", late)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pitbars.functions.digest import money
 from pitbars.operators import actions, artifacts, authority, context, evidence, store
 from pitbars.plans.oracle import CLICK, sql
+from pitbars.shared import written
 from pitbars.sources import landing
 from pitbars.sources import views as v
 
@@ -36,11 +37,11 @@ def land_panel(s, d):
     return landing.land_panel(p.select(text.alias("payload")))
 
 
-def _captures(s, d):
+def _captures(s, d, held=None):
     """A receipt for each day and phase with that day's market; days with defects: 7 digest, 5 hour, 11 count."""
     row = F.struct(F.lower(F.concat(F.substring("code", 8, 2), F.substring("code", 1, 6))).alias("symbol"), F.when(_n() % 5 == 0, F.concat(F.lit("*ST "), "code")).otherwise(F.concat(F.lit("Co "), F.substring("code", 1, 6))).alias("name"), money(F.col("close")).alias("trade"), F.col("volume").cast("string").alias("volume"))
     day = F.day("date")
-    body = _click(s, d).groupBy("date").agg(F.array_sort(F.collect_list(row)).alias("rows")).withColumn("phase", F.explode(F.array(F.lit("pre_open"), F.lit("post_close"))))
+    body = (held or v.bars(s, d)).where(CLICK).groupBy("date").agg(F.array_sort(F.collect_list(row)).alias("rows")).withColumn("phase", F.explode(F.array(F.lit("pre_open"), F.lit("post_close"))))
     response = F.to_json(F.struct((F.size("rows") + F.when(day == 11, 1).otherwise(0)).alias("advertised_count"), F.array(F.col("rows")).alias("pages")))
     early = F.col("phase") == "pre_open"
     out = body.select("date", "phase", (F.dayofyear("date") * 2 + F.when(early, 0).otherwise(1)).cast("long").alias("receipt_id"), F.lit("m").alias("source"), response.alias("response"), F.when(day == 5, F.when(early, _at(10)).otherwise(_at(14))).when(early, _at(9, 5)).otherwise(_at(16)).alias("observed_at"))
@@ -51,12 +52,13 @@ def land_market_pages(s, d):
     return landing.land_market_pages(_captures(s, d).where("day(date) <> 11").select("receipt_id", "response"))
 
 
-def _context(s, d):
+def _context(s, d, held=None):
     """Stored rows; codes with defects: 17 flags, 13 membership, 19 universe (on day 9)."""
-    r = _captures(s, d)
+    held = held or v.bars(s, d)
+    r = written(_captures(s, d, held), "captures")
     early = F.col("phase") == "pre_open"
     key = r.select("date", "phase", "source", "receipt_id")
-    rows = _click(s, d).select("code", "date", "close", "volume").join(key, "date")
+    rows = held.where(CLICK).select("code", "date", "close", "volume").join(key, "date")
     name = F.when(_n() % 5 == 0, F.concat(F.lit("*ST "), "code")).otherwise(F.concat(F.lit("Co "), F.substring("code", 1, 6)))
     held = actions.status_values(rows.withColumns({"name": name, "trade": money(F.col("close")).cast("double"), "volume": F.col("volume").cast("double")}))
     status = held.select("code", "date", "phase", "source", "receipt_id", "name", F.lit("listed").alias("listing_status"), "board", (F.col("is_st") != (_n() % 17 == 0)).alias("is_st"), "is_suspended")
@@ -69,14 +71,15 @@ def context_rows(s, d):
     return context.context_rows(*_context(s, d), "m").select("code", "date", "phase", "receipt_id", "is_member", "observed_at")
 
 
-def context_readiness(s, d):
-    return context.context_readiness(*_context(s, d), v.panel(s, d), "m")
+def context_readiness(s, d, held=None):
+    held = held or written(v.bars(s, d), "bars")
+    return context.context_readiness(*_context(s, d, held), v.panel(s, d, held), "m")
 
 
-def _coverage(s, d):
+def _coverage(s, d, held=None):
     """Action coverage of every panel cell from one receipt for each day; days with defects: 7 digest, 5 hour, 9 request; code number 11 miscounts."""
     ends = F.struct(F.lit(2024).alias("year"), F.array(F.lit("dividOperateDate"), F.lit("dividPlanAnnounceDate"), F.lit("cash")).alias("fields"), F.when(_n() % 3 == 0, F.array(F.array(F.col("date").cast("string"), F.date_sub("date", 9).cast("string"), F.lit("1.5")))).otherwise(F.array().cast("array<array<string>>")).alias("rows"))
-    p = v.panel(s, d)
+    p = v.panel(s, d, held)
     day = F.day("date")
     body = p.groupBy("date").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("code"), F.array(ends).alias("b"))))).alias("symbols"), F.array_sort(F.collect_list("code")).alias("codes"))
     year = F.year("date") + F.when(day == 9, 1).otherwise(0)
@@ -90,9 +93,9 @@ def land_action_batches(s, d):
     return landing.land_action_batches(_coverage(s, d)[1].select("receipt_id", "response")).select("receipt_id", "code", "event_id", "effective_date", "announcement_date")
 
 
-def _events(s, d):
+def _events(s, d, held=None):
     """Stored events; those of code number 39 are lost."""
-    cover, r = _coverage(s, d)
+    cover, r = _coverage(s, d, held)
     found = landing.land_action_batches(r.select("receipt_id", "response")).where("event_id is not null")
     return found.join(cover.select("receipt_id", "code", "date", "source", "available_at"), ["receipt_id", "code"]).where(_n() % 39 != 0)
 
@@ -106,14 +109,16 @@ def events_match(s, d):
     return context.events_match_receipts(cover.select("code", "date", "receipt_id", "event_count", "available_at"), _events(s, d), r).select("code", "date", "same")
 
 
-def action_readiness(s, d):
-    cover, r = _coverage(s, d)
-    return context.action_readiness(cover, _events(s, d), r, v.panel(s, d), "a")
+def action_readiness(s, d, held=None):
+    held = held or written(v.bars(s, d), "bars")
+    cover, r = (written(x, "coverage") for x in _coverage(s, d, held))
+    return context.action_readiness(cover, written(_events(s, d, held), "events"), r, v.panel(s, d, held), "a")
 
 
 def full_readiness(s, d):
-    prices = evidence.price_readiness(_click(s, d), v.receipts(s, d), v.panel(s, d))
-    return context.full_readiness(prices, prices, context_readiness(s, d), action_readiness(s, d), "raw")
+    held = written(v.bars(s, d), "bars")
+    prices = written(evidence.price_readiness(held.where(CLICK), v.receipts(s, d, held), v.panel(s, d, held)), "prices")
+    return context.full_readiness(prices, prices, context_readiness(s, d, held), action_readiness(s, d, held), "raw")
 
 
 def _records(s, d):

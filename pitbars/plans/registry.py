@@ -8,6 +8,7 @@ from pitbars.functions import checks, clock, digest, symbols
 from pitbars.operators import evidence, quality, store
 from pitbars.plans import ledger, more, proofs
 from pitbars.plans.oracle import ORACLE_SQL
+from pitbars.shared import written
 from pitbars.sources import views as v
 
 CLICK = ("click", "raw", "click-v1")
@@ -19,8 +20,8 @@ def query(f):
     return f
 
 
-def _click(s, d):
-    b = v.bars(s, d)
+def _click(s, d, held=None):
+    b = held or v.bars(s, d)
     for column, value in zip(store.IDENTITY, CLICK, strict=True):
         b = b.where(F.col(column) == value)
     return b
@@ -325,7 +326,8 @@ def same_set(s, d):
 
 @query
 def price_readiness(s, d):
-    return evidence.price_readiness(_click(s, d), v.receipts(s, d), v.panel(s, d))
+    held = written(v.bars(s, d), "bars")
+    return evidence.price_readiness(_click(s, d, held), v.receipts(s, d, held), v.panel(s, d, held))
 
 
 @query

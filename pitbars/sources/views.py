@@ -28,12 +28,13 @@ def bars(spark, sf_dir) -> DataFrame:
     return store.bars_from_ticks(t).crossJoin(last).withColumn("is_final", F.col("date") < F.col("last_date")).drop("last_date")
 
 
-def receipts(spark, sf_dir) -> DataFrame:
+def receipts(spark, sf_dir, held: DataFrame | None = None) -> DataFrame:
+    """Receipts of the bars; held: the bars, where they are written already."""
     r = F.col("receipt_id")
     money = lambda c: c.cast("decimal(18,2)").cast("string")
     off = lambda n: F.when(r % n == 0, 1).otherwise(0)
     row = F.concat_ws('","', F.col("date").cast("string"), money(F.col("open") + off(23)), money(F.col("high")), money(F.col("low")), money(F.col("close") + off(19)), F.col("volume").cast("string"))
-    base = bars(spark, sf_dir).where(r % 7 != 0).select(
+    base = (held or bars(spark, sf_dir)).where(r % 7 != 0).select(
         "receipt_id",
         F.when(r % 43 == 0, F.lit(None)).when(r % 13 == 0, "other").otherwise(F.col("source")).alias("source"),
         (F.col("date").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(14), mins=((r % 48) * 30).cast("int"))).alias("observed_at"),
@@ -48,9 +49,10 @@ def sessions(spark, sf_dir) -> DataFrame:
     return ticks(spark, sf_dir).where(F.weekday("date") < 5).select("date").distinct()
 
 
-def panel(spark, sf_dir) -> DataFrame:
-    codes = ticks(spark, sf_dir).select("code").distinct()
-    return codes.crossJoin(sessions(spark, sf_dir))  # a panel is this product by definition
+def panel(spark, sf_dir, held: DataFrame | None = None) -> DataFrame:
+    """All codes in all sessions; held: the bars, where they are written already (each tick is in one)."""
+    rows = held or ticks(spark, sf_dir)
+    return rows.select("code").distinct().crossJoin(rows.where(F.weekday("date") < 5).select("date").distinct())  # a panel is this product by definition
 
 
 def calendar(spark, sf_dir) -> DataFrame:
