@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, quality, secrets, sharding, simhash, substring_dedup, token_store, toxicity
+from . import decontaminate, language, merkle, mixing, quality, secrets, sharding, simhash, substring_dedup, token_store, toxicity
 
 
 def _pipeline(spark, sf_dir: str):
@@ -24,7 +24,8 @@ QUERIES = {
         sharding.op8_sharding,
         mixing.op9_mixing,
         substring_dedup.op10_substring_dedup,
+        merkle.op13_merkle,
     )
 } | {"pipeline": _pipeline}
 
-ORACLE_SQL = {"op1_decontaminate": decontaminate.ORACLE, "op2_secrets": secrets.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE}
+ORACLE_SQL = {"op1_decontaminate": decontaminate.ORACLE, "op2_secrets": secrets.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE, "op13_merkle": merkle.ORACLE}
