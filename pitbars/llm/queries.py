@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, merkle, mixing, quality, secrets, sharding, simhash, substring_dedup, token_store, toxicity
+from . import decontaminate, language, merkle, mixing, packing, quality, secrets, sharding, simhash, substring_dedup, token_store, toxicity
 
 
 def _pipeline(spark, sf_dir: str):
@@ -24,6 +24,7 @@ QUERIES = {
         sharding.op8_sharding,
         mixing.op9_mixing,
         substring_dedup.op10_substring_dedup,
+        packing.op11_packing,
         merkle.op13_merkle,
     )
 } | {"pipeline": _pipeline}
