@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, merkle, mixing, packing, quality, secrets, sharding, simhash, substring_dedup, token_store, toxicity
+from . import collocations, decontaminate, language, merkle, mixing, packing, quality, secrets, sharding, simhash, substring_dedup, token_store, toxicity
 
 
 def _pipeline(spark, sf_dir: str):
@@ -25,8 +25,9 @@ QUERIES = {
         mixing.op9_mixing,
         substring_dedup.op10_substring_dedup,
         packing.op11_packing,
+        collocations.op12_collocations,
         merkle.op13_merkle,
     )
 } | {"pipeline": _pipeline}
 
-ORACLE_SQL = {"op1_decontaminate": decontaminate.ORACLE, "op2_secrets": secrets.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE, "op13_merkle": merkle.ORACLE}
+ORACLE_SQL = {"op1_decontaminate": decontaminate.ORACLE, "op2_secrets": secrets.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE, "op12_collocations": collocations.ORACLE, "op13_merkle": merkle.ORACLE}

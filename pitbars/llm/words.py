@@ -98,13 +98,14 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of n consecutive word hashes, one for each place where n words follow."""
+    """Hashes of n consecutive word hashes, one for each place where n words follow. Order counts: what stands before is multiplied, so
+    that neither two words the other way round nor a word twice meets another pair."""
     m = len(h) - n + 1
     if m <= 0:
         return np.empty(0, dtype=np.uint64)
     out = h[:m].copy()
     for k in range(1, n):
-        out = mixed(out ^ (h[k : k + m] + np.uint64(k)))
+        out = mixed(out * _M1 ^ h[k : k + m])
     return out
 
 
