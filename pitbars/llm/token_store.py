@@ -49,8 +49,10 @@ def _byte_characters() -> dict[int, str]:
 
 
 _BYTES = _byte_characters()
-#: ASCII punctuation other than an apostrophe, right after a letter: there the tokenizer begins a new piece, whatever stands around it.
-_TURN = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[^\W\d_].)")
+#: ASCII punctuation other than an apostrophe, right after a letter that stays a letter when it is normalized (Latin but for a dotted
+#: capital I, Cyrillic, Han): there the tokenizer begins a new piece, whatever stands around it. Letters of other scripts may end in a
+#: combining mark once normalized, which takes the punctuation into its piece; words of these are encoded whole.
+_TURN = re.compile("[!-&(-/:-@\\[-`{-~](?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u045f\u4e00-\u9fff].)")
 #: Characters whose lower case is one character that depends on no other (Latin but for a dotted capital I; punctuation; Han). Letters
 #: of these alone are in composed form already.
 _FOLDS = re.compile("[\x00-\u012f\u0131-\u024f\u2000-\u206f\u3000-\u9fff]*")
