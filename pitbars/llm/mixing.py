@@ -5,7 +5,8 @@ Each source's documents, in seeded hash order, are one stream of words, cut into
 rule never takes a seat back when seats are added, the quota of shard j is what the first j + 1 parts of all seats hold more than the
 first j (what a shard could only give by taking a block three times is left to the next one that has room). A source with a quota of q
 in a shard of B blocks takes the shard's block i as often as floor((i q + f) / B) grows there, f seeded: exactly q blocks, spread evenly
-over a randomly ordered run, none more than twice. A source whose target is under half a block has no seat and is not taken.
+over a randomly ordered run, none more than twice. Blocks are `block_tokens` words; a source of less than 64 such has smaller ones, by
+powers of two down to a word, so that it too meets its target, and the seats of each size of block go to the sources that have it.
 
 No table of blocks is made: what a document gives follows from where it begins in its stream. That place is a sum over hash cells
 (one row for each source and cell) plus a running sum within a cell, so a source with a third of all rows is dealt to many tasks.
@@ -17,8 +18,10 @@ rows are interchangeable; an empty table gives no rows.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -37,17 +40,18 @@ def targets_of(sizes: dict, weights: tuple[int, ...] = (5, 2, 1), share: Fractio
     """Target of each source: `share` of all sizes by weight; what exceeds `most` times a source goes to the others by weight."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    rest, open_, out = share * sum(sizes.values()), set(names), {}
-    while open_:
-        unit = Fraction(rest, sum(weight[s] for s in open_))
-        over = {s for s in open_ if weight[s] * unit > most * sizes[s]}
-        if not over:
-            return out | {s: weight[s] * unit for s in open_}
-        for s in over:
-            out[s] = Fraction(most * sizes[s])
-            rest -= out[s]
-        open_ -= over
-    return out
+    rest, open_, out = share * sum(sizes.values()), sum(weight.values()), {}
+    # those that are full first are those with the least size for their weight
+    for s in sorted(names, key=lambda s: Fraction(sizes[s], weight[s])):
+        out[s] = min(weight[s] * Fraction(rest) / open_, Fraction(most * sizes[s]))
+        if out[s] == most * sizes[s]:
+            rest, open_ = rest - out[s], open_ - weight[s]
+    return {s: out[s] if out[s] == most * sizes[s] else weight[s] * Fraction(rest) / open_ for s in names}
+
+
+def block_of(size: int, block_tokens: int) -> int:
+    """Words of a block of a source: block_tokens, or the power of two below it of which the source has 64 at least (or one word)."""
+    return min(block_tokens, 1 << max(0, (size // 64).bit_length() - 1))
 
 
 def seats(targets: dict, total: int) -> dict:
@@ -56,16 +60,24 @@ def seats(targets: dict, total: int) -> dict:
     out = dict.fromkeys(targets, 0)
     if not names or not total:
         return out
-    whole = sum(targets[s] for s in names)
+    want = [float(targets[s]) for s in names]
+    whole = sum(want)
     # rounding to nearest is within half a seat for each source; the few that lack or exceed are settled one by one
-    for s in names:
-        out[s] = int(targets[s] * total / whole + Fraction(1, 2))
-    while (gap := total - sum(out.values())) > 0:
-        out[max(names, key=lambda s: (targets[s] / (2 * out[s] + 1), -names.index(s)))] += 1
-    while gap < 0:
-        out[min((s for s in names if out[s]), key=lambda s: (targets[s] / (2 * out[s] - 1), -names.index(s)))] -= 1
-        gap += 1
-    return out
+    got = [int(t * total / whole + 0.5) for t in want]
+    gap = total - sum(got)
+    sign = 1 if gap > 0 else -1
+    heap = [(-want[i] / (2 * got[i] + 1), i) if gap > 0 else (want[i] / (2 * got[i] - 1), -i) for i in range(len(want)) if gap > 0 or got[i]]
+    heapq.heapify(heap)
+    for _ in range(abs(gap)):
+        i = abs(heap[0][1])
+        got[i] += sign
+        if gap > 0:
+            heapq.heapreplace(heap, (-want[i] / (2 * got[i] + 1), i))
+        elif got[i]:
+            heapq.heapreplace(heap, (want[i] / (2 * got[i] - 1), -i))
+        else:
+            heapq.heappop(heap)
+    return out | dict(zip(names, got, strict=True))
 
 
 def shard_quotas(targets: dict, total: int, shards: int) -> list[dict]:
@@ -89,7 +101,7 @@ def fitted(quotas: list[int], blocks: int) -> list[int]:
 
 def mix_sources(docs: DataFrame, block_tokens: int = 128, seed: int = 17, max_sources: int = 100_000, keep: tuple[str, ...] = ("doc_id",), shards: int = 8) -> DataFrame:
     """For each row: columns `keep`, size, source_size, target, taken, shard (of its first block), and first (its place in the stream),
-    blocks, quotas, before and starts (arrays with an entry for each shard, and one for the end).
+    block, blocks, quotas, before and starts (arrays with an entry for each shard, and one for the end).
 
     More than max_sources sources are a ValueError: their sizes, one row each, are apportioned on the driver."""
     spark = docs.sparkSession
@@ -103,21 +115,25 @@ def mix_sources(docs: DataFrame, block_tokens: int = 128, seed: int = 17, max_so
         raise ValueError(f"more than {max_sources} sources")
     sizes = {r["of"]: r["n"] for r in found}
     targets = targets_of(sizes)
-    won = shard_quotas(targets, int(sum(targets.values()) / block_tokens), shards)
+    alike: dict[int, dict] = defaultdict(dict)
+    for s, n in sizes.items():
+        alike[block_of(n, block_tokens)][s] = targets[s]
+    won = {block: shard_quotas(own, int(sum(own.values()) / block), shards) for block, own in alike.items()}
     rows = []
     for s, n in sizes.items():
-        blocks = max(1, -(-n // block_tokens))
-        quotas = fitted([q[s] for q in won], blocks)
+        block = block_of(n, block_tokens)
+        blocks = max(1, -(-n // block))
+        quotas = fitted([q[s] for q in won[block]], blocks)
         before = [sum(quotas[:j]) for j in range(shards + 1)]
         starts = [hash_fraction(seed + j, s, max(1, -(-(j + 1) * blocks // shards) - -(-j * blocks // shards))) for j in range(shards)]
-        rows.append((s, n, float(targets[s]), blocks, [*quotas, 0], before, [*starts, 0]))
-    plan = spark.createDataFrame(rows, "of string, source_size long, target double, blocks long, quotas array<long>, before array<long>, starts array<long>")
+        rows.append((s, n, float(targets[s]), block, blocks, [*quotas, 0], before, [*starts, 0]))
+    plan = spark.createDataFrame(rows, "of string, source_size long, target double, block long, blocks long, quotas array<long>, before array<long>, starts array<long>")
     here = Window.partitionBy("of", "cell").orderBy("h", "id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, 0)
     running = sized.withColumn("inside", F.sum("size").over(here) - F.col("size"))
     both = running.alias("d").join(ahead.alias("b"), F.col("d.of").eqNullSafe(F.col("b.of")) & (F.col("d.cell") == F.col("b.cell"))).join(F.broadcast(plan).alias("p"), F.col("d.of").eqNullSafe(F.col("p.of")))
-    out = both.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "d.size", (F.col("ahead") + F.col("inside")).alias("first"), "source_size", "target", "blocks", "quotas", "p.before", "starts")
-    shard = F.expr(f"cast(least((first div {block_tokens}) * {shards} div blocks, {shards - 1}) as int)")
-    return out.withColumns({"taken": (taken_before("first + size", block_tokens, shards) - taken_before("first", block_tokens, shards)).cast("long"), "shard": shard})
+    out = both.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "d.size", (F.col("ahead") + F.col("inside")).alias("first"), "source_size", "target", "block", "blocks", "quotas", "p.before", "starts")
+    shard = F.expr(f"cast(least((first div block) * {shards} div blocks, {shards - 1}) as int)")
+    return out.withColumns({"taken": (taken_before("first + size", shards) - taken_before("first", shards)).cast("long"), "shard": shard})
 
 
 def copies_before(block: str, shards: int) -> str:
@@ -129,11 +145,11 @@ def copies_before(block: str, shards: int) -> str:
     return f"({at('before')} + (cast({block} - {begin(shard)} as decimal(19,0)) * cast({at('quotas')} as decimal(18,0)) + {at('starts')}) div {width})"
 
 
-def taken_before(place: str, block_tokens: int, shards: int):
+def taken_before(place: str, shards: int):
     """How many words are taken, repeats counted, before a place of the stream."""
-    block = f"(({place}) div {block_tokens})"
+    block = f"(({place}) div block)"
     after = f"least({block} + 1, blocks)"
-    return F.expr(f"{block_tokens} * {copies_before(block, shards)} + (({place}) % {block_tokens}) * ({copies_before(after, shards)} - {copies_before(block, shards)})")
+    return F.expr(f"block * {copies_before(block, shards)} + (({place}) % block) * ({copies_before(after, shards)} - {copies_before(block, shards)})")
 
 
 def block_copies(block: int, blocks: int, quotas: list[int], before: list[int], starts: list[int]) -> int:
@@ -144,7 +160,7 @@ def block_copies(block: int, blocks: int, quotas: list[int], before: list[int],
     return before[j] + ((block - begin) * quotas[j] + starts[j]) // max(end - begin, 1)
 
 
-def mixed_texts(mixed: DataFrame, columns: list[str], block_tokens: int = 128) -> DataFrame:
+def mixed_texts(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: for each row of mix_sources (which kept `columns`, text among them) one row for each time any of its words are
     taken, with the words of the blocks taken that often or more. A text taken whole stays as it is."""
     schema = T.StructType([mixed.schema[c] for c in columns])
@@ -154,8 +170,8 @@ def mixed_texts(mixed: DataFrame, columns: list[str], block_tokens: int = 128) -
         for batch in common.in_chunks(batches):
             rows, texts = [], []
             at = {name: k for k, name in enumerate(batch.schema.names)}
-            numbers = zip(*(batch.column(at[c]).to_pylist() for c in ("size", "first", "blocks", "quotas", "before", "starts")), strict=True)
-            for row, (text, (size, first, *plan)) in enumerate(zip(batch.column(at["text"]).to_pylist(), numbers, strict=True)):
+            numbers = zip(*(batch.column(at[c]).to_pylist() for c in ("size", "first", "block", "blocks", "quotas", "before", "starts")), strict=True)
+            for row, (text, (size, first, block_tokens, *plan)) in enumerate(zip(batch.column(at["text"]).to_pylist(), numbers, strict=True)):
                 if not size:
                     continue
                 span = range(first // block_tokens, (first + size - 1) // block_tokens + 1)
@@ -184,7 +200,7 @@ def mixed_texts(mixed: DataFrame, columns: list[str], block_tokens: int = 128) -
             out[text_at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(out, names=columns)
 
-    return common.map_arrow(mixed.select(*columns, "size", "first", "blocks", "quotas", "before", "starts"), run, schema)
+    return common.map_arrow(mixed.select(*columns, "size", "first", "block", "blocks", "quotas", "before", "starts"), run, schema)
 
 
 def hash_fraction(seed: int, source, blocks: int) -> int:

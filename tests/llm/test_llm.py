@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -471,8 +472,9 @@ def test_mixing_rows_against_brute_force(spark):
     by_shard = {}
     for r in rows:
         assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - float(targets[r["source"]])) < 1e-9
-        plan = (r["blocks"], r["quotas"], r["before"], r["starts"])
-        words = [mixing.block_copies(k // 16 + 1, *plan) - mixing.block_copies(k // 16, *plan) for k in range(r["first"], r["first"] + r["size"])]
+        plan, b = (r["blocks"], r["quotas"], r["before"], r["starts"]), r["block"]
+        assert b == mixing.block_of(sizes[r["source"]], 16) and r["blocks"] == max(1, -(-sizes[r["source"]] // b))
+        words = [mixing.block_copies(k // b + 1, *plan) - mixing.block_copies(k // b, *plan) for k in range(r["first"], r["first"] + r["size"])]
         assert r["taken"] == sum(words) and all(0 <= w <= 2 for w in words)
         by_shard[r["source"]] = (r["quotas"], r["blocks"], plan)
     for quotas, blocks, plan in by_shard.values():
@@ -482,11 +484,36 @@ def test_mixing_rows_against_brute_force(spark):
             assert mixing.block_copies(end, *plan) - mixing.block_copies(begin, *plan) == quotas[j] <= 2 * (end - begin)
 
 
+def test_small_sources_meet_their_targets(spark):
+    rows = [(i, "big", "w " * 300) for i in range(400)] + [(1000 + i, f"t{i}", "x " * 30) for i in range(200)] + [(5000, None, "a b c")]
+    got = {}
+    for r in mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string"), keep=("doc_id", "source")).collect():
+        x = got.setdefault(r["source"], [r["source_size"], r["target"], 0])
+        x[2] += r["taken"]
+    for size, target, taken in got.values():
+        assert abs(taken - target) <= 2 * mixing.block_of(size, 128)
+
+
+def test_targets_by_rounds():
+    rng = random.Random(4)
+    for _ in range(30):
+        sizes = {f"s{i}": rng.choice((0, 3, 50, 1000, 10**6)) for i in range(rng.randint(1, 12))}
+        names, rest, due = sorted(sizes), Fraction(3, 2) * sum(sizes.values()), {}
+        weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+        while len(due) < len(names):  # the contract's words: what is above stops at twice its size, the excess is shared anew
+            unit = rest / sum(weight[s] for s in names if s not in due)
+            over = [s for s in names if s not in due and weight[s] * unit > 2 * sizes[s]]
+            for s in over or [s for s in names if s not in due]:
+                due[s] = Fraction(2 * sizes[s]) if over else weight[s] * unit
+                rest -= due[s] if over else 0
+        assert mixing.targets_of(sizes) == due
+
+
 def test_mixed_texts_hold_what_is_taken(spark):
     docs = spark.range(200).selectExpr("id doc_id", "trim(repeat(concat('w', id, ' '), cast(id as int))) text", "concat('s', id % 3) source")
     mixed = mixing.mix_sources(docs, block_tokens=16, keep=("doc_id", "text", "source"))
     taken = {r["doc_id"]: r["taken"] for r in mixed.collect()}
     got = {}
-    for r in mixing.mixed_texts(mixed, ["doc_id", "text", "source"], 16).collect():
+    for r in mixing.mixed_texts(mixed, ["doc_id", "text", "source"]).collect():
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + len(r["text"].split())
     assert {k: v for k, v in taken.items() if v} == {k: v for k, v in got.items() if v}
