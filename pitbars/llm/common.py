@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,6 +43,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the jobs run inside; afterwards they are as before."""
+    before = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+#: Shuffle files of a job go when the job ends, not when the driver next collects garbage: for chains of jobs that each write a table.
+TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared folder that nothing reads any more."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

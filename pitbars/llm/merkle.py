@@ -5,8 +5,8 @@ every `arity` consecutive nodes become their hash until one remains, the group's
 the root of the table. Digests are hashed as lower-case hex text and stored as 32 bytes.
 
 The manifest is two tables. `leaves` has a row for each leaf with its place. `pages` has the nodes, level by level, in rows linked to
-their parents: a row holds what lies under one node within `page_levels` levels (64 leaves by default), so a tree over 10^11 rows is
-seven rows high and the table has some 65 bytes for each leaf. A Spark recursive query climbs from every leaf: each round joins the row
+their parents: a row holds what lies under one node within `page_levels` levels (by default 512 leaves, 32 KB), so a tree over 10^11 rows
+is five rows high and the table has some 65 bytes for each leaf. A Spark recursive query climbs from every leaf: each round joins the row
 its nodes lie in, appends the siblings of each level to the proof and folds the digest upward.
 
 At scale: places are ranks of a range partitioning (positions within sorted partitions, plus counts of the partitions before), so no
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
-SPREAD = 2048  # leaves that climb through one copy of a row
+SPREAD = 1024  # leaves that climb through one copy of a row
 TOP = "all"
 _RESULT = ("leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "proof")
 
@@ -84,7 +84,7 @@ def _tree(nodes: DataFrame, arity: int, height: int) -> DataFrame:
     return out.withColumn("up", F.when(inner, link))
 
 
-def build(docs: DataFrame, group: str = "lang", order: str = "doc_id", fields: tuple[str, ...] = FIELDS, keep: tuple[str, ...] = ("doc_id",), seen: Column | None = None, arity: int = 2, page_levels: int = 6) -> tuple[DataFrame, DataFrame]:
+def build(docs: DataFrame, group: str = "lang", order: str = "doc_id", fields: tuple[str, ...] = FIELDS, keep: tuple[str, ...] = ("doc_id",), seen: Column | None = None, arity: int = 2, page_levels: int = 9) -> tuple[DataFrame, DataFrame]:
     """(leaves, pages) of a table. `seen` is the digest to be proved against the tree (by default the leaf itself).
 
     leaves: own (a struct of the kept columns), leaf, seen, tree, page, pos. pages: tree, level, page, copy, levels, top, up (the parent
@@ -92,9 +92,15 @@ def build(docs: DataFrame, group: str = "lang", order: str = "doc_id", fields: t
     clash = set(keep) & set(_RESULT)
     if clash:
         raise ValueError(f"kept columns are named like results: {sorted(clash)}")
-    digest, span = leaf_digest([F.col(f) for f in fields]), arity**page_levels
+    digest = leaf_digest([F.col(f) for f in fields])
     tree = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("-"))
     narrow = docs.select(F.struct(*keep).alias("own"), F.col(order).alias("by"), tree.alias("tree"), digest.alias("leaf"), (digest if seen is None else seen).alias("seen"))
+    with common.settings(docs.sparkSession, common.TIDY):
+        return _built(narrow, arity, page_levels)
+
+
+def _built(narrow: DataFrame, arity: int, page_levels: int) -> tuple[DataFrame, DataFrame]:
+    span = arity**page_levels
     rows = _ranked(common.written(narrow.withColumn("no", F.monotonically_increasing_id()), "merkle-leaves"), ["by", "leaf", "no"])
     leaves = common.written(rows.select("own", "no", "leaf", "seen", "tree", "idx", "total"), "merkle-leaves")
     groups = _tree(leaves.select("tree", "idx", F.col("leaf").alias("digest"), "total", F.lit(1).cast("long").alias("leaves")), arity, page_levels)
@@ -123,22 +129,20 @@ def prove(leaves: DataFrame, pages: DataFrame, arity: int = 2) -> DataFrame:
     start = "named_struct('pos', c.pos, 'folded', c.folded, 'proof', c.proof)"
     leaves.createOrReplaceTempView(f"leaves_{mark}")
     pages.createOrReplaceTempView(f"pages_{mark}")
-    limit = spark.conf.get("spark.sql.cteRecursionRowLimit")
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     try:
-        climbed = spark.sql(f"""
-            WITH RECURSIVE climb(own, no, leaf, tree, level, page, copy, pos, folded, proof, subroot, root) AS (
-              SELECT own, no, leaf, tree, 0, page, 0L, pos, seen, X'', CAST(NULL AS BINARY), CAST(NULL AS BINARY) FROM leaves_{mark}
-              UNION ALL
-              SELECT own, no, leaf, tree, level, page, copy, pos, x.folded, x.proof, subroot, root FROM (
-                SELECT c.own, c.no, c.leaf, p.up.tree AS tree, p.up.level AS level, p.up.page AS page, pmod(c.no, p.up_copies) AS copy, p.up.pos AS pos,
-                  aggregate(slice(p.levels, 1, size(p.levels) - 1), {start}, (x, l) -> {step}) AS x,
-                  coalesce(c.subroot, CASE WHEN p.grown THEN p.top END) AS subroot, CASE WHEN p.up IS NULL THEN p.top END AS root
-                FROM climb c JOIN pages_{mark} p ON c.tree = p.tree AND c.level = p.level AND c.page = p.page AND c.copy = p.copy))
-            SELECT own, leaf, folded, proof, subroot, root FROM climb WHERE root IS NOT NULL""")
-        climbed = common.written(climbed, "merkle-proofs")
+        with common.settings(spark, common.TIDY | {"spark.sql.cteRecursionRowLimit": "-1"}):
+            climbed = spark.sql(f"""
+                WITH RECURSIVE climb(own, no, leaf, tree, level, page, copy, pos, folded, proof, subroot, root) AS (
+                  SELECT own, no, leaf, tree, 0, page, 0L, pos, seen, X'', CAST(NULL AS BINARY), CAST(NULL AS BINARY) FROM leaves_{mark}
+                  UNION ALL
+                  SELECT own, no, leaf, tree, level, page, copy, pos, x.folded, x.proof, subroot, root FROM (
+                    SELECT c.own, c.no, c.leaf, p.up.tree AS tree, p.up.level AS level, p.up.page AS page, pmod(c.no, p.up_copies) AS copy, p.up.pos AS pos,
+                      aggregate(slice(p.levels, 1, size(p.levels) - 1), {start}, (x, l) -> {step}) AS x,
+                      coalesce(c.subroot, CASE WHEN p.grown THEN p.top END) AS subroot, CASE WHEN p.up IS NULL THEN p.top END AS root
+                    FROM climb c JOIN pages_{mark} p ON c.tree = p.tree AND c.level = p.level AND c.page = p.page AND c.copy = p.copy))
+                SELECT own, leaf, folded, proof, subroot, root FROM climb WHERE root IS NOT NULL""")
+            climbed = common.written(climbed, "merkle-proofs")
     finally:
-        spark.conf.set("spark.sql.cteRecursionRowLimit", limit)
         for name in ("leaves", "pages"):
             spark.catalog.dropTempView(f"{name}_{mark}")
     text = lambda c: F.lower(F.hex(c))
