@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pitbars.functions import canonical
 
 
 def money(value: Column) -> Column:
@@ -11,8 +14,9 @@ def money(value: Column) -> Column:
 
 
 def canonical_record(**parts: Column) -> Column:
-    """Compact JSON with sorted keys, every value as text or null: different records never read alike."""
-    return F.to_json(F.struct(*(parts[k].cast("string").alias(k) for k in sorted(parts))), {"ignoreNullFields": "false"})
+    """Canonical JSON of a record, every value as text or null: different records never read alike."""
+    items = [p for k, name in enumerate(sorted(parts)) for p in (F.concat(F.lit("," if k else ""), canonical.string(F.lit(name)), F.lit(":")), F.coalesce(canonical.string(parts[name].cast("string")), F.lit("null")))]
+    return F.concat(F.lit("{"), *items, F.lit("}"))
 
 
 def record_sha256(**parts: Column) -> Column:
@@ -27,7 +31,12 @@ def content_digest(rows: DataFrame, parts: dict[str, Column], group: list[Column
     return groups.agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("d"))), 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"))
 
 
-def set_digest(values: DataFrame, column: str, group: str) -> DataFrame:
-    """SHA-256 of the sorted digests of each group's sorted distinct values: one line for each group meets at the end."""
-    groups = values.groupBy(group).agg(F.array_sort(F.collect_set(column)).alias("v")).select(F.sha2(F.concat_ws(",", "v"), 256).alias("d"), F.size("v").alias("n"))
-    return groups.agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("d"))), 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("entries"))
+def panel_sha256(entries: Column) -> Column:
+    """SHA-256 of the canonical list of a panel's cells (array of symbol@date), sorted: the identity of a registered panel, of a readiness
+    report and of an export alike. A panel is bounded by its registration; it is one row."""
+    return F.sha2(canonical.encode(F.array_sort(entries), T.ArrayType(T.StringType())), 256)
+
+
+def panel_digest(panel: DataFrame) -> DataFrame:
+    """One row (digest, entries) of a panel's different cells (column panel_entry)."""
+    return panel.agg(F.collect_set("panel_entry").alias("e")).select(panel_sha256(F.col("e")).alias("digest"), F.size("e").cast("long").alias("entries"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitbars.functions import checks
+from pitbars.functions import canonical, checks, digest
 from pitbars.operators import panels
 
 #: Fixed values of the contracts.
@@ -62,7 +62,7 @@ def adjustment_identity(identity: Column, role: Column, schemas: dict[str, str]
     schema = reduce(lambda out, x: F.when(role == x[0], x[1]).otherwise(out), schemas.items(), F.lit(None).cast("string"))
     filled = reduce(lambda a, b: a & b, ((_kind(identity, f"$.{n}") == "STRING") & (at(n) != "") for n in names))
     ok = _keys(identity, *names) & filled & (at("price_role") == role) & (at("schema_version") == schema) & ((role != "execution") | (at("adjustment_mode") == "raw"))
-    return F.when(_sure(ok), F.sha2(F.to_json(F.struct(*(at(n).alias(n) for n in names))), 256))
+    return F.when(_sure(ok), digest.record_sha256(**{n: at(n) for n in names}))
 
 
 def signer_interval(envelopes: DataFrame, signers: DataFrame, roots: DataFrame) -> DataFrame:
@@ -173,12 +173,12 @@ def register_panel_check(registrations: DataFrame, requested: str, n_symbols: in
     panel_sha256) with `problem`: null where the requested session may be captured."""
     entry = F.flatten(F.transform("symbols", lambda s: F.transform("sessions", lambda d: F.concat_ws("@", s, d))))
     days = F.transform("sessions", lambda d: F.to_date(F.try_to_timestamp(d, F.lit("yyyy-MM-dd"))))
-    unique = lambda c, n: (F.size(c) == n) & (F.size(F.array_distinct(c)) == n)
+    unique = lambda c, n: (F.size(c) == n) & (F.size(F.array_distinct(c)) == n) & F.forall(c, lambda x: (x != "") & (F.trim(x) == x))
     rules = {
         "outcome_not_blind": ~F.col("outcome_feedback_used"), "not_pending": F.col("status") == "AWAITING_FULL_SNAPSHOT_READINESS", "not_raw": F.col("adjustment_mode") == "raw",
         "invalid_identity": (F.col("source") != "") & (F.col("adjustment_version") != ""), "invalid_workspace_count": F.col("workspace_count") == n_symbols * n_sessions,
         "invalid_symbols": unique("symbols", n_symbols), "invalid_sessions": unique("sessions", n_sessions) & (F.col("sessions") == F.array_sort("sessions")) & F.forall(days, lambda d: d.isNotNull()),
-        "not_a_weekday": F.forall(days, lambda d: F.weekday(d) < 5), "not_registered": F.array_contains("sessions", requested), "panel_drifted": F.col("panel_sha256") == F.sha2(F.concat_ws(",", F.array_sort(entry)), 256),
+        "not_a_weekday": F.forall(days, lambda d: F.weekday(d) < 5), "not_registered": F.array_contains("sessions", requested), "panel_drifted": F.col("panel_sha256") == digest.panel_sha256(entry),
     }
     problem = F.coalesce(*(F.when(~_sure(ok), name) for name, ok in rules.items()))
     return registrations.select("id", problem.alias("problem"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitbars.functions import clock
+from pitbars.functions.symbols import normalize_symbol
 from pitbars.operators import actions, evidence
 from pitbars.shared import written
 from pitbars.sources import landing
@@ -26,22 +27,24 @@ def context_rows(status: DataFrame, universe: DataFrame, context: DataFrame, rec
 
 def context_failures(status: DataFrame, universe: DataFrame, context: DataFrame, receipts: DataFrame, panel: DataFrame, source: str) -> DataFrame:
     """(blocker, sample). Status must be what the response of its receipt says, taken on its day and in its phase; the stored universe must
-    be the response's; a decision must come before its outcome. Times are local market time."""
+    be the response's; a decision must come before its outcome. A response that can't be read fails the cells it was stored for, and no others.
+    Times are local market time."""
     digests = receipts.select("receipt_id", (F.sha2("response", 256) == F.col("response_sha256")).alias("digest_holds"))  # once for each response
     chosen = context_rows(status, universe, context, receipts, source).drop("response", "response_sha256").join(digests, "receipt_id")
     chosen = written(evidence.panel_select(chosen, panel), "context")
     missing = [panel.join(chosen.where(F.col("phase") == phase), ["code", "date"], "left_anti").select(F.lit(blocker).alias("blocker"), evidence.cell().alias("sample")) for phase, blocker in (("pre_open", "missing_decision_context_rows"), ("post_close", "missing_finalized_context_rows"))]
-    market = written(landing.market_rows(receipts), "market")
-    counted = market.groupBy("receipt_id").agg((F.count("*") == F.coalesce(F.max("advertised_count"), F.count("*"))).alias("whole"))
+    judged = written(landing.judge_market_pages(receipts), "market")
+    market = landing.market_rows(judged)
+    counted = judged.select("receipt_id", F.col("m").isNotNull().alias("readable"), (F.size("m") == F.coalesce("advertised_count", F.size("m"))).alias("whole"))
     derived = actions.status_values(market.where("code is not null")).select("receipt_id", "code", F.struct("name", "board", "is_st", "is_suspended").alias("derived"), "valid")
     timely = _sure((F.col("observed_at").cast("date") == F.col("date")) & (clock.observation_phase(F.col("observed_at")) == F.col("phase")))
     intact = _sure((F.col("receipt_source") == source) & F.col("digest_holds"))
     early = F.col("phase") == "pre_open"
     times = F.col("decision_available_at").eqNullSafe(F.when(early, F.col("observed_at"))) & F.col("outcome_observed_at").eqNullSafe(F.when(~early, F.col("observed_at"))) & F.col("finalized_at").eqNullSafe(F.when(~early, F.col("observed_at")))
     stated = (F.struct("name", "board", "is_st", "is_suspended") == F.col("derived")) & F.col("valid") & (F.col("listing_status") == "listed")
-    judged = chosen.join(counted, "receipt_id", "left").join(derived, ["receipt_id", "code"], "left").withColumn("sound", intact & timely)
-    bad = judged.where(~(F.col("sound") & _sure(F.col("whole") & stated & F.col("is_member")) & times)).select(F.concat_ws("@", "code", F.col("date").cast("string"), "phase").alias("sample"))
-    checked = judged.where("sound").select("date", "phase", "receipt_id").distinct()
+    cells = chosen.join(counted, "receipt_id", "left").join(derived, ["receipt_id", "code"], "left").withColumn("sound", intact & timely & _sure(F.col("readable")))
+    bad = cells.where(~(F.col("sound") & _sure(F.col("whole") & stated & F.col("is_member")) & times)).select(F.concat_ws("@", "code", F.col("date").cast("string"), "phase").alias("sample"))
+    checked = cells.where("sound").select("date", "phase", "receipt_id").distinct()
     held, due = (x.join(checked, keys, "left_semi") for x, keys in ((universe.select("date", "phase", "receipt_id", "code"), ["date", "phase", "receipt_id"]), (market.join(checked, "receipt_id").select("date", "phase", "receipt_id", "code"), ["date", "phase", "receipt_id"])))
     apart = evidence.same_set(held, due).select(F.concat_ws("@", F.lit("universe"), F.col("date").cast("string"), "phase").alias("sample"))
     at = lambda phase, *columns: chosen.where(F.col("phase") == phase).select("code", "date", *columns)
@@ -68,10 +71,10 @@ def coverage_with_receipts(coverage: DataFrame, receipts: DataFrame, source: str
 EVENT = ["receipt_id", "code", "event_id", "effective_date", "announcement_date", "payload_json"]
 
 
-def events_match_receipts(cells: DataFrame, stored: DataFrame, receipts: DataFrame) -> DataFrame:
-    """Cells (code, date, receipt_id, event_count, available_at) with `same`: whether the stored events are those of the receipt, and as
-    many as counted."""
-    derived = written(landing.land_action_batches(receipts), "actions")
+def events_match_receipts(cells: DataFrame, stored: DataFrame, judged: DataFrame) -> DataFrame:
+    """Cells (code, date, receipt_id, event_count, available_at) with `same`: whether the stored events are those of the receipt, as many
+    as counted. judged: receipts as landing.judge_action_batches gives them; one with a reason against it matches no cell."""
+    derived = written(landing.action_events(judged), "events")
     key = ["receipt_id", "code"]
     covered = derived.select(*key).distinct().withColumn("covered", F.lit(True))
     n = derived.groupBy(*key).agg(F.count("event_id").alias("due"))
@@ -83,31 +86,34 @@ def events_match_receipts(cells: DataFrame, stored: DataFrame, receipts: DataFra
 
 
 def action_failures(coverage: DataFrame, stored: DataFrame, receipts: DataFrame, panel: DataFrame, source: str) -> DataFrame:
-    """(blocker, sample): coverage of every cell, from intact receipts of the right request, with the receipt's own events, before the open."""
+    """(blocker, sample): coverage of every cell, from intact receipts of the right request, with the receipt's own events, before the open. A
+    response that can't be read is one sample, response@day; all other cells are judged."""
     q = F.from_json("request", "observation_date string, symbols array<string>, years array<int>")
-    symbols_of = F.array_sort(F.map_keys(F.from_json("response", "symbols map<string, string>")["symbols"]))
+    judged = written(landing.judge_action_batches(receipts), "actions")
+    held = judged.select("receipt_id", "reason", F.array_sort(F.array_distinct(F.transform("symbols", lambda s: s["code"]))).alias("held"))
     facts = receipts.select(  # once for each response
         "receipt_id",
         (F.sha2("response", 256) == F.col("response_sha256")).alias("digest_holds"),
         q["observation_date"].alias("asked_date"),
-        (F.array_sort(F.array_distinct(q["symbols"])) == symbols_of).alias("asked_symbols"),
+        F.array_sort(F.array_distinct(F.transform(q["symbols"], lambda x: normalize_symbol(x)))).alias("asked"),
         F.array_sort(F.array_distinct(q["years"])).alias("asked_years"),
-    )
+    ).join(held, "receipt_id")
     chosen = coverage_with_receipts(coverage, receipts, source).drop("request", "response", "response_sha256").join(facts, "receipt_id")
     chosen = written(evidence.panel_select(chosen, panel), "coverage")
     missing = evidence.panel_missing(panel, chosen).select(F.lit("missing_corporate_action_coverage").alias("blocker"), evidence.cell().alias("sample"))
     intact = _sure((F.col("receipt_source") == source) & F.col("digest_holds") & (F.col("observed_at") == F.col("available_at")))
     sound = chosen.withColumn("intact", intact)
     broken = sound.where(~F.col("intact")).select(evidence.cell().alias("sample"))
-    good = sound.where("intact")
+    unread = sound.where("intact AND reason IS NOT NULL").select(F.concat_ws("@", F.lit("response"), F.col("date").cast("string")).alias("sample"))
+    good = sound.where("intact AND reason IS NULL")
     year = F.year("date")
-    asked = _sure((F.col("asked_date") == F.col("date").cast("string")) & F.col("asked_symbols") & (F.col("asked_years") == F.array(year - 1, year)))
+    asked = _sure((F.col("asked_date") == F.col("date").cast("string")) & (F.col("asked") == F.col("held")) & (F.col("asked_years") == F.array(year - 1, year)))
     wrong = good.where(~asked).select(F.concat_ws("@", F.lit("request"), F.col("date").cast("string")).alias("sample"))
-    matched = events_match_receipts(good.select("code", "date", "receipt_id", "event_count", "available_at"), stored, receipts.join(good.select("receipt_id").distinct(), "receipt_id", "left_semi"))
+    matched = events_match_receipts(good.select("code", "date", "receipt_id", "event_count", "available_at"), stored, judged)
     differ = matched.where(~F.col("same")).select(evidence.cell().alias("sample"))
     timely = _sure((F.col("available_at").cast("date") == F.col("date")) & (clock.observation_phase(F.col("available_at")) == "pre_open"))
     late = chosen.where(~timely).select(F.lit("corporate_actions_outside_preopen_cutoff").alias("blocker"), evidence.cell().alias("sample"))
-    invalid = [x.select(F.lit("invalid_corporate_action_receipts").alias("blocker"), "sample") for x in (broken, wrong, differ)]
+    invalid = [x.select(F.lit("invalid_corporate_action_receipts").alias("blocker"), "sample") for x in (broken, unread, wrong, differ)]
     return reduce(DataFrame.unionByName, [missing, *invalid, late])
 
 

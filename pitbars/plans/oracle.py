@@ -113,7 +113,7 @@ ORACLE_SQL: dict[str, str] = {
     "bars_with_receipts": sql("SELECT b.code, b.date, b.source, b.receipt_id, r.source AS receipt_source, r.response_sha256, r.observed_at FROM bars b LEFT JOIN receipts r USING (receipt_id)"),
     "panel_select": sql(f"SELECT {BAR} FROM bars b WHERE {CLICK} AND EXISTS (SELECT 1 FROM panel p WHERE p.code = b.code AND p.date = b.date)"),
     "panel_missing": sql(f"SELECT code, date FROM panel p WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE {CLICK} AND b.code = p.code AND b.date = p.date)"),
-    "panel_digest": sql("SELECT sha256(string_agg(d, ',' ORDER BY d)) AS digest, CAST(sum(n) AS BIGINT) AS entries FROM (SELECT sha256(string_agg(code || '@' || CAST(date AS VARCHAR), ',' ORDER BY date)) AS d, count(*) AS n FROM panel GROUP BY code)"),
+    "panel_digest": sql("SELECT sha256('[\"' || string_agg(e, '\",\"' ORDER BY e) || '\"]') AS digest, count(*) AS entries FROM (SELECT DISTINCT code || '@' || CAST(date AS VARCHAR) AS e FROM panel)"),
     "content_digest": sql("SELECT sha256(string_agg(d, ',' ORDER BY d)) AS digest, CAST(sum(n) AS BIGINT) AS row_count FROM g", "g AS (SELECT sha256(string_agg(d, ',' ORDER BY d)) AS d, count(*) AS n FROM (SELECT code, year(date) AS y, sha256(" + RECORD + ") AS d FROM bars WHERE is_final) GROUP BY code, y)"),
     "calendar_spine": sql("SELECT s.date, coalesce(n, 0) AS times FROM calendar s LEFT JOIN (SELECT date, count(*) AS n FROM (SELECT DISTINCT date FROM bars WHERE source = 'click' UNION ALL SELECT DISTINCT date FROM bars WHERE source = 'view' AND day(date) % 7 = 0) GROUP BY date) USING (date) WHERE coalesce(n, 0) <> 1"),
     "date_set_ops": sql("SELECT 'common' AS side, code, date FROM (SELECT code, date FROM bars WHERE source = 'click' INTERSECT SELECT code, date FROM bars WHERE source = 'view') UNION ALL SELECT 'only_left', code, date FROM (SELECT code, date FROM bars WHERE source = 'click' EXCEPT SELECT code, date FROM bars WHERE source = 'view') UNION ALL SELECT 'only_right', code, date FROM (SELECT code, date FROM bars WHERE source = 'view' EXCEPT SELECT code, date FROM bars WHERE source = 'click')"),

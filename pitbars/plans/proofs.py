@@ -12,6 +12,7 @@ from pitbars.sources import landing
 from pitbars.sources import views as v
 
 SHA = "a" * 64
+PLAN = "每股1.5元 😀"
 
 
 def _click(s, d):
@@ -38,18 +39,25 @@ def land_panel(s, d):
 
 
 def _captures(s, d, held=None):
-    """A receipt for each day and phase with that day's market; days with defects: 7 digest, 5 hour, 11 count."""
+    """A receipt for each day and phase with that day's market, in two pages; days with defects: 7 digest, 5 hour, 11 count, 12 a page that
+    is no list of rows, 16 a response that is no JSON."""
     row = F.struct(F.lower(F.concat(F.substring("code", 8, 2), F.substring("code", 1, 6))).alias("symbol"), F.when(_n() % 5 == 0, F.concat(F.lit("*ST "), "code")).otherwise(F.concat(F.lit("Co "), F.substring("code", 1, 6))).alias("name"), money(F.col("close")).alias("trade"), F.col("volume").cast("string").alias("volume"))
     day = F.day("date")
     body = (held or v.bars(s, d)).where(CLICK).groupBy("date").agg(F.array_sort(F.collect_list(row)).alias("rows")).withColumn("phase", F.explode(F.array(F.lit("pre_open"), F.lit("post_close"))))
-    response = F.to_json(F.struct((F.size("rows") + F.when(day == 11, 1).otherwise(0)).alias("advertised_count"), F.array(F.col("rows")).alias("pages")))
+    half = F.ceil(F.size("rows") / 2).cast("int")
+    pages = F.array(F.to_json(F.slice("rows", F.lit(1), half)), F.when(day == 12, '{"rows":[]}').otherwise(F.to_json(F.slice("rows", half + 1, F.size("rows")))))
+    response = F.when(day == 16, "<html>busy</html>").otherwise(F.to_json(F.struct((F.size("rows") + F.when(day == 11, 1).otherwise(0)).alias("advertised_count"), pages.alias("raw_pages"))))
     early = F.col("phase") == "pre_open"
     out = body.select("date", "phase", (F.dayofyear("date") * 2 + F.when(early, 0).otherwise(1)).cast("long").alias("receipt_id"), F.lit("m").alias("source"), response.alias("response"), F.when(day == 5, F.when(early, _at(10)).otherwise(_at(14))).when(early, _at(9, 5)).otherwise(_at(16)).alias("observed_at"))
     return out.withColumn("response_sha256", F.when(day == 7, "bad").otherwise(F.sha2("response", 256)))
 
 
 def land_market_pages(s, d):
-    return landing.land_market_pages(_captures(s, d).where("day(date) <> 11").select("receipt_id", "response"))
+    return landing.land_market_pages(_captures(s, d).select("receipt_id", "response"))[0]
+
+
+def market_page_rejects(s, d):
+    return landing.land_market_pages(_captures(s, d).select("receipt_id", "response"))[1]
 
 
 def _context(s, d, held=None):
@@ -77,26 +85,31 @@ def context_readiness(s, d, held=None):
 
 
 def _coverage(s, d, held=None):
-    """Action coverage of every panel cell from one receipt for each day; days with defects: 7 digest, 5 hour, 9 request; code number 11 miscounts."""
-    ends = F.struct(F.lit(2024).alias("year"), F.array(F.lit("dividOperateDate"), F.lit("dividPlanAnnounceDate"), F.lit("cash")).alias("fields"), F.when(_n() % 3 == 0, F.array(F.array(F.col("date").cast("string"), F.date_sub("date", 9).cast("string"), F.lit("1.5")))).otherwise(F.array().cast("array<array<string>>")).alias("rows"))
+    """Action coverage of every panel cell from one receipt for each day; days with defects: 7 digest, 5 hour, 9 request, 12 a row that is too
+    wide, 16 a response that is no JSON; code number 11 miscounts."""
+    ends = F.struct(F.lit(2024).alias("year"), F.array(F.lit("dividOperateDate"), F.lit("dividPlanAnnounceDate"), F.lit("cash"), F.lit("plan")).alias("fields"), F.when(_n() % 3 == 0, F.array(F.array(F.col("date").cast("string"), F.date_sub("date", 9).cast("string"), F.lit("1.5"), F.lit(PLAN)))).otherwise(F.array().cast("array<array<string>>")).alias("rows"))
     p = v.panel(s, d, held)
     day = F.day("date")
     body = p.groupBy("date").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("code"), F.array(ends).alias("b"))))).alias("symbols"), F.array_sort(F.collect_list("code")).alias("codes"))
     year = F.year("date") + F.when(day == 9, 1).otherwise(0)
-    r = body.select("date", F.dayofyear("date").cast("long").alias("receipt_id"), F.lit("a").alias("source"), F.to_json(F.struct(F.col("date").cast("string").alias("observation_date"), F.col("codes").alias("symbols"), F.array(year - 1, year).alias("years"))).alias("request"), F.to_json(F.struct("symbols")).alias("response"), F.when(day == 5, _at(9, 25)).otherwise(_at(9)).alias("observed_at"))
+    r = body.select("date", F.dayofyear("date").cast("long").alias("receipt_id"), F.lit("a").alias("source"), F.to_json(F.struct(F.col("date").cast("string").alias("observation_date"), F.col("codes").alias("symbols"), F.array(year - 1, year).alias("years"))).alias("request"), F.when(day == 16, "junk").otherwise(F.replace(F.to_json(F.struct("symbols")), F.lit('"1.5"'), F.when(day == 12, '"1.5","x"').otherwise('"1.5"'))).alias("response"), F.when(day == 5, _at(9, 25)).otherwise(_at(9)).alias("observed_at"))
     r = r.withColumn("response_sha256", F.when(day == 7, "bad").otherwise(F.sha2("response", 256)))
     cover = p.join(r.select("date", "receipt_id", "source", F.col("observed_at").alias("available_at")), "date").withColumn("event_count", (F.when(_n() % 3 == 0, 1).otherwise(0) + F.when(_n() % 11 == 0, 1).otherwise(0)).cast("long"))
     return cover, r.drop("date")
 
 
 def land_action_batches(s, d):
-    return landing.land_action_batches(_coverage(s, d)[1].select("receipt_id", "response")).select("receipt_id", "code", "event_id", "effective_date", "announcement_date")
+    return landing.land_action_batches(_coverage(s, d)[1].select("receipt_id", "response"))[0].select("receipt_id", "code", "event_id", "effective_date", "announcement_date")
+
+
+def action_batch_rejects(s, d):
+    return landing.land_action_batches(_coverage(s, d)[1].select("receipt_id", "response"))[1]
 
 
 def _events(s, d, held=None):
     """Stored events; those of code number 39 are lost."""
     cover, r = _coverage(s, d, held)
-    found = landing.land_action_batches(r.select("receipt_id", "response")).where("event_id is not null")
+    found = landing.land_action_batches(r.select("receipt_id", "response"))[0].where("event_id is not null")
     return found.join(cover.select("receipt_id", "code", "date", "source", "available_at"), ["receipt_id", "code"]).where(_n() % 39 != 0)
 
 
@@ -106,7 +119,7 @@ def coverage_with_receipts(s, d):
 
 def events_match(s, d):
     cover, r = _coverage(s, d)
-    return context.events_match_receipts(cover.select("code", "date", "receipt_id", "event_count", "available_at"), _events(s, d), r).select("code", "date", "same")
+    return context.events_match_receipts(cover.select("code", "date", "receipt_id", "event_count", "available_at"), _events(s, d), landing.judge_action_batches(r)).select("code", "date", "same")
 
 
 def action_readiness(s, d, held=None):
@@ -186,7 +199,7 @@ def execution_manifest(s, d):
     return artifacts.execution_manifest(dict.fromkeys(artifacts.EXECUTION_KINDS, b)).select("kind", "row_count", "columns")
 
 
-QUERIES = {f.__name__: f for f in (land_tick_frame, land_panel, land_market_pages, context_rows, context_readiness, land_action_batches, coverage_with_receipts, events_match, action_readiness, full_readiness, payload_validity, receipt_bindings, latest_available, cutoff_check, admit_component, signer_interval, bootstrap_rows, apply_sync, execution_manifest)}
+QUERIES = {f.__name__: f for f in (land_tick_frame, land_panel, land_market_pages, market_page_rejects, context_rows, context_readiness, land_action_batches, action_batch_rejects, coverage_with_receipts, events_match, action_readiness, full_readiness, payload_validity, receipt_bindings, latest_available, cutoff_check, admit_component, signer_interval, bootstrap_rows, apply_sync, execution_manifest)}
 
 N = "CAST(substr(code, 2, 5) AS INTEGER)"
 KC = f"k AS (SELECT *, {N} AS n, day(date) AS dy FROM bars WHERE {CLICK})"
@@ -196,16 +209,17 @@ BLOCKED = "SELECT blocker, count(DISTINCT sample) AS count, array_to_string(list
 PHASES = "ph AS (SELECT unnest(['pre_open', 'post_close']) AS phase)"
 CONTEXT = f"""{KC}, {PHASES}, stored AS (SELECT * FROM k, ph WHERE isodow(date) < 6 AND NOT (n % 19 = 0 AND dy = 9)),
   f AS (SELECT CASE phase WHEN 'pre_open' THEN 'missing_decision_context_rows' ELSE 'missing_finalized_context_rows' END AS blocker, {CELL} AS sample FROM panel p, ph WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.code = p.code AND s.date = p.date)
-  UNION ALL SELECT 'invalid_context_receipts', {CELL} || '@' || phase FROM stored WHERE dy IN (5, 7, 11) OR n % 17 = 0 OR n % 13 = 0
+  UNION ALL SELECT 'invalid_context_receipts', {CELL} || '@' || phase FROM stored WHERE dy IN (5, 7, 11, 12, 16) OR n % 17 = 0 OR n % 13 = 0
   UNION ALL SELECT 'invalid_context_receipts', 'universe@' || CAST(date AS VARCHAR) || '@' || phase FROM k, ph WHERE isodow(date) < 6 AND dy = 9 AND n % 19 = 0)"""
 ACTION = f"""p AS (SELECT *, {N} AS n, day(date) AS dy FROM panel),
-  f AS (SELECT 'invalid_corporate_action_receipts' AS blocker, {CELL} AS sample FROM p WHERE dy = 7 OR n % 11 = 0 OR n % 39 = 0
+  f AS (SELECT 'invalid_corporate_action_receipts' AS blocker, {CELL} AS sample FROM p WHERE dy = 7 OR (dy NOT IN (12, 16) AND (n % 11 = 0 OR n % 39 = 0))
+  UNION ALL SELECT 'invalid_corporate_action_receipts', 'response@' || CAST(date AS VARCHAR) FROM p WHERE dy IN (12, 16)
   UNION ALL SELECT 'invalid_corporate_action_receipts', 'request@' || CAST(date AS VARCHAR) FROM p WHERE dy = 9
   UNION ALL SELECT 'corporate_actions_outside_preopen_cutoff', {CELL} FROM p WHERE dy = 5)"""
 FIXED = lambda *names: "".join(f" UNION ALL SELECT '{x}', 1, ''" for x in names)
 CONTEXT_BODY, ACTION_BODY = BLOCKED + FIXED("signed_session_calendar_not_enrolled"), BLOCKED + FIXED("dividend_observation_not_full_corporate_action_ledger", "corporate_action_revisions_not_supported", "corporate_action_publisher_key_not_enrolled")
 RECORDS = f"r AS (SELECT {CELL} AS panel_entry, date, {N} + day(date) AS n, CAST(date AS TIMESTAMP) AS t FROM panel)"
-EVENT_ID = """sha256('{"cash":"1.5","dividOperateDate":"' || date || '","dividPlanAnnounceDate":"' || (date - 9) || '"}')"""
+EVENT_ID = """sha256('{"cash":"1.5","dividOperateDate":"' || date || '","dividPlanAnnounceDate":"' || (date - 9) || '","plan":"\\u6bcf\\u80a11.5\\u5143 \\ud83d\\ude00"}')"""
 
 
 def _full() -> str:
@@ -221,12 +235,14 @@ def _full() -> str:
 ORACLE_SQL = {
     "land_tick_frame": sql("SELECT code, date, open, high, low, close, CAST(CASE WHEN receipt_id % 2 = 0 THEN volume WHEN receipt_id % 3 = 0 THEN volume + 1 ELSE 0 END AS DOUBLE) AS volume FROM k", KC),
     "land_panel": sql("SELECT code, date FROM panel"),
-    "land_market_pages": sql("SELECT CAST(dayofyear(date) * 2 + CASE phase WHEN 'pre_open' THEN 0 ELSE 1 END AS BIGINT) AS receipt_id, code, CASE WHEN n % 5 = 0 THEN '*ST ' || code ELSE 'Co ' || substr(code, 1, 6) END AS name, CAST(CAST(close AS DECIMAL(18,2)) AS DOUBLE) AS trade, CAST(volume AS DOUBLE) AS volume FROM k, ph WHERE dy <> 11", f"{KC}, {PHASES}"),
+    "land_market_pages": sql("SELECT CAST(dayofyear(date) * 2 + CASE phase WHEN 'pre_open' THEN 0 ELSE 1 END AS BIGINT) AS receipt_id, code, CASE WHEN n % 5 = 0 THEN '*ST ' || code ELSE 'Co ' || substr(code, 1, 6) END AS name, CAST(CAST(close AS DECIMAL(18,2)) AS DOUBLE) AS trade, CAST(volume AS DOUBLE) AS volume FROM k, ph WHERE dy NOT IN (11, 12, 16)", f"{KC}, {PHASES}"),
+    "market_page_rejects": sql("SELECT DISTINCT CAST(dayofyear(date) * 2 + CASE phase WHEN 'pre_open' THEN 0 ELSE 1 END AS BIGINT) AS receipt_id, CASE dy WHEN 11 THEN 'count_differs' WHEN 12 THEN 'page_not_rows' ELSE 'not_json' END AS reason FROM k, ph WHERE dy IN (11, 12, 16)", f"{KC}, {PHASES}"),
+    "action_batch_rejects": sql("SELECT DISTINCT CAST(dayofyear(date) AS BIGINT) AS receipt_id, CASE day(date) WHEN 12 THEN 'row_width' ELSE 'not_json' END AS reason FROM panel WHERE day(date) IN (12, 16)"),
     "context_rows": sql("SELECT code, date, phase, CAST(dayofyear(date) * 2 + CASE phase WHEN 'pre_open' THEN 0 ELSE 1 END AS BIGINT) AS receipt_id, n % 13 <> 0 AS is_member, CAST(date AS TIMESTAMP) + to_minutes(CASE WHEN dy = 5 AND phase = 'pre_open' THEN 600 WHEN dy = 5 THEN 840 WHEN phase = 'pre_open' THEN 545 ELSE 960 END) AS observed_at FROM k, ph WHERE NOT (n % 19 = 0 AND dy = 9)", f"{KC}, {PHASES}"),
     "context_readiness": sql(CONTEXT_BODY, CONTEXT),
-    "land_action_batches": sql(f"SELECT CAST(dayofyear(date) AS BIGINT) AS receipt_id, code, CASE WHEN {N} % 3 = 0 THEN {EVENT_ID} END AS event_id, CASE WHEN {N} % 3 = 0 THEN CAST(date AS VARCHAR) END AS effective_date, CASE WHEN {N} % 3 = 0 THEN CAST(date - 9 AS VARCHAR) END AS announcement_date FROM panel"),
+    "land_action_batches": sql(f"SELECT CAST(dayofyear(date) AS BIGINT) AS receipt_id, code, CASE WHEN {N} % 3 = 0 THEN {EVENT_ID} END AS event_id, CASE WHEN {N} % 3 = 0 THEN CAST(date AS VARCHAR) END AS effective_date, CASE WHEN {N} % 3 = 0 THEN CAST(date - 9 AS VARCHAR) END AS announcement_date FROM panel WHERE day(date) NOT IN (12, 16)"),
     "coverage_with_receipts": sql(f"SELECT code, date, CAST(dayofyear(date) AS BIGINT) AS receipt_id, CAST(CASE WHEN {N} % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN {N} % 11 = 0 THEN 1 ELSE 0 END AS BIGINT) AS event_count, CAST(date AS TIMESTAMP) + to_minutes(CASE WHEN day(date) = 5 THEN 565 ELSE 540 END) AS observed_at FROM panel"),
-    "events_match": sql(f"SELECT code, date, {N} % 11 <> 0 AND {N} % 39 <> 0 AS same FROM panel"),
+    "events_match": sql(f"SELECT code, date, {N} % 11 <> 0 AND {N} % 39 <> 0 AND day(date) NOT IN (12, 16) AS same FROM panel"),
     "action_readiness": sql(ACTION_BODY, ACTION),
     "full_readiness": _full(),
     "payload_validity": sql("SELECT panel_entry, n % 11 <> 0 AS valid FROM r", RECORDS),

@@ -298,7 +298,7 @@ def panel_missing(s, d):
 
 @query
 def panel_digest(s, d):
-    return digest.set_digest(v.panel(s, d).select("code", evidence.cell().alias("entry")), "entry", "code")
+    return digest.panel_digest(v.panel(s, d).select(evidence.cell().alias("panel_entry")))
 
 
 @query

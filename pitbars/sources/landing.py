@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pitbars.functions import canonical
 from pitbars.functions.checks import bar_valid, event_dates
 from pitbars.functions.symbols import market_symbol, normalize_symbol
 
@@ -42,14 +43,15 @@ def land_kline_pages(pages: DataFrame, key: str, start: str | None = None, end:
 
 
 def land_quote_lines(lines: DataFrame) -> DataFrame:
-    """(code, line) of `v="a~b~..."`: price 3, previous close 4, open 5, lots 6, time 30, high 33, low 34. Halted or short: no row."""
+    """(code, line) of `v="a~b~..."`: price 3, previous close 4, open 5, lots 6, time 30, high 33, low 34. Halted or short: no row. A blank
+    open, high or low takes the price; one of 0 stays."""
     f = F.split(F.regexp_extract("line", '"(.*)"', 1), "~")
     at = lambda k: F.get("f", F.lit(k)).try_cast("double")
     rows = lines.select("code", f.alias("f")).where((F.size("f") >= 35) & (F.get("f", F.lit(3)) != ""))
     rows = rows.where((at(3) > 0) & (at(6) > 0))
     raw = lambda k: F.coalesce(F.trim(F.get("f", F.lit(k))), F.lit(""))
     rows = rows.where(reduce(lambda a, b: a & b, ((raw(k) == "") | at(k).isNotNull() for k in (5, 33, 34))))  # a price that is no number: no row
-    or_price = lambda k: F.when(at(k) > 0, at(k)).otherwise(at(3))
+    or_price = lambda k: F.coalesce(at(k), at(3))
     return rows.select("code", F.to_date(F.substring(F.get("f", F.lit(30)), 1, 8), "yyyyMMdd").alias("date"), at(3).alias("price"), or_price(5).alias("open"), or_price(33).alias("high"), or_price(34).alias("low"), at(6).alias("lots"))
 
 
@@ -75,14 +77,44 @@ def _must(ok: Column, what: Column) -> Column:
     return F.when(F.coalesce(ok, F.lit(False)), True).otherwise(F.raise_error(what))
 
 
-def land_jsonl_strict(lines: DataFrame, schema: str) -> DataFrame:
-    """Rows of JSON lines (value) with exactly the schema's keys and types, in canonical form, each once; anything else is an error."""
+def land_jsonl_strict(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of JSON lines (value, and file, the line's file, and at, its place there: see `numbered`) with exactly the schema's
+    keys and types, each once, in order of their canonical form; escaped or spaced differently, a line is the same row.
+
+    rejects: file, at, reason of not_json, wrong_keys, wrong_type, repeated, unsorted (the line before it comes after it)."""
     kind = T.StructType.fromDDL(schema)
-    r = F.from_json("value", kind, {"mode": "FAILFAST"})
-    keys = F.array_sort(F.json_object_keys("value")) == F.array(*map(F.lit, sorted(kind.names)))
-    canonical = F.to_json(F.struct(*(F.col(f"r.{c}").alias(c) for c in sorted(kind.names))), {"ignoreNullFields": "false"}) == F.col("value")
-    rows = lines.where(_must(keys, F.concat(F.lit("wrong keys: "), "value"))).withColumn("r", r).withColumn("times", F.count("*").over(Window.partitionBy("value")))
-    return rows.where(_must(canonical & (F.col("times") == 1), F.concat(F.lit("not canonical or not unique: "), "value"))).select("r.*")
+    named = {"string": "STRING", "boolean": "BOOLEAN", "bigint": "BIGINT", "int": "BIGINT", "double": "DOUBLE|DECIMAL.*|BIGINT"}
+    v = F.try_parse_json("value")
+    keys = F.array_sort(F.json_object_keys("value"))
+    wrong = reduce(lambda a, b: a | b, (~_kind(_at(v, f"$.{f.name}")).rlike(f"^({named[f.dataType.simpleString()]})$") for f in kind.fields))
+    shape = F.when(~_kind(v).startswith("OBJECT"), "not_json").when(~keys.eqNullSafe(F.array(*map(F.lit, sorted(kind.names)))), "wrong_keys").when(wrong, "wrong_type")
+    row = F.from_json("value", kind)
+    read = lines.select("file", "at", shape.alias("shape"), F.when(shape.isNull(), canonical.encode(row, kind, ascii_only=False)).alias("text"), row.alias("r"))
+    # each line meets the one before it: within a cell of lines by a window, across cells by the last line of the cell before
+    cell = F.floor(F.col("at") / LINES)
+    here = Window.partitionBy("file", "cell").orderBy("at")
+    ends = read.groupBy("file", (cell + 1).alias("cell")).agg(F.max_by("text", "at").alias("before"))
+    ordered = read.withColumn("cell", cell).join(ends, ["file", "cell"], "left").withColumn("before", F.coalesce(F.lag("text").over(here), F.when(F.row_number().over(here) == 1, F.col("before"))))
+    first = read.where("text is not null").groupBy("text").agg(F.min(F.struct("file", "at")).alias("first"))
+    judged = ordered.join(first, "text", "left")
+    reason = F.coalesce("shape", F.when(F.struct("file", "at") != F.col("first"), "repeated").when(F.col("before") > F.col("text"), "unsorted"))
+    judged = judged.withColumn("reason", reason)
+    return judged.where("reason is null").select("r.*"), judged.where("reason is not null").select("file", "at", "reason")
+
+
+#: Lines of a file that are compared within one window.
+LINES = 100_000
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """Text lines (value) with file and at, their place in it. A file that Spark splits is read in several tasks: `at` counts from the
+    lines before each split, known from one row for each split."""
+    split = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    read = lines.select("value", split.alias("s"), F.monotonically_increasing_id().alias("id"))
+    counts = read.groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    before = Window.partitionBy("s.file").orderBy("s.start")
+    base = counts.select("s", "low", (F.sum("n").over(before) - F.col("n")).alias("base"))
+    return read.join(base, "s").select("value", "s.file", (F.col("base") + F.col("id") - F.col("low")).alias("at"))
 
 
 def land_panel(payloads: DataFrame) -> DataFrame:
@@ -95,47 +127,106 @@ def land_panel(payloads: DataFrame) -> DataFrame:
     return cells.withColumn("times", F.count("*").over(Window.partitionBy("code", "date"))).where(_must(F.col("times") == 1, F.concat(F.lit("repeated panel sample: "), "code"))).drop("times")
 
 
-MARKET_ROWS = "advertised_count long, pages array<array<struct<symbol: string, name: string, trade: string, volume: string>>>"
+#: A number as text: no names, no suffixes.
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def _kind(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v), F.lit(""))
+
+
+def _at(v: Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(v, path, kind)
 
 
-def _market(receipts: DataFrame) -> DataFrame:
-    """(receipt_id, advertised_count, m): the rows of each response as one array; a symbol of another market has code null."""
-    r = receipts.select("receipt_id", F.from_json("response", MARKET_ROWS).alias("r"))
-    number = lambda c: c.try_cast("double")
-    row = lambda x: F.struct(market_symbol(F.lower(F.trim(x["symbol"]))).alias("code"), x["name"].alias("name"), number(x["trade"]).alias("trade"), number(x["volume"]).alias("volume"))
-    return r.select("receipt_id", "r.advertised_count", F.transform(F.flatten("r.pages"), row).alias("m"))
+def judge_market_pages(receipts: DataFrame) -> DataFrame:
+    """(receipt_id, advertised_count, reason, m) of responses {"advertised_count", "raw_pages": [JSON text of a list of rows, ...]}.
 
+    reason is the first that holds, or null: not_json, no_raw_pages, page_not_text, page_not_rows, invalid_symbol, repeated_symbol,
+    count_differs. m: the rows (code, name, trade, volume) of a readable response, else null; a symbol of no known market has code null, a
+    missing trade or volume is 0, one that is no finite number null. Nothing here raises: a bad receipt is a row with its reason."""
+    r = receipts.select("receipt_id", F.try_parse_json("response").alias("v"))
+    raw = _at(F.col("v"), "$.raw_pages")
+    r = r.select("receipt_id", "v", _kind(F.col("v")).alias("kind"), _kind(raw).alias("held"), F.transform(_at(F.col("v"), "$.raw_pages", "array<string>"), F.try_parse_json).alias("pages"))
+    readable = F.when(~F.col("kind").startswith("OBJECT"), "not_json").when(~F.col("held").startswith("ARRAY") | (F.col("held") == "ARRAY<VOID>"), "no_raw_pages").when(F.col("held") != "ARRAY<STRING>", "page_not_text").when(F.exists("pages", lambda p: ~_kind(p).rlike("^ARRAY<(OBJECT|VOID)")), "page_not_rows")
 
-def market_rows(receipts: DataFrame) -> DataFrame:
-    """(receipt_id, advertised_count, code, name, trade, volume) of responses {"advertised_count", "pages": [[...], ...]}: what they hold,
-    unchecked."""
-    return _market(receipts).select("receipt_id", "advertised_count", F.explode("m").alias("m")).select("receipt_id", "advertised_count", "m.*")
+    def number(x: Column, name: str) -> Column:
+        text = _at(x, f"$.{name}", "string")
+        return F.when(_at(x, f"$.{name}").isNull(), 0.0).when(text.rlike(NUMBER), text.try_cast("double"))
 
+    def row(x: Column) -> Column:
+        return F.struct(market_symbol(F.lower(F.trim(_at(x, "$.symbol", "string")))).alias("code"), F.coalesce(_at(x, "$.name", "string"), F.lit("")).alias("name"), number(x, "trade").alias("trade"), number(x, "volume").alias("volume"))
 
-def land_market_pages(receipts: DataFrame) -> DataFrame:
-    """market_rows, where each response must hold as many rows as it advertises, of known markets, each symbol once."""
+    rows = F.flatten(F.transform("pages", lambda p: F.transform(_at(p, "$", "array<variant>"), row)))
+    read = r.withColumn("reason", readable).select("receipt_id", "reason", _at(F.col("v"), "$.advertised_count", "long").alias("advertised_count"), F.when(F.col("reason").isNull(), rows).alias("m"))
     codes, n = F.transform("m", lambda x: x["code"]), F.size("m")
-    whole = (n > 0) & (n == F.coalesce("advertised_count", n)) & (F.size(F.array_distinct(codes)) == n) & F.forall(codes, lambda c: c.isNotNull())
-    good = _market(receipts).where(_must(whole, F.concat(F.lit("incomplete market pages in receipt "), F.col("receipt_id").cast("string"))))
-    return good.select("receipt_id", F.explode("m").alias("m")).select("receipt_id", "m.*")
-
-
-def canonical_map(m: Column) -> Column:
-    """A map as compact JSON with sorted keys."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))), {"ignoreNullFields": "false"})
-
-
-def land_action_batches(receipts: DataFrame) -> DataFrame:
-    """A row for each event of {"symbols": {symbol: [{"year", "fields": [...], "rows": [[...]]}]}}: receipt_id, code, event_id, effective_date,
-    announcement_date, payload_json. A symbol without events keeps one row, all null, as its coverage. A row of another width than its
-    fields is an error."""
-    r = receipts.select("receipt_id", F.from_json("response", "symbols map<string, array<struct<year: int, fields: array<string>, rows: array<array<string>>>>>").alias("r"))
-    batches = r.select("receipt_id", F.explode("r.symbols").alias("symbol", "batches")).select("receipt_id", normalize_symbol(F.col("symbol"), strict=True).alias("code"), F.explode_outer("batches").alias("b"))
-    rows = batches.select("receipt_id", "code", "b.fields", F.explode_outer("b.rows").alias("row"))
-    rows = rows.where(_must(F.col("row").isNull() | (F.size("row") == F.size("fields")), F.concat(F.lit("row width mismatch for "), "code")))
-    event = rows.select("receipt_id", "code", F.when(F.col("row").isNotNull(), F.map_from_arrays("fields", "row")).alias("m"))
-    pick = lambda name: F.nullif(F.trim(F.try_element_at("m", F.lit(name))), F.lit(""))
-    effective, announced = event_dates(pick("dividOperateDate"), pick("dividPreNoticeDate"), pick("dividAgmPumDate"), pick("dividPlanAnnounceDate"))
-    found = event.select("receipt_id", "code", effective.alias("effective_date"), announced.alias("announcement_date"), canonical_map(F.col("m")).alias("payload_json"))
-    found = found.withColumn("event_id", F.sha2("payload_json", 256)).withColumn("events", F.count("event_id").over(Window.partitionBy("receipt_id", "code"))).where("event_id is not null or events = 0")
-    return found.select("receipt_id", "code", "event_id", "effective_date", "announcement_date", "payload_json").distinct()
+    content = F.when(F.exists(codes, lambda c: c.isNull()), "invalid_symbol").when(F.size(F.array_distinct(codes)) < n, "repeated_symbol").when(F.coalesce(F.col("advertised_count"), n) != n, "count_differs")
+    return read.withColumn("reason", F.coalesce("reason", content)).select("receipt_id", "advertised_count", "reason", "m")
+
+
+def market_rows(judged: DataFrame) -> DataFrame:
+    """(receipt_id, code, name, trade, volume) of what judged receipts hold, sound or not."""
+    return judged.select("receipt_id", F.explode("m").alias("m")).select("receipt_id", "m.*")
+
+
+def rejects(judged: DataFrame) -> DataFrame:
+    """(receipt_id, reason) of what was not landed."""
+    return judged.where("reason is not null").select("receipt_id", "reason")
+
+
+def land_market_pages(receipts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects): the rows of receipts without a reason against them, and the others with theirs."""
+    judged = judge_market_pages(receipts)
+    return market_rows(judged.where("reason is null")), rejects(judged)
+
+
+def judge_action_batches(receipts: DataFrame) -> DataFrame:
+    """(receipt_id, reason, symbols) of responses {"symbols": {symbol: [{"fields": [...], "rows": [[...], ...]}, ...]}}.
+
+    reason is the first that holds, or null: not_json, no_symbols, unknown_symbol, batches_not_a_list, invalid_batch, row_width,
+    invalid_event (values nested too deep), invalid_date. symbols: an array of (code, events), events of (event_id, effective_date,
+    announcement_date, payload_json); payload_json is the row as canonical JSON, event_id its SHA-256. Nothing here raises."""
+    r = receipts.select("receipt_id", F.try_parse_json("response").alias("v"))
+    held = _at(F.col("v"), "$.symbols", "map<string,variant>")
+    entries = F.transform(F.array_sort(F.map_keys(held)), lambda k: F.struct(normalize_symbol(k).alias("code"), F.try_element_at(held, k).alias("batches")))
+    r = r.select("receipt_id", _kind(F.col("v")).alias("kind"), _kind(_at(F.col("v"), "$.symbols")).alias("held"), entries.alias("s"))
+    batches = lambda s: _at(s["batches"], "$", "array<variant>")
+    fields = lambda b: _at(b, "$.fields", "array<string>")
+    rows = lambda b: _at(b, "$.rows", "array<variant>")
+    whole = lambda b: _kind(b).startswith("OBJECT") & _kind(_at(b, "$.fields")).startswith("ARRAY") & _kind(_at(b, "$.rows")).startswith("ARRAY")
+    wide = lambda b: F.forall(rows(b), lambda x: _kind(x).startswith("ARRAY") & (F.size(_at(x, "$", "array<variant>")) == F.size(fields(b))))
+    shape = (
+        F.when(~F.col("kind").startswith("OBJECT"), "not_json").when(~F.col("held").startswith("OBJECT"), "no_symbols").when(F.exists("s", lambda s: s["code"].isNull()), "unknown_symbol")
+        .when(F.exists("s", lambda s: ~_kind(s["batches"]).startswith("ARRAY")), "batches_not_a_list")
+        .when(F.exists("s", lambda s: F.exists(batches(s), lambda b: ~whole(b))), "invalid_batch").when(F.exists("s", lambda s: F.exists(batches(s), lambda b: ~wide(b))), "row_width")
+    )
+
+    def event(names: Column, row: Column) -> Column:
+        values = _at(row, "$", "array<variant>")
+        order = F.array_sort(F.array_distinct(names))
+        value = lambda name: F.get(values, F.size(names) - F.array_position(F.reverse(names), name).cast("int"))  # noqa: E731 (of a repeated name, the last)
+        payload = F.concat(F.lit("{"), F.array_join(F.transform(order, lambda f: F.concat(canonical.string(f), F.lit(":"), canonical.encode_variant(value(f), 0))), ","), F.lit("}"))
+        whole = ~F.exists(values, lambda x: canonical.encode_variant(x, 0).isNull())
+        text = lambda name: F.nullif(F.trim(_at(value(F.lit(name)), "$", "string")), F.lit(""))
+        effective, announced = event_dates(text("dividOperateDate"), text("dividPreNoticeDate"), text("dividAgmPumDate"), text("dividPlanAnnounceDate"))
+        dates = F.array_compact(F.array(*(text(n) for n in ("dividOperateDate", "dividPreNoticeDate", "dividAgmPumDate", "dividPlanAnnounceDate"))))
+        sound = F.forall(dates, lambda d: d.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_timestamp(d, F.lit("yyyy-MM-dd")).isNotNull())
+        return F.struct(F.sha2(payload, 256).alias("event_id"), effective.alias("effective_date"), announced.alias("announcement_date"), payload.alias("payload_json"), whole.alias("whole"), F.coalesce(sound, F.lit(False)).alias("dated"))
+
+    events = lambda s: F.flatten(F.transform(batches(s), lambda b: F.transform(rows(b), lambda x: event(fields(b), x))))
+    read = r.withColumn("reason", shape).select("receipt_id", "reason", F.when(F.col("reason").isNull(), F.transform("s", lambda s: F.struct(s["code"].alias("code"), events(s).alias("events")))).alias("symbols"))
+    bad = lambda what: F.exists("symbols", lambda s: F.exists(s["events"], lambda e: ~e[what]))
+    return read.withColumn("reason", F.coalesce("reason", F.when(bad("whole"), "invalid_event").when(bad("dated"), "invalid_date")))
+
+
+def action_events(judged: DataFrame) -> DataFrame:
+    """A row for each different event of judged receipts without a reason: receipt_id, code, event_id, effective_date, announcement_date,
+    payload_json. A symbol without events keeps one row, all null, as its coverage."""
+    symbols = judged.where("reason is null").select("receipt_id", F.explode("symbols").alias("s")).select("receipt_id", "s.code", F.explode_outer(F.array_distinct("s.events")).alias("e"))
+    return symbols.select("receipt_id", "code", "e.event_id", "e.effective_date", "e.announcement_date", "e.payload_json")
+
+
+def land_action_batches(receipts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, rejects): the events of receipts without a reason against them, and the others with theirs."""
+    judged = judge_action_batches(receipts)
+    return action_events(judged), rejects(judged)

@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from pitbars.functions import checks
+from pitbars.functions import canonical, checks
 from pitbars.operators import artifacts, authority, context, store
 from pitbars.sources import landing
 from pitbars.streaming import jobs
@@ -36,11 +36,41 @@ def test_code_list(spark):
 
 
 def test_jsonl_strict(spark):
-    read = lambda *rows: landing.land_jsonl_strict(spark.createDataFrame([(x,) for x in rows], "value string"), "code string, n int").collect()
-    assert [tuple(r) for r in read('{"code":"A","n":1}', '{"code":"B","n":2}')] == [("A", 1), ("B", 2)]
-    for bad in (['{"code":"A"}'], ['{"code":"A","n":1,"x":2}'], ['{"n":1,"code":"A"}'], ['{"code":"A","n":"x"}'], ['{"code":"A","n":1}'] * 2):
-        with pytest.raises(Exception, match="JSON|wrong keys|canonical|MALFORMED"):
-            read(*bad)
+    def read(*rows):
+        lines = spark.createDataFrame([("f", k, x) for k, x in enumerate(rows)], "file string, at long, value string")
+        good, bad = landing.land_jsonl_strict(lines, "code string, n int")
+        return [tuple(r) for r in good.collect()], [(r["at"], r["reason"]) for r in bad.orderBy("at").collect()]
+
+    assert read('{"code":"A","n":1}', '{"code":"B","n":2}') == ([("A", 1), ("B", 2)], [])
+    # the same row, however it is escaped or spaced
+    assert read('{"n": 1, "code": "\\u5e73\\u5b89"}') == ([("平安", 1)], [])
+    assert read('{"code":"A"}', '{"code":"A","n":1,"x":2}', '{"code":"A","n":"x"}', "[]", "junk")[1] == [(0, "wrong_keys"), (1, "wrong_keys"), (2, "wrong_type"), (3, "not_json"), (4, "not_json")]
+    assert read('{"code":"A","n":1}', '{"n":1,"code":"A"}')[1] == [(1, "repeated")]
+    assert read('{"code":"B","n":1}', '{"code":"A","n":1}')[1] == [(1, "unsorted")]
+
+
+def test_swapped_pair_across_splits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(landing, "LINES", 7)
+    rows = [f'{{"code":"{k:06d}","n":{k}}}' for k in range(400)]
+    path, size = tmp_path / "lines.txt", 2048
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        for swapped in (None, *range(380, 400 - 1), size // (len(rows[0]) + 1) - 1):
+            text = list(rows)
+            if swapped is not None:
+                text[swapped], text[swapped + 1] = text[swapped + 1], text[swapped]
+            path.write_text("\n".join(text))
+            lines = spark.read.text(str(path))
+            if swapped is None:
+                assert lines.rdd.getNumPartitions() > 1
+            numbered = landing.numbered(lines)
+            assert swapped is not None or sorted(r["at"] for r in numbered.collect()) == list(range(400))
+            bad = landing.land_jsonl_strict(numbered, "code string, n int")[1].collect()
+            assert [(r["at"], r["reason"]) for r in bad] == ([] if swapped is None else [(swapped + 1, "unsorted")])
+            if swapped is not None and swapped > 381:
+                break
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 @pytest.mark.parametrize("shape", ['["600519@2024-01-02","000001.SZ@2024-01-03"]', '{"panel":["600519@2024-01-02","000001.SZ@2024-01-03"]}', '{"splits":{"train":[],"search-validation":["600519@2024-01-02","000001.SZ@2024-01-03"]}}'])
@@ -56,18 +86,50 @@ def test_land_panel_errors(spark, bad):
 
 
 def market(rows, advertised=None):
-    return json.dumps({"advertised_count": len(rows) if advertised is None else advertised, "pages": [rows[:1], rows[1:]]})
+    return json.dumps({"advertised_count": len(rows) if advertised is None else advertised, "count_raw": "2", "raw_pages": [json.dumps(rows[:1]), json.dumps(rows[1:])]})
 
 
 ROWS = [{"symbol": "sz000001", "name": "Example", "trade": "10.0", "volume": "1000"}, {"symbol": "sh600000", "name": "*ST x", "trade": "0", "volume": "5"}]
 
 
 def test_market_pages(spark):
-    pages = lambda *x: landing.land_market_pages(spark.createDataFrame([(k, r) for k, r in enumerate(x)], "receipt_id long, response string")).collect()
-    assert sorted(r["code"] for r in pages(market(ROWS))) == ["000001.SZ", "600000.SH"]
-    for bad in (market(ROWS, 3), market([ROWS[0], ROWS[0]]), market([{**ROWS[0], "symbol": "xx1"}]), "junk"):
-        with pytest.raises(Exception, match="incomplete market pages"):
-            pages(bad)
+    due = {
+        None: market(ROWS), "count_differs": market(ROWS, 3), "repeated_symbol": market([ROWS[0], ROWS[0]]), "invalid_symbol": market([{**ROWS[0], "symbol": "xx1"}]), "not_json": "junk", "no_raw_pages": '{"pages":[]}',
+        "page_not_text": '{"raw_pages":[[1]]}', "page_not_rows": json.dumps({"raw_pages": ['[{"symbol":"sz000001"}]', "[1]"]}),
+    }
+    rows, bad = landing.land_market_pages(spark.createDataFrame(list(enumerate(due.values())), "receipt_id long, response string"))
+    assert sorted(tuple(r) for r in rows.collect()) == [(0, "000001.SZ", "Example", 10.0, 1000.0), (0, "600000.SH", "*ST x", 0.0, 5.0)]
+    assert {r["receipt_id"]: r["reason"] for r in bad.collect()} == {k: x for k, x in enumerate(due) if x}
+    odd = market([{"symbol": "SZ000001 ", "name": None, "trade": "1.0d", "volume": 7}, {"symbol": "bj830001", "name": "x"}])
+    got = landing.land_market_pages(spark.createDataFrame([(1, odd)], "receipt_id long, response string"))[0].collect()
+    assert sorted(tuple(r)[1:] for r in got) == [("000001.SZ", "", None, 7.0), ("830001.BJ", "x", 0.0, 0.0)]
+
+
+def test_action_batches(spark):
+    batch = lambda rows, fields=("dividOperateDate", "plan"): {"year": 2024, "fields": list(fields), "rows": rows}
+    of = lambda **symbols: json.dumps({"symbols": symbols})
+    due = [
+        (None, json.dumps({"symbols": {"000001.SZ": [batch([["2024-01-05", "每股"], ["2024-01-05", "每股"]]), batch([])], "sh600000": []}})), ("not_json", "junk"), ("no_symbols", '{"symbols":[]}'), ("unknown_symbol", of(x=[])),
+        ("batches_not_a_list", of(sh600000={})), ("invalid_batch", of(sh600000=[1])), ("invalid_batch", of(sh600000=[{"fields": []}])), ("row_width", of(sh600000=[batch([["2024-01-05"]])])), ("row_width", of(sh600000=[batch([7])])),
+        ("invalid_event", of(sh600000=[batch([["2024-01-05", [1]]])])), ("invalid_date", of(sh600000=[batch([["2024-02-30", "x"]])])),
+    ]
+    events, bad = landing.land_action_batches(spark.createDataFrame([(k, r) for k, (_, r) in enumerate(due)], "receipt_id long, response string"))
+    payload = json.dumps({"dividOperateDate": "2024-01-05", "plan": "每股"}, sort_keys=True, separators=(",", ":"))
+    assert sorted((tuple(r) for r in events.collect()), key=str) == [(0, "000001.SZ", sha(payload), "2024-01-05", None, payload), (0, "600000.SH", None, None, None, None)]
+    assert {r["receipt_id"]: r["reason"] for r in bad.collect()} == {k: x for k, (x, _) in enumerate(due) if x}
+
+
+def test_canonical_json_as_elsewhere(spark):
+    texts = ["", "a", '"q\\ \n\t\r\b\f\x00\x1f\x7f', "é漢字", "😀𝒳 x", "a\nb", "~ !#[]^"]
+    for r in spark.createDataFrame([(x,) for x in texts], "s string").select("s", canonical.string(F.col("s")).alias("a"), canonical.string(F.col("s"), False).alias("u")).collect():
+        assert (r["a"], r["u"]) == (json.dumps(r["s"]), json.dumps(r["s"], ensure_ascii=False))
+    numbers = [0.0, -0.0, 1.5, 100.0, 1e7, 1.25e9, 1e15, 1e16, 1.5e22, 1e-3, 1e-4, 1.5e-4, 1e-5, 1.234e-7, -2.5, float("inf"), 3.14159, 1e100, 12345678.9]
+    for r in spark.createDataFrame([(x,) for x in numbers], "x double").select("x", canonical.double(F.col("x")).alias("j")).collect():
+        assert r["j"] == json.dumps(r["x"])
+    values = ['{"b":1,"a":[1.50,"é",null,true,{"z":"x","y":2}]}', "[]", "{}", '"x"', "12345678901234567890", "1e3", '{"a":"\\u5e73","\\u5b89":-0.5}', "null", "[0.1,1e-7,123456789012.5]"]
+    for r in spark.createDataFrame([(x,) for x in values], "s string").select("s", canonical.encode_variant(F.try_parse_json("s")).alias("j")).collect():
+        assert r["j"] == json.dumps(json.loads(r["s"]), sort_keys=True, separators=(",", ":"))
+    assert spark.sql("select '[[[[1]]]]' s").select(canonical.encode_variant(F.try_parse_json("s"))).first()[0] is None
 
 
 def context_tables(spark, change):
@@ -103,6 +165,7 @@ def replaced(table, row, column):
     (replaced("s", 3, (7, "STAR")), {"600000.SH@2024-01-02@post_close"}),
     (replaced("u", 0, (5, None)), {"000001.SZ@2024-01-02@pre_open"}),
     (replaced("c", 1, (5, at(16, 0))), {"000001.SZ@2024-01-02@post_close", "600000.SH@2024-01-02@post_close"}),
+    (lambda r, s, u, c: (r[0].__setitem__(2, "junk"), r[0].__setitem__(3, sha("junk"))), {"000001.SZ@2024-01-02@pre_open", "600000.SH@2024-01-02@pre_open"}),
     (lambda r, s, u, c: u.append(["000002.SZ", D, "pre_open", "m", 1, True]), {"universe@2024-01-02@pre_open"}),
     (lambda r, s, u, c: (r[0].__setitem__(4, at(10)), c[0].__setitem__(4, at(10))), {"000001.SZ@2024-01-02@pre_open", "600000.SH@2024-01-02@pre_open"}),
 ])
@@ -140,7 +203,8 @@ BOTH = {"000001.SZ@2024-01-02", "600000.SH@2024-01-02"}
 @pytest.mark.parametrize(("change", "found"), [
     ({}, set()), ({"sha": "bad"}, BOTH), ({"count": 2}, {"000001.SZ@2024-01-02"}), ({"events": []}, {"000001.SZ@2024-01-02"}),
     ({"request": '{"observation_date":"2024-01-02","symbols":["000001.SZ"],"years":[2023,2024]}'}, {"request@2024-01-02"}),
-    ({"request": "junk"}, {"request@2024-01-02"}), ({"observed": at(10)}, BOTH),
+    ({"request": "junk"}, {"request@2024-01-02"}), ({"observed": at(10)}, BOTH), ({"response": "junk"}, {"response@2024-01-02"}),
+    ({"response": '{"symbols":{"000001.SZ":[{"fields":["a"],"rows":[[1,2]]}]}}'}, {"response@2024-01-02"}),
 ])
 def test_action_readiness(spark, change, found):
     got = context.action_failures(*action_tables(spark, lambda s: s.update(change))).collect()
@@ -245,7 +309,7 @@ def test_attested_universe(spark):
 @pytest.mark.parametrize(("change", "problem"), [({}, None), ({"status": "DONE"}, "not_pending"), ({"adjustment_mode": "qfq"}, "not_raw"), ({"outcome_feedback_used": True}, "outcome_not_blind"), ({"sessions": ["2024-01-06", "2024-01-08"]}, "not_a_weekday"), ({"sessions": ["2024-01-03", "2024-01-02"]}, "invalid_sessions"), ({"sessions": ["2024-01-03", "2024-01-04"]}, "not_registered"), ({"panel_sha256": SHA}, "panel_drifted"), ({"workspace_count": None}, "invalid_workspace_count")])
 def test_register_panel(spark, change, problem):
     row = {"id": 1, "symbols": ["A", "B"], "sessions": ["2024-01-02", "2024-01-03"], "status": "AWAITING_FULL_SNAPSHOT_READINESS", "adjustment_mode": "raw", "source": "s", "adjustment_version": "v", "outcome_feedback_used": False, "workspace_count": 4, "panel_sha256": None} | change
-    row["panel_sha256"] = row["panel_sha256"] or sha(",".join(sorted(f"{s}@{d}" for s in row["symbols"] for d in row["sessions"])))
+    row["panel_sha256"] = row["panel_sha256"] or sha(json.dumps(sorted(f"{s}@{d}" for s in row["symbols"] for d in row["sessions"]), separators=(",", ":")))
     rows = spark.createDataFrame([tuple(row.values())], "id long, symbols array<string>, sessions array<string>, status string, adjustment_mode string, source string, adjustment_version string, outcome_feedback_used boolean, workspace_count int, panel_sha256 string")
     assert authority.register_panel_check(rows, "2024-01-02", 2, 2).first()["problem"] == problem
 
