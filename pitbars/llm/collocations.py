@@ -26,18 +26,21 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .words import Words, gram_hashes, joined, lowered, mixed, span_hashes, split_words, text_bytes
+from .words import gram_hashes, joined, lowered, mixed, span_hashes, split_words, text_bytes
 
 FILTER_BITS = 1 << 26
 CHUNK = 4 << 20
 SALTS = 8
-_COUNTS = "lang string, k int, phrase string, n long"
-_STEP = "lang string, phrase string, n long, k int"
+#: A phrase of a group is one key in the counts: the group, a tab (which no word holds) and the phrase.
+_COUNTS = "key string, n long"
+_STEP = "key string, n long, k int"
 #: What ends a piece besides [\x0A-\x0D], which the splitter takes as white space.
 _BREAKS = np.array([chr(b) in ".,;:!?\n\v\f\r" for b in range(256)])
 _AS_LINES = np.where(_BREAKS, 10, np.arange(256)).astype(np.uint8)
@@ -49,13 +52,21 @@ def _seeds(langs: pa.Array) -> np.ndarray:
     return mixed(span_hashes(data, offsets[:-1], offsets[1:]) + np.uint64(1))
 
 
-def _phrases(words: Words, at: np.ndarray, k: int) -> pa.Array:
-    """The phrases of k words that begin at the given words."""
-    data, starts, ends = joined(words)
+def _keys(langs: pa.Array, docs: np.ndarray, text: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray, k: int) -> pa.Array:
+    """Group, tab and phrase for the phrases of k words that begin at the given words of the text (see words.joined)."""
+    data, starts, ends = text
     first, length = starts[at], ends[at + k - 1] - starts[at]
     offsets = np.concatenate([[0], np.cumsum(length)])
     taken = data[np.repeat(first - offsets[:-1], length) + np.arange(offsets[-1])]
-    return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(taken))
+    phrases = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(taken))
+    return pc.binary_join_element_wise(langs.take(pa.array(docs[at])), phrases, "\t")
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each different key is first, and how often it is there."""
+    codes, different = pd.factorize(keys)
+    highest = np.maximum.accumulate(codes)
+    return np.flatnonzero(np.concatenate([[True], codes[1:] > highest[:-1]])), np.bincount(codes, minlength=len(different))
 
 
 def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -139,7 +150,7 @@ def _scan(shard: DataFrame, now: dict, before: dict | None, longest: int) -> Dat
             linked = (docs[1:] == docs[:-1]) & (breaks[words.starts[1:]] == breaks[words.ends[:-1] - 1])
             h, seeds = words.hashes(), _seeds(langs)[docs]
             valid = np.ones(len(h), dtype=bool)
-            keys = mixed(h ^ seeds)
+            keys, text = mixed(h ^ seeds), joined(words)
             for k in range(1, longest + 1):
                 if k == 1:
                     places = np.arange(len(h)) if before is None else np.empty(0, dtype=np.int64)
@@ -158,13 +169,19 @@ def _scan(shard: DataFrame, now: dict, before: dict | None, longest: int) -> Dat
                     grams = gram_hashes(h, k)
                     keys = mixed(grams ^ seeds[: len(grams)])
                 if len(places):
-                    _, first, n = np.unique(keys[places], return_index=True, return_counts=True)
-                    at = places[first]
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(docs[at])), pa.array(np.full(len(at), k, dtype=np.int32)), _phrases(words, at, k), pa.array(n)], names=["lang", "k", "phrase", "n"])
+                    first, n = _counted(keys[places])
+                    yield pa.RecordBatch.from_arrays([_keys(langs, docs, text, places[first], k), pa.array(n)], names=["key", "n"])
                 if len(h) <= k:
                     break
 
-    return common.map_arrow(shard.select("lang", "text"), run, _COUNTS).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+    length = F.octet_length(F.substring_index("key", "\t", -1)) - F.octet_length(F.replace(F.substring_index("key", "\t", -1), F.lit(" "), F.lit(""))) + 1
+    return common.map_arrow(shard.select("lang", "text"), run, _COUNTS).groupBy("key").agg(F.sum("n").alias("n")).withColumn("k", length)
+
+
+def _apart(counts: DataFrame) -> DataFrame:
+    """lang, k, phrase, n of counts by key. A group may hold a tab, a phrase never does."""
+    phrase = F.substring_index("key", "\t", -1)
+    return counts.select(F.expr("left(key, length(key) - length(substring_index(key, '\t', -1)) - 1)").alias("lang"), "k", phrase.alias("phrase"), "n")
 
 
 def count_phrases(docs: DataFrame, group: str = "lang", min_count: int = 10, longest: int = 3, shards: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -193,15 +210,15 @@ def count_phrases(docs: DataFrame, group: str = "lang", min_count: int = 10, lon
                     counted[k].append(path)
                 scanned[shard] = [(seen[k - 1], filters.broadcast(k) if seen[k - 1] else None) for k in range(1, longest)]
                 frequent = read(path, _STEP).where((F.col("n") >= min_count) & (F.col("k") < longest))
-                filters.add(frequent)
+                filters.add(_apart(frequent))
                 kept = {(k, s[k - 1][0]) for s in scanned.values() for k in range(1, longest)}
                 filters.forget(kept | {(k, filters.version[k - 1]) for k in range(1, longest)})
         if (step + 1) % shards == 0:
             k = (step + 1) // shards  # this length has been through its cycle
             parts = reduce(DataFrame.unionByName, [read(path, _STEP) for path in counted[k]]).where(F.col("k") == k)
             if k == 1:
-                totals = common.written(parts.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
-            whole = common.written(parts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("lang", F.lit(k).alias("k"), "phrase", "n"), "phrase-counts")
+                totals = common.written(_apart(parts).groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
+            whole = common.written(_apart(parts.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).withColumn("k", F.lit(k))), "phrase-counts")
             for path in counted[k]:
                 common.removed(spark, f"{path}/k={k}")
             done.append(whole)
