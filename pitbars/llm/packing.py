@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import common
 from .token_store import _BYTES, _tokenizer
 
-CACHE_CHUNKS = 250_000  # chunks of CACHED_LENGTH characters at most in each of the two generations of a worker's cache
+CACHE_CHUNKS = 600_000  # chunks of CACHED_LENGTH characters at most in each of the two generations of a worker's cache
 CACHED_LENGTH = 48
 SLICE = 1 << 20  # characters of a text that are cut into chunks at a time
 BATCH_IDS = 1 << 20
@@ -44,8 +44,8 @@ _RESULT = "start long, length long, loss_tokens long, ids binary, ids_crc32 long
 
 _SPACE, _SOLID = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"  # white space as the tokenizers have it
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-#: White space and letters up to white space or punctuation other than an apostrophe; or white space and all up to the next.
-_CHUNK = re.compile(rf"{_SPACE}*+[{_LETTERS}]++(?=[,.;:!?]|{_SPACE}|\Z)|{_SPACE}*+{_SOLID}++|{_SPACE}++")
+#: A line's end between words; white space and letters up to white space or punctuation other than an apostrophe; or white space and all up to the next.
+_CHUNK = re.compile(rf"(?<={_SOLID})\n(?={_SOLID})|{_SPACE}*+[{_LETTERS}]++(?=[,.;:!?]|{_SPACE}|\Z)|{_SPACE}*+{_SOLID}++|{_SPACE}++")
 _PLAIN = re.compile(f" ?[{_LETTERS}]+")
 _BREAK = re.compile(rf"(?<={_SOLID}) (?={_SOLID})")
 
