@@ -55,7 +55,7 @@ def encode(x: Column, kind: T.DataType, ascii_only: bool = True) -> Column:
     if isinstance(kind, T.StructType):
         fields = sorted(kind.fields, key=lambda f: f.name)
         parts = [p for k, f in enumerate(fields) for p in (F.concat(F.lit("," if k else ""), text(F.lit(f.name)), F.lit(":")), encode(x[f.name], f.dataType, ascii_only))]
-        out = F.concat(F.lit("{"), *parts, F.lit("}"))
+        out = F.when(x.isNotNull(), F.concat(F.lit("{"), *parts, F.lit("}")))
     elif isinstance(kind, T.MapType):
         entries = F.array_sort(F.map_entries(x)) if kind.valueType.simpleString() != "variant" else F.transform(F.array_sort(F.map_keys(x)), lambda k: F.struct(k.alias("key"), F.try_element_at(x, k).alias("value")))
         out = F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(text(e["key"]), F.lit(":"), encode(e["value"], kind.valueType, ascii_only))), ","), F.lit("}"))

@@ -28,13 +28,14 @@ def land_member_frames(frames: DataFrame) -> DataFrame:
     return kept.where(stock).drop("raw", "type")
 
 
-def land_status_frames(frames: DataFrame) -> DataFrame:
-    """(code, date, is_tradable, status) of each cell of (code, date, paused): tradable or suspended where exactly one row says 0 or 1,
-    else invalid."""
+def land_status_frames(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of (code, date, paused). rows: code, date, is_tradable, status (active or suspended) of cells with exactly one row that
+    says 0 or 1. rejects: code, date, reason (repeated_row, not_a_flag)."""
     counted = frames.groupBy("code", "date").agg(F.count("*").alias("times"), F.max("paused").alias("paused"))
-    ok = (F.col("times") == 1) & F.coalesce(F.col("paused").isin(0, 1), F.lit(False))
-    status = F.when(~ok, "invalid").when(F.col("paused") == 0, "tradable").otherwise("suspended")
-    return counted.select("code", "date", F.when(ok, F.col("paused") == 0).alias("is_tradable"), status.alias("status"))
+    reason = F.when(F.col("times") > 1, "repeated_row").when(~F.coalesce(F.col("paused").isin(0, 1), F.lit(False)), "not_a_flag")
+    judged = counted.withColumn("reason", reason)
+    status = F.when(F.col("paused") == 0, "active").otherwise("suspended")
+    return judged.where("reason is null").select("code", "date", (F.col("paused") == 0).alias("is_tradable"), status.alias("status")), judged.where("reason is not null").select("code", "date", "reason")
 
 
 def status_values(market: DataFrame) -> DataFrame:
@@ -52,6 +53,9 @@ def quote_to_final_bar(quotes: DataFrame, start: str, end: str, latest: Column)
     return quotes.where(day.between(F.lit(start).cast("date"), F.lit(end).cast("date")) & (day <= latest)).withColumn("volume", (F.col("lots") * 100).cast("long")).drop("lots")
 
 
-def sync_summary(planned: DataFrame) -> DataFrame:
-    """Codes for each status."""
-    return planned.groupBy("status").agg(F.countDistinct("code").alias("codes"))
+def sync_summary(planned: DataFrame, results: DataFrame) -> DataFrame:
+    """One row (synced, up_to_date, errors, no_data): codes of a plan (code, status) that had no gap, and what became of the others
+    (code, status)."""
+    states = planned.where("status = 'up_to_date'").select("code", "status").unionByName(results.select("code", "status")).distinct()
+    of = lambda status: F.count_distinct(F.when(F.col("status") == status, F.col("code")))
+    return states.agg(of("synced").alias("synced"), of("up_to_date").alias("up_to_date"), of("error").alias("errors"), of("no_data").alias("no_data"))

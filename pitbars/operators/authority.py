@@ -103,19 +103,21 @@ def cutoff_check(cells: DataFrame, cutoffs: DataFrame, strict: bool = True) -> D
     return joined.withColumn("in_time", _sure(ok)).select("component", "panel_entry", "in_time")
 
 
-def admit_component(records: DataFrame, bindings: DataFrame, envelopes: DataFrame, cutoffs: DataFrame, panel: DataFrame) -> DataFrame:
+def admit_component(records: DataFrame, bindings: DataFrame, envelopes: DataFrame, cutoffs: DataFrame, panel: DataFrame, signers: DataFrame, roots: DataFrame) -> DataFrame:
     """(component, panel_entry, problem) for every component of the records and cell of the panel (column panel_entry): the first problem,
-    null where the record is admitted. records: component, panel_entry, payload, record_sha256, source_receipt_ids, effective_at, available_at."""
+    null where the record is admitted. A component without an envelope, or with one whose signer may not sign it then, has no admitted
+    record. envelopes, signers and roots as in signer_interval; records: component, panel_entry, payload, record_sha256, source_receipt_ids, effective_at, available_at."""
     key = ["component", "panel_entry"]
     ids = F.col("source_receipt_ids")
     listed = _sure((F.size(ids) > 0) & (ids == F.array_sort(F.array_distinct(ids))) & F.forall(ids, checks.valid_sha256))
     loose = receipt_bindings(records, bindings).groupBy(*key).agg(F.max("problem").alias("loose"))  # unbound_receipt comes first
     late = cutoff_check(latest_available(records, bindings, envelopes).join(records.groupBy(*key).agg(F.max("effective_at").alias("effective_at")), key), cutoffs)
+    signed = signer_interval(envelopes, signers, roots).groupBy("component").agg(F.max("problem").alias("unsigned"), F.lit(True).alias("sealed"))
     counted = records.withColumn("times", F.count("*").over(Window.partitionBy(*key)))
     grid = records.select("component").distinct().crossJoin(panel.select("panel_entry").distinct())
-    joined = grid.join(counted, key, "full_outer").join(panel.select("panel_entry", F.lit(True).alias("in_panel")).distinct(), "panel_entry", "left").join(loose, key, "left").join(late, key, "left")
+    joined = grid.join(counted, key, "full_outer").join(panel.select("panel_entry", F.lit(True).alias("in_panel")).distinct(), "panel_entry", "left").join(loose, key, "left").join(late, key, "left").join(signed, "component", "left")
     problem = (
-        F.when(F.col("in_panel").isNull(), "outside_panel").when(F.col("times").isNull(), "missing_record").when(F.col("times") > 1, "repeated_record")
+        F.when(F.col("in_panel").isNull(), "outside_panel").when(F.col("sealed").isNull(), "missing_envelope").when(F.col("unsigned").isNotNull(), F.col("unsigned")).when(F.col("times").isNull(), "missing_record").when(F.col("times") > 1, "repeated_record")
         .when(~payload_valid(F.col("component"), F.col("payload")), "invalid_payload").when(~_sure(F.col("record_sha256") == F.sha2("payload", 256)), "record_hash_drifted")
         .when(~listed, "invalid_receipts").when(F.col("loose").isNotNull(), F.col("loose"))
         .when(~_sure(F.date_format("effective_at", "yyyy-MM-dd") == F.element_at(F.split("panel_entry", "@"), -1)), "effective_date_differs").when(~_sure(F.col("in_time")), "post_cutoff")
@@ -123,25 +125,42 @@ def admit_component(records: DataFrame, bindings: DataFrame, envelopes: DataFram
     return joined.select(*key, problem.alias("problem")).distinct()
 
 
-def availability_records(records: DataFrame, panel: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """(component, panel_entry, problem) of what keeps the records of all components from covering the panel: nothing, if they do. panel: code, date."""
+def availability_records(records: DataFrame, panel: DataFrame, cutoffs: DataFrame, receipts: DataFrame) -> DataFrame:
+    """(component, panel_entry, problem) of what keeps the records of all components from covering the panel: nothing, if they do. panel: code,
+    date. receipts: column receipt, those that are bound. A record's own decision_cutoff_at must be the authoritative one."""
     entry = F.concat_ws("@", "code", F.col("date").cast("string"))
     parts = F.split("panel_entry", "@")
     cells = records.select("component", parts[0].alias("code"), F.to_date(F.element_at(parts, -1)).alias("date"))
     grid = panels.component_grid(panel, cells).select("component", entry.alias("panel_entry"), F.when(F.col("times") == 0, "missing_record").otherwise("repeated_record").alias("problem"))
     outside = records.join(panel.select(entry.alias("panel_entry")), "panel_entry", "left_anti").select("component", "panel_entry", F.lit("outside_panel").alias("problem"))
     ids = F.col("source_receipt_ids")
-    shape = records.where(~(checks.valid_sha256(F.col("record_sha256")) & _sure((F.size(ids) > 0) & (ids == F.array_sort(F.array_distinct(ids)))))).select("component", "panel_entry", F.lit("invalid_record").alias("problem"))
+    shape = records.where(~(checks.valid_sha256(F.col("record_sha256")) & _sure((F.size(ids) > 0) & (ids == F.array_sort(F.array_distinct(ids))) & F.forall(ids, checks.valid_sha256)))).select("component", "panel_entry", F.lit("invalid_record").alias("problem"))
     late = cutoff_check(records, cutoffs, strict=False).where(~F.col("in_time")).select("component", "panel_entry", F.lit("post_cutoff").alias("problem"))
-    return reduce(DataFrame.unionByName, [grid, outside, shape, late]).distinct()
+    authoritative = records.join(cutoffs.select("panel_entry", "cutoff_at"), "panel_entry", "left")
+    differs = authoritative.where(~F.col("decision_cutoff_at").eqNullSafe(F.col("cutoff_at"))).select("component", "panel_entry", F.lit("cutoff_differs").alias("problem"))
+    listed = records.select("component", "panel_entry", F.explode(ids).alias("receipt"))
+    unbound = listed.join(receipts.select("receipt").distinct(), "receipt", "left_anti").select("component", "panel_entry", F.lit("unbound_receipt").alias("problem"))
+    return reduce(DataFrame.unionByName, [grid, outside, shape, late, differs, unbound]).distinct()
 
 
-def closure_digest(references: DataFrame) -> DataFrame:
-    """Of reference sets (bundle, kind, name, sha256): digest, and `complete`: receipts unique, each required component once. A bundle is small."""
-    line = F.concat_ws("|", "kind", "name", "sha256")
-    parts = references.groupBy("bundle").agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_set(line))), 256).alias("digest"), F.count("*").alias("n"), F.countDistinct("kind", "name").alias("different"), F.array_sort(F.collect_set(F.when(F.col("kind") == "component", F.col("name")))).alias("c"), F.count(F.when(F.col("kind") == "receipt", 1)).alias("receipts"), F.min(checks.valid_sha256(F.col("sha256"))).alias("hashes"))
-    ok = (F.col("n") == F.col("different")) & (F.col("c") == F.array(*map(F.lit, sorted(REQUIRED)))) & (F.col("receipts") > 0) & F.col("hashes")
-    return parts.select("bundle", "digest", _sure(ok).alias("complete"))
+#: The single references of a contract, beside its receipts.
+SINGLE = ["checkout", "companion_snapshot", "database", "exact_panel", "execution_adjustment_identity", "readiness_report", "signal_adjustment_identity"]
+
+
+def closure_digest(references: DataFrame, schema_version: str, owner: str) -> DataFrame:
+    """(bundle, digest, complete) of a contract's references (bundle, field, kind, identifier, schema_version): the SHA-256 of its canonical
+    JSON, the same wherever it is computed. complete: each single reference once, one receipt or more, none twice, all well formed. A
+    bundle names the receipts of one export; they are one row."""
+    ref = F.struct("identifier", "kind", "schema_version")
+    receipt = F.col("field") == "source_receipts"
+    one = lambda name: F.max(F.when(F.col("field") == name, ref))
+    formed = checks.valid_sha256(F.col("identifier")) & (F.col("kind") != "") & (F.col("schema_version") != "")
+    parts = references.groupBy("bundle").agg(*(one(n).alias(n) for n in SINGLE), F.array_sort(F.collect_list(F.when(receipt, ref))).alias("source_receipts"), F.count_distinct(F.when(~receipt, F.col("field"))).alias("fields"), F.count(F.when(~receipt, 1)).alias("singles"), F.min(_sure(formed & F.col("field").isin(*SINGLE, "source_receipts"))).alias("formed"))
+    whole = F.struct(*(F.col(n) for n in SINGLE), F.lit(owner).alias("repository_owner"), F.array(*map(F.lit, REQUIRED)).alias("required_components"), F.lit(schema_version).alias("schema_version"), "source_receipts")
+    body = parts.withColumn("whole", whole)
+    ids = F.transform("source_receipts", lambda r: r["identifier"])
+    ok = (F.col("fields") == len(SINGLE)) & (F.col("singles") == len(SINGLE)) & (F.size(ids) > 0) & (F.size(F.array_distinct(ids)) == F.size(ids)) & F.col("formed")
+    return body.select("bundle", F.sha2(canonical.encode(F.col("whole"), body.schema["whole"].dataType), 256).alias("digest"), _sure(ok).alias("complete"))
 
 
 def report_consistency(components: DataFrame, aggregates: DataFrame) -> DataFrame:
@@ -157,14 +176,18 @@ def report_consistency(components: DataFrame, aggregates: DataFrame) -> DataFram
     return each.unionByName(whole).distinct()
 
 
-def attest_universe(rows: DataFrame, daily: DataFrame, attested: DataFrame) -> DataFrame:
-    """(problem, sample) where rows (date, record_sha256) differ from what is attested: daily counts (date, declared), and one row of attested
-    (total, digest, start, end). Empty: attested."""
+def content_sha256(spark, path: str) -> DataFrame:
+    """(content_sha256) of a records file's bytes: what an attestation made elsewhere states."""
+    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("content_sha256"))
+
+
+def attest_universe(rows: DataFrame, daily: DataFrame, attested: DataFrame, content: DataFrame) -> DataFrame:
+    """(problem, sample) where rows (date) differ from what is attested: daily counts (date, declared), and one row of attested (total, digest,
+    start, end), digest being that of the records file (content, see content_sha256). Empty: attested."""
     counted = panels.daily_record_counts(rows, daily).select(F.lit("daily_count_differs").alias("problem"), F.col("date").cast("string").alias("sample"))
-    days = rows.groupBy("date").agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("record_sha256"))), 256).alias("d"), F.count("*").alias("n"))
-    found = days.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("d"))), 256).alias("d"), F.min("date").alias("a"), F.max("date").alias("b"))
-    both = found.crossJoin(attested)
-    wrong = {"total_differs": ~_sure(F.col("n") == F.col("total")), "digest_differs": ~_sure(F.col("d") == F.col("digest")), "coverage_differs": ~_sure((F.col("a") == F.col("start")) & (F.col("b") == F.col("end")))}
+    found = rows.agg(F.count("*").alias("n"), F.min("date").alias("a"), F.max("date").alias("b"))
+    both = attested.withColumns({"n": found.select("n").scalar(), "a": found.select("a").scalar(), "b": found.select("b").scalar(), "d": content.scalar()})
+    wrong = {"total_differs": ~_sure(F.col("n") == F.col("total")), "digest_differs": ~_sure(F.col("d") == F.col("digest")), "coverage_differs": ~_sure((F.col("start") <= F.col("end")) & (F.col("start") <= F.col("a")) & (F.col("b") <= F.col("end")))}
     return counted.unionByName(both.select(F.explode(F.array_compact(F.array(*(F.when(c, name) for name, c in wrong.items())))).alias("problem"), F.lit("all").alias("sample")))
 
 

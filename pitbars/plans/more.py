@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pitbars.functions import symbols
 from pitbars.functions.digest import content_digest, money, record_sha256
 from pitbars.operators import evidence, panels
-from pitbars.plans.oracle import CLICK, COVERS, sql
+from pitbars.plans.oracle import root_of, CLICK, COVERS, sql
 from pitbars.sources import landing
 from pitbars.sources import views as v
 
@@ -91,7 +91,7 @@ def duplicate_records(s, d):
 
 def snapshot_manifest(s, d):
     rows = _click(s, d).where("is_final and date <= date '2024-01-20'")
-    found = content_digest(rows, {"code": F.col("code"), "date": F.col("date"), "close": money(F.col("close"))}, [F.col("code"), F.year("date")])
+    found = content_digest(rows, {"code": F.col("code"), "date": F.col("date"), "close": money(F.col("close"))})
     return found.select(F.concat(F.lit("2024-01-20-"), F.substring("digest", 1, 16)).alias("snapshot_id"), "digest", "row_count")
 
 
@@ -122,6 +122,6 @@ ORACLE_SQL = {
     "rules_asof": sql(f"SELECT code, date, 'limit' AS rule, CASE WHEN b = 'CHINEXT' AND date >= DATE '2024-01-15' THEN 0.2 ELSE 0.1 END::DOUBLE AS value FROM k WHERE b IN ('MAIN', 'CHINEXT') UNION ALL SELECT code, date, 'stamp', CASE WHEN date >= DATE '2024-01-20' THEN 0.001 ELSE 0.0005 END::DOUBLE FROM k WHERE b = 'MAIN'", f"k AS (SELECT code, date, {BOARD} AS b FROM bars WHERE {CLICK})"),
     "daily_record_counts": sql(f"SELECT coalesce(a.date, b.date) AS date, coalesce(found, 0) AS found, coalesce(declared, 0) AS declared FROM (SELECT date, count(*) AS found FROM bars WHERE {CLICK} GROUP BY date) a FULL JOIN (SELECT date, count(*) AS declared FROM bars WHERE source = 'view' GROUP BY date) b ON a.date = b.date WHERE coalesce(found, 0) <> coalesce(declared, 0)"),
     "duplicate_records": sql(f"SELECT sha256({RECORD2}) AS record_sha256, count(*) AS times FROM bars GROUP BY code, date HAVING count(*) > 1"),
-    "snapshot_manifest": sql("SELECT '2024-01-20-' || substr(x, 1, 16) AS snapshot_id, x AS digest, CAST(n AS BIGINT) AS row_count FROM (SELECT sha256(string_agg(d, ',' ORDER BY d)) AS x, sum(n) AS n FROM g)", f"g AS (SELECT sha256(string_agg(d, ',' ORDER BY d)) AS d, count(*) AS n FROM (SELECT code, year(date) AS y, sha256({RECORD3}) AS d FROM bars WHERE {CLICK} AND is_final AND date <= DATE '2024-01-20') GROUP BY code, y)"),
+    "snapshot_manifest": sql(f"SELECT '2024-01-20-' || substr(digest, 1, 16) AS snapshot_id, digest, row_count FROM ({root_of('g')})", f"g AS (SELECT sha256({RECORD3}) AS d FROM bars WHERE {CLICK} AND is_final AND date <= DATE '2024-01-20')"),
     "priced_panel": sql(f"SELECT code, date, close, receipt_id FROM (SELECT sel.*, {LATE} AS late FROM sel JOIN nx USING (date)) WHERE late IS NULL", f"chosen AS (SELECT b.* FROM bars b JOIN panel USING (code, date) WHERE {CLICK} AND is_final), nx AS (SELECT date, lead(date) OVER (ORDER BY date) AS nd FROM (SELECT DISTINCT date FROM chosen)), sel AS (SELECT c.*, r.observed_at AS o, payload FROM chosen c JOIN receipts r ON r.receipt_id = c.receipt_id AND r.source = c.source WHERE r.response_sha256 = sha256(r.payload) AND r.observed_at = r.retrieved_at AND {COVERS})"),
 }

@@ -34,6 +34,12 @@ COVERS = "coalesce(payload->>'$.rows[0][0]' = CAST(date AS VARCHAR) AND " + " AN
 RECORD = "CAST(to_json({'close': CAST(CAST(close AS DECIMAL(18,2)) AS VARCHAR), 'code': code, 'date': CAST(date AS VARCHAR), 'source': source}) AS VARCHAR)"
 
 
+def root_of(table: str, where: str = "") -> str:
+    """Digest and count of the row digests (column d) of a table: count and sums of their four 64-bit words."""
+    words = " || ',' || ".join(f"CAST(coalesce(sum(CAST(('0x' || substr(d, {16 * k + 1}, 16))::UBIGINT AS HUGEINT)), 0) % 18446744073709551616 AS VARCHAR)" for k in range(4))
+    return f"SELECT sha256(count(*) || ',' || {words}) AS digest, count(*) AS row_count FROM {table} {where}"
+
+
 def sql(body: str, more: str = "") -> str:
     return f"WITH {VIEWS}{', ' + more if more else ''} {body}"
 
@@ -114,7 +120,7 @@ ORACLE_SQL: dict[str, str] = {
     "panel_select": sql(f"SELECT {BAR} FROM bars b WHERE {CLICK} AND EXISTS (SELECT 1 FROM panel p WHERE p.code = b.code AND p.date = b.date)"),
     "panel_missing": sql(f"SELECT code, date FROM panel p WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE {CLICK} AND b.code = p.code AND b.date = p.date)"),
     "panel_digest": sql("SELECT sha256('[\"' || string_agg(e, '\",\"' ORDER BY e) || '\"]') AS digest, count(*) AS entries FROM (SELECT DISTINCT code || '@' || CAST(date AS VARCHAR) AS e FROM panel)"),
-    "content_digest": sql("SELECT sha256(string_agg(d, ',' ORDER BY d)) AS digest, CAST(sum(n) AS BIGINT) AS row_count FROM g", "g AS (SELECT sha256(string_agg(d, ',' ORDER BY d)) AS d, count(*) AS n FROM (SELECT code, year(date) AS y, sha256(" + RECORD + ") AS d FROM bars WHERE is_final) GROUP BY code, y)"),
+    "content_digest": sql(root_of("g"), "g AS (SELECT sha256(" + RECORD + ") AS d FROM bars WHERE is_final)"),
     "calendar_spine": sql("SELECT s.date, coalesce(n, 0) AS times FROM calendar s LEFT JOIN (SELECT date, count(*) AS n FROM (SELECT DISTINCT date FROM bars WHERE source = 'click' UNION ALL SELECT DISTINCT date FROM bars WHERE source = 'view' AND day(date) % 7 = 0) GROUP BY date) USING (date) WHERE coalesce(n, 0) <> 1"),
     "date_set_ops": sql("SELECT 'common' AS side, code, date FROM (SELECT code, date FROM bars WHERE source = 'click' INTERSECT SELECT code, date FROM bars WHERE source = 'view') UNION ALL SELECT 'only_left', code, date FROM (SELECT code, date FROM bars WHERE source = 'click' EXCEPT SELECT code, date FROM bars WHERE source = 'view') UNION ALL SELECT 'only_right', code, date FROM (SELECT code, date FROM bars WHERE source = 'view' EXCEPT SELECT code, date FROM bars WHERE source = 'click')"),
     "same_set": sql("SELECT 'left' AS side, code FROM (SELECT DISTINCT code FROM coverage EXCEPT SELECT DISTINCT code FROM panel) UNION ALL SELECT 'right', code FROM (SELECT DISTINCT code FROM panel EXCEPT SELECT DISTINCT code FROM coverage)"),

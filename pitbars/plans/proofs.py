@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from uuid import uuid4
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitbars.functions.digest import money
-from pitbars.operators import actions, artifacts, authority, context, evidence, store
-from pitbars.plans.oracle import CLICK, sql
-from pitbars.shared import written
+from pitbars.operators import actions, artifacts, authority, context, evidence, panels, store
+from pitbars.plans.oracle import CLICK, root_of, sql
+from pitbars.shared import shared_dir, written
 from pitbars.sources import landing
 from pitbars.sources import views as v
 
@@ -152,7 +156,12 @@ def _cutoffs(s, d):
 
 
 def _sealed(s, d):
-    return s.createDataFrame([("universe", "2024-01-01 09:00:00")], "component string, available_at string").withColumn("available_at", F.col("available_at").cast("timestamp_ntz"))
+    rows = [("universe", "2024-01-01 09:00:00", "k1", "R"), ("market_rules", "2024-01-01 09:00:00", "k1", "R")]
+    return s.createDataFrame(rows, "component string, available_at string, signer string, root string").withColumn("available_at", F.col("available_at").cast("timestamp_ntz"))
+
+
+def _signers(s):
+    return s.createDataFrame([("k0", "R", ["universe", "market_rules"]), ("k1", "R", ["universe"])], "signer string, root string, roles array<string>").withColumns({"valid_from": F.lit("2024-01-01").cast("timestamp_ntz"), "valid_until": F.lit("2024-01-20").cast("timestamp_ntz")})
 
 
 def payload_validity(s, d):
@@ -172,7 +181,9 @@ def cutoff_check(s, d):
 
 
 def admit_component(s, d):
-    return authority.admit_component(_records(s, d), _bindings(s, d), _sealed(s, d), _cutoffs(s, d), v.panel(s, d).select(evidence.cell().alias("panel_entry")))
+    records = _records(s, d)
+    both = records.unionByName(records.withColumn("component", F.lit("market_rules")))  # the signer of its envelope has no such role
+    return authority.admit_component(both, _bindings(s, d), _sealed(s, d), _cutoffs(s, d), v.panel(s, d).select(evidence.cell().alias("panel_entry")), _signers(s), s.createDataFrame([("R",)], "root string"))
 
 
 def signer_interval(s, d):
@@ -183,8 +194,102 @@ def signer_interval(s, d):
 
 def bootstrap_rows(s, d):
     p = v.panel(s, d)
-    status = actions.land_status_frames(p.withColumn("paused", (F.day("date") % 5 == 0).cast("int")))
-    return artifacts.bootstrap_rows(p, status, p, 10**9)
+    status, _ = actions.land_status_frames(p.withColumn("paused", (F.day("date") % 5 == 0).cast("int")))
+    return artifacts.bootstrap_rows(_click(s, d).select("code", "date").unionByName(p.select("code", "date")), status, p, 10**9)
+
+
+def availability_records(s, d):
+    """Records of all components but those of the calendar on day 9, with defects by number: 7 cutoff of its own, 5 at the cutoff, 3 after it, 17 unbound."""
+    cells = v.panel(s, d).select("code", "date", F.explode(F.array(*map(F.lit, panels.COMPONENTS))).alias("component"), (_n() + F.day("date")).alias("n")).where("not (component = 'trading_calendar' and day(date) = 9)")
+    records = cells.select("component", evidence.cell().alias("panel_entry"), F.sha2(F.concat_ws("@", "component", "code"), 256).alias("record_sha256"), F.array(F.sha2("code", 256)).alias("source_receipt_ids"), _at(9).alias("effective_at"),
+        F.when(F.col("n") % 5 == 0, _at(9, 25)).when(F.col("n") % 3 == 0, _at(9, 26)).otherwise(_at(8)).alias("available_at"), F.when(F.col("n") % 7 == 0, _at(9, 30)).otherwise(_at(9, 25)).alias("decision_cutoff_at"))
+    bound = v.panel(s, d).where(_n() % 17 != 0).select(F.sha2("code", 256).alias("receipt")).distinct()
+    return authority.availability_records(records, v.panel(s, d), _cutoffs(s, d), bound)
+
+
+def adjustment_identity(s, d):
+    k = F.col("c_custkey")
+    role = F.when(k % 2 == 0, "execution").otherwise("signal")
+    parts = {"schema_version": F.concat(role, F.lit("-adjustment-identity/1")), "price_role": F.when(k % 7 == 0, "other").otherwise(role), "source": F.concat(F.lit("源 "), "c_name"), "adjustment_mode": F.when(k % 3 == 0, "qfq").otherwise("raw"), "adjustment_version": F.when(k % 11 == 0, "").otherwise("v1")}
+    rows = v.table(s, d, "customer").select("c_custkey", role.alias("role"), F.to_json(F.struct(*(c.alias(n) for n, c in parts.items()))).alias("identity"))
+    return rows.select("c_custkey", authority.adjustment_identity(F.col("identity"), F.col("role")).alias("digest"))
+
+
+def closure_digest(s, d):
+    """A contract for each customer with its orders as receipts; those of number 7 lack the panel, those of 5 name each receipt twice."""
+    c, o = v.table(s, d, "customer"), v.table(s, d, "orders")
+    single = c.select(F.col("c_custkey").alias("bundle"), F.explode(F.array(*map(F.lit, authority.SINGLE))).alias("field")).where("not (bundle % 7 = 0 and field = 'exact_panel')").select("bundle", "field", F.concat(F.lit("data-"), "field").alias("kind"), F.sha2(F.concat_ws("|", "bundle", "field"), 256).alias("identifier"), F.concat("field", F.lit("/1")).alias("schema_version"))
+    receipts = o.select(F.col("o_custkey").alias("bundle"), F.lit("source_receipts").alias("field"), F.lit("source-receipt").alias("kind"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("identifier"), F.lit("receipt/1").alias("schema_version")).join(c.select(F.col("c_custkey").alias("bundle")), "bundle", "left_semi")
+    return authority.closure_digest(single.unionByName(receipts).unionByName(receipts.where("bundle % 5 = 0")), "contract/1", "owner")
+
+
+def report_consistency(s, d):
+    """A bundle for each customer; by number: 3 blocked, 5 blocked without a reason, 7 an aggregate that says otherwise, 11 a component short."""
+    c = v.table(s, d, "customer").select(F.col("c_custkey").alias("bundle"))
+    k, none = F.col("bundle"), F.array().cast("array<string>")
+    down = (k % 3 == 0) & (F.col("component") == "universe")
+    components = c.select("bundle", F.explode(F.array(*map(F.lit, authority.REQUIRED))).alias("component")).where(~((k % 11 == 0) & (F.col("component") == "market_rules")))
+    components = components.select("bundle", "component", (~down).alias("ready"), F.when(down & (k % 5 != 0), F.array(F.lit("x"))).otherwise(none).alias("blockers"))
+    says = (k % 3 != 0) != (k % 7 == 0)
+    return authority.report_consistency(components, c.select("bundle", says.alias("ready"), F.when(k % 3 == 0, F.array(F.lit("universe"))).otherwise(none).alias("blocked")))
+
+
+def register_panel(s, d):
+    """A registration of two codes and two sessions for each customer; by number: 3 another order of cells, 5 a repeated code, 7 a Saturday."""
+    k = F.col("c_custkey")
+    code = lambda n: F.concat(F.lpad((n % 1000000).cast("string"), 6, "0"), F.lit(".SZ"))
+    symbols = F.array(code(k), code(F.when(k % 5 == 0, k).otherwise(k + 1)))
+    sessions = F.array(F.when(k % 7 == 0, "2024-01-06").otherwise("2024-01-03"), F.lit("2024-01-08"))
+    cells = F.array_sort(F.flatten(F.transform(symbols, lambda x: F.transform(sessions, lambda y: F.concat_ws("@", x, y)))))
+    text = F.concat(F.lit('["'), F.array_join(F.when(k % 3 == 0, F.reverse(cells)).otherwise(cells), '","'), F.lit('"]'))
+    fixed = {"status": "AWAITING_FULL_SNAPSHOT_READINESS", "adjustment_mode": "raw", "source": "s", "adjustment_version": "v", "outcome_feedback_used": False, "workspace_count": 4}
+    rows = v.table(s, d, "customer").select(k.alias("id"), symbols.alias("symbols"), sessions.alias("sessions"), *(F.lit(x).alias(n) for n, x in fixed.items()), F.sha2(text, 256).alias("panel_sha256"))
+    return authority.register_panel_check(rows, "2024-01-08", 2, 2)
+
+
+def _root(s):
+    return f"{shared_dir(s)}/artifacts-{uuid4().hex}"
+
+
+def verify_snapshot(s, d):
+    """A snapshot of final bars, of which codes of bucket 3 get another price and those of bucket 5 are lost: parts that are not what was written."""
+    root = _root(s)
+    name = artifacts.write_snapshot(_click(s, d), root, "2024-01-20", "raw")
+    for part in ("3", "5"):
+        folder = f"{root}/{name}/rows/part_year=2024/part_bucket={part}"
+        if artifacts.exists(s, folder):
+            rows = written(s.read.parquet(folder), "part")
+            (rows.withColumn("close", F.col("close") + 1) if part == "3" else rows.limit(0)).write.mode("overwrite").parquet(folder)
+    return artifacts.part_problems(s, root, name, changed_only=True)
+
+
+def research_manifest(s, d):
+    """A history and a calendar as research artifacts, as the inventory has them."""
+    root = _root(s)
+    rows = _click(s, d).select("code", F.col("date").cast("string").alias("date"), money(F.col("close")).alias("close"))
+    for kind, x in (("history", rows), ("calendar", v.sessions(s, d).select(F.col("date").cast("string").alias("date")))):
+        artifacts.write_research_artifact(kind, x, root, kind)
+    return artifacts.artifact_inventory(s, root)
+
+
+def export_panel(s, d):
+    """The six artifacts of all final cells of one session, each with its receipt, written, and verified as they lie there."""
+    root, day = _root(s), "2024-01-10"
+    held = written(_click(s, d).where(F.col("is_final") & (F.col("date") == F.lit(day).cast("date"))), "bars")
+    text = F.to_json(F.struct(F.lit("date,open,high,low,close,volume").alias("fields"), F.array(F.array(F.col("date").cast("string"), *(money(F.col(c)) for c in ("open", "high", "low", "close")), F.col("volume").cast("string"))).alias("rows")))
+    receipts = held.select("receipt_id", "source", _at(15, 30).alias("observed_at"), _at(15, 30).alias("retrieved_at"), text.alias("payload"), F.sha2(text, 256).alias("response_sha256"))
+    cells = held.select("code", "date")
+    listings = cells.select("code", F.when(_n() % 4 == 0, F.lit("2024-02-01")).otherwise(F.lit("2020-01-01")).cast("date").alias("ipo"), F.lit(None).cast("date").alias("out"))
+    daily = cells.select("code", "date", (_n() % 5 == 0).alias("is_st"), (_n() % 9 == 0).alias("is_suspended"))
+    ends = cells.select("code", F.col("date").alias("effective_date"), F.lit(1.5).alias("cash"), (1 + (_n() % 2) / 2).alias("multiplier"), F.lit("2024-01-02 15:01:00").cast("timestamp_ntz").alias("announced_at"), F.explode(F.array(F.lit(1), F.lit(2))).alias("seq")).where(_n() % 3 == 0)
+    rules = s.createDataFrame([("fees", "fee_schedule", "{}"), ("limits", "price_limit_and_lot_rules", "{}")], "rule_id string, rule_type string, parameters string")
+    six, guards = artifacts.export_execution_panel(held, receipts, cells.unionByName(cells), listings, daily, ends, cells.withColumn("available_at", _at(8)), rules, day, day)
+    name = artifacts.write_execution_snapshot(six, s.createDataFrame([("k",)], "key string"), root, day, guards)
+    problems = artifacts.verify_execution_snapshot(s, root, name)
+    status = s.read.parquet(f"{root}/{name}/instrument_status")
+    counted = [s.read.parquet(f"{root}/{name}/{kind}").agg(F.lit(kind).alias("kind"), F.count("*").alias("row_count")) for kind in artifacts.EXECUTION_KINDS]
+    more = [status.where(c).agg(F.lit(n).alias("kind"), F.count("*").alias("row_count")) for n, c in (("unlisted", "listing_status = 'unlisted'"), ("st", "is_st"))]
+    return reduce(DataFrame.unionByName, [*counted, *more]).withColumn("problems", F.lit(len(problems)))
 
 
 def apply_sync(s, d):
@@ -199,7 +304,7 @@ def execution_manifest(s, d):
     return artifacts.execution_manifest(dict.fromkeys(artifacts.EXECUTION_KINDS, b)).select("kind", "row_count", "columns")
 
 
-QUERIES = {f.__name__: f for f in (land_tick_frame, land_panel, land_market_pages, market_page_rejects, context_rows, context_readiness, land_action_batches, action_batch_rejects, coverage_with_receipts, events_match, action_readiness, full_readiness, payload_validity, receipt_bindings, latest_available, cutoff_check, admit_component, signer_interval, bootstrap_rows, apply_sync, execution_manifest)}
+QUERIES = {f.__name__: f for f in (land_tick_frame, land_panel, land_market_pages, market_page_rejects, context_rows, context_readiness, land_action_batches, action_batch_rejects, coverage_with_receipts, events_match, action_readiness, full_readiness, payload_validity, availability_records, adjustment_identity, closure_digest, report_consistency, register_panel, verify_snapshot, research_manifest, export_panel, receipt_bindings, latest_available, cutoff_check, admit_component, signer_interval, bootstrap_rows, apply_sync, execution_manifest)}
 
 N = "CAST(substr(code, 2, 5) AS INTEGER)"
 KC = f"k AS (SELECT *, {N} AS n, day(date) AS dy FROM bars WHERE {CLICK})"
@@ -232,6 +337,29 @@ def _full() -> str:
     return " UNION ALL ".join([*rows, *(f"SELECT '{k}', '{x}', 1, ''" for k, x in fixed.items())])
 
 
+def _export() -> str:
+    kinds = {"execution_prices": "true", "signal_prices": "true", "instrument_status": "true", "universe": "true", "corporate_actions": "n % 3 = 0", "unlisted": "n % 4 = 0", "st": "n % 5 = 0"}
+    counts = " UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) FILTER ({c}) AS row_count, 0 AS problems FROM p" for k, c in kinds.items())
+    return sql(f"{counts} UNION ALL SELECT 'market_rules', 2, 0", f"p AS (SELECT *, {N} AS n FROM bars WHERE {CLICK} AND is_final AND date = DATE '2024-01-10')")
+
+
+#: CRC-32 of a code's bytes, bit by bit.
+CRC_OF_CODE = "xor(list_reduce([4294967295::UBIGINT] || flatten(list_transform(range(1, length(code) + 1), lambda i: [ascii(substr(code, i, 1))::UBIGINT + 8589934592] || list_transform(range(8), lambda b: 17179869184::UBIGINT))), lambda c, x: CASE WHEN x < 17179869184 THEN xor(c, x - 8589934592) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END), 4294967295::UBIGINT)"
+
+
+def _closure() -> str:
+    """The canonical JSON of a contract, put together as text."""
+    ref = lambda i, kind, schema: f"""'{{"identifier":"' || {i} || '","kind":"{kind}","schema_version":"{schema}"}}'"""
+    single = {name: ref(f"sha256(k || '|{name}')", f"data-{name}", f"{name}/1") for name in authority.SINGLE}
+    single["exact_panel"] = f"CASE WHEN k % 7 = 0 THEN 'null' ELSE {single['exact_panel']} END"
+    required = ",".join(f'"{c}"' for c in authority.REQUIRED)
+    values = single | {"repository_owner": "'\"owner\"'", "required_components": f"'[{required}]'", "schema_version": "'\"contract/1\"'", "source_receipts": "'[' || coalesce(list, '') || ']'"}
+    body = " || ',' || ".join(f"""'"{name}":' || {values[name]}""" for name in sorted(values))
+    return f"""WITH o AS (SELECT o_custkey AS k, sha256(CAST(o_orderkey AS VARCHAR)) AS i FROM orders), twice AS (SELECT * FROM o UNION ALL SELECT * FROM o WHERE k % 5 = 0),
+      r AS (SELECT k, string_agg({ref('i', 'source-receipt', 'receipt/1')}, ',' ORDER BY i) AS list, count(*) > 0 AND count(*) = count(DISTINCT i) AS sound FROM twice GROUP BY k), c AS (SELECT c_custkey AS k FROM customer)
+      SELECT k AS bundle, sha256('{{' || {body} || '}}') AS digest, k % 7 <> 0 AND coalesce(sound, false) AS complete FROM c LEFT JOIN r USING (k)"""
+
+
 ORACLE_SQL = {
     "land_tick_frame": sql("SELECT code, date, open, high, low, close, CAST(CASE WHEN receipt_id % 2 = 0 THEN volume WHEN receipt_id % 3 = 0 THEN volume + 1 ELSE 0 END AS DOUBLE) AS volume FROM k", KC),
     "land_panel": sql("SELECT code, date FROM panel"),
@@ -249,9 +377,21 @@ ORACLE_SQL = {
     "receipt_bindings": sql("SELECT 'universe' AS component, panel_entry, sha256(panel_entry) AS receipt, CASE WHEN n % 17 = 0 THEN 'unbound_receipt' ELSE 'record_not_bound' END AS problem FROM r WHERE n % 17 = 0 OR n % 19 = 0", RECORDS),
     "latest_available": sql("SELECT 'universe' AS component, panel_entry, greatest(t + to_minutes(CASE WHEN n % 5 = 0 THEN 565 ELSE 480 END), TIMESTAMP '2024-01-01 09:00:00') AS available_at FROM r", RECORDS),
     "cutoff_check": sql("SELECT 'universe' AS component, panel_entry, n % 5 <> 0 AND n % 13 <> 0 AS in_time FROM r", RECORDS),
-    "admit_component": sql("SELECT 'universe' AS component, panel_entry, CASE WHEN n % 11 = 0 THEN 'invalid_payload' WHEN n % 7 = 0 THEN 'record_hash_drifted' WHEN n % 17 = 0 THEN 'unbound_receipt' WHEN n % 19 = 0 THEN 'record_not_bound' WHEN n % 13 = 0 THEN 'effective_date_differs' WHEN n % 5 = 0 THEN 'post_cutoff' END AS problem FROM r", RECORDS),
+    "admit_component": sql("SELECT 'market_rules' AS component, panel_entry, 'role_not_authorized' AS problem FROM r UNION ALL SELECT 'universe' AS component, panel_entry, CASE WHEN n % 11 = 0 THEN 'invalid_payload' WHEN n % 7 = 0 THEN 'record_hash_drifted' WHEN n % 17 = 0 THEN 'unbound_receipt' WHEN n % 19 = 0 THEN 'record_not_bound' WHEN n % 13 = 0 THEN 'effective_date_differs' WHEN n % 5 = 0 THEN 'post_cutoff' END AS problem FROM r", RECORDS),
     "signer_interval": sql("SELECT receipt_id, CASE WHEN receipt_id % 3 = 2 THEN 'unknown_signer' WHEN receipt_id % 3 = 1 AND receipt_id % 2 = 1 THEN 'role_not_authorized' WHEN observed_at < TIMESTAMP '2024-01-05' OR observed_at > TIMESTAMP '2024-01-20' THEN 'outside_authorization' END AS problem FROM receipts WHERE observed_at IS NOT NULL"),
-    "bootstrap_rows": sql("SELECT code, date, day(date) % 5 <> 0 AS is_tradable, CASE WHEN day(date) % 5 = 0 THEN 'suspended' ELSE 'tradable' END AS status, false AS authoritative FROM panel"),
+    "bootstrap_rows": sql(f"SELECT 'instrument_status' AS kind, code, date, day(date) % 5 <> 0 AS is_tradable, CASE WHEN day(date) % 5 = 0 THEN 'suspended' ELSE 'active' END AS status, false AS authoritative FROM panel UNION ALL SELECT 'universe', code, date, NULL, NULL, false FROM (SELECT code, date FROM bars WHERE {CLICK} AND date IN (SELECT date FROM panel) UNION SELECT code, date FROM panel)"),
+    "availability_records": sql("SELECT component, panel_entry, 'missing_record' AS problem FROM c WHERE gone UNION ALL SELECT component, panel_entry, 'post_cutoff' FROM c WHERE NOT gone AND n % 5 <> 0 AND n % 3 = 0 UNION ALL SELECT component, panel_entry, 'cutoff_differs' FROM c WHERE NOT gone AND n % 7 = 0 UNION ALL SELECT component, panel_entry, 'unbound_receipt' FROM c WHERE NOT gone AND k % 17 = 0",
+        f"comps AS (SELECT unnest({sorted(panels.COMPONENTS)}) AS component), c AS (SELECT component, {CELL} AS panel_entry, {N} AS k, {N} + day(date) AS n, component = 'trading_calendar' AND day(date) = 9 AS gone FROM panel, comps)"),
+    "adjustment_identity": """SELECT k AS c_custkey, CASE WHEN k % 7 <> 0 AND k % 11 <> 0 AND (k % 2 = 1 OR k % 3 <> 0) THEN sha256('{"adjustment_mode":"' || CASE WHEN k % 3 = 0 THEN 'qfq' ELSE 'raw' END || '","adjustment_version":"v1","price_role":"' || role || '","schema_version":"' || role || '-adjustment-identity/1","source":"\\u6e90 ' || c_name || '"}') END AS digest
+        FROM (SELECT c_custkey AS k, c_name, CASE WHEN c_custkey % 2 = 0 THEN 'execution' ELSE 'signal' END AS role FROM customer)""",
+    "closure_digest": _closure(),
+    "report_consistency": """WITH c AS (SELECT c_custkey AS bundle, c_custkey AS k FROM customer)
+        SELECT bundle, 'blocked_without_reason' AS problem FROM c WHERE k % 3 = 0 AND k % 5 = 0 UNION ALL SELECT bundle, 'components_differ' FROM c WHERE k % 11 = 0 UNION ALL SELECT bundle, 'aggregate_disagrees' FROM c WHERE k % 7 = 0""",
+    "register_panel": "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'invalid_symbols' WHEN c_custkey % 7 = 0 THEN 'not_a_weekday' WHEN c_custkey % 3 = 0 THEN 'panel_drifted' END AS problem FROM customer",
+    "verify_snapshot": sql(f"SELECT DISTINCT 'part_year=2024/part_bucket=' || b AS part, CASE b WHEN 3 THEN 'drifted' ELSE 'missing' END AS problem FROM (SELECT {CRC_OF_CODE} % 16 AS b FROM bars WHERE {CLICK} AND is_final AND date <= DATE '2024-01-20') WHERE b IN (3, 5)"),
+    "research_manifest": sql(f"SELECT 'history-' || substr(digest, 1, 16) AS id, 'history' AS kind, row_count, true AS valid FROM ({root_of('h')}) UNION ALL SELECT 'calendar-' || substr(digest, 1, 16), 'calendar', row_count, true FROM ({root_of('c')})",
+        f"""h AS (SELECT sha256('{{"close":"' || CAST(close AS DECIMAL(18,2)) || '","code":"' || code || '","date":"' || date || '"}}') AS d FROM bars WHERE {CLICK}), c AS (SELECT sha256('{{"date":"' || date || '"}}') AS d FROM sessions)"""),
+    "export_panel": _export(),
     "apply_sync": sql("SELECT code, CASE WHEN bad THEN 'error' WHEN w > 0 THEN 'synced' ELSE 'no_data' END AS status, CASE WHEN bad THEN 0 ELSE w END AS written, CASE WHEN NOT bad THEN CASE WHEN last = DATE '2024-01-19' THEN last ELSE DATE '2024-01-18' END END AS end_date FROM g",
         f"{KC}, g AS (SELECT code, coalesce(bool_or(inside AND (n % 11 = 0 OR (n % 7 = 0 AND dy = 12))), false) AS bad, count(*) FILTER (inside) AS w, max(date) FILTER (inside) AS last FROM (SELECT *, date BETWEEN DATE '2024-01-10' AND DATE '2024-01-19' AS inside FROM k) GROUP BY code)"),
     "execution_manifest": sql(f"SELECT unnest(['execution_prices', 'signal_prices', 'universe', 'instrument_status', 'corporate_actions', 'market_rules']) AS kind, count(*) AS row_count, 'code,date,close' AS columns FROM bars WHERE {CLICK} AND is_final"),

@@ -303,7 +303,7 @@ def panel_digest(s, d):
 
 @query
 def content_digest(s, d):
-    return digest.content_digest(v.bars(s, d).where("is_final"), _record(), [F.col("code"), F.year("date")])
+    return digest.content_digest(v.bars(s, d).where("is_final"), _record())
 
 
 @query

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitbars.functions import canonical, checks
-from pitbars.operators import artifacts, authority, context, store
+from pitbars.operators import artifacts, authority, context, panels, store
 from pitbars.sources import landing
 from pitbars.streaming import jobs
 
@@ -267,31 +267,47 @@ def test_admit_component(spark, change, problem):
         row["record_sha256"] = sha(row["payload"])
     records = spark.createDataFrame([tuple(row.values())], "component string, panel_entry string, payload string, record_sha256 string, source_receipt_ids array<string>, effective_at timestamp_ntz, available_at timestamp_ntz")
     bindings = spark.createDataFrame([("b" * 64, "universe", "A@2024-01-02", row["record_sha256"], at(8)), ("d" * 64, "universe", "A@2024-01-02", SHA, at(8))], "receipt string, component string, panel_entry string, record_sha256 string, available_at timestamp_ntz")
-    envelopes = spark.createDataFrame([("universe", at(9, 10))], "component string, available_at timestamp_ntz")
+    envelopes = spark.createDataFrame([("universe", at(9, 10), "k", "R")], "component string, available_at timestamp_ntz, signer string, root string")
+    signers = spark.createDataFrame([("k", "R", ["universe"], at(8), at(10))], "signer string, root string, roles array<string>, valid_from timestamp_ntz, valid_until timestamp_ntz")
+    roots = spark.createDataFrame([("R",)], "root string")
     cutoffs = spark.createDataFrame([("A@2024-01-02", at(9, 25))], "panel_entry string, cutoff_at timestamp_ntz")
     panel = spark.createDataFrame([("A@2024-01-02",)], "panel_entry string")
-    got = {(r["panel_entry"], r["problem"]) for r in authority.admit_component(records, bindings, envelopes, cutoffs, panel).collect()}
+    got = {(r["panel_entry"], r["problem"]) for r in authority.admit_component(records, bindings, envelopes, cutoffs, panel, signers, roots).collect()}
+    if problem is None:  # an envelope that nobody may have signed, or none at all
+        of = lambda e: {r["problem"] for r in authority.admit_component(records, bindings, e, cutoffs, panel, signers, roots).collect()}
+        assert of(envelopes.withColumn("signer", F.lit("z"))) == {"unknown_signer"} and of(envelopes.limit(0)) == {"missing_envelope"}
+        assert of(envelopes.withColumn("available_at", F.lit(at(10, 1)))) == {"outside_authorization"}
     assert ("A@2024-01-02", problem) in got and len(got) == 1 + (row["panel_entry"] != "A@2024-01-02")
     assert {r["available_at"] for r in authority.latest_available(records, bindings, envelopes).collect()} == {max(row["available_at"], at(9, 10))}
 
 
 def test_availability_records(spark):
     panel = spark.createDataFrame([("A", D)], "code string, date date")
-    rows = [(c, "A@2024-01-02", SHA, ["b" * 64], at(9)) for c in ("corporate_actions", "decision_context", "execution_prices", "instrument_status", "market_rules", "signal_prices", "trading_calendar", "universe")]
-    kind = "component string, panel_entry string, record_sha256 string, source_receipt_ids array<string>, available_at timestamp_ntz"
-    cutoffs = spark.createDataFrame([("A@2024-01-02", at(9))], "panel_entry string, cutoff_at timestamp_ntz")
-    check = lambda x: {(r["component"], r["problem"]) for r in authority.availability_records(spark.createDataFrame(x, kind).withColumn("effective_at", F.col("available_at")), panel, cutoffs).collect()}
+    rows = [(c, "A@2024-01-02", SHA, ["b" * 64], at(9), at(9)) for c in ("corporate_actions", "decision_context", "execution_prices", "instrument_status", "market_rules", "signal_prices", "trading_calendar", "universe")]
+    kind = "component string, panel_entry string, record_sha256 string, source_receipt_ids array<string>, available_at timestamp_ntz, decision_cutoff_at timestamp_ntz"
+    cutoffs, bound = spark.createDataFrame([("A@2024-01-02", at(9))], "panel_entry string, cutoff_at timestamp_ntz"), spark.createDataFrame([("b" * 64,)], "receipt string")
+    check = lambda x: {(r["component"], r["problem"]) for r in authority.availability_records(spark.createDataFrame(x, kind).withColumn("effective_at", F.col("available_at")), panel, cutoffs, bound).collect()}
     assert check(rows) == set()
-    bad = [*rows[1:], rows[1], ("universe", "B@2024-01-02", SHA, ["b" * 64], at(9))]
-    bad[1] = (*rows[2][:2], "x", ["b" * 64], at(9, 1))
-    assert check(bad) == {("corporate_actions", "missing_record"), ("decision_context", "repeated_record"), ("execution_prices", "invalid_record"), ("execution_prices", "post_cutoff"), ("universe", "outside_panel"), ("universe", "post_cutoff")}
-
-
-def test_closure_and_reports(spark):
-    parts = [("b1", "component", c, SHA) for c in authority.REQUIRED] + [("b1", "receipt", "r1", SHA)]
-    rows = [*parts, *(("b2", *p[1:]) for p in parts[1:]), *(("b3", *p[1:]) for p in parts), ("b3", "receipt", "r1", SHA)]
-    got = {r["bundle"]: r["complete"] for r in authority.closure_digest(spark.createDataFrame(rows, "bundle string, kind string, name string, sha256 string")).collect()}
-    assert got == {"b1": True, "b2": False, "b3": False}
+    bad = [*rows[1:], rows[1], ("universe", "B@2024-01-02", SHA, ["b" * 64], at(9), at(9))]
+    bad[1] = (*rows[2][:2], "x", ["b" * 64], at(9, 1), at(9))
+    assert check(bad) == {("corporate_actions", "missing_record"), ("decision_context", "repeated_record"), ("execution_prices", "invalid_record"), ("execution_prices", "post_cutoff"), ("universe", "outside_panel"), ("universe", "post_cutoff"), ("universe", "cutoff_differs")}
+    assert check([(*rows[0][:3], ["c" * 64], at(9), at(9, 30)), *rows[1:]]) == {("corporate_actions", "unbound_receipt"), ("corporate_actions", "cutoff_differs")}
+
+
+def test_closure_as_elsewhere(spark):
+    ref = lambda field, k: {"kind": f"data-{field}", "identifier": sha(f"{field}{k}"), "schema_version": f"{field}/1"}
+    single = {f: ref(f, 1) for f in authority.SINGLE}
+    receipts = sorted((ref("r", k) for k in range(3)), key=lambda r: r["identifier"])
+    whole = {**single, "source_receipts": receipts, "schema_version": "contract/1", "repository_owner": "owner", "required_components": authority.REQUIRED}
+    rows = [(f, r) for f, r in single.items()] + [("source_receipts", r) for r in receipts[::-1]]
+    cases = {"whole": rows, "few": rows[1:], "twice": [*rows, rows[-1]], "none": rows[:-3], "bad": [*rows[1:], (rows[0][0], rows[0][1] | {"identifier": "x"})]}
+    table = spark.createDataFrame([(b, f, r["kind"], r["identifier"], r["schema_version"]) for b, x in cases.items() for f, r in x], "bundle string, field string, kind string, identifier string, schema_version string")
+    got = {r["bundle"]: r for r in authority.closure_digest(table, "contract/1", "owner").collect()}
+    assert got["whole"]["digest"] == sha(json.dumps(whole, sort_keys=True, separators=(",", ":")))
+    assert {b: r["complete"] for b, r in got.items()} == {"whole": True, "few": False, "twice": False, "none": False, "bad": False}
+
+
+def test_reports(spark):
     down = lambda b, ready, blockers: [(b, c, ready if c == "universe" else True, blockers if c == "universe" else []) for c in authority.REQUIRED]
     components = spark.createDataFrame([*down("ok", True, []), *down("blocked", False, ["x"]), *down("silent", False, []), *down("both", True, ["x"]), *down("omitted", False, ["x"]), *down("few", True, [])[1:]], "bundle string, component string, ready boolean, blockers array<string>")
     totals = spark.createDataFrame([("ok", True, []), ("blocked", False, ["universe"]), ("silent", False, ["universe"]), ("both", True, []), ("omitted", False, ["market_rules"]), ("few", True, [])], "bundle string, ready boolean, blocked array<string>")
@@ -299,11 +315,12 @@ def test_closure_and_reports(spark):
     assert got == {("silent", "blocked_without_reason"), ("both", "ready_with_blockers"), ("omitted", "blocked_components_omitted"), ("few", "components_differ")}
 
 
-def test_attested_universe(spark):
-    rows = spark.createDataFrame([(D, SHA), (D, "b" * 64)], "date date, record_sha256 string")
-    digest = sha(sha(f"{SHA},{'b' * 64}"))
-    check = lambda n, total, x: {r["problem"] for r in authority.attest_universe(rows, spark.createDataFrame([(D, n)], "date date, declared long"), spark.createDataFrame([(total, x, D, D)], "total long, digest string, start date, end date")).collect()}
-    assert check(2, 2, digest) == set() and check(1, 3, "x") == {"daily_count_differs", "total_differs", "digest_differs"}
+def test_attested_universe(spark, tmp_path):
+    (tmp_path / "records").write_text("one\ntwo\n")
+    rows, content = spark.createDataFrame([(D,), (D,)], "date date"), authority.content_sha256(spark, str(tmp_path / "records"))
+    check = lambda n, total, x, day=D: {r["problem"] for r in authority.attest_universe(rows, spark.createDataFrame([(D, n)], "date date, declared long"), spark.createDataFrame([(total, x, day, D)], "total long, digest string, start date, end date"), content).collect()}
+    assert check(2, 2, sha("one\ntwo\n")) == set() and check(1, 3, "x") == {"daily_count_differs", "total_differs", "digest_differs"}
+    assert check(2, 2, sha("one\ntwo\n"), dt.date(2024, 1, 3)) == {"coverage_differs"}
 
 
 @pytest.mark.parametrize(("change", "problem"), [({}, None), ({"status": "DONE"}, "not_pending"), ({"adjustment_mode": "qfq"}, "not_raw"), ({"outcome_feedback_used": True}, "outcome_not_blind"), ({"sessions": ["2024-01-06", "2024-01-08"]}, "not_a_weekday"), ({"sessions": ["2024-01-03", "2024-01-02"]}, "invalid_sessions"), ({"sessions": ["2024-01-03", "2024-01-04"]}, "not_registered"), ({"panel_sha256": SHA}, "panel_drifted"), ({"workspace_count": None}, "invalid_workspace_count")])
@@ -358,8 +375,13 @@ def test_snapshots(spark, tmp_path):
     name = artifacts.write_snapshot(bars, root, "2024-01-05", "raw")
     assert artifacts.write_snapshot(bars.repartition(3), root, "2024-01-05", "raw") == name and artifacts.verify_snapshot(spark, root, name) == []
     assert [tuple(r) for r in artifacts.artifact_inventory(spark, root).collect()] == [(name, "snapshot", 2, True)]
-    spark.createDataFrame([bar("A", 2)], BAR).write.mode("append").parquet(f"{root}/{name}/rows")
+    assert artifacts.part_problems(spark, root, name).count() == artifacts.part_problems(spark, root, name, changed_only=True).count() == 0
+    part = next(r["part"] for r in artifacts.file_states(spark, root).collect())
+    spark.createDataFrame([bar("A", 2)], BAR).write.mode("append").parquet(f"{root}/{name}/rows/{part}")
     assert artifacts.verify_snapshot(spark, root, name) == ["digest_drifted", "count_drifted"]
+    only = artifacts.part_problems(spark, root, name, changed_only=True)
+    assert [tuple(r) for r in only.collect()] == [(part, "drifted")] and only.inputFiles() and all(part in f for f in only.inputFiles() if "/rows/" in f)
+    assert [r["valid"] for r in artifacts.artifact_inventory(spark, root).collect()] == [False]
     with pytest.raises(ValueError, match="not what it says"):
         artifacts.write_snapshot(bars, root, "2024-01-05", "raw")
     with pytest.raises(ValueError, match="ambiguous"):
@@ -384,12 +406,38 @@ def test_execution_and_research_artifacts(spark, tmp_path):
 
 
 def test_bootstrap_rows(spark):
-    panel = spark.createDataFrame([("A", D)], "code string, date date")
-    status = spark.createDataFrame([("A", D, True, "tradable")], "code string, date date, is_tradable boolean, status string")
-    assert tuple(artifacts.bootstrap_rows(panel, status, panel).first()) == ("A", D, True, "tradable", False)
-    for universe, state, cap in ((panel.limit(0), status, 9), (panel, status.limit(0), 9), (panel, status, 0)):
+    panel, universe = spark.createDataFrame([("A", D)], "code string, date date"), spark.createDataFrame([("A", D), ("B", D), ("C", dt.date(2024, 1, 3))], "code string, date date")
+    status = spark.createDataFrame([("A", D, True, "active")], "code string, date date, is_tradable boolean, status string")
+    rows = artifacts.bootstrap_rows(universe, status, panel).collect()
+    assert sorted(map(tuple, rows)) == [("instrument_status", "A", D, True, "active", False), ("universe", "A", D, None, None, False), ("universe", "B", D, None, None, False)]
+    for all_, state, cap, each in ((universe.where("code <> 'A'"), status, 100_000, 10_000), (universe, status.limit(0), 100_000, 10_000), (universe, status, 10_000, 10_000), (universe, status, 2, 1)):
         with pytest.raises(Exception, match="bootstrap"):
-            artifacts.bootstrap_rows(universe, state, panel, cap).collect()
+            artifacts.bootstrap_rows(all_, state, panel, cap, each).collect()
+    with pytest.raises(ValueError, match="empty panel"):
+        artifacts.bootstrap_rows(universe, status, panel.limit(0))
+
+
+def test_warmup_without_dates(spark):
+    codes, days = spark.createDataFrame([("A",), ("B",)], "code string"), spark.createDataFrame([(D,), (dt.date(2024, 1, 3),)], "date date")
+    assert sorted((r["code"], r["date"].day) for r in panels.warmup_panel(codes, days, "2024-01-09", 2).collect()) == [("A", 2), ("A", 3), ("B", 2), ("B", 3)]
+    for few in (days.limit(0), days.limit(1)):
+        with pytest.raises(Exception, match="fewer than 2 dates"):
+            panels.warmup_panel(codes, few, "2024-01-09", 2).collect()
+
+
+def test_intervals_and_rules_without_nested_loops(spark):
+    day = lambda k: dt.date(2024, 1, 1) + dt.timedelta(k)
+    calendar = spark.createDataFrame([(day(k),) for k in range(0, 300, 3)], "date date")
+    listings = [(k, day(k * 7 % 310 - 20), None if k % 3 == 0 else day(k * 7 % 310 - 20 + k * 11 % 200)) for k in range(60)]
+    found = panels.listed_on(spark.createDataFrame(listings, "id int, ipo date, out date"), calendar)
+    assert {(r["id"], r["date"]) for r in found.collect()} == {(i, day(k)) for i, a, b in listings for k in range(0, 300, 3) if a <= day(k) and (b is None or day(k) < b)}
+    rules = [("r", "M", day(10), 1.0), ("r", "M", day(20), 2.0), ("r", "M", day(20), 1.5), ("q", "M", day(30), None), ("q", "M", day(15), 7.0), ("r", "N", day(0), 9.0)]
+    bars = spark.createDataFrame([(c, b, day(k)) for c, b in (("a", "M"), ("b", "M"), ("c", "X")) for k in (5, 10, 19, 20, 31)], "code string, board string, date date")
+    held = panels.rules_asof(bars, spark.createDataFrame(rules, "rule string, board string, valid_from date, value double"))
+    due = {(k, "r"): 1.0 for k in (10, 19)} | {(k, "r"): 2.0 for k in (20, 31)} | {(k, "q"): 7.0 for k in (19, 20)} | {(31, "q"): None}
+    assert {(r["code"], (r["date"] - day(0)).days, r["rule"], r["value"]) for r in held.collect()} == {(c, k, q, x) for c in "ab" for (k, q), x in due.items()}
+    for plan in (found, held):
+        assert "NestedLoop" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
 def test_artifact_references(spark, tmp_path):
@@ -409,13 +457,32 @@ def evidence_of(spark, code="A"):
     return spark.createDataFrame([(1, "s", payload, sha(payload), at(15, 10), at(15, 10))], RECEIPT)
 
 
-def test_export_execution_panel(spark):
-    bars, rules = spark.createDataFrame([bar("600519.SH", 2)], BAR), spark.createDataFrame([("limit", "MAIN", dt.date(2020, 1, 1), 0.1)], "rule string, board string, valid_from date, value double")
-    panel = spark.createDataFrame([("600519.SH", D)], "code string, date date")
-    got = artifacts.export_execution_panel(bars, evidence_of(spark), panel, rules).first()
-    assert (got["close"], got["board"], got["rules"]) == (1.0, "MAIN", {"limit": 0.1})
-    with pytest.raises(Exception, match="no evidence"):
-        artifacts.export_execution_panel(bars, evidence_of(spark).limit(0), panel, rules).collect()
+def test_export_execution_panel(spark, tmp_path):
+    day = dt.date(2024, 1, 2)
+    make = spark.createDataFrame
+    bars, panel = make([bar("600519.SH", 2)], BAR), make([("600519.SH", day)], "code string, date date")
+    listings, daily = make([("600519.SH", day, None)], "code string, ipo date, out date"), make([("600519.SH", day, True, False)], "code string, date date, is_st boolean, is_suspended boolean")
+    actions = make([("600519.SH", day, 1.0, 1.5, at(15, 1), k) for k in (1, 2)] + [("600519.SH", dt.date(2024, 1, 9), 1.0, 1.0, at(15, 1), 3)], "code string, effective_date date, cash double, multiplier double, announced_at timestamp_ntz, seq int")
+    universe, rules, signed = make([("600519.SH", day, at(8))], "code string, date date, available_at timestamp_ntz"), make([("fees", "fee_schedule", "{}")], "rule_id string, rule_type string, parameters string"), make([("k",)], "key string")
+
+    def export(name, panel=panel, listings=listings, daily=daily, actions=actions, universe=universe, start="2024-01-02", receipts=evidence_of(spark)):
+        six, guards = artifacts.export_execution_panel(bars, receipts, panel, listings, daily, actions, universe, rules, start, "2024-01-02")
+        return artifacts.write_execution_snapshot(six, signed, str(tmp_path / name), "2024-01-02", guards)
+
+    name = export("a")
+    assert export("a") == name and artifacts.verify_execution_snapshot(spark, str(tmp_path / "a"), name) == []
+    assert [x.name for x in (tmp_path / "a").iterdir()] == [name]
+    read = lambda kind: [r.asDict() for r in spark.read.parquet(str(tmp_path / "a" / name / kind)).collect()]
+    assert read("instrument_status") == [{"code": "600519.SH", "date": day, "listing_status": "listed", "listing_date": day, "board": "MAIN", "is_st": True, "is_suspended": False}]
+    assert [(r["multiplier"], r["action_type"]) for r in read("corporate_actions")] == [(1.5, "dividend_and_share_distribution")] and read("signal_prices")[0]["close"] == 1.0
+    two = panel.unionByName(make([("000001.SZ", dt.date(2024, 1, 1))], "code string, date date"))
+    for more, what in (
+        ({"actions": actions.where("seq = 3")}, "no corporate action"), ({"start": "2024-01-01"}, "a panel of"), ({"receipts": evidence_of(spark).limit(0)}, "no evidence"), ({"panel": two}, "no evidence"),
+        ({"listings": listings.unionByName(listings)}, "no single listing"), ({"daily": daily.limit(0)}, "no status"), ({"universe": universe.limit(0)}, "no membership"),
+    ):
+        with pytest.raises(Exception, match=what):
+            export("b", **more)
+        assert not list((tmp_path / "b").glob("2024*")) and not list((tmp_path / "b").glob("_staged*"))
 
 
 def test_captured_phases(spark, tmp_path):
