@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,15 +46,32 @@ def last_by(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 
 
 def upsert_bars(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """Rows of the batch replace those of equal key; others stay. Of equal keys within the batch the highest receipt stays."""
-    both = existing.withColumn("_seq", F.lit(0)).unionByName(batch.withColumn("_seq", F.lit(1)))
-    return last_by(both, KEY, [F.col("_seq"), F.col("receipt_id")]).drop("_seq")
+    """Rows of the batch replace those of equal key; others stay. Of equal keys within the batch the highest receipt stays. What exists is
+    held against the batch's keys, not sorted."""
+    new = last_by(batch, KEY, [F.col("receipt_id")])
+    same = [F.col(f"e.{c}").eqNullSafe(F.col(f"n.{c}")) for c in KEY]
+    stay = existing.alias("e").join(new.select(*KEY).alias("n"), reduce(lambda x, y: x & y, same), "left_anti")
+    return stay.unionByName(new)
+
+
+#: Columns of the stored layout beside those of bars: a part of the table is an identity, a year and a bucket of codes.
+LAYOUT, CODE_BUCKETS = ["year", "bucket"], 16
+
+
+def keyed(bars: DataFrame) -> DataFrame:
+    return bars.withColumns({"year": F.year("date"), "bucket": F.pmod(F.crc32("code"), F.lit(CODE_BUCKETS)).cast("int")})
+
+
+def part_name() -> Column:
+    """The part of the table that a keyed row lies in."""
+    return F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*IDENTITY, *LAYOUT)))
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
-    """Only the partitions (identity, year) that occur in `bars` are replaced."""
-    out = bars.withColumn("year", F.year("date")).repartition(*IDENTITY, "year")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*IDENTITY, "year").parquet(path)
+    """Only the parts (identity, year, bucket of codes) that occur in `bars` are replaced. Parts are cut by size, not one task each; rows of a
+    file are sorted by code, so its row groups can be skipped."""
+    out = keyed(bars).hint("rebalance", *IDENTITY, *LAYOUT).sortWithinPartitions(*IDENTITY, *LAYOUT, "code", "date")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*IDENTITY, *LAYOUT).parquet(path)
 
 
 def stamp_batch(batch: DataFrame, source: str, mode: str, version: str | None = None, retrieved_at: str = "") -> DataFrame:

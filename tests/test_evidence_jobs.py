@@ -485,17 +485,6 @@ def test_export_execution_panel(spark, tmp_path):
         assert not list((tmp_path / "b").glob("2024*")) and not list((tmp_path / "b").glob("_staged*"))
 
 
-def test_captured_phases(spark, tmp_path):
-    path, rejects = str(tmp_path / "c"), str(tmp_path / "r")
-    apply = jobs.capture_phases(path, rejects)
-    kind = "date date, source string, observed_at timestamp_ntz, receipt_id long"
-    batches = [spark.createDataFrame([(D, "m", at(9, 5), 1), (D, "m", at(9), 2), (D, "m", at(12), 3)], kind), spark.createDataFrame([(D, "m", at(8, 40), 4), (D, "m", at(16), 5), (D, "m", at(16, day=dt.date(2024, 1, 3)), 6)], kind)]
-    for k in (0, 1, 1, 0):
-        apply(batches[k], k)
-    assert sorted((r["phase"], r["receipt_id"]) for r in spark.read.parquet(path).collect()) == [("post_close", 5), ("pre_open", 2)]
-    assert sorted(r["receipt_id"] for r in spark.read.parquet(rejects).collect()) == [3, 6]
-
-
 def test_streams_of_receipts(spark, tmp_path):
     kind = "date date, payload string, observed_at timestamp_ntz"
     rows = [(D, "a", at(15, 30)), (D, "a", at(15, 40)), (D, "b", at(14)), (dt.date(2024, 1, 3), "c", at(16, day=dt.date(2024, 1, 5)))]
@@ -512,8 +501,11 @@ def test_streams_of_receipts(spark, tmp_path):
 def test_forward_capture(spark, tmp_path):
     spark.createDataFrame([bar("A", 2)], BAR).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(BAR).parquet(str(tmp_path / "in"))
-    run = lambda codes, name: jobs.forward_capture(stream, str(tmp_path / name), str(tmp_path / f"{name}-c"), spark.createDataFrame([(c,) for c in codes], "code string"), evidence_of(spark)).collect()
+    def run(codes, name, start="2024-01-02", identity=("s", "raw", "v1")):
+        return jobs.forward_capture(stream, str(tmp_path / name), str(tmp_path / f"{name}-c"), spark.createDataFrame([(c,) for c in codes], "code string"), evidence_of(spark), start, identity).collect()
+
     assert run("A", "one") == []
     assert [tuple(r) for r in run("AB", "two")] == [("missing_panel_rows", 1, "B@2024-01-02")]
-    with pytest.raises(Exception, match="outside the cohort"):
-        run("B", "three")
+    for codes, name, more, what in (("B", "three", {}, "outside the cohort"), ("A", "four", {"start": "2024-01-03"}, "before the start"), ("A", "five", {"identity": ("z", "raw", "v1")}, "another price identity"), ("A", "two", {}, "another cohort"), ("A", "six", {"identity": ("s", "qfq", "v1")}, "raw prices")):
+        with pytest.raises(Exception, match=what):
+            run(codes, name, **more)
