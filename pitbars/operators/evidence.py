@@ -13,8 +13,13 @@ from pitbars.shared import written
 
 
 def bars_with_receipts(bars: DataFrame, receipts: DataFrame) -> DataFrame:
-    """Bars without a receipt stay visible."""
-    return bars.join(receipts.withColumnRenamed("source", "receipt_source").withColumn("has_receipt", F.lit(True)), "receipt_id", "left")
+    """Bars without a receipt stay visible. They have no key to meet a receipt by, so they are dealt out by code and date instead of all
+    meeting in the task of the null key."""
+    found = receipts.withColumn("_key", F.struct(F.col("receipt_id").alias("id"), F.lit(0).alias("salt"))).withColumnsRenamed({"source": "receipt_source"}).drop("receipt_id").withColumn("has_receipt", F.lit(True))
+    salt = F.when(F.col("receipt_id").isNull(), 1 + F.pmod(F.xxhash64("code", "date"), F.lit(1 << 20)).cast("int")).otherwise(0)
+    dealt = bars.withColumn("_key", F.struct(F.coalesce("receipt_id", F.lit(0)).alias("id"), salt.alias("salt")))
+    joined = dealt.join(found, "_key", "left").drop("_key")
+    return joined.select("receipt_id", *(c for c in joined.columns if c != "receipt_id"))
 
 
 def panel_select(bars: DataFrame, panel: DataFrame) -> DataFrame:
@@ -54,10 +59,11 @@ def receipt_covers_bar(payload: Column) -> Column:
     return F.coalesce(F.exists(p["rows"], lambda r: F.coalesce((value(r, "date") == F.col("date").cast("string")) & same(r), F.lit(False))), F.lit(False))
 
 
-def price_failures(bars: DataFrame, receipts: DataFrame, panel: DataFrame) -> DataFrame:
-    """Everything that keeps an exact panel of one price identity from being ready."""
+def price_failures(bars: DataFrame, receipts: DataFrame, panel: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """Everything that keeps an exact panel of one price identity from being ready. sessions: dates, of which the one after a bar's ends its
+    evidence; by default those of the bars themselves."""
     chosen = written(panel_select(bars, panel), "chosen")
-    joined = bars_with_receipts(chosen, receipts).join(quality.next_session(chosen), "date")
+    joined = bars_with_receipts(chosen, receipts).join(quality.next_session(chosen if sessions is None else sessions), "date")
     late = clock.price_availability_error(F.col("date"), F.col("observed_at"), F.col("next_date"))
     joined = joined.withColumn("late", late)
     sure = lambda c: F.coalesce(c, F.lit(False))  # noqa: E731  what is unknown is a failure
@@ -77,6 +83,27 @@ def price_failures(bars: DataFrame, receipts: DataFrame, panel: DataFrame) -> Da
     return reduce(DataFrame.unionByName, [*parts, empty])
 
 
+def refresh_failures(path: str, bars: DataFrame, receipts: DataFrame, panel: DataFrame, touched: DataFrame | None = None) -> None:
+    """Brings the table of failures at path, partitioned by day, up to date after bars, receipts or cells of some days (touched: date) have
+    changed: those days and the session before each, whose evidence ends with it, are judged anew, and only their parts are replaced.
+    Without touched, every day is. A day without failures keeps a row without a blocker."""
+    sessions = written(panel_select(bars, panel).select("date").distinct(), "sessions")
+    days = panel.select("date").distinct()
+    if touched is not None:
+        asked = touched.select(F.col("date").alias("day")).distinct()
+        before = asked.join(F.broadcast(sessions), F.col("date") < F.col("day")).groupBy("day").agg(F.max("date").alias("date")).select("date")  # dates of a calendar
+        days = written(asked.select(F.col("day").alias("date")).unionByName(before).distinct(), "days")
+        panel, bars = panel.join(days, "date", "left_semi"), bars.join(days, "date", "left_semi")
+    found = price_failures(bars, receipts, panel, sessions).where("blocker <> 'no_selected_rows'").withColumn("date", F.element_at(F.split("sample", "@"), -1).try_cast("date"))
+    none = days.select(F.lit(None).cast("string").alias("blocker"), F.lit(None).cast("string").alias("sample"), "date")
+    found.unionByName(none).repartition("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+
+
+def kept_readiness(failures: DataFrame) -> DataFrame:
+    """price_readiness from a table that refresh_failures keeps."""
+    return blockers(failures.where("blocker is not null").select("blocker", "sample"))
+
+
 def price_readiness(bars: DataFrame, receipts: DataFrame, panel: DataFrame) -> DataFrame:
     """No row: ready."""
     return blockers(price_failures(bars, receipts, panel))

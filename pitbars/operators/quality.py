@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,17 +23,23 @@ def with_realtime(found: DataFrame, quotes: DataFrame, tolerance: float = 0.01)
 
 
 def ohlc_cross_check(bars: DataFrame, k: int = 8, tolerance: float = 0.005) -> DataFrame:
-    """For each code over its last k dates common to all its sources: mismatching (date, field) cells and a verdict."""
-    sources = bars.groupBy("code").agg(F.countDistinct("source").alias("n_sources"))
-    common = bars.groupBy("code", "date").agg(F.countDistinct("source").alias("n")).join(sources, "code").where("n = n_sources")
-    days = common.withColumn("r", F.row_number().over(Window.partitionBy("code").orderBy(F.col("date").desc()))).where(F.col("r") <= k).select("code", "date")
-    cells = bars.join(days, ["code", "date"]).unpivot(["code", "date", "source"], ["open", "high", "low", "close"], "field", "value")
-    spread = cells.groupBy("code", "date", "field").agg(F.sort_array(F.collect_list("value")).alias("v"))
-    upper = F.get("v", F.floor(F.size("v") / 2).cast("int"))
-    wide = F.when(upper != 0, (F.array_max("v") - F.array_min("v")) / F.abs(upper) > tolerance)  # a median of zero is passed over
-    bad = spread.where(wide).groupBy("code").agg(F.count("*").alias("mismatches"))
-    compared = days.groupBy("code").agg(F.count("*").alias("days"))
-    out = sources.join(compared, "code", "left").join(bad, "code", "left").na.fill(0, ["days", "mismatches"])
+    """For each code over its last k dates common to all its sources: mismatching (date, field) cells and a verdict.
+
+    Bars are dealt by code once; days, sources, the last common days and the verdict all follow from that."""
+    fields = ["open", "high", "low", "close"]
+    own = bars.select("code", "date", "source", *fields).repartition("code")
+    days = own.groupBy("code", "date").agg(F.collect_set("source").alias("s"), *(F.sort_array(F.collect_list(f)).alias(f) for f in fields))
+    code = Window.partitionBy("code")
+    known = days.withColumn("n_sources", F.size(F.array_distinct(F.flatten(F.collect_set("s").over(code)))))
+    common = F.size("s") == F.col("n_sources")
+    ranked = known.withColumn("common", common).withColumn("r", F.row_number().over(code.orderBy(F.col("common").desc(), F.col("date").desc())))
+    inside = F.col("common") & (F.col("r") <= k)
+
+    def wide(v: str):
+        upper = F.get(v, F.floor(F.size(v) / 2).cast("int"))
+        return F.when((upper != 0) & ((F.array_max(v) - F.array_min(v)) / F.abs(upper) > tolerance), 1).otherwise(0)  # a median of zero is passed over
+
+    out = ranked.groupBy("code").agg(F.max("n_sources").cast("long").alias("n_sources"), F.count(F.when(inside, 1)).alias("days"), F.coalesce(F.sum(F.when(inside, reduce(lambda a, b: a + b, map(wide, fields)))), F.lit(0)).alias("mismatches"))
     return out.withColumn("verdict", F.when(F.col("n_sources") < 2, "SKIP").when(F.col("mismatches") == 0, "PASS").otherwise(F.concat(F.lit("FAIL("), F.col("mismatches").cast("string"), F.lit(")"))))
 
 

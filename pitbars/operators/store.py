@@ -165,9 +165,8 @@ def overlay_today(bars: DataFrame, quote_bars: DataFrame, start: str | None = No
 def get_history(bars: DataFrame, quote_bars: DataFrame, codes: DataFrame, start: str, end: str, today: str, latest: Column, finalized_only: bool = False) -> DataFrame:
     """Bars of one identity for the codes (raw spellings, column raw) within the range, today's quotes laid over them."""
     wanted = codes.select(normalize_symbol(F.col("raw")).alias("code")).where("code is not null").distinct()
-    rows = bars.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    rows = finalized_view(rows, latest) if finalized_only else overlay_today(rows, quote_bars, start, end, today)
-    return rows.join(wanted, "code", "left_semi")
+    rows = bars.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).join(wanted, "code", "left_semi")
+    return finalized_view(rows, latest) if finalized_only else overlay_today(rows, quote_bars.join(wanted, "code", "left_semi"), start, end, today)
 
 
 def plan_sync(requested: DataFrame, recorded: DataFrame, covered: DataFrame, start: str, end: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +79,44 @@ def test_empty_panel_selection_is_a_blocker(spark):
     panel = spark.createDataFrame([("Z", dt.date(2024, 1, 2))], "code string, date date")
     got = {r["blocker"]: r["count"] for r in evidence.price_readiness(spark.createDataFrame([bar("A", 2, 1.0)], BAR), spark.createDataFrame([], RECEIPT), panel).collect()}
     assert got == {"no_selected_rows": 1, "missing_panel_rows": 1}
+
+
+def test_kept_failures_equal_a_full_run(spark, tmp_path):
+    path, day = str(tmp_path / "failures"), lambda k: dt.date(2024, 1, k)
+    at = lambda k, h: dt.datetime(2024, 1, k, h)
+
+    def tables(late=(), gone=(), unlinked=()):
+        rows = [(c, k) for c in "AB" for k in (2, 3, 4, 5, 8) if k not in gone]
+        bars = [(*bar(c, k, 1.0)[:-2], None if (c, k) in unlinked else 10 * k + (c == "B"), True) for c, k in rows]
+        payload = lambda k: '{"fields":"date,open,high,low,close,volume","rows":[["2024-01-%02d","1","1","1","1","100"]]}' % k
+        receipts = [(10 * k + (c == "B"), "s", payload(k), hashlib.sha256(payload(k).encode()).hexdigest(), *[at(k + 1, 8) if (c, k) in late else at(k, 16)] * 2) for c, k in rows]
+        panel = [(c, day(k)) for c in "AB" for k in (2, 3, 4, 5, 8)]
+        return spark.createDataFrame(bars, BAR), spark.createDataFrame(receipts, RECEIPT), spark.createDataFrame(panel, "code string, date date")
+
+    def kept():
+        return sorted(map(tuple, evidence.kept_readiness(spark.read.parquet(path)).collect()))
+
+    before = tables(late={("A", 3), ("B", 5)})
+    evidence.refresh_failures(path, *before)
+    assert kept() == sorted(map(tuple, evidence.price_readiness(*before).collect()))
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "failures").rglob("*.parquet")}
+    after = tables(late={("A", 3), ("B", 5)}, gone={4}, unlinked={("B", 8)})  # day 4 goes, so day 3 waits for day 5; day 8 loses a link
+    evidence.refresh_failures(path, *after, spark.createDataFrame([(day(4),), (day(8),)], "date date"))
+    assert kept() == sorted(map(tuple, evidence.price_readiness(*after).collect())) and kept()
+    left = {f.parent.name for f, t in files.items() if f.exists() and f.stat().st_mtime_ns == t}
+    assert left == {"date=2024-01-02"}  # 3 and 5 are the sessions before 4 and 8
+
+
+def test_bars_without_receipts_are_dealt_out(spark):
+    rows = [(f"{k:06d}", dt.date(2024, 1, 2), "s", "raw", "v1", 1.0, 1.0, 1.0, 1.0, 100, None if k % 2 else k, True) for k in range(4000)]
+    receipts = spark.createDataFrame([(k, "s", "x", "h", None, None) for k in range(0, 4000, 4)], RECEIPT)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = evidence.bars_with_receipts(spark.createDataFrame(rows, BAR), receipts)
+        sizes = [n for n in joined.select(F.spark_partition_id().alias("p")).groupBy("p").count().toPandas()["count"]]
+        assert sum(sizes) == 4000 and max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
+        assert joined.where("has_receipt").count() == 1000 and joined.columns[0] == "receipt_id"
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
