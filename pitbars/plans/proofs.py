@@ -164,8 +164,22 @@ def _signers(s):
     return s.createDataFrame([("k0", "R", ["universe", "market_rules"]), ("k1", "R", ["universe"])], "signer string, root string, roles array<string>").withColumns({"valid_from": F.lit("2024-01-01").cast("timestamp_ntz"), "valid_until": F.lit("2024-01-20").cast("timestamp_ntz")})
 
 
+#: A sound payload and an unsound one of each component.
+PAYLOADS = {
+    "corporate_actions": ('{"events":[]}', '{"events":{}}'),
+    "instrument_status": ('{"is_st":false,"is_suspended":true,"listing_status":"listed"}', '{"is_st":false,"is_suspended":true,"listing_status":"x"}'),
+    "market_rules": ('{"board":"MAIN","lot_size":100,"price_limit_policy_id":"' + SHA + '","t_plus_one":true}', '{"board":"MAIN","lot_size":0,"price_limit_policy_id":"' + SHA + '","t_plus_one":true}'),
+    "trading_calendar": ('{"decision_cutoff_at":"2024-01-02T09:25:00+08:00","is_trading_day":true}', '{"decision_cutoff_at":"2024-01-02T09:25:00+08:00","is_trading_day":"true"}'),
+    "universe": ('{"is_member":true,"universe_id":"' + SHA + '"}', '{"is_member":true,"universe_id":"' + SHA + '","more":1}'),
+}
+
+
 def payload_validity(s, d):
-    return _records(s, d).select("panel_entry", authority.payload_valid(F.col("component"), F.col("payload")).alias("valid"))
+    """Every cell under every component; of the k-th component, cells whose number and k add up to a multiple of 11 are unsound."""
+    kinds = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(c).alias("component"), F.lit(good).alias("good"), F.lit(bad).alias("bad")) for k, (c, (good, bad)) in enumerate(PAYLOADS.items())))
+    rows = v.panel(s, d).select(evidence.cell().alias("panel_entry"), (_n() + F.day("date")).alias("n"), F.explode(kinds).alias("x")).select("panel_entry", "n", "x.*")
+    payload = F.when((F.col("n") + F.col("k")) % 11 == 0, F.col("bad")).otherwise(F.col("good"))
+    return rows.select("panel_entry", "component", authority.payload_valid(F.col("component"), payload).alias("valid"))
 
 
 def receipt_bindings(s, d):
@@ -173,7 +187,22 @@ def receipt_bindings(s, d):
 
 
 def latest_available(s, d):
-    return authority.latest_available(_records(s, d), _bindings(s, d), _sealed(s, d))
+    """The record decides, its receipt (by an hour, number 3) or the envelope."""
+    records = _records(s, d)
+    bindings = records.select(records["source_receipt_ids"][0].alias("receipt"), (F.col("available_at") + F.when(_number() % 3 == 0, F.make_dt_interval(hours=F.lit(1))).otherwise(F.make_dt_interval(hours=F.lit(-1)))).alias("available_at"))
+    return authority.latest_available(records, bindings, _sealed(s, d))
+
+
+def _number():
+    """The number of a cell from its panel entry."""
+    return F.substring("panel_entry", 2, 5).cast("int") + F.day(F.element_at(F.split("panel_entry", "@"), -1).cast("date"))
+
+
+def blockers(s, d):
+    """Three blockers over the click bars; a sample that two rows give counts once."""
+    rows = _click(s, d).unionByName(_click(s, d).where("day(date) = 4"))
+    checks = {"odd_code": _n() % 2 == 1, "not_final": ~F.col("is_final"), "fourth_day": F.day("date") == 4, "never": F.lit(False)}
+    return evidence.blockers(evidence.failures(rows, checks, evidence.cell()))
 
 
 def cutoff_check(s, d):
@@ -304,7 +333,7 @@ def execution_manifest(s, d):
     return artifacts.execution_manifest(dict.fromkeys(artifacts.EXECUTION_KINDS, b)).select("kind", "row_count", "columns")
 
 
-QUERIES = {f.__name__: f for f in (land_tick_frame, land_panel, land_market_pages, market_page_rejects, context_rows, context_readiness, land_action_batches, action_batch_rejects, coverage_with_receipts, events_match, action_readiness, full_readiness, payload_validity, availability_records, adjustment_identity, closure_digest, report_consistency, register_panel, verify_snapshot, research_manifest, export_panel, receipt_bindings, latest_available, cutoff_check, admit_component, signer_interval, bootstrap_rows, apply_sync, execution_manifest)}
+QUERIES = {f.__name__: f for f in (land_tick_frame, land_panel, land_market_pages, market_page_rejects, context_rows, context_readiness, land_action_batches, action_batch_rejects, coverage_with_receipts, events_match, action_readiness, full_readiness, payload_validity, blockers, availability_records, adjustment_identity, closure_digest, report_consistency, register_panel, verify_snapshot, research_manifest, export_panel, receipt_bindings, latest_available, cutoff_check, admit_component, signer_interval, bootstrap_rows, apply_sync, execution_manifest)}
 
 N = "CAST(substr(code, 2, 5) AS INTEGER)"
 KC = f"k AS (SELECT *, {N} AS n, day(date) AS dy FROM bars WHERE {CLICK})"
@@ -373,9 +402,10 @@ ORACLE_SQL = {
     "events_match": sql(f"SELECT code, date, {N} % 11 <> 0 AND {N} % 39 <> 0 AND day(date) NOT IN (12, 16) AS same FROM panel"),
     "action_readiness": sql(ACTION_BODY, ACTION),
     "full_readiness": _full(),
-    "payload_validity": sql("SELECT panel_entry, n % 11 <> 0 AS valid FROM r", RECORDS),
+    "payload_validity": sql("SELECT panel_entry, component, (n + k) % 11 <> 0 AS valid FROM r, p", f"{RECORDS}, p AS (SELECT unnest({list(PAYLOADS)}) AS component, unnest(range(5)) AS k)"),
+    "blockers": sql(BLOCKED, f"{KC}, f AS (SELECT 'odd_code' AS blocker, {CELL} AS sample FROM k WHERE n % 2 = 1 UNION ALL SELECT 'not_final', {CELL} FROM k WHERE NOT is_final UNION ALL SELECT 'fourth_day', {CELL} FROM k WHERE dy = 4)"),
     "receipt_bindings": sql("SELECT 'universe' AS component, panel_entry, sha256(panel_entry) AS receipt, CASE WHEN n % 17 = 0 THEN 'unbound_receipt' ELSE 'record_not_bound' END AS problem FROM r WHERE n % 17 = 0 OR n % 19 = 0", RECORDS),
-    "latest_available": sql("SELECT 'universe' AS component, panel_entry, greatest(t + to_minutes(CASE WHEN n % 5 = 0 THEN 565 ELSE 480 END), TIMESTAMP '2024-01-01 09:00:00') AS available_at FROM r", RECORDS),
+    "latest_available": sql("SELECT 'universe' AS component, panel_entry, greatest(t + to_minutes(CASE WHEN n % 5 = 0 THEN 565 ELSE 480 END + CASE WHEN n % 3 = 0 THEN 60 ELSE 0 END), TIMESTAMP '2024-01-01 09:00:00') AS available_at FROM r", RECORDS),
     "cutoff_check": sql("SELECT 'universe' AS component, panel_entry, n % 5 <> 0 AND n % 13 <> 0 AS in_time FROM r", RECORDS),
     "admit_component": sql("SELECT 'market_rules' AS component, panel_entry, 'role_not_authorized' AS problem FROM r UNION ALL SELECT 'universe' AS component, panel_entry, CASE WHEN n % 11 = 0 THEN 'invalid_payload' WHEN n % 7 = 0 THEN 'record_hash_drifted' WHEN n % 17 = 0 THEN 'unbound_receipt' WHEN n % 19 = 0 THEN 'record_not_bound' WHEN n % 13 = 0 THEN 'effective_date_differs' WHEN n % 5 = 0 THEN 'post_cutoff' END AS problem FROM r", RECORDS),
     "signer_interval": sql("SELECT receipt_id, CASE WHEN receipt_id % 3 = 2 THEN 'unknown_signer' WHEN receipt_id % 3 = 1 AND receipt_id % 2 = 1 THEN 'role_not_authorized' WHEN observed_at < TIMESTAMP '2024-01-05' OR observed_at > TIMESTAMP '2024-01-20' THEN 'outside_authorization' END AS problem FROM receipts WHERE observed_at IS NOT NULL"),
