@@ -119,6 +119,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def reserved(keep: Iterable[str], results: Iterable[str]) -> None:
+    """A kept column may not be named like a result, nor be kept twice: that is an error before anything runs."""
+    keep = list(keep)
+    clash = sorted(set(keep) & set(results)) or sorted({c for c in keep if keep.count(c) > 1})
+    if clash:
+        raise ValueError(f"kept columns are named like results, or kept twice: {clash}")
+
+
 def schema_of(docs: DataFrame, keep: Iterable[str], more: str) -> T.StructType:
-    """Fields of the kept columns, then those of the DDL text."""
+    """Fields of the kept columns, then those of the DDL text; none may be named like another."""
+    keep = list(keep)
+    reserved(keep, T.StructType.fromDDL(more).names)
     return T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in keep), *T.StructType.fromDDL(more).fields])

@@ -143,6 +143,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep:
     """For each document: columns `keep`, n_words, n_hit, n_items, items (sorted ids), contaminated, spans (word intervals to remove) and
     clean_text (the text without them; null if cut is not set)."""
     spark = docs.sparkSession
+    common.reserved(keep, ("n_words", "n_hit", "n_items", "items", "contaminated", "spans", "clean_text"))
     kept = [f"k{i}" for i in range(len(keep))]
     span_type = pa.list_(pa.struct([("first", pa.int64()), ("length", pa.int64())]))
     state = "_items array<string>, _spans array<struct<first: long, length: long>>"

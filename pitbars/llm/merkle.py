@@ -89,9 +89,7 @@ def build(docs: DataFrame, group: str = "lang", order: str = "doc_id", fields: t
 
     leaves: own (a struct of the kept columns), leaf, seen, tree, page, pos. pages: tree, level, page, copy, levels, top, up (the parent
     row and the place in it), grown (whether the row ends a group's tree)."""
-    clash = set(keep) & set(_RESULT)
-    if clash:
-        raise ValueError(f"kept columns are named like results: {sorted(clash)}")
+    common.reserved(keep, _RESULT)
     digest = leaf_digest([F.col(f) for f in fields])
     tree = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("-"))
     narrow = docs.select(F.struct(*keep).alias("own"), F.col(order).alias("by"), tree.alias("tree"), digest.alias("leaf"), (digest if seen is None else seen).alias("seen"))

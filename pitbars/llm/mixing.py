@@ -104,6 +104,7 @@ def mix_sources(docs: DataFrame, block_tokens: int = 128, seed: int = 17, max_so
     block, blocks, quotas, before and starts (arrays with an entry for each shard, and one for the end).
 
     More than max_sources sources are a ValueError: their sizes, one row each, are apportioned on the driver."""
+    common.reserved(keep, ("size", "source_size", "target", "first", "block", "blocks", "quotas", "before", "starts", "taken", "shard"))
     spark = docs.sparkSession
     narrow = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("of"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("text_hash"))
     hashed = narrow.withColumn("h", F.xxhash64(F.lit(seed), "id", "text_hash")).withColumn("cell", F.pmod("h", F.lit(CELLS)).cast("int"))

@@ -238,8 +238,6 @@ def pack(examples: DataFrame, tokenizer: str, end_id: int, keep: tuple[str, ...]
     examples has `parts`, an array of (text, loss), or else `text`, of which all ids bear loss. An example's ids are those of its parts,
     each encoded by itself, and the end id, which bears loss if the last part does."""
     fields = common.schema_of(examples, keep, _RESULT)
-    if len(set(fields.names)) < len(fields.names):
-        raise ValueError(f"kept columns are named like results: {sorted(set(keep) & {f.name for f in fields.fields[len(keep) :]}) or sorted(keep)}")
     parts = "parts" in examples.columns
     rows = examples.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), *([F.col("parts"), F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text")] if parts else [F.col("text")]))
     end = end_id.to_bytes(4, "little")

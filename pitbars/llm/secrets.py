@@ -50,6 +50,7 @@ def _written(spans: Column) -> Column:
 def scan_secrets(docs: DataFrame, owner: str = "source", repository: str | None = None, max_owners: int = 2, max_repositories: int = 9, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """For each row: columns `keep`, base, added, all_spans (arrays of start, kind, end), their texts base_text and all_text, n_live, n_examples.
     repository: a column that names it; by default the text itself."""
+    common.reserved(keep, ("base", "added", "all_spans", "base_text", "all_text", "n_live", "n_examples"))
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(owner).cast("string").alias("owner"), (F.col(repository).cast("string") if repository else F.xxhash64(text).cast("string")).alias("repository"), text.alias("text"))
     found = F.concat(*(matches_of(F.col("text"), i, *x) for i, x in enumerate((*BASE, *ADDED))))

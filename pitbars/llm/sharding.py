@@ -64,6 +64,7 @@ def settle(counts: dict[int, int], nodes: list[tuple[int, int]], bounds: list[in
 
 def shard_rows(docs: DataFrame, shards: int = 8, nodes: int = 64, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """For each row: columns `keep`, size, text_crc32, shard, slot (gapless from 0 within a shard)."""
+    common.reserved(keep, ("size", "text_crc32", "shard", "slot"))
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col("doc_id").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))

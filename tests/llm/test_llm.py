@@ -51,6 +51,17 @@ def test_odd_rows_and_empty_tables(spark, name):
     assert op(docs.limit(0)).count() == 0
 
 
+def test_kept_columns_named_like_results(spark):
+    docs, (bench, labels) = odd(spark), tables(spark)
+    as_ = lambda name: docs.withColumnRenamed("fp", name)
+    for clash, run in {
+        "size": lambda k: sharding.shard_rows(docs, keep=k), "taken": lambda k: mixing.mix_sources(as_("taken"), keep=k), "score": lambda k: toxicity.score_toxicity(docs, labels, keep=k), "base": lambda k: secrets.scan_secrets(as_("base"), keep=k),
+        "kept": lambda k: quality.judge_quality(as_("kept"), labels, keep=k), "spans": lambda k: decontaminate.decontaminate(as_("spans"), bench, keep=k), "rejected": lambda k: language.identify(as_("rejected"), None, keep=k), "fp": lambda k: simhash.fingerprints(docs, keep=k),
+    }.items():
+        with pytest.raises(ValueError, match=clash):
+            run(("doc_id", clash))
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     assert same(spark, queries.QUERIES[name], queries.ORACLE_SQL[name], SF)
