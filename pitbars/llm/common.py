@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -75,12 +76,27 @@ def _give_back() -> None:
         pass
 
 
+#: What clears the caches that operators keep in a worker from task to task.
+CACHES: list[Callable[[], None]] = []
+_ran: list[str] = []
+
+
+def _turn_to(module: str) -> None:
+    """A worker that goes on to another operator gives up what the last one kept."""
+    if _ran and _ran[0] != module:
+        for clear in CACHES:
+            clear()
+        gc.collect()
+    _ran[:] = [module]
+
+
 def map_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """df.mapInArrow in batches of ARROW_BYTES at most (one row if that is larger); a worker gives its memory back after each task."""
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _turn_to(step.__module__)
         try:
             yield from step(batches)
         finally:

@@ -100,6 +100,9 @@ def encoder_of(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+common.CACHES.append(encoder_of.cache_clear)
+
+
 @dataclass(frozen=True)
 class Limits:
     """What a sequence has room for."""

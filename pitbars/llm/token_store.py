@@ -132,6 +132,9 @@ def encoder_of(path: str, end_id: int) -> Encoder:
     return Encoder(path, end_id)
 
 
+common.CACHES.append(encoder_of.cache_clear)
+
+
 def train_dictionary(docs: DataFrame, path: str, end_id: int, sample_rows: int = 1000, sample_pieces: int = 1000, piece_ids: int = 2048, size: int = 1 << 16) -> bytes:
     """A dictionary trained on whole texts chosen by hash (about `sample_rows`): their ids are cut into pieces of piece_ids, and
     sample_pieces of all pieces, wherever in a text, are taken by hash (which bounds what the driver holds). If these are too few to
