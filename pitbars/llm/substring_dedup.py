@@ -11,7 +11,7 @@ every shard. Steps:
 2. A shard keeps passages whose anchor more than one document holds, builds an FM-index over a wavelet matrix of them, and streams
    them through it: matching statistics, capped at the window length, and the smallest document id among the rows of each full match.
    Places where that id is smaller than the own are removal intervals.
-3. Intervals go back to the documents.
+3. Intervals are written to the shared folder, and go back to the documents. doc_id must be a number; one that is none is an error.
 
 Defined results: null texts have no words; a null doc_id is neither compared nor removed from; repeated rows with one doc_id do not
 count against each other; documents of fewer words than the window stay whole.
@@ -271,7 +271,9 @@ def repeated_words(docs: DataFrame, window: int = 13, anchor_words: int = 5, n_s
 
 def dedup_substrings(docs: DataFrame, window: int = 13, anchor_words: int = 5, n_shards: int | None = None, hot_passages: int = HOT_PASSAGES) -> DataFrame:
     """For each row of docs: doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
-    found = repeated_words(docs, window, anchor_words, n_shards, hot_passages).groupBy("doc_id", "text_key").agg(F.collect_list("intervals").alias("intervals"))
+    with common.settings(docs.sparkSession, common.TIDY):  # the passages sent to the shards go from the disks before the texts are joined
+        found = repeated_words(docs, window, anchor_words, n_shards, hot_passages).groupBy("doc_id", "text_key").agg(F.collect_list("intervals").alias("intervals"))
+        found = common.written(found, "intervals")
     found = found.withColumnsRenamed({"doc_id": "found_id", "text_key": "found_key"})
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     both = keyed.withColumn("text_key", F.xxhash64("text").bitwiseAND(F.lit((1 << KEY_BITS) - 1))).join(found, (F.col("doc_id") == F.col("found_id")) & (F.col("text_key") == F.col("found_key")), "left")
