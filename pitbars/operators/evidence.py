@@ -59,9 +59,10 @@ def receipt_covers_bar(payload: Column) -> Column:
     return F.coalesce(F.exists(p["rows"], lambda r: F.coalesce((value(r, "date") == F.col("date").cast("string")) & same(r), F.lit(False))), F.lit(False))
 
 
-def price_failures(bars: DataFrame, receipts: DataFrame, panel: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+def price_failures(bars: DataFrame, receipts: DataFrame, panel: DataFrame, sessions: DataFrame | None = None, unobserved_end: bool = False) -> DataFrame:
     """Everything that keeps an exact panel of one price identity from being ready. sessions: dates, of which the one after a bar's ends its
-    evidence; by default those of the bars themselves."""
+    evidence; by default those of the bars themselves. With unobserved_end, a receipt that was retrieved but has no time of observation also
+    fails as unknown_next_session where its session is the last, as the registered queries' SQL has it."""
     chosen = written(panel_select(bars, panel), "chosen")
     joined = bars_with_receipts(chosen, receipts).join(quality.next_session(chosen if sessions is None else sessions), "date")
     late = clock.price_availability_error(F.col("date"), F.col("observed_at"), F.col("next_date"))
@@ -77,7 +78,7 @@ def price_failures(bars: DataFrame, receipts: DataFrame, panel: DataFrame, sessi
         "receipt_response_mismatch": held & hash_ok & ~receipt_covers_bar(F.col("payload")),
         "receipt_timestamp_mismatch": held & timed & (F.col("observed_at") != F.col("retrieved_at")),
         "invalid_availability_timestamp": held & ~timed,
-    } | {x: held & timed & (F.col("late") == x) for x in ("availability_precedes_finalization", "unknown_next_session", "post_hoc_availability")}
+    } | {x: held & (F.col("retrieved_at").isNotNull() if unobserved_end else timed) & (F.col("late") == x) for x in ("availability_precedes_finalization", "unknown_next_session", "post_hoc_availability")}
     parts = [failures(joined, checks, cell()), panel_missing(panel, chosen).select(F.lit("missing_panel_rows").alias("blocker"), cell().alias("sample"))]
     empty = chosen.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("no_selected_rows").alias("blocker"), F.lit("panel").alias("sample"))
     return reduce(DataFrame.unionByName, [*parts, empty])
@@ -104,9 +105,9 @@ def kept_readiness(failures: DataFrame) -> DataFrame:
     return blockers(failures.where("blocker is not null").select("blocker", "sample"))
 
 
-def price_readiness(bars: DataFrame, receipts: DataFrame, panel: DataFrame) -> DataFrame:
+def price_readiness(bars: DataFrame, receipts: DataFrame, panel: DataFrame, unobserved_end: bool = False) -> DataFrame:
     """No row: ready."""
-    return blockers(price_failures(bars, receipts, panel))
+    return blockers(price_failures(bars, receipts, panel, unobserved_end=unobserved_end))
 
 
 def priced_panel(bars: DataFrame, receipts: DataFrame, panel: DataFrame) -> DataFrame:

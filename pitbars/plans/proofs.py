@@ -134,7 +134,7 @@ def action_readiness(s, d, held=None):
 
 def full_readiness(s, d):
     held = written(v.bars(s, d), "bars")
-    prices = written(evidence.price_readiness(held.where(CLICK), v.receipts(s, d, held), v.panel(s, d, held)), "prices")
+    prices = written(evidence.price_readiness(held.where(CLICK), v.receipts(s, d, held), v.panel(s, d, held), unobserved_end=True), "prices")
     return context.full_readiness(prices, prices, context_readiness(s, d, held), action_readiness(s, d, held), "raw")
 
 

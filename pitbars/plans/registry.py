@@ -327,7 +327,7 @@ def same_set(s, d):
 @query
 def price_readiness(s, d):
     held = written(v.bars(s, d), "bars")
-    return evidence.price_readiness(_click(s, d, held), v.receipts(s, d, held), v.panel(s, d, held))
+    return evidence.price_readiness(_click(s, d, held), v.receipts(s, d, held), v.panel(s, d, held), unobserved_end=True)
 
 
 @query

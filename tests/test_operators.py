@@ -75,6 +75,16 @@ def test_one_mutation_one_blocker(spark, change, blocker):
     assert got == ([blocker] if blocker else [])
 
 
+def test_unobserved_receipts_of_the_last_session(spark):
+    days = [dt.date(2024, 1, k) for k in (2, 3)]
+    payload = lambda d: '{"fields":"date,open,high,low,close,volume","rows":[["%s","1","1","1","1","100"]]}' % d
+    bars = spark.createDataFrame([bar("A", d.day, 1.0, d.day) for d in days], BAR)
+    receipts = spark.createDataFrame([(d.day, "s", payload(d), hashlib.sha256(payload(d).encode()).hexdigest(), None, dt.datetime(2024, 1, d.day, 16)) for d in days], RECEIPT)
+    panel = spark.createDataFrame([("A", d) for d in days], "code string, date date")
+    got = {r["blocker"]: r["examples"] for r in evidence.price_readiness(bars, receipts, panel, unobserved_end=True).collect()}
+    assert got == {"invalid_availability_timestamp": "A@2024-01-02,A@2024-01-03", "unknown_next_session": "A@2024-01-03"}
+
+
 def test_empty_panel_selection_is_a_blocker(spark):
     panel = spark.createDataFrame([("Z", dt.date(2024, 1, 2))], "code string, date date")
     got = {r["blocker"]: r["count"] for r in evidence.price_readiness(spark.createDataFrame([bar("A", 2, 1.0)], BAR), spark.createDataFrame([], RECEIPT), panel).collect()}
