@@ -45,15 +45,16 @@ def land_member_frames(s, d):
 def _status_frames(s, d):
     """Days of a week apart are doubled; on the third of a month the flag is 2."""
     rows = v.panel(s, d).withColumn("paused", F.when(F.day("date") == 3, 2).otherwise((F.day("date") % 5 == 0).cast("int")))
-    return actions.land_status_frames(rows.unionByName(rows.where("day(date) % 7 = 0")))
+    return actions.judge_status_frames(rows.unionByName(rows.where("day(date) % 7 = 0")))
 
 
 def land_status_frames(s, d):
-    return _status_frames(s, d)[0]
+    """Every cell of the panel; one that can't be told is invalid."""
+    return _status_frames(s, d).drop("reason")
 
 
 def status_frame_rejects(s, d):
-    return _status_frames(s, d)[1]
+    return _status_frames(s, d).where("reason is not null").select("code", "date", "reason")
 
 
 def status_values(s, d):
@@ -89,7 +90,7 @@ ORACLE_SQL = {
     "action_terms": f"WITH {ACTIONS} SELECT max(n) AS o_orderkey, code, n % 4 AS cash, effective, CAST(m AS DOUBLE) AS multiplier, CASE WHEN m = 1 THEN 'cash_dividend' ELSE 'dividend_and_share_distribution' END AS type FROM acts WHERE effective IS NOT NULL GROUP BY ALL",
     "action_coverage": f"WITH {ACTIONS} SELECT CAST(coalesce(sum(k), 0) AS BIGINT) AS event_count, count(*) FILTER (k = 0) AS zero_event_symbols FROM (SELECT code, count(*) FILTER (effective IS NOT NULL AND m = 1 AND n % 4 = 3) AS k FROM acts GROUP BY code)",
     "land_member_frames": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '0' WHEN 1 THEN '3' ELSE '6' END || lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0') || CASE WHEN c_custkey % 4 = 2 THEN '.SH' ELSE '.SZ' END AS code FROM customer WHERE c_custkey % 4 <> 3",
-    "land_status_frames": sql("SELECT code, date, day(date) % 5 <> 0 AS is_tradable, CASE WHEN day(date) % 5 = 0 THEN 'suspended' ELSE 'active' END AS status FROM panel WHERE day(date) % 7 <> 0 AND day(date) <> 3"),
+    "land_status_frames": sql("SELECT code, date, CASE WHEN day(date) % 7 <> 0 AND day(date) <> 3 THEN day(date) % 5 <> 0 END AS is_tradable, CASE WHEN day(date) % 7 = 0 OR day(date) = 3 THEN 'invalid' WHEN day(date) % 5 = 0 THEN 'suspended' ELSE 'active' END AS status FROM panel"),
     "status_frame_rejects": sql("SELECT code, date, CASE WHEN day(date) = 3 THEN 'not_a_flag' ELSE 'repeated_row' END AS reason FROM panel WHERE day(date) % 7 = 0 OR day(date) = 3"),
     "status_values": "SELECT k AS c_custkey, ok AS valid, CASE k % 3 WHEN 0 THEN 'CHINEXT' WHEN 1 THEN 'STAR' ELSE 'MAIN' END AS board, CASE WHEN ok THEN k % 5 = 0 END AS is_st, CASE WHEN ok THEN c_acctbal <= 0 OR k % 9 = 0 END AS is_suspended FROM (SELECT *, c_custkey AS k, c_custkey % 7 <> 0 AND c_custkey % 13 <> 0 AS ok FROM customer)",
     "quote_to_final_bar": sql("SELECT code, date, price, CAST(1200 AS BIGINT) AS volume FROM quotes WHERE date BETWEEN DATE '2024-01-20' AND DATE '2024-01-30'"),

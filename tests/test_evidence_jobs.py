@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pitbars.functions import canonical, checks
 from pitbars.operators import artifacts, authority, context, panels, store
-from pitbars.sources import landing
+from pitbars.plans import registry
+from pitbars.sources import landing, views
 from pitbars.streaming import jobs
 
 D = dt.date(2024, 1, 2)
@@ -30,6 +31,14 @@ def test_tick_frame(spark):
     assert [(r["date"].day, r["volume"]) for r in got] == [(2, 3.0), (3, 7.0), (4, 0.0)]
 
 
+def test_status_query_has_every_cell(spark):
+    sf = "/root/testdata/sf0.001"
+    got = registry.QUERIES["land_status_frames"](spark, sf)
+    cells = views.panel(spark, sf)
+    assert got.count() == cells.count() and not cells.join(got, ["code", "date"], "left_anti").count()
+    assert {(r["status"], r["is_tradable"]) for r in got.collect()} == {("active", True), ("suspended", False), ("invalid", None)}
+
+
 def test_code_list(spark):
     lines = spark.createDataFrame([("# all",), (" 600519 ",), ("",), ("000001.SZ",)], "value string")
     assert [r["code"] for r in landing.land_code_list(lines).collect()] == ["600519", "000001.SZ"]
