@@ -88,16 +88,15 @@ def events_match_receipts(cells: DataFrame, stored: DataFrame, judged: DataFrame
 def action_failures(coverage: DataFrame, stored: DataFrame, receipts: DataFrame, panel: DataFrame, source: str) -> DataFrame:
     """(blocker, sample): coverage of every cell, from intact receipts of the right request, with the receipt's own events, before the open. A
     response that can't be read is one sample, response@day; all other cells are judged."""
-    q = F.from_json("request", "observation_date string, symbols array<string>, years array<int>")
-    judged = written(landing.judge_action_batches(receipts), "actions")
-    held = judged.select("receipt_id", "reason", F.array_sort(F.array_distinct(F.transform("symbols", lambda s: s["code"]))).alias("held"))
-    facts = receipts.select(  # once for each response
-        "receipt_id",
-        (F.sha2("response", 256) == F.col("response_sha256")).alias("digest_holds"),
-        q["observation_date"].alias("asked_date"),
-        F.array_sort(F.array_distinct(F.transform(q["symbols"], lambda x: normalize_symbol(x)))).alias("asked"),
-        F.array_sort(F.array_distinct(q["years"])).alias("asked_years"),
-    ).join(held, "receipt_id")
+    judged = landing.judge_action_batches(receipts)
+    requests = receipts.select("receipt_id", F.from_json("request", "observation_date string, symbols array<string>, years array<int>").alias("q"))
+    asked = requests.select("receipt_id", F.explode("q.symbols").alias("symbol")).select("receipt_id", normalize_symbol(F.col("symbol")).alias("code"), F.lit(True).alias("asked"), F.lit(False).alias("held"))
+    held = judged.where("symbol is not null").select("receipt_id", "code", F.lit(False).alias("asked"), F.lit(True).alias("held"))
+    apart = asked.unionByName(held).groupBy("receipt_id", "code").agg(F.bool_or("asked").alias("asked"), F.bool_or("held").alias("held")).where("not (asked and held)").select("receipt_id").distinct()
+    facts = receipts.select("receipt_id", (F.sha2("response", 256) == F.col("response_sha256")).alias("digest_holds"))  # once for each response; no cell carries its symbols
+    terms = requests.select("receipt_id", F.col("q.observation_date").alias("asked_date"), F.col("q.symbols").isNotNull().alias("asked"), F.array_sort(F.array_distinct("q.years")).alias("asked_years"))
+    facts = facts.join(terms, "receipt_id").join(landing.action_reasons(judged), "receipt_id").join(apart.withColumn("apart", F.lit(True)), "receipt_id", "left")
+    facts = written(facts, "facts")
     chosen = coverage_with_receipts(coverage, receipts, source).drop("request", "response", "response_sha256").join(facts, "receipt_id")
     chosen = written(evidence.panel_select(chosen, panel), "coverage")
     missing = evidence.panel_missing(panel, chosen).select(F.lit("missing_corporate_action_coverage").alias("blocker"), evidence.cell().alias("sample"))
@@ -107,7 +106,7 @@ def action_failures(coverage: DataFrame, stored: DataFrame, receipts: DataFrame,
     unread = sound.where("intact AND reason IS NOT NULL").select(F.concat_ws("@", F.lit("response"), F.col("date").cast("string")).alias("sample"))
     good = sound.where("intact AND reason IS NULL")
     year = F.year("date")
-    asked = _sure((F.col("asked_date") == F.col("date").cast("string")) & (F.col("asked") == F.col("held")) & (F.col("asked_years") == F.array(year - 1, year)))
+    asked = _sure((F.col("asked_date") == F.col("date").cast("string")) & F.col("asked") & F.col("apart").isNull() & (F.col("asked_years") == F.array(year - 1, year)))
     wrong = good.where(~asked).select(F.concat_ws("@", F.lit("request"), F.col("date").cast("string")).alias("sample"))
     matched = events_match_receipts(good.select("code", "date", "receipt_id", "event_count", "available_at"), stored, judged)
     differ = matched.where(~F.col("same")).select(evidence.cell().alias("sample"))

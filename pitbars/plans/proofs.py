@@ -110,10 +110,9 @@ def action_batch_rejects(s, d):
     return landing.land_action_batches(_coverage(s, d)[1].select("receipt_id", "response"))[1]
 
 
-def _events(s, d, held=None):
+def _events(cover, judged):
     """Stored events; those of code number 39 are lost."""
-    cover, r = _coverage(s, d, held)
-    found = landing.land_action_batches(r.select("receipt_id", "response"))[0].where("event_id is not null")
+    found = landing.action_events(judged).where("event_id is not null")
     return found.join(cover.select("receipt_id", "code", "date", "source", "available_at"), ["receipt_id", "code"]).where(_n() % 39 != 0)
 
 
@@ -123,13 +122,14 @@ def coverage_with_receipts(s, d):
 
 def events_match(s, d):
     cover, r = _coverage(s, d)
-    return context.events_match_receipts(cover.select("code", "date", "receipt_id", "event_count", "available_at"), _events(s, d), landing.judge_action_batches(r)).select("code", "date", "same")
+    judged = landing.judge_action_batches(r)
+    return context.events_match_receipts(cover.select("code", "date", "receipt_id", "event_count", "available_at"), _events(cover, judged), judged).select("code", "date", "same")
 
 
 def action_readiness(s, d, held=None):
     held = held or written(v.bars(s, d), "bars")
     cover, r = (written(x, "coverage") for x in _coverage(s, d, held))
-    return context.action_readiness(cover, written(_events(s, d, held), "events"), r, v.panel(s, d, held), "a")
+    return context.action_readiness(cover, written(_events(cover, landing.judge_action_batches(r)), "events"), r, v.panel(s, d, held), "a")
 
 
 def full_readiness(s, d):

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pitbars.functions import canonical
 from pitbars.functions.checks import bar_valid, event_dates
 from pitbars.functions.symbols import market_symbol, normalize_symbol
+from pitbars.shared import written
 
 
 def number(text):
@@ -180,53 +181,73 @@ def land_market_pages(receipts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return market_rows(judged.where("reason is null")), rejects(judged)
 
 
-def judge_action_batches(receipts: DataFrame) -> DataFrame:
-    """(receipt_id, reason, symbols) of responses {"symbols": {symbol: [{"fields": [...], "rows": [[...], ...]}, ...]}}.
+#: Reasons against a receipt of actions, the first that holds first.
+REASONS = ["not_json", "no_symbols", "unknown_symbol", "batches_not_a_list", "invalid_batch", "row_width", "invalid_event", "invalid_date"]
 
-    reason is the first that holds, or null: not_json, no_symbols, unknown_symbol, batches_not_a_list, invalid_batch, row_width,
-    invalid_event (values nested too deep), invalid_date. symbols: an array of (code, events), events of (event_id, effective_date,
-    announcement_date, payload_json); payload_json is the row as canonical JSON, event_id its SHA-256. Nothing here raises."""
-    r = receipts.select("receipt_id", F.try_parse_json("response").alias("v"))
-    held = _at(F.col("v"), "$.symbols", "map<string,variant>")
-    entries = F.transform(F.array_sort(F.map_keys(held)), lambda k: F.struct(normalize_symbol(k).alias("code"), F.try_element_at(held, k).alias("batches")))
-    r = r.select("receipt_id", _kind(F.col("v")).alias("kind"), _kind(_at(F.col("v"), "$.symbols")).alias("held"), entries.alias("s"))
-    batches = lambda s: _at(s["batches"], "$", "array<variant>")
-    fields = lambda b: _at(b, "$.fields", "array<string>")
-    rows = lambda b: _at(b, "$.rows", "array<variant>")
-    whole = lambda b: _kind(b).startswith("OBJECT") & _kind(_at(b, "$.fields")).startswith("ARRAY") & _kind(_at(b, "$.rows")).startswith("ARRAY")
-    wide = lambda b: F.forall(rows(b), lambda x: _kind(x).startswith("ARRAY") & (F.size(_at(x, "$", "array<variant>")) == F.size(fields(b))))
+
+def _let(x: Column, use) -> Column:
+    """use(x), with x evaluated once, however often use names it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def judge_action_batches(receipts: DataFrame) -> DataFrame:
+    """(receipt_id, reason, receipt, symbol, code, events) of responses {"symbols": {symbol: [{"fields": [...], "rows": [[...], ...]}, ...]}}: a row for
+    each symbol, or one without a symbol where a response has none. receipt is the digest of the response.
+
+    reason holds for the whole receipt and is the first of REASONS that does, or null; invalid_event: values nested too deep. events: an
+    array of (event_id, effective_date, announcement_date, payload_json); payload_json is the row as canonical JSON, event_id its SHA-256.
+    Nothing here raises. A response is parsed once and then dealt out by symbols: no step holds all of its events."""
+    r = receipts.select("receipt_id", F.sha2(F.coalesce("response", F.lit("")), 256).alias("receipt"), F.try_parse_json("response").alias("v"))
+    r = r.select("receipt_id", "receipt", "v", _at(F.col("v"), "$.symbols", "map<string,variant>").alias("held"))
+    unread = F.when(F.col("held").isNull(), F.when(_kind(F.col("v")).startswith("OBJECT"), "no_symbols").otherwise("not_json"))
+    dealt = r.select("receipt_id", "receipt", unread.alias("unread"), F.explode_outer("held").alias("symbol", "held")).repartition("receipt_id", "symbol")
+    batches = _at(F.col("held"), "$", "array<variant>")
+    batch = lambda b: F.struct(_kind(b).startswith("OBJECT").alias("object"), _kind(_at(b, "$.fields")).startswith("ARRAY").alias("named"), _at(b, "$.fields", "array<string>").alias("fields"), _at(b, "$.rows", "array<variant>").alias("rows"))
+    s = dealt.select("receipt_id", "receipt", "unread", "symbol", normalize_symbol("symbol").alias("code"), F.transform(batches, batch).alias("batches"))
+    cut = F.transform("batches", lambda b: F.struct(b["object"] & b["named"] & b["rows"].isNotNull(), b["fields"], F.transform(b["rows"], lambda x: _at(x, "$", "array<variant>"))).cast("struct<whole: boolean, fields: array<string>, rows: array<array<variant>>>"))
+    s = s.select("receipt_id", "receipt", "unread", "symbol", "code", cut.alias("batches"))
+    wide = lambda b: F.forall(b["rows"], lambda x: x.isNotNull() & (F.size(x) == F.size(b["fields"])))
     shape = (
-        F.when(~F.col("kind").startswith("OBJECT"), "not_json").when(~F.col("held").startswith("OBJECT"), "no_symbols").when(F.exists("s", lambda s: s["code"].isNull()), "unknown_symbol")
-        .when(F.exists("s", lambda s: ~_kind(s["batches"]).startswith("ARRAY")), "batches_not_a_list")
-        .when(F.exists("s", lambda s: F.exists(batches(s), lambda b: ~whole(b))), "invalid_batch").when(F.exists("s", lambda s: F.exists(batches(s), lambda b: ~wide(b))), "row_width")
+        F.when(F.col("unread").isNotNull() | F.col("symbol").isNull(), F.col("unread")).when(F.col("code").isNull(), "unknown_symbol").when(F.col("batches").isNull(), "batches_not_a_list")
+        .when(F.exists("batches", lambda b: ~b["whole"]), "invalid_batch").when(F.exists("batches", lambda b: ~wide(b)), "row_width")
     )
 
-    def event(names: Column, row: Column) -> Column:
-        values = _at(row, "$", "array<variant>")
-        order = F.array_sort(F.array_distinct(names))
-        value = lambda name: F.get(values, F.size(names) - F.array_position(F.reverse(names), name).cast("int"))  # noqa: E731 (of a repeated name, the last)
-        payload = F.concat(F.lit("{"), F.array_join(F.transform(order, lambda f: F.concat(canonical.string(f), F.lit(":"), canonical.encode_variant(value(f), 0))), ","), F.lit("}"))
-        whole = ~F.exists(values, lambda x: canonical.encode_variant(x, 0).isNull())
-        text = lambda name: F.nullif(F.trim(_at(value(F.lit(name)), "$", "string")), F.lit(""))
-        effective, announced = event_dates(text("dividOperateDate"), text("dividPreNoticeDate"), text("dividAgmPumDate"), text("dividPlanAnnounceDate"))
-        dates = F.array_compact(F.array(*(text(n) for n in ("dividOperateDate", "dividPreNoticeDate", "dividAgmPumDate", "dividPlanAnnounceDate"))))
-        sound = F.forall(dates, lambda d: d.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_timestamp(d, F.lit("yyyy-MM-dd")).isNotNull())
-        return F.struct(F.sha2(payload, 256).alias("event_id"), effective.alias("effective_date"), announced.alias("announcement_date"), payload.alias("payload_json"), whole.alias("whole"), F.coalesce(sound, F.lit(False)).alias("dated"))
+    def event(names: Column, values: Column) -> Column:
+        at = lambda name: F.size(names) - F.array_position(F.reverse(names), name).cast("int")  # noqa: E731 (of a repeated name, the last)
+        text = lambda name: F.nullif(F.trim(_at(F.get(values, at(F.lit(name))), "$", "string")), F.lit(""))
+        given = F.array(*(text(n) for n in ("dividOperateDate", "dividPreNoticeDate", "dividAgmPumDate", "dividPlanAnnounceDate")))
+
+        def made(encoded: Column, days: Column) -> Column:
+            order = F.array_sort(F.array_distinct(names))
+            payload = F.concat(F.lit("{"), F.array_join(F.transform(order, lambda f: F.concat(canonical.string(f), F.lit(":"), F.get(encoded, at(f)))), ","), F.lit("}"))
+            effective, announced = event_dates(*(F.get(days, F.lit(k)) for k in range(4)))
+            sound = F.forall(F.array_compact(days), lambda d: d.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_timestamp(d, F.lit("yyyy-MM-dd")).isNotNull())
+            return _let(payload, lambda p: F.struct(F.sha2(p, 256).alias("event_id"), effective.alias("effective_date"), announced.alias("announcement_date"), p.alias("payload_json"), (~F.exists(encoded, lambda x: x.isNull())).alias("whole"), F.coalesce(sound, F.lit(False)).alias("dated")))
+
+        return _let(F.transform(values, lambda x: canonical.encode_variant(x, 0)), lambda encoded: _let(given, lambda days: made(encoded, days)))
+
+    events = F.flatten(F.transform("batches", lambda b: F.transform(b["rows"], lambda x: event(b["fields"], x))))
+    read = s.withColumn("shape", shape).select("receipt_id", "receipt", "symbol", "code", "shape", F.when(F.col("shape").isNull(), events).alias("events"))
+    bad = lambda what: F.exists("events", lambda e: ~e[what])
+    own = F.coalesce("shape", F.when(bad("whole"), "invalid_event").when(bad("dated"), "invalid_date"))
+    held = written(read.withColumn("own", F.nullif(F.array_position(F.array(*map(F.lit, REASONS)), own), F.lit(0))).drop("shape"), "symbols")
+    first = held.groupBy("receipt").agg(F.get(F.array(*map(F.lit, REASONS)), F.min("own").cast("int") - 1).alias("reason"))
+    return held.join(first, "receipt").select("receipt_id", "reason", "receipt", "symbol", "code", "events")
+
 
-    events = lambda s: F.flatten(F.transform(batches(s), lambda b: F.transform(rows(b), lambda x: event(fields(b), x))))
-    read = r.withColumn("reason", shape).select("receipt_id", "reason", F.when(F.col("reason").isNull(), F.transform("s", lambda s: F.struct(s["code"].alias("code"), events(s).alias("events")))).alias("symbols"))
-    bad = lambda what: F.exists("symbols", lambda s: F.exists(s["events"], lambda e: ~e[what]))
-    return read.withColumn("reason", F.coalesce("reason", F.when(bad("whole"), "invalid_event").when(bad("dated"), "invalid_date")))
+def action_reasons(judged: DataFrame) -> DataFrame:
+    """(receipt_id, reason) of every judged receipt, sound or not; one given twice alike is one."""
+    return judged.select("receipt_id", "receipt", "reason").distinct().drop("receipt")
 
 
 def action_events(judged: DataFrame) -> DataFrame:
     """A row for each different event of judged receipts without a reason: receipt_id, code, event_id, effective_date, announcement_date,
     payload_json. A symbol without events keeps one row, all null, as its coverage."""
-    symbols = judged.where("reason is null").select("receipt_id", F.explode("symbols").alias("s")).select("receipt_id", "s.code", F.explode_outer(F.array_distinct("s.events")).alias("e"))
+    symbols = judged.where("reason is null and symbol is not null").select("receipt_id", "code", F.explode_outer(F.array_distinct("events")).alias("e"))
     return symbols.select("receipt_id", "code", "e.event_id", "e.effective_date", "e.announcement_date", "e.payload_json")
 
 
 def land_action_batches(receipts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, rejects): the events of receipts without a reason against them, and the others with theirs."""
     judged = judge_action_batches(receipts)
-    return action_events(judged), rejects(judged)
+    return action_events(judged), action_reasons(judged).where("reason is not null")

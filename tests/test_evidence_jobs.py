@@ -128,6 +128,20 @@ def test_action_batches(spark):
     assert {r["receipt_id"]: r["reason"] for r in bad.collect()} == {k: x for k, (x, _) in enumerate(due) if x}
 
 
+def test_action_batches_are_judged_by_symbol(spark):
+    batch = {"year": 2024, "fields": ["dividOperateDate", "plan"], "rows": [["2024-01-05", "x"]]}
+    symbols = {f"6{k:05d}.SH": [batch] if k % 3 else [] for k in range(1500)}
+    bad = {**symbols, "600007.SH": [batch, {"fields": ["a"], "rows": [[1, 2]]}], "600008.SH": [{**batch, "rows": [["2024-02-30", "x"]]}]}
+    receipts = spark.createDataFrame([(k, json.dumps({"symbols": x})) for k, x in enumerate((symbols, bad, {}))], "receipt_id long, response string")
+    judged = landing.judge_action_batches(receipts)
+    rows = [(r["receipt_id"], r["reason"], r["symbol"], len(r["events"] or [])) for r in judged.collect()]
+    assert sorted(x[2:] for x in rows if x[0] == 0) == [(s, len(b)) for s, b in symbols.items()] and {x[1] for x in rows if x[0] == 0} == {None}
+    assert len([x for x in rows if x[0] == 1]) == 1500 and {x[1] for x in rows if x[0] == 1} == {"row_width"}  # the first reason, for the whole receipt
+    assert [x[1:3] for x in rows if x[0] == 2] == [(None, None)]
+    assert sorted(map(tuple, landing.action_reasons(judged).collect())) == [(0, None), (1, "row_width"), (2, None)]
+    assert landing.action_events(judged).count() == 1500
+
+
 def test_canonical_json_as_elsewhere(spark):
     texts = ["", "a", '"q\\ \n\t\r\b\f\x00\x1f\x7f', "é漢字", "😀𝒳 x", "a\nb", "~ !#[]^"]
     for r in spark.createDataFrame([(x,) for x in texts], "s string").select("s", canonical.string(F.col("s")).alias("a"), canonical.string(F.col("s"), False).alias("u")).collect():
