@@ -5,8 +5,8 @@ language's model holds all of them, its discounts come from the full counts, and
 scored by every language's length-normalised cross-entropy; the lowest wins. Models go to the tasks in groups of `group_grams` grams at
 most (a language with more is a group by itself: its size follows its alphabet, not its texts); the groups score one after another in the
 same pass over the texts, each handing on the best language so far, so any number of languages and grams is used whole.
-Scores are a softmax of the entropies; its sharpness and the entropy beyond which a text counts as rejected are calibrated on a hashed
-sample of `calibration_rows` texts.
+Scores are a softmax of the entropies; its sharpness and the entropy beyond which a text counts as rejected are calibrated on
+every text that is learned from.
 
 Characters: letters in lower case, anything else is one blank. Defined results: null texts and texts without a letter are `und` with
 score 0; if no language can be learned, every text is; a null lang is not learned from; repeated rows each give a row.
@@ -29,6 +29,8 @@ from .words import mixed
 N = 4
 BLANK = 32
 UNDETERMINED = "und"
+#: Sharpnesses that calibration chooses from, and the parts of one that its sums are counted in.
+SHARPNESS, UNIT = [0.5, 1, 2, 4, 8, 16, 32], 1 << 24
 
 
 @lru_cache(maxsize=1)
@@ -138,21 +140,16 @@ class Identifier:
         p = np.exp(e)
         return p / p.sum(axis=1, keepdims=True)
 
-    def calibrate(self, entropies: np.ndarray, own: np.ndarray) -> None:
-        """Sharpness by likelihood, and for each language the entropy that hardly any of its texts exceed."""
-        known = ~np.isnan(entropies[:, 0])
-        entropies, own = entropies[known], own[known]
-        if not len(own):
+    def calibrate(self, losses: list[float], moments: dict[str, tuple[int, float, float]]) -> None:
+        """Sharpness by likelihood (losses: the sum of each of SHARPNESS), and for each language the entropy that hardly any of its texts exceed
+        (moments: number, sum and sum of squares of its own texts' entropies)."""
+        if not moments:
             return
-        grid = [0.5, 1, 2, 4, 8, 16, 32]
-        losses = []
-        for self.sharpness in grid:
-            losses.append(-np.mean(np.log(np.maximum(self.probabilities(entropies)[np.arange(len(own)), own], 1e-9))))
-        self.sharpness = float(grid[int(np.argmin(losses))])
-        for k, x in enumerate(self.languages):
-            mine = entropies[own == k, k]
-            if len(mine) > 1:
-                self.limits[x] = float(mine.mean() + 4 * mine.std())
+        self.sharpness = float(SHARPNESS[int(np.argmin(losses))])
+        for x, (n, total, squares) in moments.items():
+            if n > 1:
+                mean = total / n
+                self.limits[x] = float(mean + 4 * np.sqrt(max(squares / n - mean * mean, 0.0)))
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +180,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return common.map_arrow(docs.select("text", "lang"), run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, group_grams: int = 4_000_000, calibration_rows: int = 1000) -> Identifier | None:
+def train(docs: DataFrame, group_grams: int = 4_000_000) -> Identifier | None:
     """docs: the rows to learn from (doc_id, text, lang)."""
     known = docs.where(F.col("lang").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     counts = common.written(count_grams(known), "grams")
@@ -205,23 +202,52 @@ def train(docs: DataFrame, group_grams: int = 4_000_000, calibration_rows: int =
         code, gram, n = lang.indices.to_numpy(), rows.column("gram").to_numpy().view(np.uint64), rows.column("n").to_numpy()
         model.groups.append({x: KneserNey(gram[code == k], n[code == k]) for k, x in enumerate(lang.dictionary.to_pylist())})
     model = Identifier(model.groups)
-    million = 1_000_000
-    part = max(1, million * calibration_rows // max(known.count(), 1))
-    sample = known.where(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(million)) < part).select("text", "lang", F.array().cast("array<double>").alias("e"))
+    _calibrate(known, model)
+    return model
+
+
+def _calibrate(known: DataFrame, model: Identifier) -> None:
+    """Every text of known (text, lang) is scored; only sums by sharpness and by language come back. Sums of a batch are whole numbers of
+    1 / UNIT, so their order makes no difference."""
+    scored = known.select("text", "lang", F.array().cast("array<double>").alias("e"))
     for group in model.groups:
-        shared = docs.sparkSession.sparkContext.broadcast(group)
+        shared = known.sparkSession.sparkContext.broadcast(group)
 
         def measure(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in common.in_chunks(batches):
-                e = entropies_of(shared.value, batch.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a + b for a, b in zip(batch.column(2).to_pylist(), e.tolist(), strict=True)], pa.list_(pa.float64()))], names=["text", "lang", "e"])
+                e = np.hstack([batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1), entropies_of(shared.value, batch.column(0).to_pylist())])
+                held = pa.ListArray.from_arrays(pa.array(np.arange(len(e) + 1, dtype=np.int32) * e.shape[1], pa.int32()), pa.array(e.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), held], names=["text", "lang", "e"])
 
-        sample = common.map_arrow(sample, measure, "text string, lang string, e array<double>")
+        scored = common.map_arrow(scored, measure, "text string, lang string, e array<double>")
     names = [x for g in model.groups for x in sorted(g)]
-    measured = sample.select("lang", "e").limit(4 * calibration_rows).collect()
-    e = np.array([r["e"] for r in measured]).reshape(-1, len(names))[:, np.argsort(names, kind="stable")]
-    model.calibrate(e, np.array([model.languages.index(r["lang"]) for r in measured], dtype=np.int64))
-    return model
+    order = np.argsort(names, kind="stable")
+    plain = Identifier([])
+    plain.languages = model.languages
+    place = {x: k for k, x in enumerate(plain.languages)}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, len(names))[:, order]
+            own = np.array([place[x] for x in batch.column(0).to_pylist()], dtype=np.int64)
+            full = ~np.isnan(e[:, 0])
+            e, own = e[full], own[full]
+            if not len(own):
+                continue
+            at, mine = np.arange(len(own)), e[np.arange(len(own)), own]
+            rows = []
+            for k, plain.sharpness in enumerate(SHARPNESS):
+                rows.append((k, None, len(own), -np.log(np.maximum(plain.probabilities(e)[at, own], 1e-9)).sum(), 0.0))
+            n, total, squares = np.bincount(own), np.bincount(own, mine), np.bincount(own, mine * mine)
+            rows += [(None, plain.languages[k], int(n[k]), total[k], squares[k]) for k in np.flatnonzero(n)]
+            k, lang, n, total, squares = zip(*rows, strict=True)
+            whole = [pa.array([round(x * UNIT) for x in column], pa.int64()) for column in (total, squares)]
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(lang, pa.string()), pa.array(n, pa.int64()), *whole], names=["k", "lang", "n", "total", "squares"])
+
+    parts = common.map_arrow(scored.select("lang", "e"), add, "k int, lang string, n long, total long, squares long")
+    sums = parts.groupBy("k", "lang").agg(*(F.sum(F.col(c).cast("decimal(28,0)")).alias(c) for c in ("n", "total", "squares"))).collect()
+    losses = [float(r["total"]) / UNIT for r in sorted((r for r in sums if r["k"] is not None), key=lambda r: r["k"])]
+    model.calibrate(losses, {r["lang"]: (int(r["n"]), float(r["total"]) / UNIT, float(r["squares"]) / UNIT) for r in sums if r["k"] is None})
 
 
 def identify(docs: DataFrame, model: Identifier | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

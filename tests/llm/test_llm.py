@@ -379,6 +379,24 @@ def test_every_bound_passed_gives_the_same(spark):
     assert near(language.identify(some, one, ("text",))) == near(language.identify(some, many, ("text",)))
 
 
+def test_language_is_calibrated_on_every_text(spark):
+    rng = np.random.default_rng(4)
+    words = {"de": ["haus", "baum", "und", "wieder"], "en": ["house", "tree", "and", "again"]}
+    rows = [(k, " ".join(rng.choice(words[lang], 1 + k % 9)), lang) for k in range(1500) for lang in words] + [(-1, "", "en"), (-2, None, "de")]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), group_grams=5)
+    assert len(model.groups) == 2
+    e = language.entropies_of({x: m for g in model.groups for x, m in g.items()}, [t for _, t, _ in rows[:-2]])
+    own = np.array([lang == "en" for *_, lang in rows[:-2]], dtype=int)
+    for k, lang in enumerate(("de", "en")):
+        mine = e[own == k, k]
+        assert len(mine) == 1500 and abs(model.limits[lang] - (mine.mean() + 4 * mine.std())) < 1e-5
+    due = []
+    for s in language.SHARPNESS:
+        p = np.exp(-s * e) / np.exp(-s * e).sum(axis=1, keepdims=True)
+        due.append(-np.log(np.maximum(p[np.arange(len(own)), own], 1e-9)).mean())
+    assert model.sharpness == language.SHARPNESS[int(np.argmin(due))]
+
+
 def test_quality_base_counts_against_brute_force(spark):
     solid = re.compile(r"[^\x20\x09-\x0D]+")
 
