@@ -23,10 +23,12 @@ def warmup_panel(codes: DataFrame, train_dates: DataFrame, first_search: str, n:
 
 
 def component_grid(panel: DataFrame, records: DataFrame) -> DataFrame:
-    """(component, code, date, times) of cells that have no record or several."""
-    grid = panel.select(F.explode(F.array(*map(F.lit, COMPONENTS))).alias("component"), "code", "date")
-    counted = records.groupBy("component", "code", "date").agg(F.count("*").alias("times"))
-    return grid.join(counted, ["component", "code", "date"], "left").na.fill(0, ["times"]).where("times <> 1")
+    """(component, code, date, times) of cells that have no record or several. Components are counted side by side: a cell is one row until
+    what it lacks or repeats is told."""
+    counted = records.groupBy("code", "date").agg(*(F.count(F.when(F.col("component") == c, 1)).alias(f"_{c}") for c in COMPONENTS))
+    times = F.array(*(F.struct(F.lit(c).alias("component"), F.coalesce(f"_{c}", F.lit(0).cast("long")).alias("times")) for c in COMPONENTS))
+    odd = F.filter(times, lambda x: x["times"] != 1)
+    return panel.select("code", "date").join(counted, ["code", "date"], "left").select("code", "date", F.explode(odd).alias("x")).select("x.component", "code", "date", "x.times")
 
 
 #: Days of a bin of the interval join, and copies of each calendar day over which codes are dealt.

@@ -31,6 +31,15 @@ def test_tick_frame(spark):
     assert [(r["date"].day, r["volume"]) for r in got] == [(2, 3.0), (3, 7.0), (4, 0.0)]
 
 
+def test_component_grid_counts_a_cell_in_one_row(spark):
+    panel = spark.createDataFrame([("A", D), ("B", D)], "code string, date date")
+    rows = [(c, "A", D) for c in panels.COMPONENTS if c != "universe"] + [("signal_prices", "A", D), ("other", "A", D), ("universe", "C", D), (None, "A", D)]
+    got = panels.component_grid(panel, spark.createDataFrame(rows, "component string, code string, date date"))
+    assert sorted(map(tuple, got.collect())) == sorted([("universe", "A", D, 0), ("signal_prices", "A", D, 2), *((c, "B", D, 0) for c in panels.COMPONENTS)])
+    keys = [line.split("[")[1].split("]")[0] for line in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate [" in line]
+    assert keys and not any("component" in k for k in keys)
+
+
 def test_status_query_has_every_cell(spark):
     sf = "/root/testdata/sf0.001"
     got = registry.QUERIES["land_status_frames"](spark, sf)
