@@ -11,7 +11,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,6 +105,19 @@ def map_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(run, schema)
 
 
+def group_arrow(groups: GroupedData, step: Callable[[pa.Table], pa.Table], schema) -> DataFrame:
+    """groups.applyInArrow; a worker gives its memory back after each group."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        _turn_to(step.__module__)
+        try:
+            return step(rows)
+        finally:
+            _give_back()
+
+    return groups.applyInArrow(run, schema)
+
+
 def in_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each holds `limit` text bytes at most, or one row."""
     for batch in batches:

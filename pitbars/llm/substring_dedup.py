@@ -8,9 +8,11 @@ every shard. Steps:
    (the others are known to be repeats and go to any shard); so a passage that a third of all documents hold is sent once for each chunk.
    Anchors of very many different passages (a common phrase with other words around it) are counted first; windows of such an anchor
    are placed by the hash of all their words instead, which splits the group and still keeps equal windows together.
-2. A shard keeps passages whose anchor more than one document holds, builds an FM-index over a wavelet matrix of them, and streams
-   them through it: matching statistics, capped at the window length, and the smallest document id among the rows of each full match.
-   Places where that id is smaller than the own are removal intervals.
+2. A shard keeps passages whose anchor more than one document holds. A passage that a smaller document holds word for word is a
+   removal interval at once. Of the others, some anchors at a time, it builds an FM-index over a wavelet matrix and streams them
+   through it: matching statistics, capped at the window length, and the smallest document id among the rows of each full match.
+   Places where that id is smaller than the own are removal intervals. So what an index takes doesn't follow the share of the
+   shard that is repeated, which is all of it where documents come again whole.
 3. Intervals are written to the shared folder, and go back to the documents. doc_id must be a number; one that is none is an error.
 
 Defined results: null texts have no words; a null doc_id is neither compared nor removed from; repeated rows with one doc_id do not
@@ -39,6 +41,7 @@ PASSAGE_BYTES = 4 << 20  # of a chunk: larger ones know more repeats at once and
 KEY_BITS = 32  # of the hash that tells rows with one doc_id and different texts apart
 HOT_ANCHORS = 1 << 18  # at most so many anchors are split (8 bytes each to every task)
 HOT_PASSAGES = 20_000  # an anchor of fewer passages fits a task anyway
+INDEX_WORDS = 1 << 18  # of an FM-index (about 150 bytes each while it is built and searched), or all words of one anchor
 
 
 def _packed(values, dtype) -> bytes:
@@ -194,53 +197,83 @@ def passages_of(batch: pa.RecordBatch, window: int, anchor_words: int, n_shards:
         yield (int(keys[0]) % n_shards, 0, _packed_ascending(np.array([], dtype=np.int64)), _packed([], np.uint32), _packed_places([]), b"", b"", _packed(rep, np.int64))
 
 
-def repeats_of(rows: pa.Table, window: int) -> pa.Table:
-    """Removal intervals of a shard, a row for each document: (first word, number of words) pairs as 32-bit integers."""
-    ids, keys, firsts, tags, texts, found = [], [], [], [], [], []
-    for row in rows.to_pylist():
-        ids.append(_unpacked_ascending(row["ids"]))
-        keys.append(_unpacked(row["keys"], np.uint32).astype(np.int64))
-        firsts.append(_unpacked_places(row["firsts"]))
-        tags.append(_read_tags(row["tags"]).astype(np.int64))
-        texts.append(row["passages"])
-        found.append(_unpacked(row["repeats"], np.int64).reshape(-1, 4))
-    doc, key, first, tag = (np.concatenate(x) for x in (ids, keys, firsts, tags))
+def _several(tag: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which passages, sorted by tag and document, have a tag that more than one document holds."""
+    if not len(tag):
+        return np.empty(0, dtype=bool)
+    head = np.flatnonzero(np.diff(tag, prepend=-1) != 0)
+    stop = np.append(head[1:], len(tag))
+    return np.repeat(doc[head] != doc[stop - 1], stop - head)
+
+
+def _copies(tag: np.ndarray, doc: np.ndarray, passages: list[bytes]) -> np.ndarray:
+    """Which passages, sorted by tag and document, a smaller document holds word for word: no window of theirs needs them in the index."""
+    out, seen, at = np.zeros(len(doc), dtype=bool), {}, -1
+    for k, (t, d) in enumerate(zip(tag.tolist(), doc.tolist(), strict=True)):
+        if t != at:
+            seen, at = {}, t
+        out[k] = seen.setdefault(passages[k], d) < d
+    return out
+
+
+def _indexed_repeats(doc: np.ndarray, key: np.ndarray, first: np.ndarray, passages: list[bytes], window: int) -> np.ndarray:
+    """Rows (doc_id, key, first word, number of words) of what the passages repeat of each other, by an FM-index of them."""
+    lengths = np.array([p.count(b" ") + 1 for p in passages])
+    symbols, vocabulary = pd.factorize(np.array(b" ".join(passages).split(b" "), dtype=object))
+    index = FMIndex(symbols, lengths, len(vocabulary), sample=0)
+    starts = np.cumsum(lengths) - lengths
+    n_windows = lengths - window + 1
+    owner = np.repeat(np.arange(len(lengths)), n_windows)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+    # the statistics of a passage never leave it: each end has `window` symbols of its own passage before it
+    got, low, high = index.matches(symbols, starts[owner] + offset + window, window, rows=2)
+    holder = np.searchsorted(np.cumsum(lengths + 1), index.sa, side="right")
+    holder_doc = np.append(doc[np.minimum(holder, len(doc) - 1)], np.iinfo(np.int64).max)
+    full = np.flatnonzero(got >= window)
+    ranges, inverse = np.unique(low[full] * (index.n + 1) + high[full], return_inverse=True)
+    edges = np.column_stack([ranges // (index.n + 1), ranges % (index.n + 1)]).ravel()
+    least = np.minimum.reduceat(holder_doc, edges)[::2][inverse] if len(full) else np.array([], dtype=np.int64)
+    bad = full[least < doc[owner[full]]]
+    cut = np.ones(len(bad), dtype=bool)
+    cut[1:] = (np.diff(bad) != 1) | (np.diff(owner[bad]) != 0)
+    head = np.flatnonzero(cut)
+    size = np.diff(np.append(head, len(bad)))
+    at = owner[bad[head]]
+    return np.column_stack([doc[at], key[at], first[at] + offset[bad[head]], size + window - 1])
+
+
+def repeats_of(rows: pa.Table, window: int, index_words: int = INDEX_WORDS) -> pa.Table:
+    """Removal intervals of a shard, a row for each document: (first word, number of words) pairs as 32-bit integers.
+
+    Passages of one tag are indexed together, as many tags at a time as hold `index_words` words (one tag if it alone holds more)."""
+    ids = [_unpacked_ascending(x.as_py()) for x in rows["ids"]]
+    sizes = [len(x) for x in ids]
+    doc = np.concatenate(ids)
+    key = np.concatenate([_unpacked(x.as_py(), np.uint32) for x in rows["keys"]]).astype(np.int64)
+    first = np.concatenate([_unpacked_places(x.as_py()) for x in rows["firsts"]])
+    tag = np.concatenate([_read_tags(x.as_py()) for x in rows["tags"]]).astype(np.int64)
+    found = [_unpacked(x.as_py(), np.int64).reshape(-1, 4) for x in rows["repeats"]]
     order = np.lexsort((doc, tag))
-    head = np.flatnonzero(np.diff(tag[order], prepend=-1) != 0)
-    last = np.append(head[1:], len(order))[: len(head)] - 1
-    several = doc[order[head]] != doc[order[last]]
     keep = np.zeros(len(order), dtype=bool)
-    keep[order] = np.repeat(several, last - head + 1)
-    if keep.any():
-        passages, at = [], 0
-        for body, own in zip(texts, ids, strict=True):
-            if keep[at : at + len(own)].any():
-                parts = zstandard.ZstdDecompressor().decompress(body).split(b"\n")
-                passages += [parts[k] for k in np.flatnonzero(keep[at : at + len(own)]).tolist()]
-            at += len(own)
-        doc, key, first = doc[keep], key[keep], first[keep]
-        lengths = np.array([p.count(b" ") + 1 for p in passages])
-        symbols, vocabulary = pd.factorize(np.array(b" ".join(passages).split(b" "), dtype=object))
-        index = FMIndex(symbols, lengths, len(vocabulary), sample=0)
-        starts = np.cumsum(lengths) - lengths
-        n_windows = lengths - window + 1
-        owner = np.repeat(np.arange(len(lengths)), n_windows)
-        offset = np.arange(len(owner)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-        # the statistics of a passage never leave it: each end has `window` symbols of its own passage before it
-        got, low, high = index.matches(symbols, starts[owner] + offset + window, window, rows=2)
-        holder = np.searchsorted(np.cumsum(lengths + 1), index.sa, side="right")
-        holder_doc = np.append(doc[np.minimum(holder, len(doc) - 1)], np.iinfo(np.int64).max)
-        full = np.flatnonzero(got >= window)
-        ranges, inverse = np.unique(low[full] * (index.n + 1) + high[full], return_inverse=True)
-        edges = np.column_stack([ranges // (index.n + 1), ranges % (index.n + 1)]).ravel()
-        least = np.minimum.reduceat(holder_doc, edges)[::2][inverse] if len(full) else np.array([], dtype=np.int64)
-        bad = full[least < doc[owner[full]]]
-        if len(bad):
-            cut = np.concatenate([[True], (np.diff(bad) != 1) | (np.diff(owner[bad]) != 0)])
-            head = np.flatnonzero(cut)
-            size = np.diff(np.concatenate([head, [len(bad)]]))
-            at = owner[bad[head]]
-            found.append(np.column_stack([doc[at], key[at], first[at] + offset[bad[head]], size + window - 1]))
+    keep[order] = _several(tag[order], doc[order])
+    passages = []
+    for body, own in zip(rows["passages"], np.split(keep, np.cumsum(sizes)[:-1]), strict=True):
+        if own.any():
+            parts = zstandard.ZstdDecompressor().decompress(body.as_py()).split(b"\n")
+            passages += [parts[k] for k in np.flatnonzero(own).tolist()]
+    doc, key, first, tag = doc[keep], key[keep], first[keep], tag[keep]
+    order = np.lexsort((doc, tag))
+    doc, key, first, tag, passages = doc[order], key[order], first[order], tag[order], [passages[k] for k in order.tolist()]
+    lengths = np.array([p.count(b" ") + 1 for p in passages], dtype=np.int64)
+    copies = _copies(tag, doc, passages)
+    found.append(np.column_stack([x[copies] for x in (doc, key, first, lengths)]))
+    left = np.flatnonzero(~copies)
+    left = left[_several(tag[left], doc[left])]
+    if len(left):
+        before = np.cumsum(lengths[left]) - lengths[left]
+        head = np.flatnonzero(np.diff(tag[left], prepend=-1) != 0)
+        for part in np.split(left, head[np.flatnonzero(np.diff(before[head] // index_words) != 0) + 1]):
+            found.append(_indexed_repeats(doc[part], key[part], first[part], [passages[k] for k in part.tolist()], window))
     rows = np.concatenate(found)
     order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
     rows = rows[order]
@@ -266,7 +299,7 @@ def repeated_words(docs: DataFrame, window: int = 13, anchor_words: int = 5, n_s
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     passages = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, _PASSAGES)
-    return passages.groupBy("shard").applyInArrow(lambda rows: repeats_of(rows, window), _FOUND)
+    return common.group_arrow(passages.groupBy("shard"), lambda rows: repeats_of(rows, window), _FOUND)
 
 
 def dedup_substrings(docs: DataFrame, window: int = 13, anchor_words: int = 5, n_shards: int | None = None, hot_passages: int = HOT_PASSAGES) -> DataFrame:

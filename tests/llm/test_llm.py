@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -278,6 +280,51 @@ def test_hot_anchors(spark):
     assert set(found) <= set(substring_dedup.hot_anchors(rows, 13, 5, most=2000, floor=0))
 
 
+def _returning(n_docs, n_words, exact, near):
+    """Documents that come again whole and with every thirtieth word changed."""
+    rng = random.Random(6)
+    own = [[f"w{rng.randrange(50_000)}" for _ in range(n_words)] for _ in range(n_docs)]
+    changed = lambda w: " ".join(f"y{rng.randrange(10**6)}" if rng.random() < 1 / 30 else x for x in w)
+    texts = [" ".join(w) for w in own] * (1 + exact) + [changed(w) for _ in range(near) for w in own]
+    return list(enumerate(texts))
+
+
+def _shard(docs, chunks):
+    """All passages of the documents in one shard, as chunks of them send them."""
+    names = [x.split()[0] for x in substring_dedup._PASSAGES.split(", ")]
+    rows = []
+    for part in np.array_split(np.arange(len(docs)), chunks):
+        batch = pa.RecordBatch.from_arrays([pa.array([docs[k][0] for k in part], pa.int64()), pa.array([docs[k][1] for k in part], pa.string())], names=["doc_id", "text"])
+        rows += substring_dedup.passages_of(batch, 13, 5, 1, np.array([], dtype=np.uint64))
+    return pa.table([pa.array(x) for x in zip(*rows, strict=True)], names=names)
+
+
+@pytest.mark.parametrize(("exact", "near"), [(5, 0), (0, 5), (2, 2)])
+def test_a_shard_of_repeats_is_indexed_in_parts(monkeypatch, exact, near):
+    sizes = []
+
+    class Counted(FMIndex):
+        def __init__(self, symbols, *a, **k):
+            sizes.append(len(symbols))
+            super().__init__(symbols, *a, **k)
+
+    monkeypatch.setattr(substring_dedup, "FMIndex", Counted)
+    docs = _returning(40, 1500, exact, near)
+    shard = _shard(docs, 6)
+    tracemalloc.start()
+    found = substring_dedup.repeats_of(shard, 13)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6  # with one index of all passages it was 116 to 150 MB
+    assert max(sizes) < substring_dedup.INDEX_WORDS * 1.1
+    assert near or sum(sizes) < 1000  # copies need no index, but for passages that share a tag by chance
+    gone = {doc: set() for doc, _ in docs}
+    for doc, parts in zip(found["doc_id"].to_pylist(), found["intervals"].to_pylist(), strict=True):
+        for first, n in np.frombuffer(parts, dtype="<u4").reshape(-1, 2).tolist():
+            gone[doc] |= set(range(first, first + n))
+    assert sorted((doc, len(gone[doc]), " ".join(w for i, w in enumerate(text.split()) if i not in gone[doc])) for doc, text in docs) == _cut_by_hand(docs)
+
+
 def test_frequent_keeps_what_is_frequent():
     rng = np.random.default_rng(1)
     rows = np.concatenate([np.full(4000, 7), rng.integers(100, 10**6, 20000)]).astype(np.uint64)
